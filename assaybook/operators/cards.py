@@ -288,7 +288,7 @@ def experiment_grid(endpoints: DataFrame, flavors: Sequence[str], seeds: Sequenc
     grid = (
         endpoints.select("recipe", "endpoint").distinct()
         .withColumn("flavor", F.explode(lits(flavors)))
-        .withColumn("seed", F.explode(lits([int(s) for s in seeds])).cast("long"))
+        .withColumn("seed", F.explode(lits([int(s) for s in seeds]).cast("array<bigint>")))
         .withColumn("mode", F.explode(lits(modes)))
     )
     tail = F.concat("flavor", F.lit("__s"), F.col("seed").cast("string"))

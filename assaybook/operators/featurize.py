@@ -118,8 +118,12 @@ def hashed_bits(
     df: DataFrame, column: str, n_bits: int = 2048, gram: int = 3, out: str = "features"
 ) -> DataFrame:
     """Binary fingerprint: bit h is set if any character n-gram of the text hashes to h."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(column) - (gram - 1), F.lit(1)))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.col(column).substr(i, F.lit(gram))))
-    made = df.withColumn("_grams", F.coalesce(grams, F.array().cast("array<string>")))
+    # characters are split once: taking substrings of a long text again and again is quadratic
+    made = df.withColumn("_chars", F.split(F.coalesce(F.col(column), F.lit("")), ""))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_chars") - gram, F.lit(0)))
+    grams = F.transform(
+        starts, lambda i: F.concat_ws("", *[F.get("_chars", i + k) for k in range(gram)])
+    )
+    made = made.withColumn("_grams", F.filter(F.array_distinct(grams), lambda g: F.length(g) > 0))
     tf = HashingTF(numFeatures=n_bits, binary=True, inputCol="_grams", outputCol="_bits")
-    return tf.transform(made).withColumn(out, vector_to_array("_bits")).drop("_grams", "_bits")
+    return tf.transform(made).withColumn(out, vector_to_array("_bits")).drop("_chars", "_grams", "_bits")

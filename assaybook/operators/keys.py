@@ -17,7 +17,7 @@ def largest_fragment(key: Column, separator: str = r"\.") -> Column:
 
     A key of one fragment is kept whole; ``stripped`` says that fragments were removed.
     """
-    parts = F.filter(F.transform(F.split(F.trim(key), separator), F.trim), lambda p: F.length(p) > 0)
+    parts = F.filter(F.transform(F.split(F.trim(key), separator), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
     longest = F.reduce(
         parts, F.lit(""), lambda best, p: F.when(F.length(p) > F.length(best), p).otherwise(best)
     )

@@ -19,7 +19,10 @@ from ..functions import cells
 from ..functions.cells import as_cell, is_finite, long_cells
 from .blocks import map_blocks, to_block
 
-_V = F.col("value")
+
+def _v() -> Column:
+    return F.col("value")
+
 
 
 def to_matrix(df: DataFrame, columns: Sequence[str | Column], *keep: str) -> DataFrame:
@@ -52,10 +55,10 @@ def failure_counts(df: DataFrame, width: int, features: str = "features") -> tup
 
 def profile_columns(df: DataFrame) -> DataFrame:
     """Finite min and max, rows and invalid cells of every column."""
-    finite = is_finite(_V)
+    finite = is_finite(_v())
     return long_cells(df).groupBy("col_id").agg(
-        F.min(F.when(finite, _V)).alias("col_min"),
-        F.max(F.when(finite, _V)).alias("col_max"),
+        F.min(F.when(finite, _v())).alias("col_min"),
+        F.max(F.when(finite, _v())).alias("col_max"),
         F.count_if(~finite).alias("invalid"),
         F.count(F.lit(1)).alias("n_rows"),
     )
@@ -70,7 +73,7 @@ def invalid_columns(profile: DataFrame, max_fraction: float = 0.2) -> DataFrame:
 
 def masked_moments(df: DataFrame) -> DataFrame:
     """Count, mean and sample std of the finite cells only; std is missing below two cells."""
-    v = F.when(is_finite(_V), _V)
+    v = F.when(is_finite(_v()), _v())
     return long_cells(df).groupBy("col_id").agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std")
     )
@@ -81,10 +84,10 @@ def imputed_moments(df: DataFrame) -> DataFrame:
 
     Unlike the masked moments, the divisor is all rows. Std is one where the variance is zero.
     """
-    std = F.stddev_samp(_V)
+    std = F.stddev_samp(_v())
     return long_cells(df).groupBy("col_id").agg(
-        F.count(_V).alias("n"),
-        F.avg(_V).alias("mean"),
+        F.count(_v()).alias("n"),
+        F.avg(_v()).alias("mean"),
         F.when(std > 0, std).otherwise(F.lit(1.0)).alias("std"),
     )
 
@@ -92,13 +95,13 @@ def imputed_moments(df: DataFrame) -> DataFrame:
 def percentiles(sample: DataFrame, probs: Sequence[float]) -> DataFrame:
     """Exact interpolated percentiles per column, as one array; for row-capped fit samples."""
     return long_cells(sample).groupBy("col_id").agg(
-        F.percentile(_V, [float(p) for p in probs]).alias("percentiles")
+        F.percentile(_v(), [float(p) for p in probs]).alias("percentiles")
     )
 
 
 def low_variance_columns(sample: DataFrame, min_variance: float = 1e-8) -> DataFrame:
     return (
-        long_cells(sample).groupBy("col_id").agg(F.var_pop(_V).alias("variance"))
+        long_cells(sample).groupBy("col_id").agg(F.var_pop(_v()).alias("variance"))
         .filter(F.col("variance") <= min_variance)
     )
 
@@ -198,7 +201,7 @@ def correlation_pairs(sample: DataFrame, width: int) -> DataFrame:
 
 
 def _sample_moments(sample: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
-    v = F.when(is_finite(_V), _V).otherwise(F.lit(0.0))
+    v = F.when(is_finite(_v()), _v()).otherwise(F.lit(0.0))
     stats = (
         long_cells(sample.select(F.lit(0).alias("row_id"), "features")).groupBy("col_id")
         .agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("var"))
