@@ -10,13 +10,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import ratio
 from ..functions.labels import dataset_of
 from ..session import stage
-from .ordering import largest_group, running_total, value_ranks
+from .ordering import SMALL_GROUP, largest_group, running_total, value_ranks
 
 UNIT = ("label", "recipe", "endpoint")
 # Kendall: rows per bucket, and the most buckets a group is cut into
@@ -86,7 +86,12 @@ def spearman(
     pred: DataFrame, keys: Sequence[str] = UNIT, y: str = "y_true", f: str = "y_pred"
 ) -> DataFrame:
     """Spearman correlation with average ranks on ties; missing when either side is constant."""
-    pairs = _value_pairs(pred, keys, y, f)
+    return _spearman_of(_value_pairs(pred, keys, y, f), list(keys))
+
+
+def _spearman_of(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    if largest_group(pairs, keys) <= SMALL_GROUP:
+        return _spearman_small(pairs, keys)
     joined = pairs
     for v in ("_y", "_f"):
         ranks = value_ranks(pairs, keys, v, "_w")
@@ -95,8 +100,23 @@ def spearman(
             *keys, v, (F.col("rank") - (F.col("total") + 1) / 2).alias(f"{v}_rank")
         )
         joined = joined.join(centred, [*keys, v])
+    return _rank_correlation(joined, keys)
+
+
+def _spearman_small(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """All windows share one hash partitioning on the keys, so there is a single shuffle."""
+    group, total = Window.partitionBy(*keys), F.col("_n")
+    ranked = pairs.withColumn("_n", F.sum("_w").over(group))
+    for v in ("_y", "_f"):
+        up_to = F.sum("_w").over(group.orderBy(v).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        peers = F.sum("_w").over(Window.partitionBy(*keys, v))
+        ranked = ranked.withColumn(f"{v}_rank", up_to - (peers - 1) / 2 - (total + 1) / 2)
+    return _rank_correlation(ranked, keys)
+
+
+def _rank_correlation(ranked: DataFrame, keys: list[str]) -> DataFrame:
     w, a, b = F.col("_w"), F.col("_y_rank"), F.col("_f_rank")
-    return joined.groupBy(*keys).agg(
+    return ranked.groupBy(*keys).agg(
         ratio(F.sum(w * a * b), F.sqrt(F.sum(w * a * a)) * F.sqrt(F.sum(w * b * b))).alias("spearman")
     )
 
@@ -167,8 +187,10 @@ def kendall(
     three: within a y bucket, within an f bucket but across y buckets, and across both. The
     first two are counted bucket by bucket, the last from the bounded table of bucket counts.
     """
-    keys = list(keys)
-    pairs = _value_pairs(pred, keys, y, f)
+    return _kendall_of(_value_pairs(pred, keys, y, f), list(keys))
+
+
+def _kendall_of(pairs: DataFrame, keys: list[str]) -> DataFrame:
     if largest_group(pairs, keys) <= BUCKET_ROWS:
         return _kendall_small(pairs, keys)
     one_way = running_total(pairs.select(*keys, "_y", "_f", "_w"), keys, ["_y", "_f"], None, "_p", "_n")
@@ -180,8 +202,8 @@ def kendall(
         "placed",
     )
     names = [f"_k{i}" for i in range(len(keys))]
-    fields = {f.name: f.dataType.simpleString() for f in pred.schema.fields}
-    schema = ", ".join(f"{n} {fields[k]}" for n, k in zip(names, keys)) + ", _d double"
+    types = {c.name: c.dataType.simpleString() for c in pairs.schema.fields}
+    schema = ", ".join(f"{n} {types[k]}" for n, k in zip(names, keys)) + ", _d double"
     placed = placed.select(*[F.col(k).alias(n) for n, k in zip(names, keys)], "_w", "_p", "_q",
                            "_bp", "_bq", "_n")
 
@@ -232,11 +254,16 @@ def kendall(
 
 
 def tidy_metrics(pred: DataFrame, train: DataFrame) -> DataFrame:
-    """One row per (label, recipe, endpoint) with every metric, ready for the report tables."""
+    """One row per (label, recipe, endpoint) with every metric, ready for the report tables.
+
+    ``pred`` is read three times, so stage it if it is dear; both rank metrics share one table
+    of value pairs.
+    """
     keys = list(UNIT)
+    pairs = _value_pairs(pred, keys, "y_true", "y_pred")
     return (
-        regression_metrics(pred).join(spearman(pred), keys, "left")
-        .join(kendall(pred), keys, "left").join(rae(pred, train), keys, "left")
+        regression_metrics(pred).join(_spearman_of(pairs, keys), keys, "left")
+        .join(_kendall_of(pairs, keys), keys, "left").join(rae(pred, train), keys, "left")
         .select(
             F.col("label").alias("flavor"), dataset_of(F.col("recipe")).alias("dataset"), "recipe",
             "endpoint", "r2", "rmse", "mae", "mse", "spearman", "kendall", "rae", "n_test",

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import HashingTF, NGram
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,12 +118,9 @@ def hashed_bits(
     df: DataFrame, column: str, n_bits: int = 2048, gram: int = 3, out: str = "features"
 ) -> DataFrame:
     """Binary fingerprint: bit h is set if any character n-gram of the text hashes to h."""
-    # characters are split once: taking substrings of a long text again and again is quadratic
-    made = df.withColumn("_chars", F.split(F.coalesce(F.col(column), F.lit("")), ""))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("_chars") - gram, F.lit(0)))
-    grams = F.transform(
-        starts, lambda i: F.concat_ws("", *[F.get("_chars", i + k) for k in range(gram)])
-    )
-    made = made.withColumn("_grams", F.filter(F.array_distinct(grams), lambda g: F.length(g) > 0))
+    chars = F.split(F.coalesce(F.col(column), F.lit("")), "")
+    grams = NGram(n=gram, inputCol="_chars", outputCol="_grams").transform(df.withColumn("_chars", chars))
+    # a text shorter than one n-gram has its characters hashed
+    made = grams.withColumn("_grams", F.when(F.size("_chars") < gram, F.col("_chars")).otherwise(F.col("_grams")))
     tf = HashingTF(numFeatures=n_bits, binary=True, inputCol="_grams", outputCol="_bits")
     return tf.transform(made).withColumn(out, vector_to_array("_bits")).drop("_chars", "_grams", "_bits")

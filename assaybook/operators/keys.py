@@ -12,34 +12,29 @@ from ..functions.cells import lenient_double
 from .ordering import hash_cutoff, hash_order
 
 
+def _longest(parts: Column) -> Column:
+    """(canonical, stripped) of non-empty parts: the longest one, the first of equals."""
+    sized = F.transform(
+        parts, lambda p, i: F.struct(F.length(p).alias("n"), (-i).alias("o"), p.alias("p"))
+    )
+    kept = F.filter(sized, lambda p: p["n"] > 0)
+    return F.struct(
+        F.array_max(kept)["p"].alias("canonical"), (F.size(kept) > 1).alias("stripped")
+    )
+
+
 def largest_fragment(key: Column, separator: str = r"\.") -> Column:
     """(canonical, stripped): the longest fragment, the first of equals; empty is missing.
 
     A key of one fragment is kept whole; ``stripped`` says that fragments were removed.
     """
-    parts = F.filter(F.transform(F.split(F.trim(key), separator), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
-    longest = F.reduce(
-        parts, F.lit(""), lambda best, p: F.when(F.length(p) > F.length(best), p).otherwise(best)
-    )
-    canonical = F.when(F.length(longest) > 0, longest)
-    return F.struct(
-        canonical.alias("canonical"),
-        (canonical.isNotNull() & (F.size(parts) > 1)).alias("stripped"),
-    )
+    return _longest(F.transform(F.split(F.trim(key), separator), lambda p: F.trim(p)))
 
 
 def text_canonical(key: Column) -> Column:
     """Canonicalizer for prose keys: lower case, single blanks, longest line kept."""
-    lines = F.transform(F.split(F.lower(key), "\n"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
-    kept = F.filter(lines, lambda s: F.length(s) > 0)
-    longest = F.reduce(
-        kept, F.lit(""), lambda best, p: F.when(F.length(p) > F.length(best), p).otherwise(best)
-    )
-    canonical = F.when(F.length(longest) > 0, longest)
-    return F.struct(
-        canonical.alias("canonical"),
-        (canonical.isNotNull() & (F.size(kept) > 1)).alias("stripped"),
-    )
+    flat = F.regexp_replace(F.lower(key), r"[ \t\x0B\f\r]+", " ")
+    return _longest(F.transform(F.split(flat, "\n"), lambda s: F.trim(s)))
 
 
 def standardize_keys(

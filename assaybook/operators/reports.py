@@ -13,7 +13,7 @@ from ..functions.cells import ratio
 from ..session import stage
 from . import significance
 from .cards import per_seed_average
-from .ordering import quantiles
+from .ordering import quantiles, with_row_id
 
 
 # ---------------------------------------------------------------- winners and rankings
@@ -52,10 +52,15 @@ def sort_ranking(df: DataFrame, metric: str, descending: bool, name: str = "flav
 
 
 def rank_columns(averages: DataFrame, ascending: bool, pinned: str | None = None) -> DataFrame:
-    """Columns best to worst by ``average``, missing last, the pinned one first."""
-    key = F.asc_nulls_last("average") if ascending else F.desc_nulls_last("average")
-    is_pinned = F.col("column") == F.lit(pinned)
-    return averages.orderBy(F.coalesce(is_pinned, F.lit(False)).desc(), key, "column")
+    """Add ``position``: the pinned column first, then best to worst by ``average``, missing last."""
+    sign = 1.0 if ascending else -1.0
+    first = F.coalesce(F.col("column") == F.lit(pinned), F.lit(False))
+    keyed = averages.withColumns(
+        {"_rest": ~first, "_missing": F.col("average").isNull(), "_key": F.col("average") * sign}
+    )
+    return with_row_id(keyed, ["_rest", "_missing", "_key", "column"], "position").drop(
+        "_rest", "_missing", "_key"
+    )
 
 
 # ---------------------------------------------------------------- protocols

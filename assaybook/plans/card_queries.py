@@ -289,6 +289,16 @@ def average_pvalues(spark, sf):
     return rounded(_p_tables(spark, sf)[3].select("flavor", "n", "t", "p"), 4)
 
 
+@query("average_test_stats", f"""
+WITH {b.FRAME}, {_BASE}, joined AS (SELECT * FROM frozen JOIN base USING (row)),
+{_PER_SEED.format(expr='100 * (mae - base) / base', src='joined')}, one AS (SELECT *, 'average' AS family FROM per_seed),
+{dunnett_sql('one', 'value', 'family')}
+SELECT flavor, n, {r('mean', 4)} AS mean, n0, arms, df, {r('t', 3)} AS t FROM tested""")
+def average_test_stats(spark, sf):
+    return rounded(_p_tables(spark, sf)[3].select("flavor", "n", F.round("mean", 4).alias("mean"), "n0", "arms", "df",
+                                                  F.round("t", 3).alias("t")))
+
+
 @query("cell_pvalues")
 def cell_pvalues(spark, sf):
     return rounded(_p_tables(spark, sf)[2].select("row", "flavor", "t", "p"), 4)

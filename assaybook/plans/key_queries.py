@@ -20,9 +20,8 @@ def _standard(spark, sf):
 
 
 def _sides(spark, sf):
-    docs = b.table(spark, sf, "documents")
-    std = keys.standardize_keys(docs, "text", keys.text_canonical)[0].select("doc_id", "lang", "canonical")
-    return stage(splits.fixed_split(std, docs.count(), "doc_id"), "sides")
+    std = stage(_standard(spark, sf).select("doc_id", "lang", "canonical"), "std")
+    return splits.fixed_split(std, b.table(spark, sf, "documents").count(), "doc_id")
 
 
 @query("standardize_keys", f"""

@@ -294,11 +294,31 @@ def correlation_pairs(spark, sf):
     return rounded(pairs.select(name("i"), name("j"), "r"), 8)
 
 
-@query("drop_correlated")
+_PAIRS = f"""
+WITH RECURSIVE {b.WIDE}{_WIDE_SPLIT}, {_CLEAN}, train AS (
+  SELECT row_id, col_id, value FROM clean JOIN sides ON row_id // {b.WIDE_CHUNK} = chunk_id AND side = 'train'),
+scaled AS (
+  SELECT row_id, t.col_id, (value - mean) / CASE WHEN var > 1e-12::DOUBLE THEN sqrt(var) ELSE 1 END AS z
+  FROM train t JOIN (SELECT col_id, avg(value) AS mean, var_samp(value) AS var FROM train GROUP BY col_id) USING (col_id)),
+close AS (
+  SELECT a.col_id AS i, c.col_id AS j FROM scaled a JOIN scaled c ON a.row_id = c.row_id AND a.col_id < c.col_id
+  GROUP BY ALL HAVING abs(sum(a.z * c.z) / (count(*) - 1)) > 0.2::DOUBLE),
+near AS (SELECT j, list(i) AS befores FROM close GROUP BY j),
+scan(j, gone) AS (
+  SELECT -1, []::INTEGER[]
+  UNION ALL
+  SELECT s.j + 1, CASE WHEN len(list_filter(coalesce(n.befores, []), lambda x: NOT list_contains(s.gone, x))) > 0
+                       THEN list_append(s.gone, s.j + 1) ELSE s.gone END
+  FROM scan s LEFT JOIN near n ON n.j = s.j + 1 WHERE s.j < 63)
+SELECT unnest(gone)::INTEGER AS col_id FROM scan WHERE j = 63"""
+
+
+@query("drop_correlated", _PAIRS)
 def drop_correlated(spark, sf):
+    # a low threshold, so that chains of close columns occur
     m = b.wide_matrix(spark, sf)
     sample = stage(splits.fit_sample(_cleaned_valid(m), b.split_of(spark, m, b.WIDE_CHUNK)), "sample")
-    gone = matrix.drop_correlated(matrix.correlation_pairs(sample, b.WIDTH - 1))
+    gone = matrix.drop_correlated(matrix.correlation_pairs(sample, b.WIDTH - 1), 0.2)
     return spark.createDataFrame([(c + (c >= 7),) for c in gone], "col_id int")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate
 from ..operators.ordering import quantiles
 from ..sources.readers import melt_predictions
+from ..session import stage
 from . import bindings as b
 from .catalog import query, r, rounded
 
@@ -15,12 +16,12 @@ _KEYS = "label, recipe, endpoint"
 
 @query("regression_metrics", f"""
 WITH {b.METRICS}
-SELECT flavor AS label, recipe, endpoint, {r('r2')} AS r2, {r('rmse', 3)} AS rmse, {r('mae', 3)} AS mae,
+SELECT flavor AS label, recipe, endpoint, {r('r2')} AS r2, {r('rmse', 2)} AS rmse, {r('mae', 0)} AS mae,
        {r('mse', 0)} AS mse, n_test FROM metrics""")
 def regression_metrics(spark, sf):
     m = evaluate.regression_metrics(b.predictions(spark, sf))
-    return m.select("label", "recipe", "endpoint", F.round("r2", 6).alias("r2"), F.round("rmse", 3).alias("rmse"),
-                    F.round("mae", 3).alias("mae"), F.round("mse", 0).alias("mse"), "n_test")
+    return m.select("label", "recipe", "endpoint", F.round("r2", 6).alias("r2"), F.round("rmse", 2).alias("rmse"),
+                    F.round("mae", 0).alias("mae"), F.round("mse", 0).alias("mse"), "n_test")
 
 
 @query("rae", f"""
@@ -85,10 +86,35 @@ def kendall_ties(spark, sf):
     return rounded(evaluate.kendall(_coarse(spark, sf)))
 
 
-@query("tidy_metrics")
+_TIDY = f"""
+WITH {b.TRAIN_TEST},
+means AS (SELECT {_KEYS}, avg(y) AS m, count(*) AS n FROM train GROUP BY ALL),
+ranked AS (
+  SELECT *, rank() OVER wy + (count(*) OVER (PARTITION BY {_KEYS}, y_true) - 1) / 2.0::DOUBLE AS ry,
+         rank() OVER wf + (count(*) OVER (PARTITION BY {_KEYS}, y_pred) - 1) / 2.0::DOUBLE AS rf, row_number() OVER () AS id
+  FROM test WINDOW wy AS (PARTITION BY {_KEYS} ORDER BY y_true), wf AS (PARTITION BY {_KEYS} ORDER BY y_pred)),
+pairs AS (
+  SELECT {_KEYS}, sum(sign(a.y_true - c.y_true) * sign(a.y_pred - c.y_pred)) AS s,
+         sum(CASE WHEN a.y_true <> c.y_true THEN 1 ELSE 0 END) AS ny, sum(CASE WHEN a.y_pred <> c.y_pred THEN 1 ELSE 0 END) AS nf
+  FROM ranked a JOIN ranked c USING ({_KEYS}) WHERE a.id < c.id GROUP BY {_KEYS}),
+scored AS (
+  SELECT {_KEYS}, avg((y_true - y_pred) * (y_true - y_pred)) AS mse, avg(abs(y_true - y_pred)) AS mae, var_pop(y_true) AS v,
+         corr(ry, rf) AS spearman, avg(abs(y_true - m)) AS dev, count(*) AS n_test, coalesce(max(n), 0)::BIGINT AS n_train
+  FROM ranked LEFT JOIN means USING ({_KEYS}) GROUP BY {_KEYS})
+SELECT label AS flavor, recipe, endpoint,
+       CASE WHEN recipe LIKE 'asap%' THEN left(recipe, length(recipe) - 3) WHEN recipe LIKE 'cyp%' THEN 'openadmet_cyp'
+            ELSE split_part(recipe, '_', 1) END AS dataset,
+       CASE WHEN n_test >= 2 THEN {r('1 - mse / v', 4)} END AS r2, {r('sqrt(mse)', 2)} AS rmse, {r('mae', 0)} AS mae,
+       {r('mse', 2)} AS mse, {r('CASE WHEN isnan(spearman) THEN NULL ELSE spearman END', 4)} AS spearman,
+       {r('s / nullif(sqrt(ny::DOUBLE) * sqrt(nf::DOUBLE), 0)', 4)} AS kendall, {r('mae / dev', 4)} AS rae, n_test, n_train
+FROM scored LEFT JOIN pairs USING ({_KEYS})"""
+
+
+@query("tidy_metrics", _TIDY)
 def tidy_metrics(spark, sf):
     train, test = b.train_and_test(spark, sf)
-    return rounded(evaluate.tidy_metrics(test, train), 4)
+    return rounded(evaluate.tidy_metrics(stage(test, "test"), train).withColumns(
+        {"rmse": F.round("rmse", 2), "mae": F.round("mae", 0), "mse": F.round("mse", 2)}), 4)
 
 
 @query("melt_predictions", """

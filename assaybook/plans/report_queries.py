@@ -36,7 +36,8 @@ def rank_arms(spark, sf):
 
 @query("rank_columns", f"""
 WITH {b.FRAME}, {_R2_CELLS}, averages AS (SELECT flavor AS "column", avg(value) AS average FROM cells GROUP BY flavor)
-SELECT "column", {r('average')} AS average FROM averages""")
+SELECT "column", {r('average')} AS average,
+       row_number() OVER (ORDER BY "column" <> 'f1', average DESC) - 1 AS position FROM averages""")
 def rank_columns(spark, sf):
     averages = _cells(spark, sf).groupBy(F.col("flavor").alias("column")).agg(F.avg("value").alias("average"))
     return rounded(reports.rank_columns(averages, False, b.CONTROL))
@@ -237,9 +238,24 @@ def holm(spark, sf):
     return rounded(reports.holm(tests))
 
 
-@query("instant_runoff")
+def _ballot_round(i: int) -> str:
+    """CTEs of election round i over the arms in ``s{i-1}``."""
+    return f"""v{i} AS (
+  SELECT a.flavor, a.col_ord, count(w.row) AS votes FROM s{i - 1} a
+  LEFT JOIN (SELECT row, arg_max(flavor, value) AS winner FROM cells WHERE flavor IN (SELECT flavor FROM s{i - 1}) GROUP BY row) w
+    ON w.winner = a.flavor GROUP BY ALL),
+d{i} AS (SELECT 2 * max(votes) > sum(votes) AS done FROM v{i}),
+o{i} AS (SELECT flavor FROM v{i} WHERE NOT (SELECT done FROM d{i}) ORDER BY votes, col_ord DESC LIMIT 1),
+s{i} AS (SELECT flavor, col_ord FROM s{i - 1} WHERE NOT (SELECT done FROM d{i}) AND flavor NOT IN (SELECT flavor FROM o{i}))"""
+
+
+@query("instant_runoff", f"""
+WITH {b.FRAME}, {_R2_CELLS.replace('avg(r2)', 'avg(-mae)')}, s0 AS (SELECT DISTINCT flavor, col_ord FROM cells),
+{', '.join(_ballot_round(i) for i in (1, 2, 3))}
+{' UNION ALL '.join(f"SELECT {i}::INTEGER AS round, flavor, votes, flavor IN (SELECT flavor FROM o{i}) AS eliminated FROM v{i}" for i in (1, 2, 3))}""")
 def instant_runoff(spark, sf):
-    return reports.instant_runoff(_cells(spark, sf), "r2")
+    cells = b.frozen(spark, sf).groupBy("row", "flavor").agg(F.avg("mae").alias("value"))
+    return reports.instant_runoff(cells.withColumn("col_ord", F.substring("flavor", 2, 9).cast("int")), "mae")
 
 
 # ---------------------------------------------------------------- stacking
@@ -295,6 +311,47 @@ def stack_oof(spark, sf):
     return rounded(stacking.stack_oof(_features(spark, sf), _FLAVORS), 4)
 
 
+_SCORES = """scores AS (
+  SELECT endpoint, seed, count(*) AS n_test, 4 AS n_flavors, max(r2) AS meta_r2, max(rmse) AS meta_rmse,
+         arg_max(flavor, r2) AS best_single_flavor, avg(r2) AS best_single_r2, max(r2) - avg(r2) - 0.3 AS delta_r2
+  FROM frozen GROUP BY ALL),
+usual AS (
+  SELECT endpoint, first(best_single_flavor ORDER BY n DESC, best_single_flavor) AS best_single_flavor
+  FROM (SELECT endpoint, best_single_flavor, count(*) AS n FROM scores GROUP BY ALL) GROUP BY endpoint)"""
+_STACKED = f"""stacked AS (
+  SELECT endpoint, count(*) AS n_seeds, max(n_flavors)::INTEGER AS n_flavors, round_even(avg(n_test), 0)::BIGINT AS n_test,
+         'best' AS estimator, avg(meta_r2) AS meta_r2, stddev_samp(meta_r2) AS meta_r2_std, avg(meta_rmse) AS meta_rmse,
+         avg(best_single_r2) AS best_single_r2, avg(delta_r2) AS delta_r2, stddev_samp(delta_r2) AS delta_r2_std
+  FROM scores GROUP BY endpoint)"""
+
+
+def _arm_scores(spark, sf):
+    """Seed scores in the stacker's shape, from arm metrics, so that SQL can follow them."""
+    f = b.frozen(spark, sf)
+    best = F.max_by("flavor", "r2")
+    scores = f.groupBy("endpoint", "seed").agg(
+        F.count("*").alias("n_test"), F.lit(4).alias("n_flavors"), F.lit("best").alias("estimator"),
+        F.max("r2").alias("meta_r2"), F.max("rmse").alias("meta_rmse"), best.alias("best_single_flavor"),
+        F.avg("r2").alias("best_single_r2"), (F.max("r2") - F.avg("r2") - 0.3).alias("delta_r2"))
+    return stacking.aggregate_stack_seeds(stage(scores, "scores"), _FLAVORS)
+
+
+@query("stack_seed_scores", f"""
+WITH {b.FRAME}, {_SCORES}, {_STACKED}
+SELECT endpoint, n_seeds, n_flavors, n_test, estimator, {r('meta_r2')} AS meta_r2, {r('meta_r2_std')} AS meta_r2_std,
+       {r('meta_rmse', 3)} AS meta_rmse, best_single_flavor, {r('best_single_r2')} AS best_single_r2, {r('delta_r2')} AS delta_r2,
+       {r('delta_r2_std')} AS delta_r2_std FROM stacked JOIN usual USING (endpoint)""")
+def stack_seed_scores(spark, sf):
+    return rounded(_arm_scores(spark, sf).withColumn("meta_rmse", F.round("meta_rmse", 3)))
+
+
+@query("stack_wins", f"""
+WITH {b.FRAME}, {_SCORES}, {_STACKED}
+SELECT count(*) FILTER (WHERE delta_r2 > 0) AS wins, count(*) AS total, {r('avg(delta_r2)')} AS mean_delta FROM stacked""")
+def stack_wins(spark, sf):
+    return rounded(stacking.stack_summary(_arm_scores(spark, sf)))
+
+
 @query("stack_report")
 def stack_report(spark, sf):
     return rounded(stacking.stack_report(b.stack_predictions(spark, sf), _FLAVORS), 4)

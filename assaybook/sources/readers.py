@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import io
 import logging
-import os
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EXPECTED_TARGETS, NON_TARGET_COLUMNS
-from ..functions.cells import as_cell, is_finite
+from ..functions.cells import as_cell, is_finite, lenient_double
 from ..operators.keys import standardize_keys, wide_targets
-from ..operators.ordering import with_row_id
+from ..operators.ordering import running_total, with_row_id
 from ..session import stage
 
 log = logging.getLogger(__name__)
@@ -86,49 +83,65 @@ def read_result_tree(spark: SparkSession, root: str, labels: Sequence[str] | Non
                      file: str = "y_test.csv") -> tuple[DataFrame, DataFrame]:
     """Wide CSVs of a ``<root>/<label>/<recipe>/.../<file>`` tree, long, plus the rejects.
 
-    Cells come as (label, recipe, row_id, column, value), missing ones included as null. Each
-    file is one unit with its own header, parsed in one task. A unit that cannot be parsed
-    gives a (label, recipe, path, error) reject instead of failing the rest.
+    Cells come as (label, recipe, row_id, column, value), missing ones as null; ``file`` may be
+    a glob, and folders may be named ``key=value``. Every file has its own header. Files are
+    read by line, so a large one is split like any other. A file that is empty or has rows
+    wider than its header becomes a (label, recipe, path, error) reject and does not stop the
+    rest.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", file).load(root)
+    tree = {"recursiveFileLookup": True, "pathGlobFilter": file}
+    unit = _unit_of(root)
+    lines = spark.read.options(**tree).text(root).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+        "value",
+    ).filter(F.length(F.trim("value")) > 0)
+    lines = stage(lines.select("*", *unit(F.col("path"))), "tree")
+    listed = spark.read.format("binaryFile").options(**tree).load(root).select("path", "length")
+    empty = listed.filter("length = 0").select(*unit(F.col("path")), "path", F.lit("empty file").alias("error"))
+    if labels is not None:
+        lines, empty = (d.filter(F.col("label").isin(*labels)) for d in (lines, empty))
+
+    at = F.struct("_block", "_line")
+    headers = stage(
+        lines.groupBy("path").agg(F.min(at).alias("_first"), F.min_by("value", at).alias("_header")), "headers"
     )
-    base = os.path.basename(root.rstrip("/"))
-    inside = F.regexp_extract("path", f"(?s)^.*?/{_quoted(base)}/(.*)$", 1)
-    units = files.select(
-        F.split_part(inside, F.lit("/"), F.lit(1)).alias("label"),
-        F.split_part(inside, F.lit("/"), F.lit(2)).alias("recipe"), "path", "content",
+    parsed = lines.join(headers, "path").select(
+        "label", "recipe", "path", "_block", "_line", _fields("_header").alias("_names"),
+        _fields("value").alias("_cells"), (at == F.col("_first")).alias("_head"),
+    ).filter(~F.col("_head"))
+    wide = F.size("_cells") > F.size("_names")
+    bad = stage(
+        parsed.filter(wide).groupBy("label", "recipe", "path").agg(F.count("*").alias("_n"))
+        .select("label", "recipe", "path", F.concat("_n", F.lit(" rows are wider than the header")).alias("error")),
+        "rejects",
     )
-    if labels is not None:
-        units = units.filter(F.col("label").isin(*labels))
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for u in batch.itertuples(index=False):
-                tag = {"label": u.label, "recipe": u.recipe, "path": u.path}
-                try:
-                    wide = pd.read_csv(io.BytesIO(u.content))
-                    cells = wide.apply(pd.to_numeric, errors="coerce").melt(
-                        var_name="column", value_name="value", ignore_index=False
-                    )
-                    yield cells.assign(row_id=cells.index, error=None, **tag)[_TREE_COLUMNS]
-                except Exception as e:  # noqa: BLE001 - one bad unit must not stop the scan
-                    yield pd.DataFrame([{**tag, "row_id": None, "column": None, "value": None,
-                                         "error": f"{type(e).__name__}: {e}"}])[_TREE_COLUMNS]
-
-    parsed = stage(units.mapInPandas(parse, "label string, recipe string, path string, row_id long, "
-                                     "column string, value double, error string"), "tree")
-    good = parsed.filter("error is null").select(
-        "label", "recipe", "row_id", "column", as_cell(F.col("value")).alias("value"))
-    return good, parsed.filter("error is not null").select("label", "recipe", "path", "error")
-
-
-_TREE_COLUMNS = ["label", "recipe", "path", "row_id", "column", "value", "error"]
-
-
-def _quoted(text: str) -> str:
-    return "".join(c if c.isalnum() or c == "_" else "\\" + c for c in text)
+    rows = running_total(
+        stage(parsed.join(bad.select("path"), "path", "left_anti"), "rows"),
+        ["label", "recipe"], ["path", "_block", "_line"], None, "row_id", "_total",
+    )
+    cells = rows.select("label", "recipe", "row_id", "_cells", F.posexplode("_names").alias("_at", "column"))
+    good = cells.select("label", "recipe", "row_id", "column", lenient_double(F.get("_cells", "_at")).alias("value"))
+    return good, bad.unionByName(empty)
+
+
+def _unit_of(root: str):
+    """Label and recipe columns of a file path below ``root``; ``key=value`` folders give the value."""
+    base = "/" + root.rstrip("/").split("/")[-1] + "/"
+
+    def columns(path):
+        inside = F.split(F.substring_index(path, base, -1), "/")
+        name = lambda i: F.url_decode(F.regexp_replace(F.get(inside, F.lit(i)), "^[^=]*=", ""))
+        return name(0).alias("label"), name(1).alias("recipe")
+
+    return columns
+
+
+def _fields(line: str):
+    """Fields of one CSV line; commas inside double quotes do not separate."""
+    parts = F.split(F.col(line), r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    return F.transform(parts, lambda f: F.regexp_replace(F.trim(f), r'^"|"$', ""))
 
 
 def melt_predictions(pred: DataFrame, truth: DataFrame, ids: Sequence[str],
