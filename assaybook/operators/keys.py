@@ -120,8 +120,8 @@ def apply_dropna(df: DataFrame, targets: Sequence[str], flag: bool) -> DataFrame
 
 def exclude_recipes(df: DataFrame, names: Sequence[str], column: str = "recipe") -> DataFrame:
     """Rows of all other recipes; a name that matches nothing is an error."""
-    wanted = df.sparkSession.createDataFrame([(n,) for n in sorted(set(names))], f"{column} string")
-    missing = [r[0] for r in wanted.join(df.select(column), column, "left_anti").collect()]
+    found = df.filter(F.col(column).isin(*names)).select(column).distinct().collect()
+    missing = set(names) - {r[0] for r in found}
     if missing:
         raise ValueError(f"no rows for {', '.join(sorted(missing))}")
     return df.filter(~F.col(column).isin(*names))

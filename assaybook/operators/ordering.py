@@ -114,7 +114,7 @@ def running_total(
 
 def value_ranks(df: DataFrame, group: Sequence[str], value: str, weight: str) -> DataFrame:
     """Peer-average rank of every distinct value in its group: (group, value, rank, peers, total)."""
-    counts = df.groupBy(*group, value).agg(F.sum(weight).alias("peers"))
+    counts = stage(df.groupBy(*group, value).agg(F.sum(weight).alias("peers")), "counts")
     placed = running_total(counts, group, [value], "peers")
     return placed.select(
         *group, value, "peers", "total", (F.col("before") + (F.col("peers") + 1) / 2).alias("rank")
@@ -130,10 +130,9 @@ def quantiles(
     sort, and no task ever holds a whole group.
     """
     group = list(group)
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*group, value)
-        .agg(F.count("*").alias("_peers"))
+    counts = stage(
+        df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_peers")),
+        "counts",
     )
     placed = running_total(counts, group, [value], "_peers", "_before", "_total")
     last = F.col("_before") + F.col("_peers") - 1

@@ -132,32 +132,36 @@ def arm_summary(df: DataFrame, metric: str = "r2") -> DataFrame:
 def control_comparison(df: DataFrame, subject: str, baseline: str, context: Sequence[str],
                        metric: str = "r2") -> DataFrame:
     """One row: subject against baseline (Welch) and the context arm the subject is nearest to."""
-    seeds = stage(arm_seed_means(df, metric), "arm_seeds")
-    only = lambda name: seeds.filter(F.col("flavor") == name).withColumn("subject", F.lit(subject))
-    test = significance.with_t_pvalue(
-        significance.welch_stats(only(subject), only(baseline), ["subject"], "value")
+    named = arm_seed_means(df, metric).filter(F.col("flavor").isin(subject, baseline, *context))
+    arms = named.groupBy("flavor").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var")
     )
-    near = (
-        arm_means(seeds).filter(F.col("flavor").isin(*context)).withColumn("subject", F.lit(subject))
-        .join(arm_means(seeds).filter(F.col("flavor") == subject)
-              .select(F.col("flavor").alias("subject"), F.col("mean").alias("_own")), "subject")
-        .withColumn("distance", F.abs(F.col("mean") - F.col("_own")))
+    # one record per named arm from here on
+    is_subject, is_base = F.col("flavor") == subject, F.col("flavor") == baseline
+    own = F.max(F.when(is_subject, F.col("mean"))).over(Window.partitionBy(F.lit(0)))
+    position = F.array_position(F.array(*[F.lit(c) for c in context]).cast("array<string>"), F.col("flavor"))
+    placed = arms.withColumn("_own", own).withColumns({
+        "_gap": F.when(position > 0, F.abs(F.col("mean") - F.col("_own"))), "_at": position,
+    })
+    parts = [
+        F.max(F.when(who, F.col(c))).alias(f"{c}_{side}")
+        for side, who in (("a", is_subject), ("b", is_base)) for c in ("n", "mean", "var")
+    ]
+    row = placed.agg(
+        *parts,
+        F.min_by("flavor", F.when(F.col("_gap").isNotNull(), F.struct("_gap", "_at"))).alias("nearest"),
+        F.min("_gap").alias("distance"),
     )
-    position = F.array_position(F.array(*[F.lit(c) for c in context]), F.col("flavor"))
-    nearest = near.groupBy("subject").agg(
-        F.min_by("flavor", F.struct("distance", position)).alias("nearest"),
-        F.min("distance").alias("distance"),
+    tested = row.select(
+        F.lit(subject).alias("subject"), "n_a", "n_b", "mean_a", "mean_b",
+        *significance.welch_columns(), "nearest", "distance",
     )
-    return test.join(nearest, "subject", "left").withColumns(
+    return significance.with_t_pvalue(tested).withColumns(
         {"delta": F.col("mean_a") - F.col("mean_b"),
          "significant": significance.is_significant(F.col("p"))}
     )
 
 
-def arm_means(seeds: DataFrame) -> DataFrame:
-    return seeds.groupBy("flavor").agg(F.avg("value").alias("mean"))
-
-
 # ---------------------------------------------------------------- external test
 
 def external_test_report(df: DataFrame, recipe: str, control: str, prefix: str = "",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ALPHA
@@ -109,31 +109,33 @@ def dunnett_stats(
     ``controls`` gives the control's rows when they are not among ``df``.
     """
     family = list(family)
-
-    def stats(rows: DataFrame, *keys: str) -> DataFrame:
-        return rows.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-            F.count(value).alias("n"), F.avg(value).alias("mean"),
-            (F.coalesce(F.var_pop(value), F.lit(0.0)) * F.count(value)).alias("ss"),
-        )
-
+    is_control = F.col(arm) == control
     source = controls if controls is not None else df
-    own = stats(source.filter(F.col(arm) == control), *family).select(
-        *family, F.col("n").alias("n0"), F.col("mean").alias("mean0"), F.col("ss").alias("ss0")
+    rows = df.filter(~is_control).select(*family, arm, value).unionByName(
+        source.filter(is_control).select(*family, arm, value)
     )
-    arms = stats(df.filter(F.col(arm) != control), *family, arm)
-    usable = F.col("n") >= MIN_OBSERVATIONS
-    pool = arms.filter(usable).groupBy(*family).agg(
-        F.sum("ss").alias("_ss"), F.sum("n").alias("_n"), F.count("*").alias("arms")
+    arms = rows.filter(F.col(value).isNotNull()).groupBy(*family, arm).agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"),
+        (F.coalesce(F.var_pop(value), F.lit(0.0)) * F.count(value)).alias("ss"),
     )
-    joined = arms.join(own, family, "left").join(pool, family, "left")
-    ready = usable & (F.col("n0") >= MIN_OBSERVATIONS) & (F.col("_ss") + F.col("ss0") > 0)
+    whole = Window.partitionBy(*family)              # one record per arm
+    usable = F.col("n") >= MIN_OBSERVATIONS
+    in_pool = usable & ~is_control
+    of_control = lambda c: F.max(F.when(is_control, F.col(c))).over(whole)
+    placed = arms.withColumns({
+        "n0": of_control("n"), "mean0": of_control("mean"), "_ss0": of_control("ss"),
+        "_ss": F.sum(F.when(in_pool, F.col("ss"))).over(whole),
+        "_n": F.sum(F.when(in_pool, F.col("n"))).over(whole),
+        "arms": F.count(F.when(in_pool, 1)).over(whole),
+    }).filter(~is_control)
+    ready = usable & (F.col("n0") >= MIN_OBSERVATIONS) & (F.col("_ss") + F.col("_ss0") > 0)
     dof = F.col("_n") + F.col("n0") - F.col("arms") - 1
-    pooled = ratio(F.col("_ss") + F.col("ss0"), dof)
+    pooled = ratio(F.col("_ss") + F.col("_ss0"), dof)
     t = ratio(
         F.col("mean") - F.col("mean0"),
         F.sqrt(pooled * (ratio(F.lit(1.0), F.col("n")) + ratio(F.lit(1.0), F.col("n0")))),
     )
-    return joined.select(
+    return placed.select(
         *family, arm, "n", "mean", "n0", "mean0",
         F.when(ready, F.col("arms")).alias("arms"),
         F.when(ready, dof).alias("df"),
@@ -190,24 +192,25 @@ AVERAGE_FAMILY = "average"
 
 def welch_stats(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Welch t and degrees of freedom of two samples per key; missing below two values a side."""
-    keys = list(keys)
+    sides = a.select(*keys, value, F.lit("a").alias("_side")).unionByName(
+        b.select(*keys, value, F.lit("b").alias("_side"))
+    )
+    parts = []
+    for side in ("a", "b"):
+        v = F.when(F.col("_side") == side, F.col(value))
+        parts += [F.count(v).alias(f"n_{side}"), F.avg(v).alias(f"mean_{side}"), F.var_samp(v).alias(f"var_{side}")]
+    both = sides.groupBy(*keys).agg(*parts)
+    return both.select(*keys, "n_a", "n_b", "mean_a", "mean_b", *welch_columns())
 
-    def side(rows: DataFrame, s: str) -> DataFrame:
-        return rows.groupBy(*keys).agg(
-            F.count(value).alias(f"n_{s}"), F.avg(value).alias(f"mean_{s}"),
-            F.var_samp(value).alias(f"var_{s}"),
-        )
 
-    both = side(a, "a").join(side(b, "b"), keys)
+def welch_columns() -> list[Column]:
+    """t and df from the columns n_a, mean_a, var_a and n_b, mean_b, var_b."""
     va, vb = ratio(F.col("var_a"), F.col("n_a")), ratio(F.col("var_b"), F.col("n_b"))
-    enough = (F.col("n_a") >= 2) & (F.col("n_b") >= 2)
+    enough = (F.col("n_a") >= MIN_OBSERVATIONS) & (F.col("n_b") >= MIN_OBSERVATIONS)
     dof = ratio((va + vb) * (va + vb),
                 ratio(va * va, F.col("n_a") - 1) + ratio(vb * vb, F.col("n_b") - 1))
-    return both.select(
-        *keys, "n_a", "n_b", "mean_a", "mean_b",
-        F.when(enough, ratio(F.col("mean_a") - F.col("mean_b"), F.sqrt(va + vb))).alias("t"),
-        F.when(enough, dof).alias("df"),
-    )
+    t = ratio(F.col("mean_a") - F.col("mean_b"), F.sqrt(va + vb))
+    return [F.when(enough, t).alias("t"), F.when(enough, dof).alias("df")]
 
 
 def with_t_pvalue(stats: DataFrame) -> DataFrame:

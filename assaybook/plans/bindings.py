@@ -115,7 +115,8 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 METRICS = PRED + """,
 metrics AS (
   SELECT label AS flavor, recipe, endpoint,
-         1 - avg((y_true - y_pred) * (y_true - y_pred)) / var_pop(y_true) AS r2,
+         CASE WHEN count(*) < 2 THEN NULL WHEN var_pop(y_true) = 0 THEN 0
+              ELSE 1 - avg((y_true - y_pred) * (y_true - y_pred)) / var_pop(y_true) END AS r2,
          sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS rmse,
          avg(abs(y_true - y_pred)) AS mae,
          avg((y_true - y_pred) * (y_true - y_pred)) AS mse,

@@ -27,7 +27,7 @@ def regression_metrics(spark, sf):
 @query("rae", f"""
 WITH {b.TRAIN_TEST},
 means AS (SELECT {_KEYS}, avg(y) AS m, count(*) AS n FROM train GROUP BY ALL)
-SELECT {_KEYS}, {r('avg(abs(y_true - y_pred)) / avg(abs(y_true - m))')} AS rae,
+SELECT {_KEYS}, {r('avg(abs(y_true - y_pred)) / nullif(avg(abs(y_true - m)), 0)')} AS rae,
        coalesce(max(n), 0)::BIGINT AS n_train
 FROM test LEFT JOIN means USING ({_KEYS}) GROUP BY {_KEYS}""")
 def rae(spark, sf):
@@ -52,7 +52,7 @@ WITH {b.PRED}, ranked AS (
          rank() OVER wy + (count(*) OVER (PARTITION BY {_KEYS}, y_true) - 1) / 2.0::DOUBLE AS ry,
          rank() OVER wf + (count(*) OVER (PARTITION BY {_KEYS}, y_pred) - 1) / 2.0::DOUBLE AS rf
   FROM pred WINDOW wy AS (PARTITION BY {_KEYS} ORDER BY y_true), wf AS (PARTITION BY {_KEYS} ORDER BY y_pred))
-SELECT {_KEYS}, {r('corr(ry, rf)')} AS spearman FROM ranked GROUP BY {_KEYS}""")
+SELECT {_KEYS}, {r('CASE WHEN isnan(corr(ry, rf)) THEN NULL ELSE corr(ry, rf) END')} AS spearman FROM ranked GROUP BY {_KEYS}""")
 def spearman(spark, sf):
     return rounded(evaluate.spearman(b.predictions(spark, sf)))
 
@@ -62,7 +62,7 @@ WITH {b.PRED}, {_PAIRS}, ranked AS (
   SELECT {_KEYS}, rank() OVER wy + (count(*) OVER (PARTITION BY {_KEYS}, y) - 1) / 2.0::DOUBLE AS ry,
          rank() OVER wf + (count(*) OVER (PARTITION BY {_KEYS}, f) - 1) / 2.0::DOUBLE AS rf
   FROM coarse WINDOW wy AS (PARTITION BY {_KEYS} ORDER BY y), wf AS (PARTITION BY {_KEYS} ORDER BY f))
-SELECT {_KEYS}, {r('corr(ry, rf)')} AS spearman FROM ranked GROUP BY {_KEYS}""")
+SELECT {_KEYS}, {r('CASE WHEN isnan(corr(ry, rf)) THEN NULL ELSE corr(ry, rf) END')} AS spearman FROM ranked GROUP BY {_KEYS}""")
 def spearman_ties(spark, sf):
     return rounded(evaluate.spearman(_coarse(spark, sf)))
 
@@ -73,7 +73,8 @@ pairs AS (
   SELECT {_KEYS}, sum(sign(a.{y} - c.{y}) * sign(a.{f} - c.{f})) AS s,
          sum(CASE WHEN a.{y} <> c.{y} THEN 1 ELSE 0 END) AS ny, sum(CASE WHEN a.{f} <> c.{f} THEN 1 ELSE 0 END) AS nf
   FROM numbered a JOIN numbered c USING ({_KEYS}) WHERE a.id < c.id GROUP BY {_KEYS})
-SELECT {_KEYS}, {r('s / nullif(sqrt(ny::DOUBLE) * sqrt(nf::DOUBLE), 0)')} AS kendall FROM pairs"""
+SELECT {_KEYS}, {r('s / nullif(sqrt(ny::DOUBLE) * sqrt(nf::DOUBLE), 0)')} AS kendall
+FROM (SELECT DISTINCT {_KEYS} FROM {source}) LEFT JOIN pairs USING ({_KEYS})"""
 
 
 @query("kendall", f"WITH {b.PRED}, {_kendall_sql('pred', 'y_true', 'y_pred')}")
@@ -106,7 +107,7 @@ SELECT label AS flavor, recipe, endpoint,
             ELSE split_part(recipe, '_', 1) END AS dataset,
        CASE WHEN n_test >= 2 THEN {r('1 - mse / v', 4)} END AS r2, {r('sqrt(mse)', 2)} AS rmse, {r('mae', 0)} AS mae,
        {r('mse', 2)} AS mse, {r('CASE WHEN isnan(spearman) THEN NULL ELSE spearman END', 4)} AS spearman,
-       {r('s / nullif(sqrt(ny::DOUBLE) * sqrt(nf::DOUBLE), 0)', 4)} AS kendall, {r('mae / dev', 4)} AS rae, n_test, n_train
+       {r('s / nullif(sqrt(ny::DOUBLE) * sqrt(nf::DOUBLE), 0)', 4)} AS kendall, {r('mae / nullif(dev, 0)', 4)} AS rae, n_test, n_train
 FROM scored LEFT JOIN pairs USING ({_KEYS})"""
 
 

@@ -86,7 +86,8 @@ def result_tree(spark, sf):
     p = b.predictions(spark, sf)
     wide = p.select("label", "recipe", F.col("y_true").alias("truth"),
                     F.when(F.col("endpoint") == "LogD", F.col("y_true")).alias("late"))
-    wide.write.partitionBy("label", "recipe").option("header", True).csv(root)
+    # few files per folder, and a busy folder still gets several writers
+    wide.hint("rebalance", "label", "recipe").write.partitionBy("label", "recipe").option("header", True).csv(root)
     good, rejects = readers.read_result_tree(spark, root, file="*.csv")
     cells = good.groupBy("label", "recipe", "column").agg(
         F.count("*").alias("n"), F.count("value").alias("labelled"), F.sum("value").alias("total"))

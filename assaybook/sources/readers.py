@@ -91,15 +91,19 @@ def read_result_tree(spark: SparkSession, root: str, labels: Sequence[str] | Non
     """
     tree = {"recursiveFileLookup": True, "pathGlobFilter": file}
     unit = _unit_of(root)
-    lines = spark.read.options(**tree).text(root).select(
-        F.col("_metadata.file_path").alias("path"),
+    files = spark.read.options(**tree).text(root)
+    lines = files.select(
+        _plain_path(F.col("_metadata.file_path")).alias("path"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
         "value",
     ).filter(F.length(F.trim("value")) > 0)
     lines = stage(lines.select("*", *unit(F.col("path"))), "tree")
-    listed = spark.read.format("binaryFile").options(**tree).load(root).select("path", "length")
-    empty = listed.filter("length = 0").select(*unit(F.col("path")), "path", F.lit("empty file").alias("error"))
+    # names only: Spark already lists them to plan the read, and skips empty files in it
+    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(
+        _plain_path(F.col("path")).alias("path"))
+    empty = listed.join(lines.select("path").distinct(), "path", "left_anti").select(
+        *unit(F.col("path")), "path", F.lit("empty file").alias("error"))
     if labels is not None:
         lines, empty = (d.filter(F.col("label").isin(*labels)) for d in (lines, empty))
 
@@ -126,6 +130,11 @@ def read_result_tree(spark: SparkSession, root: str, labels: Sequence[str] | Non
     return good, bad.unionByName(empty)
 
 
+def _plain_path(path):
+    """Local files are named ``file:/x`` in one place and ``file:///x`` in another."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def _unit_of(root: str):
     """Label and recipe columns of a file path below ``root``; ``key=value`` folders give the value."""
     base = "/" + root.rstrip("/").split("/")[-1] + "/"
