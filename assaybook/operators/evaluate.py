@@ -10,13 +10,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import ratio
 from ..functions.labels import dataset_of
 from ..session import stage
-from .ordering import SMALL_GROUP, largest_group, running_total, value_ranks
+from .ordering import largest_group, running_total, value_ranks
 
 UNIT = ("label", "recipe", "endpoint")
 # Kendall: rows per bucket, and the most buckets a group is cut into
@@ -72,26 +72,96 @@ def rae(
     )
 
 
-def _value_pairs(pred: DataFrame, keys: Sequence[str], y: str, f: str) -> DataFrame:
-    """Distinct (y, f) per group with their number of rows; equal pairs collapse here."""
-    return stage(
-        pred.filter(F.col(y).isNotNull() & F.col(f).isNotNull())
-        .groupBy(*keys, F.col(y).alias("_y"), F.col(f).alias("_f"))
-        .agg(F.count("*").alias("_w")),
-        "pairs",
-    )
-
-
 def spearman(
     pred: DataFrame, keys: Sequence[str] = UNIT, y: str = "y_true", f: str = "y_pred"
 ) -> DataFrame:
     """Spearman correlation with average ranks on ties; missing when either side is constant."""
-    return _spearman_of(_value_pairs(pred, keys, y, f), list(keys))
+    return rank_metrics(pred, keys, y, f, ("spearman",))
+
+
+def kendall(
+    pred: DataFrame, keys: Sequence[str] = UNIT, y: str = "y_true", f: str = "y_pred"
+) -> DataFrame:
+    """Kendall tau-b, exact, in O(n log n) work; missing when either side is constant."""
+    return rank_metrics(pred, keys, y, f, ("kendall",))
+
+
+def rank_metrics(
+    pred: DataFrame, keys: Sequence[str] = UNIT, y: str = "y_true", f: str = "y_pred",
+    metrics: Sequence[str] = ("spearman", "kendall"),
+) -> DataFrame:
+    """Rank correlations per group, in one shuffle when every group is counted to be small.
+
+    Otherwise equal (y, f) pairs are collapsed into a staged table, and both metrics get their
+    positions from range shuffles over it, so that no task ever holds a group.
+    """
+    keys = list(keys)
+    rows = pred.filter(F.col(y).isNotNull() & F.col(f).isNotNull()).select(
+        *keys, F.col(y).alias("_y"), F.col(f).alias("_f")
+    )
+    if largest_group(rows, keys) <= BUCKET_ROWS:
+        return _small_groups(rows, keys, metrics)
+    pairs = stage(rows.groupBy(*keys, "_y", "_f").agg(F.count("*").alias("_w")), "pairs")
+    parts = {"spearman": _spearman_spread, "kendall": _kendall_spread}
+    out = parts[metrics[0]](pairs, keys)
+    for m in metrics[1:]:
+        out = out.join(parts[m](pairs, keys), keys)
+    return out
+
+
+def _small_groups(rows: DataFrame, keys: list[str], metrics: Sequence[str]) -> DataFrame:
+    """Rank metrics of groups that are known to fit a task, a group per call."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    types = {c.name: c.dataType.simpleString() for c in rows.schema.fields}
+    schema = ", ".join([*(f"{n} {types[k]}" for n, k in zip(names, keys)), *(f"{m} double" for m in metrics)])
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, f = pdf["_y"].to_numpy(float), pdf["_f"].to_numpy(float)
+        out = {n: [pdf[n].iloc[0]] for n in names}
+        for m in metrics:
+            out[m] = [rho(y, f) if m == "spearman" else tau_b(y, f)]
+        return pd.DataFrame(out).astype({m: float for m in metrics})
+
+    renamed = rows.select(*[F.col(k).alias(n) for n, k in zip(names, keys)], "_y", "_f")
+    scored = renamed.groupBy(*names).applyInPandas(score, schema)
+    return scored.select(
+        *[F.col(n).alias(k) for n, k in zip(names, keys)],
+        *[F.when(~F.isnan(m), F.col(m)).alias(m) for m in metrics],
+    )
+
+
+def _average_ranks(v: np.ndarray) -> np.ndarray:
+    _, at, n = np.unique(v, return_inverse=True, return_counts=True)
+    return (np.cumsum(n) - (n - 1) / 2)[at]
+
+
+def rho(y: np.ndarray, f: np.ndarray) -> float | None:
+    """Spearman correlation of two arrays."""
+    a, b = (_average_ranks(v) - (v.size + 1) / 2 for v in (y, f))
+    bottom = np.sqrt(a @ a) * np.sqrt(b @ b)
+    return float(a @ b / bottom) if bottom > 0 else None
 
 
-def _spearman_of(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    if largest_group(pairs, keys) <= SMALL_GROUP:
-        return _spearman_small(pairs, keys)
+def tau_b(y: np.ndarray, f: np.ndarray) -> float | None:
+    """Kendall tau-b of two arrays."""
+    n = y.size
+    order = np.lexsort((f, y))
+    y, f = y[order], f[order]
+    by_f = np.empty(n)
+    by_f[np.lexsort((y, f))] = np.arange(n)
+    joint = np.flatnonzero(np.r_[True, (y[1:] != y[:-1]) | (f[1:] != f[:-1]), True])
+    n0, same = _pairs(float(n)), _pairs(np.diff(joint)).sum()
+    ty, tf = (_pairs(np.unique(v, return_counts=True)[1]).sum() for v in (y, f))
+    bottom = np.sqrt(n0 - ty) * np.sqrt(n0 - tf)
+    top = n0 - ty - tf + same - 2 * inversions(by_f, np.ones(n))
+    return float(top / bottom) if bottom > 0 else None
+
+
+def _pairs(n):
+    return n * (n - 1) / 2
+
+
+def _spearman_spread(pairs: DataFrame, keys: list[str]) -> DataFrame:
     joined = pairs
     for v in ("_y", "_f"):
         ranks = value_ranks(pairs, keys, v, "_w")
@@ -100,23 +170,8 @@ def _spearman_of(pairs: DataFrame, keys: list[str]) -> DataFrame:
             *keys, v, (F.col("rank") - (F.col("total") + 1) / 2).alias(f"{v}_rank")
         )
         joined = joined.join(centred, [*keys, v])
-    return _rank_correlation(joined, keys)
-
-
-def _spearman_small(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """All windows share one hash partitioning on the keys, so there is a single shuffle."""
-    group, total = Window.partitionBy(*keys), F.col("_n")
-    ranked = pairs.withColumn("_n", F.sum("_w").over(group))
-    for v in ("_y", "_f"):
-        up_to = F.sum("_w").over(group.orderBy(v).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        peers = F.sum("_w").over(Window.partitionBy(*keys, v))
-        ranked = ranked.withColumn(f"{v}_rank", up_to - (peers - 1) / 2 - (total + 1) / 2)
-    return _rank_correlation(ranked, keys)
-
-
-def _rank_correlation(ranked: DataFrame, keys: list[str]) -> DataFrame:
     w, a, b = F.col("_w"), F.col("_y_rank"), F.col("_f_rank")
-    return ranked.groupBy(*keys).agg(
+    return joined.groupBy(*keys).agg(
         ratio(F.sum(w * a * b), F.sqrt(F.sum(w * a * a)) * F.sqrt(F.sum(w * b * b))).alias("spearman")
     )
 
@@ -144,55 +199,14 @@ def inversions(order: np.ndarray, weight: np.ndarray) -> float:
     return total
 
 
-def _tied_pairs(values: np.ndarray, weight: np.ndarray) -> float:
-    _, at = np.unique(values, return_inverse=True)
-    t = np.bincount(at, weights=weight)
-    return float((t * (t - 1) / 2).sum())
-
+def _kendall_spread(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """tau-b without collecting a group in one task.
 
-def _kendall_small(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """tau-b of groups with at most a bucket of distinct pairs, a group per call."""
-    names = [f"_k{i}" for i in range(len(keys))]
-    types = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    schema = ", ".join(f"{n} {types[k]}" for n, k in zip(names, keys)) + ", kendall double"
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_y", "_f"])
-        y, f, w = (pdf[c].to_numpy(float) for c in ("_y", "_f", "_w"))
-        n = w.sum()
-        by_f = np.empty(len(pdf))
-        by_f[np.lexsort((y, f))] = np.arange(len(pdf))
-        n0, same = n * (n - 1) / 2, float((w * (w - 1) / 2).sum())
-        ty, tf = _tied_pairs(y, w), _tied_pairs(f, w)
-        bottom = np.sqrt(n0 - ty) * np.sqrt(n0 - tf)
-        top = n0 - ty - tf + same - 2 * inversions(by_f, w)
-        value = top / bottom if bottom > 0 else None
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in names}, "kendall": [value]}).astype({"kendall": float})
-
-    renamed = pairs.select(*[F.col(k).alias(n) for n, k in zip(names, keys)], "_y", "_f", "_w")
-    scored = renamed.groupBy(*names).applyInPandas(score, schema)
-    return scored.select(
-        *[F.col(n).alias(k) for n, k in zip(names, keys)],
-        F.when(~F.isnan("kendall"), F.col("kendall")).alias("kendall"),
-    )
-
-
-def kendall(
-    pred: DataFrame, keys: Sequence[str] = UNIT, y: str = "y_true", f: str = "y_pred"
-) -> DataFrame:
-    """Kendall tau-b, exact, in O(n log n) work and without collecting a group in one task.
-
-    Groups counted to be small are scored one by one. Otherwise rows of a group get a position
-    by (y, f) and one by (f, y). Cutting both into buckets splits the discordant pairs in
-    three: within a y bucket, within an f bucket but across y buckets, and across both. The
-    first two are counted bucket by bucket, the last from the bounded table of bucket counts.
+    Rows of a group get a position by (y, f) and one by (f, y). Cutting both into buckets
+    splits the discordant pairs in three: within a y bucket, within an f bucket but across y
+    buckets, and across both. The first two are counted bucket by bucket, the last from the
+    bounded table of bucket counts.
     """
-    return _kendall_of(_value_pairs(pred, keys, y, f), list(keys))
-
-
-def _kendall_of(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    if largest_group(pairs, keys) <= BUCKET_ROWS:
-        return _kendall_small(pairs, keys)
     one_way = running_total(pairs.select(*keys, "_y", "_f", "_w"), keys, ["_y", "_f"], None, "_p", "_n")
     both = running_total(one_way, keys, ["_f", "_y"], None, "_q", "_m").drop("_m")
     size = F.greatest(F.lit(BUCKET_ROWS), F.ceil(F.col("_n") / MAX_BUCKETS))
@@ -256,14 +270,12 @@ def _kendall_of(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def tidy_metrics(pred: DataFrame, train: DataFrame) -> DataFrame:
     """One row per (label, recipe, endpoint) with every metric, ready for the report tables.
 
-    ``pred`` is read three times, so stage it if it is dear; both rank metrics share one table
-    of value pairs.
+    ``pred`` is read several times, so stage it if it is dear; both rank metrics share a pass.
     """
     keys = list(UNIT)
-    pairs = _value_pairs(pred, keys, "y_true", "y_pred")
     return (
-        regression_metrics(pred).join(_spearman_of(pairs, keys), keys, "left")
-        .join(_kendall_of(pairs, keys), keys, "left").join(rae(pred, train), keys, "left")
+        regression_metrics(pred).join(rank_metrics(pred), keys, "left")
+        .join(rae(pred, train), keys, "left")
         .select(
             F.col("label").alias("flavor"), dataset_of(F.col("recipe")).alias("dataset"), "recipe",
             "endpoint", "r2", "rmse", "mae", "mse", "spearman", "kendall", "rae", "n_test",

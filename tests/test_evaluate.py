@@ -51,10 +51,9 @@ def test_regression(spark, pred):
 
 @pytest.mark.parametrize("small", [True, False])
 def test_rank_metrics(pred, monkeypatch, small):
-    """Both paths: groups scored one by one, and the bucketed one with many buckets."""
+    """Both paths: groups scored one by one, and spread over range partitions and buckets."""
     if not small:
         monkeypatch.setattr(ordering, "SMALL_GROUP", 0)
-        monkeypatch.setattr(evaluate, "SMALL_GROUP", 0)
         monkeypatch.setattr(evaluate, "BUCKET_ROWS", 16)
     rows, df = pred
     tau = {r["label"]: r["kendall"] for r in evaluate.kendall(df).collect()}
