@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import ALPHA, AVERAGE_ROW, DATASETS, MODES, ROW_SEPARATOR, SCALE_CAP, SCALE_FLOOR, UNSEEDED
+from ..config import (
+    ALPHA, AVERAGE_ROW, DATASETS, FLAVOR_RECORDS, MODES, ROW_SEPARATOR, SCALE_CAP, SCALE_FLOOR,
+    UNSEEDED,
+)
 from ..functions.cells import ratio
 from ..functions.labels import dataset_of, strip_prefix
 from ..functions.text import change_text, display_name, mean_text
@@ -208,9 +211,11 @@ def r2_card(df: DataFrame, baseline_flavor: str, columns: Sequence[str], metric:
             baseline_name: str = "baseline", control: DataFrame | None = None) -> DataFrame:
     """The metric card, long: baseline column first, registry order after it, AVERAGE row last.
 
-    The spread shown with a cell is its seed std; the AVERAGE row carries none.
+    Of ``columns`` only those that occur are shown. The spread shown with a cell is its seed
+    std; the AVERAGE row carries none. ``df`` is read several times, so stage it if it is dear.
     """
-    rows = order_rows(df.filter(F.col("flavor").isin(*columns)))
+    columns = present_columns(df, columns)
+    rows = order_rows(df)
     cells = complete_grid(seed_matrix(df, metric, columns), rows.select("row", "row_ord"), columns)
     cells = cells.select("row_ord", "row", (F.col("col_ord") + 1).alias("col_ord"),
                          F.col("flavor").alias("column"), "value", F.col("std").alias("aux"))
@@ -236,6 +241,7 @@ def mae_delta_card(deltas: DataFrame, cell_p: DataFrame, average_p: DataFrame, r
     ``deltas`` and ``cell_p`` are per (row, flavor); ``average_p`` is the separate family of
     the AVERAGE row, per flavor.
     """
+    columns = present_columns(deltas, columns)
     cells = complete_grid(
         deltas.select("row", "flavor", F.col("delta").alias("value"))
         .join(cell_p.select("row", "flavor", "p"), ["row", "flavor"], "left"),
@@ -257,6 +263,21 @@ def mae_delta_card(deltas: DataFrame, cell_p: DataFrame, average_p: DataFrame, r
 
 # ---------------------------------------------------------------- registry and grid
 
+def registry(spark: SparkSession) -> DataFrame:
+    """The flavor registry as a dimension table; ``ord`` is the display order."""
+    return spark.createDataFrame(
+        [(*record, i) for i, record in enumerate(FLAVOR_RECORDS)],
+        "name string, kind string, source string, width int, derived_from string, "
+        "calculator string, corpus_from string, standalone boolean, ord int",
+    )
+
+
+def present_columns(df: DataFrame, columns: Sequence[str], column: str = "flavor") -> list[str]:
+    """Those of the wanted columns that occur in ``df``, in wanted order."""
+    have = {r[0] for r in df.filter(F.col(column).isin(*columns)).select(column).distinct().collect()}
+    return [c for c in columns if c in have]
+
+
 def column_order(wanted: DataFrame, present: DataFrame, column: str = "flavor") -> DataFrame:
     """The wanted (name, ord) columns that are present, in wanted order."""
     return wanted.join(present.select(F.col(column).alias("name")).distinct(), "name", "left_semi").orderBy("ord")

@@ -9,13 +9,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import UNSEEDED
 from ..functions.cells import ratio
+from ..functions.labels import dataset_of, seed_base, seed_number, strip_prefix
 from ..session import stage
 from .splits import assign_folds
 
 UNIT = ("endpoint", "seed")
 
 
+def labelled_predictions(pred: DataFrame, strip: str = "") -> DataFrame:
+    """Split the label of long predictions into ``flavor`` and ``seed``, and add the dataset.
+
+    ``strip`` is a namespace such as ``lr_reduced__`` that maps a protocol's labels back to bare
+    flavors. Labels without a seed form a replicate of their own.
+    """
+    label = F.col("label")
+    return pred.withColumns(
+        {
+            "flavor": strip_prefix(seed_base(label), strip) if strip else seed_base(label),
+            "seed": F.coalesce(seed_number(label), F.lit(UNSEEDED)),
+            "dataset": dataset_of(F.col("recipe")),
+        }
+    ).drop("label")
+
+
 def stack_features(pred: DataFrame, flavors: Sequence[str], unit: Sequence[str] = UNIT) -> DataFrame:
     """One row per test item: truth and one prediction column per flavor, seeds kept apart.
 

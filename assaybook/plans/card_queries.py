@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import FLAVOR_RECORDS
 from ..functions import labels, text
 from ..functions.cells import ratio
 from ..operators import cards, keys, significance
@@ -338,14 +337,6 @@ def gate_cells(spark, sf):
 
 # ---------------------------------------------------------------- registry and grid
 
-_FLAVOR_SCHEMA = ("name string, kind string, source string, width int, derived_from string, calculator string, "
-                  "corpus_from string, standalone boolean, ord int")
-
-
-def registry(spark):
-    return spark.createDataFrame([(*rec, i) for i, rec in enumerate(FLAVOR_RECORDS)], _FLAVOR_SCHEMA)
-
-
 @query("experiment_grid", f"""
 WITH {b.METRICS}, eps AS (SELECT DISTINCT recipe, endpoint FROM metrics)
 SELECT recipe, endpoint, flavor, seed::BIGINT AS seed, mode,

@@ -9,18 +9,23 @@ it only when it really is small.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_watched: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for staged tables; a private one only on a local master with none set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     app = spark.sparkContext.applicationId
+    if app not in _watched:
+        _watched.add(app)
+        atexit.register(_release_quietly, spark)
     if named:
         return f"{named.rstrip('/')}/assaybook/{app}"
     if not spark.sparkContext.master.startswith("local"):
@@ -44,8 +49,17 @@ def stage(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete every table this application staged."""
+    """Delete every table this application staged; call it when their results have been used."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.delete(path, True)
     _local_roots.pop(spark.sparkContext.applicationId, None)
+
+
+def _release_quietly(spark: SparkSession) -> None:
+    """At exit, tidy up if the session still runs."""
+    try:
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            release(spark)
+    except Exception:  # noqa: BLE001 - the process is ending; there is nobody to tell
+        pass

@@ -102,7 +102,7 @@ def test_family_is_the_displayed_columns(frame):
 
 
 def test_r2_card(frame):
-    card = cards.r2_card(frame, "ctl", ["better", "worse", "equal"])
+    card = cards.r2_card(frame, "ctl", ["better", "worse", "unrun", "equal"])
     rows = sorted(card.collect(), key=lambda r: (r["row_ord"], r["col_ord"]))
     assert [r["column"] for r in rows[:4]] == ["baseline", "better", "worse", "equal"]
     assert all(r["aux"] is None for r in rows if r["row"] == "AVERAGE")
@@ -144,11 +144,16 @@ def test_grid_audit(spark):
 
 
 def test_registry(spark):
-    from assaybook.config import FLAVOR_RECORDS
-    from assaybook.plans.card_queries import registry
+    from assaybook.config import FLAVOR_RECORDS, flavor_names, get_flavor
+
+    registry = cards.registry
 
     names = [r[0] for r in FLAVOR_RECORDS]
     assert len(set(names)) == len(names) == 16 and sum(not r[7] for r in FLAVOR_RECORDS) == 15
+    assert len(flavor_names()) == 15 and "osmordred_surrogate" not in flavor_names()
+    assert get_flavor("osmordred_surrogate")[5] == "osmordred"
+    with pytest.raises(KeyError):
+        get_flavor("nope")
     assert {r[1] for r in FLAVOR_RECORDS} == {"continuous", "binary"}
     assert all(r[4] in names for r in FLAVOR_RECORDS if r[4])
     got = {r["name"]: r["corpus"] for r in cards.resolve_corpus(registry(spark)).collect()}

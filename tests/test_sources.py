@@ -153,3 +153,22 @@ def test_label_cleanup(spark):
     cells = spark.createDataFrame([([1.0, float("nan")],), ([float("inf"), None],), (None,)], "f array<double>")
     assert [r[0] for r in cells.select(row_failed(F.col("f"))).collect()] == [False, True, True]
     assert [r[0] for r in cells.select(F.transform("f", is_finite)).collect()] == [[True, False], [False, False], None]
+
+
+def test_evaluate_tree(spark, tmp_path):
+    from assaybook.sources.results import evaluate_tree
+
+    def unit(label, recipe, **files):
+        d = tmp_path / "r" / label / recipe / "data"
+        os.makedirs(d)
+        for name, text in files.items():
+            (d / f"{name}.csv").write_text(text)
+
+    unit("f__s1", "herg_st", y_test="a,b\n1,\n2,5\n4,6\n", y_pred="b,a\n0,1\n5,3\n7,4\n", y_train="a,b\n0,1\n,3\n2,2\n")
+    unit("f__s2", "herg_st", y_test="a\n1\n", y_train="a\n1\n")                       # no predictions
+    got = {r["endpoint"]: r for r in evaluate_tree(spark, str(tmp_path / "r"))[0].collect()}
+    assert set(got) == {"a", "b"}
+    a = got["a"]
+    assert (a["flavor"], a["dataset"], a["n_test"], a["n_train"]) == ("f__s1", "herg", 3, 2)
+    assert a["mae"] == pytest.approx(1 / 3) and a["rae"] == pytest.approx((1 / 3) / (4 / 3)) and a["spearman"] == pytest.approx(1.0)
+    assert got["b"]["n_test"] == 2 and got["b"]["mse"] == pytest.approx(0.5)

@@ -82,3 +82,17 @@ def test_trees(pred):
     assert r["estimator"] == "rf" and r["meta_r2"] > 0.3
     with pytest.raises(ValueError):
         stacking.stack_oof(f, ["good", "noise"], estimator="magic")
+
+
+def test_labelled_predictions(pred):
+    labelled = pred.filter("endpoint = 'e'").select(
+        F.concat(F.lit("lr_reduced__"), "flavor", F.lit("__s"), F.col("seed").cast("string")).alias("label"),
+        F.lit("herg_st").alias("recipe"), "endpoint", "row_id", "y_true", "y_pred")
+    made = stacking.labelled_predictions(labelled, "lr_reduced__")
+    assert {(r["flavor"], r["seed"], r["dataset"]) for r in made.select("flavor", "seed", "dataset").distinct().collect()} == {
+        (f, s, "herg") for f in ("good", "noise") for s in (0, 1)}
+    unit = ("dataset", "recipe", "endpoint", "seed")
+    row = stacking.stack_report(made, FLAVORS, unit).first()
+    assert (row["dataset"], row["recipe"], row["endpoint"], row["n_seeds"]) == ("herg", "herg_st", "e", 2)
+    bare = stacking.labelled_predictions(labelled.withColumn("label", F.lit("good")))
+    assert {r["seed"] for r in bare.select("seed").distinct().collect()} == {-1}
