@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import local_table, stage
 
 _SLICE, _POS = "_slice", "_pos"
 _IN_PARTITION = (1 << 33) - 1          # low bits of monotonically_increasing_id
@@ -40,11 +42,12 @@ def with_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id") -> Da
     rows = _sorted_slices(df, order)
     # one record per shuffle partition, so this list stays small whatever the data size
     sizes = rows.groupBy(_SLICE).agg(F.count("*").alias("n")).orderBy(_SLICE).collect()
-    starts, total = [], 0
-    for r in sizes:
-        starts.append((r[_SLICE], total))
-        total += r["n"]
-    offsets = df.sparkSession.createDataFrame(starts, f"{_SLICE} int, _start long")
+    ends = np.cumsum([r["n"] for r in sizes], dtype=np.int64)
+    offsets = local_table(
+        df.sparkSession,
+        {_SLICE: [r[_SLICE] for r in sizes], "_start": [int(e) - r["n"] for e, r in zip(ends, sizes)]},
+        {_SLICE: pa.int32(), "_start": pa.int64()},
+    )
     return (
         rows.join(offsets, _SLICE)
         .withColumn(name, F.col("_start") + F.col(_POS))

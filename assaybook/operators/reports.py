@@ -12,7 +12,8 @@ from ..functions import labels
 from ..functions.cells import ratio
 from ..session import stage
 from . import significance
-from .cards import per_seed_average
+from .cards import prepare_rows
+from .keys import exclude_recipes
 from .ordering import quantiles, with_row_id
 
 
@@ -31,24 +32,55 @@ def row_winner(cells: DataFrame, metric: str, by: Sequence[str] = ("row",), colu
     )
 
 
-def rank_arms(cells: DataFrame, metric: str) -> DataFrame:
-    """Mean, median and wins per arm over (row, flavor, value, col_ord) cells, best mean first."""
-    higher = labels.higher_is_better(metric)
-    means = cells.groupBy("flavor").agg(F.avg("value").alias("mean"))
-    medians = quantiles(cells, ["flavor"], "value", [0.5], ["median"])
-    wins = row_winner(cells, metric).groupBy(F.col("winner").alias("flavor")).agg(
+def rank_arms(cells: DataFrame, metric: str, by: Sequence[str] = ()) -> DataFrame:
+    """Mean, median and wins per arm over (row, flavor, value, col_ord) cells, best mean first.
+
+    With ``by`` there is one ranking per protocol or other group.
+    """
+    higher, keys = labels.higher_is_better(metric), [*by, "flavor"]
+    means = cells.groupBy(*keys).agg(F.avg("value").alias("mean"))
+    medians = quantiles(cells, keys, "value", [0.5], ["median"])
+    wins = row_winner(cells, metric, [*by, "row"]).groupBy(*by, F.col("winner").alias("flavor")).agg(
         F.count("*").alias("wins")
     )
-    table = means.join(medians, "flavor", "left").join(wins, "flavor", "left").withColumn(
+    table = means.join(medians, keys, "left").join(wins, keys, "left").withColumn(
         "wins", F.coalesce("wins", F.lit(0))
     )
-    return sort_ranking(table, "mean", higher)
+    return sort_ranking(table, "mean", higher, by)
 
 
-def sort_ranking(df: DataFrame, metric: str, descending: bool, name: str = "flavor") -> DataFrame:
-    """Rank rows by a metric, ties by name, missing last."""
+def sort_ranking(df: DataFrame, metric: str, descending: bool, by: Sequence[str] = (),
+                 name: str = "flavor") -> DataFrame:
+    """Rank rows by a metric within ``by``, ties by name, missing last."""
     key = F.desc_nulls_last(metric) if descending else F.asc_nulls_last(metric)
-    return df.orderBy(key, name)
+    return df.orderBy(*by, key, name)
+
+
+def ablation_frame(df: DataFrame, exclude: Sequence[str] = (), exclude_in: Sequence[str] = ()) -> DataFrame:
+    """Tidy metrics of ``<arm>__s<seed>[__<mode>]`` labels with ``mode``, seed and row identity.
+
+    Recipes in ``exclude`` are dropped from the protocols in ``exclude_in`` only; there the
+    identities are built without them, so a recipe left alone sheds its suffix.
+    """
+    parsed = df.withColumns(
+        {"mode": labels.mode_suffix(F.col("flavor")), "flavor": labels.mode_suffix_base(F.col("flavor"))}
+    )
+    full = prepare_rows(labels.collapse_seeds(parsed))
+    if not exclude or not exclude_in:
+        return full
+    scoped = F.col("mode").isin(*exclude_in)
+    kept = prepare_rows(labels.collapse_seeds(exclude_recipes(parsed, exclude)))
+    return full.filter(~scoped).unionByName(kept.filter(scoped))
+
+
+def ablation_cells(frame: DataFrame, metric: str, arms: Sequence[str]) -> DataFrame:
+    """Seed-mean cells (mode, row, flavor, value, col_ord) of the ``ablation_`` arms, bare names."""
+    own = frame.filter(F.col("flavor").startswith("ablation_")).withColumn(
+        "flavor", labels.strip_prefix(F.col("flavor"), "ablation_")
+    )
+    at = F.array_position(F.array(*[F.lit(a) for a in arms]), F.col("flavor"))
+    cells = own.groupBy("mode", "row", "flavor").agg(F.avg(metric).alias("value"))
+    return cells.withColumn("col_ord", at.cast("int") - 1).filter("col_ord >= 0")
 
 
 def rank_columns(averages: DataFrame, ascending: bool, pinned: str | None = None) -> DataFrame:
@@ -84,12 +116,13 @@ def mode_matrix(frame: DataFrame, modes: Sequence[str] = MODES) -> DataFrame:
 
 def mode_summary(matrix: DataFrame, metric: str, modes: Sequence[str] = MODES) -> DataFrame:
     """Per protocol: mean, n, and mean delta and wins against the baseline protocol."""
-    base = F.col(BASELINE_MODE)
+    base = F.col(BASELINE_MODE) if BASELINE_MODE in matrix.columns else F.lit(None).cast("double")
     sign = 1 if labels.higher_is_better(metric) else -1
     parts = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("v")) for m in modes])
     long = matrix.select(base.alias("_base"), F.inline(parts))
     delta = F.col("v") - F.col("_base")
-    other = F.first("mode") != BASELINE_MODE
+    # without the baseline protocol there is nothing to compare with
+    other = (F.first("mode") != BASELINE_MODE) & F.lit(BASELINE_MODE in matrix.columns)
     return long.groupBy("mode").agg(
         F.avg("v").alias("mean"),
         F.count("v").alias("n"),

@@ -6,10 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CHUNK_ROWS, SPLIT_SEED, TRAIN_FRACTION, VAL_FRACTION, Recipe
+from ..session import local_table
 from .ordering import hash_cutoff, hash_order, running_total
 
 # a driver-side permutation is only offered up to this many chunks; beyond it use order="md5"
@@ -89,8 +91,9 @@ def chunk_split(
         ids = np.arange(n_chunks - 1)
         np.random.default_rng(seed).shuffle(ids)
         sides = np.where(np.arange(n_chunks - 1) < n_train, "train", "val")
-        split.table = spark.createDataFrame(
-            [(int(c), str(s)) for c, s in zip(ids, sides)], "chunk_id long, side string"
+        split.table = local_table(
+            spark, {"chunk_id": ids, "side": sides.tolist()},
+            {"chunk_id": pa.int64(), "side": pa.string()},
         )
     else:
         raise ValueError(f"order must be md5 or numpy, not {order!r}")

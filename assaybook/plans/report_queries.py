@@ -43,6 +43,30 @@ def rank_columns(spark, sf):
     return rounded(reports.rank_columns(averages, False, b.CONTROL))
 
 
+_ABLATION = f"""tagged AS (
+  SELECT *, CASE WHEN starts_with(flavor, 'lr_') THEN 'reduced' ELSE 'frozen' END AS mode,
+         regexp_extract(flavor, '(f[0-9])$', 1) AS arm FROM named WHERE NOT (starts_with(flavor, 'lr_') AND recipe = 'cyp_mt')),
+shared AS (SELECT mode, dataset, endpoint, count(DISTINCT recipe) > 1 AS many FROM tagged GROUP BY ALL),
+ab AS (
+  SELECT mode, dataset || ' · ' || endpoint || CASE WHEN many THEN ' (' || recipe || ')' ELSE '' END AS row, arm AS flavor, avg(r2) AS value
+  FROM tagged JOIN shared USING (mode, dataset, endpoint) GROUP BY ALL),
+won AS (SELECT mode, row, arg_max(flavor, value) AS winner FROM ab GROUP BY ALL)"""
+
+
+@query("ablation_ranking", f"""
+WITH {b.FRAME}, {_ABLATION}
+SELECT mode, flavor, {r('avg(value)')} AS mean, {r('median(value)')} AS median,
+       (SELECT count(*) FROM won w WHERE w.winner = ab.flavor AND w.mode = ab.mode) AS wins
+FROM ab GROUP BY mode, flavor""")
+def ablation_ranking(spark, sf):
+    reduced = F.col("flavor").startswith("lr_")
+    label = F.concat(F.lit("ablation_"), F.regexp_extract("flavor", "(f[0-9]__s[0-9]+)$", 1),
+                     F.when(reduced, "__reduced").otherwise(""))
+    frame = reports.ablation_frame(b.metrics(spark, sf).withColumn("flavor", label), ["cyp_mt"], ["reduced"])
+    cells = stage(reports.ablation_cells(frame, "r2", b.ARMS), "ablation")
+    return rounded(reports.rank_arms(cells, "r2", ["mode"]))
+
+
 _MODES = f"""modes AS (
   SELECT regexp_extract(flavor, '(f[0-9])$', 1) AS flavor, endpoint,
          CASE WHEN starts_with(flavor, 'lr_') THEN 'reduced' ELSE 'frozen' END AS mode, avg(r2) AS value

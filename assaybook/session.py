@@ -13,6 +13,7 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
@@ -48,6 +49,16 @@ def stage(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, columns: dict[str, list], types: dict[str, pa.DataType]) -> DataFrame:
+    """A small driver-side table as a local relation, whose exact size the optimizer knows.
+
+    A table made from Python rows has no known size, and a join against it can end up shuffling
+    or broadcasting the large side.
+    """
+    arrays = [pa.array(columns[name], type_) for name, type_ in types.items()]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=list(types)))
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table this application staged; call it when their results have been used."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

@@ -65,3 +65,11 @@ def test_plan_shape(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "BatchEvalPython" not in text                       # no row-at-a-time Python
+
+
+def test_row_ids_never_shuffle_or_broadcast_the_rows(spark):
+    """The offsets are the broadcast side even when automatic broadcasts would fit the rows."""
+    from assaybook.plans import bindings
+
+    text = plan(bindings.tall_matrix(spark, SF))
+    assert "BuildRight" in text and "BuildLeft" not in text and "Exchange hashpartitioning" not in text

@@ -96,3 +96,24 @@ def test_holm_variance_depth_runoff(spark):
     cells = cells_of(spark, {k: {a: float(v) for a, v in d.items()} for k, d in ballots.items()})
     got = [(r["round"], r["flavor"], r["votes"], r["eliminated"]) for r in reports.instant_runoff(cells, "r2").collect()]
     assert got == [(1, "x", 4, False), (1, "y", 3, False), (1, "z", 2, True), (2, "x", 4, False), (2, "y", 5, False)]
+
+
+def test_ablation_scope(spark):
+    rows = [(f"ablation_{arm}__s{s}{m}", r, "x", v, 1.0) for arm, v in (("full", 0.4), ("minimal", 0.2)) for s in (1, 2)
+            for m in ("", "__reduced") for r in ("cyp_mt", "cyp1a2_st")] + [("ctl__s1", "cyp_mt", "x", 0.3, 1.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    frame_ = reports.ablation_frame(df, ["cyp_mt"], ["reduced"])
+    got = {(r["mode"], r["row"]) for r in frame_.select("mode", "row").distinct().collect()}
+    assert got == {("frozen", "openadmet_cyp · x (cyp_mt)"), ("frozen", "openadmet_cyp · x (cyp1a2_st)"), ("reduced", "openadmet_cyp · x")}
+    cells = reports.ablation_cells(frame_, "r2", ["minimal", "full"])
+    ranked = [(r["mode"], r["flavor"], r["wins"]) for r in reports.rank_arms(cells, "r2", ["mode"]).collect()]
+    assert ranked == [("frozen", "full", 2), ("frozen", "minimal", 0), ("reduced", "full", 1), ("reduced", "minimal", 0)]
+    with pytest.raises(ValueError):
+        reports.ablation_frame(df, ["typo"], ["reduced"])
+
+
+def test_summary_without_the_baseline_protocol(spark):
+    df = spark.createDataFrame([("lr_reduced__f__s1", "e", 0.5)], "flavor string, endpoint string, r2 double")
+    matrix = reports.mode_matrix(reports.mode_flavor_frame(df, "r2", ["f"]), ["reduced"])
+    r = reports.mode_summary(matrix, "r2", ["reduced"]).first()
+    assert r["mean"] == 0.5 and r["wins"] is None and r["mean_delta"] is None
