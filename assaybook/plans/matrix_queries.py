@@ -362,6 +362,41 @@ def prescale_full(spark, sf):
     return _long(_prescaled(spark, sf, RECIPES["full"]), 4)
 
 
+@query("prescale_drops", f"""
+WITH RECURSIVE {b.WIDE}{_WIDE_SPLIT}, {_CLEAN}, train AS (
+  SELECT row_id, col_id, value FROM clean JOIN sides ON row_id // {b.WIDE_CHUNK} = chunk_id AND side = 'train'),
+limits AS (SELECT col_id, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM train GROUP BY col_id),
+clipped AS (SELECT row_id, col_id, greatest(least(value, hi), lo) AS value FROM train JOIN limits USING (col_id)),
+moments AS (SELECT col_id, avg(value) AS mean, var_samp(value) AS var, var_pop(value) AS pop FROM clipped GROUP BY col_id),
+scaled AS (
+  SELECT row_id, c.col_id, (value - mean) / CASE WHEN var > 1e-12::DOUBLE THEN sqrt(var) ELSE 1 END AS z
+  FROM clipped c JOIN moments USING (col_id)),
+close AS (
+  SELECT a.col_id AS i, c.col_id AS j FROM scaled a JOIN scaled c ON a.row_id = c.row_id AND a.col_id < c.col_id
+  GROUP BY ALL HAVING abs(sum(a.z * c.z) / (count(*) - 1)) > 0.98::DOUBLE),
+near AS (SELECT j, list(i) AS befores FROM close GROUP BY j),
+scan(j, gone) AS (
+  SELECT -1, []::INTEGER[]
+  UNION ALL
+  SELECT s.j + 1, CASE WHEN len(list_filter(coalesce(n.befores, []), lambda x: NOT list_contains(s.gone, x))) > 0
+                       THEN list_append(s.gone, s.j + 1) ELSE s.gone END
+  FROM scan s LEFT JOIN near n ON n.j = s.j + 1 WHERE s.j < 63)
+SELECT 'plus_drop_corr' AS recipe, 'correlated' AS reason, unnest(gone)::INTEGER AS col_id FROM scan WHERE j = 63
+UNION ALL SELECT 'plus_drop_low_var', 'low_variance', col_id FROM moments WHERE pop <= 1e-8::DOUBLE
+UNION ALL SELECT recipe, 'invalid', col_id FROM profile, (SELECT unnest(['minimal', 'order_fix', 'plus_drop_corr', 'plus_drop_low_var']) AS recipe)
+          WHERE lo IS NULL OR bad > 0.2::DOUBLE * n""")
+def prescale_drops(spark, sf):
+    m = stage(b.wide_matrix(spark, sf), "wide")
+    split = b.split_of(spark, m, b.WIDE_CHUNK)
+    rows = []
+    for name in ("minimal", "order_fix", "plus_drop_corr", "plus_drop_low_var"):
+        model = prescale.Prescaler(RECIPES[name], split).fit(m)
+        for reason, gone in (("invalid", model.dropped_invalid), ("correlated", model.dropped_correlated),
+                             ("low_variance", model.dropped_low_variance)):
+            rows += [(name, reason, int(c)) for c in gone]
+    return spark.createDataFrame(rows, "recipe string, reason string, col_id int")
+
+
 @query("prescale_summaries")
 def prescale_summaries(spark, sf):
     m = stage(b.wide_matrix(spark, sf), "wide")

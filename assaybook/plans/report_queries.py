@@ -158,7 +158,7 @@ def control_comparison(spark, sf):
 WITH {b.FRAME}, phase AS (SELECT * FROM frozen WHERE recipe = 'herg_st'),
 {dunnett_sql('phase', 'r2', 'recipe')}
 SELECT recipe, flavor, {r('avg(r2)')} AS r2, {r('stddev_samp(r2)')} AS r2_std, {r('avg(mae)', 4)} AS mae,
-       {r('stddev_samp(mae)', 4)} AS mae_std, count(*) AS n,
+       {r('stddev_samp(mae)', 4)} AS mae_std, count(r2) AS n,
        (SELECT {r('mean - mean0')} FROM tested t WHERE t.flavor = phase.flavor) AS delta
 FROM phase GROUP BY recipe, flavor""")
 def external_test_report(spark, sf):
