@@ -154,6 +154,16 @@ def control_comparison(spark, sf):
     return rounded(reports.control_comparison(b.metrics(spark, sf), "f0", "f1", ["f2", "f3"]), 4)
 
 
+@query("nearest_arm", f"""
+WITH {b.METRICS}, {_ARM_SEEDS}, s AS (SELECT flavor, avg(value) AS m FROM arm_seeds GROUP BY flavor),
+gaps AS (SELECT c.flavor, abs(c.m - x.m) AS gap FROM s c JOIN s x ON x.flavor = 'f0' WHERE c.flavor IN ('f2', 'f3'))
+SELECT 'f0' AS subject, (SELECT arg_min(flavor, gap) FROM gaps) AS nearest, (SELECT {r('min(gap)')} FROM gaps) AS distance,
+       {r("(SELECT m FROM s WHERE flavor = 'f0') - (SELECT m FROM s WHERE flavor = 'f1')")} AS delta""")
+def nearest_arm(spark, sf):
+    c = reports.control_comparison(b.metrics(spark, sf), "f0", "f1", ["f2", "f3"])
+    return rounded(c.select("subject", "nearest", "distance", "delta"))
+
+
 @query("external_test_report", f"""
 WITH {b.FRAME}, phase AS (SELECT * FROM frozen WHERE recipe = 'herg_st'),
 {dunnett_sql('phase', 'r2', 'recipe')}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import logging
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +86,7 @@ def read_result_tree(spark: SparkSession, root: str, labels: Sequence[str] | Non
                      file: str = "y_test.csv") -> tuple[DataFrame, DataFrame]:
     """Wide CSVs of a ``<root>/<label>/<recipe>/.../<file>`` tree, long, plus the rejects.
 
-    Cells come as (label, recipe, row_id, column, value), missing ones as null; ``file`` may be
+    Cells come as (label, recipe, row_id, position, column, value), missing ones as null; ``file`` may be
     a glob, and folders may be named ``key=value``. Every file has its own header. Files are
     read by line, so a large one is split like any other. A file that is empty or has rows
     wider than its header becomes a (label, recipe, path, error) reject and does not stop the
@@ -126,10 +129,57 @@ def read_result_tree(spark: SparkSession, root: str, labels: Sequence[str] | Non
         ["label", "recipe"], ["path", "_block", "_line"], None, "row_id", "_total",
     )
     cells = rows.select("label", "recipe", "row_id", "_cells", F.posexplode("_names").alias("_at", "column"))
-    good = cells.select("label", "recipe", "row_id", "column", lenient_double(F.get("_cells", "_at")).alias("value"))
+    good = cells.select("label", "recipe", "row_id", F.col("_at").alias("position"), "column",
+                        lenient_double(F.get("_cells", "_at")).alias("value"))
     return good, bad.unionByName(empty)
 
 
+def read_npy_tree(spark: SparkSession, root: str, labels: Sequence[str] | None = None,
+                  file: str = "y_pred.npy") -> tuple[DataFrame, DataFrame]:
+    """Saved numpy prediction arrays of a result tree, long, plus the rejects.
+
+    Cells come as (label, recipe, row_id, position, value). An array file cannot be split, so a
+    unit is one task's work; Spark refuses files beyond its binary limit. An unreadable file
+    becomes a reject.
+    """
+    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=file).load(root)
+    path = _plain_path(F.col("path"))
+    units = files.select(*_unit_of(root)(path), path.alias("path"), "content")
+    if labels is not None:
+        units = units.filter(F.col("label").isin(*labels))
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for unit in batch.itertuples(index=False):
+                try:
+                    array = np.load(io.BytesIO(unit.content), allow_pickle=False).astype(float)
+                    array = array.reshape(len(array), -1)
+                    n, k = array.shape
+                    out = {"row_id": np.repeat(np.arange(n), k), "position": np.tile(np.arange(k), n),
+                           "value": array.ravel(), "error": None}
+                except Exception as e:  # noqa: BLE001 - one bad unit must not stop the scan
+                    out = {"row_id": [None], "position": [None], "value": [None], "error": type(e).__name__}
+                yield pd.DataFrame(out).assign(label=unit.label, recipe=unit.recipe, path=unit.path)[_NPY_COLUMNS]
+
+    parsed = stage(units.mapInPandas(
+        parse, "label string, recipe string, path string, row_id long, position int, value double, error string"
+    ), "arrays")
+    good = parsed.filter("error is null").select(
+        "label", "recipe", "row_id", "position", as_cell(F.col("value")).alias("value"))
+    return good, parsed.filter("error is not null").select("label", "recipe", "path", "error")
+
+
+_NPY_COLUMNS = ["label", "recipe", "path", "row_id", "position", "value", "error"]
+
+
+def read_target_order(spark: SparkSession, root: str, file: str = "target_cols.json") -> DataFrame:
+    """Sidecar lists of target columns: (label, recipe, position, column)."""
+    files = spark.read.options(recursiveFileLookup=True, pathGlobFilter=file, wholetext=True).text(root)
+    names = F.from_json("value", "array<string>")
+    path = _plain_path(F.col("_metadata.file_path"))
+    return files.select(*_unit_of(root)(path), F.posexplode(names).alias("position", "column"))
+
+
 def _plain_path(path):
     """Local files are named ``file:/x`` in one place and ``file:///x`` in another."""
     return F.regexp_replace(path, "^file:/+", "/")

@@ -9,27 +9,36 @@ from pyspark.sql import functions as F
 
 from ..operators.evaluate import tidy_metrics
 from ..session import stage
-from .readers import read_result_tree
+from .readers import read_npy_tree, read_result_tree, read_target_order
 
 
 def evaluate_tree(spark: SparkSession, root: str, labels: Sequence[str] | None = None,
-                  truth: str = "y_test.csv", pred: str = "y_pred.csv",
-                  train: str = "y_train.csv") -> tuple[DataFrame, DataFrame]:
+                  truth: str = "y_test.csv", pred: str = "y_pred.npy", train: str = "y_train.csv",
+                  order: str = "target_cols.json") -> tuple[DataFrame, DataFrame]:
     """Score every unit of ``<root>/<label>/<recipe>/...``; returns metrics and rejected files.
 
-    Truth, prediction and train files are wide, one column per endpoint; columns are matched by
-    name and rows by position. A unit that lacks a readable file is left out of the metrics.
+    Truth and train files are wide CSVs, one column per endpoint. Predictions are either such a
+    CSV, matched by column name, or a numpy array, whose columns follow the unit's sidecar list
+    or, without one, the truth file. Rows match by position. A unit that lacks a readable file
+    is left out of the metrics.
     """
-    keys = ["label", "recipe", "row_id", "column"]
-    cells, rejects = {}, None
-    for name, file in (("y_true", truth), ("y_pred", pred), ("y", train)):
-        good, bad = read_result_tree(spark, root, labels, file)
-        cells[name] = good.withColumnRenamed("value", name)
-        rejects = bad if rejects is None else rejects.unionByName(bad)
-    scored = cells["y_true"].filter(F.col("y_true").isNotNull()).join(cells["y_pred"], keys)
-    units = cells["y"].select("label", "recipe").distinct()
-    scored = scored.join(units, ["label", "recipe"], "left_semi").withColumnRenamed("column", "endpoint")
-    return (
-        tidy_metrics(stage(scored, "scored"), cells["y"].withColumnRenamed("column", "endpoint")),
-        rejects,
+    unit = ["label", "recipe"]
+    wanted, bad = read_result_tree(spark, root, labels, truth)
+    known, bad_train = read_result_tree(spark, root, labels, train)
+    if pred.endswith(".npy"):
+        made, bad_pred = read_npy_tree(spark, root, labels, pred)
+        sidecar = stage(read_target_order(spark, root, order), "order")
+        header = wanted.select(*unit, "position", "column").distinct()
+        names = sidecar.unionByName(header.join(sidecar.select(*unit).distinct(), unit, "left_anti"))
+        made = made.join(stage(names, "names"), [*unit, "position"])
+    else:
+        made, bad_pred = read_result_tree(spark, root, labels, pred)
+    at = [*unit, "row_id", "column"]
+    scored = (
+        wanted.filter(F.col("value").isNotNull()).select(*at, F.col("value").alias("y_true"))
+        .join(made.select(*at, F.col("value").alias("y_pred")), at)
+        .join(known.select(*unit).distinct(), unit, "left_semi")
+        .withColumnRenamed("column", "endpoint")
     )
+    known = known.select(*unit, F.col("column").alias("endpoint"), F.col("value").alias("y"))
+    return tidy_metrics(stage(scored, "scored"), known), bad.unionByName(bad_train).unionByName(bad_pred)

@@ -164,11 +164,25 @@ def test_evaluate_tree(spark, tmp_path):
         for name, text in files.items():
             (d / f"{name}.csv").write_text(text)
 
+    import numpy as np
+
     unit("f__s1", "herg_st", y_test="a,b\n1,\n2,5\n4,6\n", y_pred="b,a\n0,1\n5,3\n7,4\n", y_train="a,b\n0,1\n,3\n2,2\n")
     unit("f__s2", "herg_st", y_test="a\n1\n", y_train="a\n1\n")                       # no predictions
-    got = {r["endpoint"]: r for r in evaluate_tree(spark, str(tmp_path / "r"))[0].collect()}
-    assert set(got) == {"a", "b"}
-    a = got["a"]
-    assert (a["flavor"], a["dataset"], a["n_test"], a["n_train"]) == ("f__s1", "herg", 3, 2)
-    assert a["mae"] == pytest.approx(1 / 3) and a["rae"] == pytest.approx((1 / 3) / (4 / 3)) and a["spearman"] == pytest.approx(1.0)
-    assert got["b"]["n_test"] == 2 and got["b"]["mse"] == pytest.approx(0.5)
+    unit("f__s3", "herg_st", y_test="a\n1\n", y_train="a\n1\n")
+    arrays = tmp_path / "r"
+    np.save(arrays / "f__s1" / "herg_st" / "data" / "y_pred.npy", np.array([[0.0, 1], [5, 3], [7, 4]]))
+    (arrays / "f__s1" / "herg_st" / "data" / "target_cols.json").write_text('["b", "a"]')
+    (arrays / "f__s3" / "herg_st" / "data" / "y_pred.npy").write_bytes(b"broken")
+    for pred in ("y_pred.csv", "y_pred.npy"):
+        metrics, rejects = evaluate_tree(spark, str(arrays), pred=pred)
+        got = {r["endpoint"]: r for r in metrics.collect()}
+        assert set(got) == {"a", "b"}
+        a = got["a"]
+        assert (a["flavor"], a["dataset"], a["n_test"], a["n_train"]) == ("f__s1", "herg", 3, 2)
+        assert a["mae"] == pytest.approx(1 / 3) and a["rae"] == pytest.approx((1 / 3) / (4 / 3)) and a["spearman"] == pytest.approx(1.0)
+        assert got["b"]["n_test"] == 2 and got["b"]["mse"] == pytest.approx(0.5)
+    assert [r["label"] for r in rejects.collect()] == ["f__s3"]
+    # without the sidecar the truth file's own column order counts
+    (arrays / "f__s1" / "herg_st" / "data" / "target_cols.json").unlink()
+    swapped = {r["endpoint"]: r["mae"] for r in evaluate_tree(spark, str(arrays))[0].collect()}
+    assert swapped["a"] == pytest.approx((1 + 3 + 3) / 3)
