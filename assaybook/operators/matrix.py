@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..functions.cells import as_cell, is_finite, long_cells
-from .blocks import map_blocks, to_block
+from .blocks import to_block
 
 
 def _v() -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cards, keys, reports, significance, stacking
+from ..operators import cards, reports, significance, stacking
 from ..operators.splits import assign_folds
 from ..session import stage
 from . import bindings as b
