@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,10 @@ def with_text(docs: DataFrame, text: Column) -> list[Column]:
     return [replaced.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns]
 
 
-def text_slices(texts: pa.Array, rows: int = 512) -> Iterator[list[str]]:
-    """An Arrow array of texts in small lists, so that few of them are Python strings at once."""
-    for start in range(0, len(texts), rows):
-        yield texts.slice(start, rows).to_pylist()
+def text_slices(texts: pa.Array, size: int = 1 << 21) -> Iterator[list[str]]:
+    """An Arrow array of texts in lists of about ``size`` bytes, so that few are Python strings at once."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(lengths, dtype=np.int64) // size
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)] if len(texts) else []
+    for start, end in zip(edges, edges[1:]):
+        yield texts.slice(start, end - start).to_pylist()
