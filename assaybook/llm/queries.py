@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality_trees, token_counts
+from . import line_dedup, mixing, piece_codec, quality_trees, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,3 +84,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.col("doc").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+@query("op10_piece_codec")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_codec.encode_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
+    )

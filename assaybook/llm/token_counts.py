@@ -63,7 +63,7 @@ class PairTable:
     """Pairs of symbols with a rank and a product each, in an open-addressing table."""
 
     def __init__(self, pairs: np.ndarray, products: np.ndarray, bits: int | None = None):
-        bits = bits or max(4, int(np.ceil(np.log2(max(1, len(pairs)) * 5))))
+        bits = bits or max(4, int(np.ceil(np.log2(max(1, len(pairs)) * 2))))
         self.shift = np.uint64(64 - bits)
         size = 1 << bits
         self.keys = np.full(size, -1, dtype=np.int64)

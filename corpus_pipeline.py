@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from assaybook.llm.line_dedup import line_dedup_stage
 from assaybook.llm.mixing import mix
+from assaybook.llm.piece_codec import encode_stage
 from assaybook.llm.quality_trees import quality_stage
 
 
@@ -24,7 +25,14 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs)
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("mixing", mixing)]
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every text."""
+    import public_tokenizers
+
+    return encode_stage(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("mixing", mixing), ("encoding", encoding)]
 
 #: Trees, random trades and a tokenizer have no SQL form.
 ORACLE_SQL = None
