@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, multi_index, piece_codec, quality_trees, token_counts, url_filter
+from . import line_dedup, mixing, multi_index, ngram_join, piece_codec, quality_trees, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,3 +102,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_url_filter")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).drop("row")
+
+
+@query("op9_ngram_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_groups(table(spark, sf_dir, "documents")).select(
+        F.col("doc").alias("doc_id"), "n_shingles", "component_id", "n_links"
+    )
