@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, multi_index, ngram_join, piece_codec, quality_trees, token_counts, url_filter
+from . import line_dedup, lpf_dedup, mixing, multi_index, ngram_join, piece_codec, quality_trees, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,3 +109,41 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_groups(table(spark, sf_dir, "documents")).select(
         F.col("doc").alias("doc_id"), "n_shingles", "component_id", "n_links"
     )
+
+
+PASSAGES_SQL = """
+with blocks as materialized (
+  select doc_id, b * 500 as base, substring(hex(encode(coalesce(text, ''))), cast(b * 1000 + 1 as bigint), 1098) as part
+  from (select doc_id, text, unnest(range(0, greatest(1, (octet_length(encode(coalesce(text, ''))) + 499) // 500))) as b from documents)),
+windows as materialized (
+  select doc_id, base + i as pos, substring(part, cast(2 * i + 1 as bigint), 100) as w
+  from (select doc_id, base, part, unnest(range(0, least(500, length(part) // 2 - 49))) as i from blocks where length(part) >= 100)),
+firsts as materialized (select w, min(doc_id) as doc_id from windows group by w having min(doc_id) <> max(doc_id)),
+later as materialized (
+  select windows.doc_id, pos from windows join firsts using (w) where windows.doc_id > firsts.doc_id),
+runs as (
+  select doc_id, min(pos) as s, max(pos) + 50 as e
+  from (select doc_id, pos, sum(fresh) over (partition by doc_id order by pos) as run
+        from (select doc_id, pos, (coalesce(pos - lag(pos) over (partition by doc_id order by pos), 51) > 50)::int as fresh from later))
+  group by doc_id, run),
+gaps as (
+  select doc_id, s, e, coalesce(lag(e) over (partition by doc_id order by s), 0) as before,
+         row_number() over (partition by doc_id order by s desc) = 1 as last from runs),
+cut as (
+  select d.doc_id, any_value(hex(encode(coalesce(d.text, '')))) as h, coalesce(sum(e - s), 0) as n_removed, count(s) as n_spans,
+         string_agg(substring(hex(encode(coalesce(d.text, ''))), cast(2 * before + 1 as bigint), cast(2 * (s - before) as bigint)), '' order by s) as kept,
+         max(e) as e
+  from documents d left join gaps on d.doc_id = gaps.doc_id group by d.doc_id)
+select doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(n_removed as bigint) as n_removed, cast(n_spans as bigint) as n_spans,
+       sha256(unhex(case when e is null then h else kept || substring(h, cast(2 * e + 1 as bigint)) end)) as kept_sha256
+from cut
+"""
+
+
+@query("op2_suffix_dedup", PASSAGES_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lpf_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return cut.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256")
+    )
