@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .components import components
-from .rows import whole_text
+from .rows import text_key, whole_text
 from .shingles import mix, shingle_sets
 
 #: Classes of a block, of a bundle of small families, and columns of a strip.
@@ -84,7 +84,7 @@ def _pieces(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
 
 
 def _sketcher(words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Documents to (doc, n, k1, k2, parts); of equal sets in a batch only the first has its signatures."""
+    """Documents to (doc, t1, t2, n, k1, k2, parts); of equal sets in a batch only the first has its signatures."""
     bands = size_bands(percent)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,8 +98,8 @@ def _sketcher(words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]],
                     parts.append(None if (len(values), *key) in seen else signatures(values, percent, bands))
                     seen.add((len(values), *key))
                 yield pa.RecordBatch.from_arrays(
-                    [b["doc"].slice(start, stop - start), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(parts, pa.list_(pa.int64()))],
-                    names=["doc", "n", "k1", "k2", "parts"],
+                    [*[b[c].slice(start, stop - start) for c in ("doc", "t1", "t2")], pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(parts, pa.list_(pa.int64()))],
+                    names=["doc", "t1", "t2", "n", "k1", "k2", "parts"],
                 )
 
     return sketch
@@ -232,17 +232,19 @@ def _blocks(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def ngram_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """(doc, n_shingles, component_id, n_links, k1, k2), one row for every row of ``docs``.
+    """(doc, t1, t2, n_shingles, component_id, n_links), one row for every row of ``docs``.
 
     Two documents link when their sets of ``words``-word shingles have a Jaccard similarity of at
     least ``percent`` / 100. ``component_id`` is the smallest doc_id that links reach, the own one
     included; ``n_links`` the number of other distinct sets the document's set links with. A
     document with fewer words is one shingle; one without words has none and links with nothing.
     Equal texts link. Rows that share a doc_id are judged each by its own text; a missing doc_id
-    is never the smallest unless a group has no other. No rows: no rows.
+    is never the smallest unless a group has no other. ``t1, t2`` stand for the row's text. No
+    rows: no rows.
     """
-    read = docs.select(F.col("doc_id").cast("long").alias("doc"), whole_text().alias("whole"))
-    sketch = stage(read.mapInArrow(_sketcher(words, percent), "doc long, n long, k1 long, k2 long, parts array<bigint>"), "sketch")
+    t1, t2 = text_key(whole_text())
+    read = docs.select(F.col("doc_id").cast("long").alias("doc"), t1.alias("t1"), t2.alias("t2"), whole_text().alias("whole"))
+    sketch = stage(read.mapInArrow(_sketcher(words, percent), "doc long, t1 long, t2 long, n long, k1 long, k2 long, parts array<bigint>"), "sketch")
     shared = sketch.filter("parts IS NOT NULL").select("k1", F.explode("parts").alias("part"))
     by_part = Window.partitionBy("part").orderBy("k1")
     # the first class of a signature is known without holding the others; repeated classes stand side by side
@@ -272,21 +274,30 @@ def ngram_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFram
     # a component is named by its smallest document; a set nothing links with, by its own key alone
     named = classes.groupBy("root").agg(F.min("doc").alias("component_id"))
     told = classes.join(named, "root").select("n", "k1", "k2", "component_id", "n_links")
-    out = sketch.select("doc", "n", "k1", "k2").join(told, ["n", "k1", "k2"], "left")
+    out = sketch.select("doc", "t1", "t2", "n", "k1", "k2").join(told, ["n", "k1", "k2"], "left")
     alone = F.col("n") == 0
     return out.select(
-        "doc", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), "k1", "k2",
+        "doc", "t1", "t2", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
     )
 
 
 def near_duplicate_stage(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with its own columns.
+    """One document of each group, with its own columns: the one with the smallest doc_id.
 
-    Of rows that repeat an id and a shingle set, one stays. Documents without words stay.
+    Of rows that share that id, the one whose text hashes lowest stays, and of equal rows one.
+    Documents without words stay, equal rows once.
     """
-    groups = ngram_groups(docs, words, percent)
-    gone = groups.filter(~F.col("doc").eqNullSafe(F.col("component_id"))).select("doc").distinct()
+    groups = stage(ngram_groups(docs, words, percent), "groups")
+    place = F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "t1", "t2")
+    worded = groups.filter("n_shingles > 0").withColumn("place", place).select("doc", "t1", "t2", "place", F.col("component_id").alias("group"))
+    first = worded.groupBy("group").agg(F.min("place").alias("first"), F.max("place").alias("final")).filter("first <> final")
+    gone = worded.join(first.select(F.col("group").alias("of"), "first"), F.col("group").eqNullSafe(F.col("of"))).filter("place <> first")
+    gone = gone.select(F.col("doc").alias("g"), F.col("t1").alias("g1"), F.col("t2").alias("g2")).distinct()
+    t1, t2 = text_key(whole_text())
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    whole = docs.select(row, F.col("doc_id").cast("long").alias("d"))
-    return whole.join(gone, F.col("d").eqNullSafe(F.col("doc")), "left_anti").select("row.*")
+    whole = docs.select(row, F.col("doc_id").cast("long").alias("d"), t1.alias("t1"), t2.alias("t2"))
+    met = F.col("d").eqNullSafe(F.col("g")) & (F.col("t1") == F.col("g1")) & (F.col("t2") == F.col("g2"))
+    left = whole.join(gone, met, "left_anti")
+    once = Window.partitionBy("d", "t1", "t2").orderBy("t1")
+    return left.withColumn("copy", F.row_number().over(once)).filter("copy = 1").select("row.*")

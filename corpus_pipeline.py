@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from assaybook.llm.line_dedup import line_dedup_stage
 from assaybook.llm.mixing import mix
+from assaybook.llm.ngram_join import near_duplicate_stage
 from assaybook.llm.piece_codec import encode_stage
 from assaybook.llm.quality_trees import quality_stage
 
@@ -20,6 +21,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup_stage(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose shingles link them, one stays."""
+    return near_duplicate_stage(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mix(docs)
@@ -32,7 +38,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_stage(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("mixing", mixing), ("encoding", encoding)]
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near duplicates", near_duplicates), ("mixing", mixing), ("encoding", encoding)]
 
 #: Trees, random trades and a tokenizer have no SQL form.
 ORACLE_SQL = None
