@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .bloom import bloom_filter, may_hold
 from .components import components
 from .rows import text_key, whole_text
 from .shingles import mix, shingle_sets
@@ -260,7 +261,9 @@ def ngram_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFram
     families = stage(components(edges, "families").select(F.col("node").alias("k1"), F.col("root").alias("family")), "families")
     whose = sketch.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc").alias("doc"))
     candidates = stage(_blocks(whose.join(families, "k1"), percent), "candidates")
-    texts = read.join(candidates, "doc").select("whole", "n", "k1", "k2", "family", "blocks")
+    # few texts are candidates' ones: the others need not travel to find that out
+    wanted = bloom_filter(candidates, "doc", candidates.count())
+    texts = read.filter(may_hold(wanted, F.col("doc"))).join(candidates, "doc").select("whole", "n", "k1", "k2", "family", "blocks")
     sets = texts.mapInArrow(_refetcher(words), "k1 long, n long, family long, blocks array<struct<key:string,side:int>>, held binary")
     dealt = sets.select("k1", "family", "held", F.explode("blocks").alias("block")).select("k1", "family", "held", "block.*")
     products = stage(dealt.groupBy("key").applyInArrow(_multiply(percent), "a long, b long, links long"), "links")
