@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import BASELINE_MODE, DATASET_RULES, HIGHER_IS_BETTER, MODES, SEED_TAG
+from ..config import BASELINE_MODE, HIGHER_IS_BETTER, MODES, SEED_TAG
+from ..vocabulary import PLAIN, Vocabulary
 
 _SEEDED = f"(?s)^(.*){SEED_TAG}([0-9]+)$"
 _MODE_END = "(?s)^(.*)__(" + "|".join(m for m in MODES if m != BASELINE_MODE) + ")$"
@@ -72,10 +73,10 @@ def ablation_name(label: Column) -> Column:
     return strip_prefix(seed_base(label), "ablation_")
 
 
-def dataset_of(recipe: Column) -> Column:
-    """Dataset of a recipe: first rule whose prefix fits, else the part before the first ``_``."""
+def dataset_of(recipe: Column, vocabulary: Vocabulary = PLAIN) -> Column:
+    """Dataset of a recipe: first prefix of the vocabulary that fits, else the part before the first ``_``."""
     found = F.lit(None).cast("string")
-    for prefix, dataset in reversed(DATASET_RULES):
+    for prefix, dataset in reversed(vocabulary.prefixes):
         fits = (recipe == prefix) | recipe.startswith(prefix + "_")
         found = F.when(fits, F.lit(dataset)).otherwise(found)
     return F.coalesce(found, F.split_part(recipe, F.lit("_"), F.lit(1)))

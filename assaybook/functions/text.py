@@ -7,17 +7,13 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import (
-    DATASET_DISPLAY,
-    DEFAULT_SPLIT_STRATEGY,
-    ENDPOINT_DISPLAY,
-    INLINE_DATASETS,
-    ROW_SEPARATOR,
-    SPLIT_STRATEGY,
-)
+from ..config import ROW_SEPARATOR
+from ..vocabulary import PLAIN, Vocabulary
 
 
 def _lookup(c: Column, table: dict[str, str]) -> Column:
+    if not table:
+        return F.lit(None).cast("string")
     literal = F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())])
     return F.try_element_at(literal, c)
 
@@ -48,23 +44,23 @@ def change_text(delta: Column, p: Column) -> Column:
     )
 
 
-def display_name(dataset: Column) -> Column:
-    return F.coalesce(_lookup(dataset, DATASET_DISPLAY), dataset)
+def display_name(dataset: Column, vocabulary: Vocabulary = PLAIN) -> Column:
+    return F.coalesce(_lookup(dataset, vocabulary.dataset_names), dataset)
 
 
-def _strategy(dataset: Column) -> Column:
-    found = F.coalesce(_lookup(dataset, SPLIT_STRATEGY), F.lit(DEFAULT_SPLIT_STRATEGY))
+def _strategy(dataset: Column, vocabulary: Vocabulary) -> Column:
+    found = F.coalesce(_lookup(dataset, vocabulary.split_strategies), F.lit(vocabulary.default_strategy))
     return F.concat(F.lit("("), found, F.lit(")"))
 
 
-def group_label(dataset: Column) -> Column:
+def group_label(dataset: Column, vocabulary: Vocabulary = PLAIN) -> Column:
     """Group-box text: name over split strategy; empty where the row label carries both."""
-    return F.when(dataset.isin(*INLINE_DATASETS), F.lit("")).otherwise(
-        F.concat(display_name(dataset), F.lit("\n"), _strategy(dataset))
+    return F.when(dataset.isin(*vocabulary.inline), F.lit("")).otherwise(
+        F.concat(display_name(dataset, vocabulary), F.lit("\n"), _strategy(dataset, vocabulary))
     )
 
 
-def row_label(row: Column) -> Column:
+def row_label(row: Column, vocabulary: Vocabulary = PLAIN) -> Column:
     """Readable row label: source dropped, endpoint shortened, recipe suffix kept."""
     at = F.locate(ROW_SEPARATOR, row)
     split = (at > 0) & (F.length(row) >= at + len(ROW_SEPARATOR))
@@ -73,9 +69,9 @@ def row_label(row: Column) -> Column:
     paren = F.locate(" (", rest)
     name = F.when(paren > 0, F.substring_index(rest, " (", 1)).otherwise(rest)
     suffix = F.when(paren > 0, rest.substr(paren, F.length(rest))).otherwise(F.lit(""))
-    short = F.concat(F.coalesce(_lookup(name, ENDPOINT_DISPLAY), name), suffix)
+    short = F.concat(F.coalesce(_lookup(name, vocabulary.endpoint_names), name), suffix)
     plain = F.replace(short, F.lit("_"), F.lit(" "))
     return F.when(
-        source.isin(*INLINE_DATASETS),
-        F.concat(display_name(source), F.lit(" "), _strategy(source), F.lit(" "), plain),
+        source.isin(*vocabulary.inline),
+        F.concat(display_name(source, vocabulary), F.lit(" "), _strategy(source, vocabulary), F.lit(" "), plain),
     ).otherwise(plain)

@@ -6,12 +6,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
 def to_block(column: pa.Array, width: int) -> np.ndarray:
-    """List column -> (rows, width) doubles; missing cells and missing rows are NaN."""
+    """List column -> (rows, width) doubles; missing cells and missing rows are NaN.
+
+    A row of another width is an error: reshaping it would move cells between rows.
+    """
+    sizes = pc.list_value_length(column).drop_null().to_numpy(zero_copy_only=False)
+    if (sizes != width).any():
+        raise ValueError(f"a row has {int(sizes[sizes != width][0])} cells, not {width}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     if column.null_count == 0:
         return flat.reshape(len(column), width)

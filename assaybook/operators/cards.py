@@ -6,30 +6,31 @@ Cards stay long, one record per (row, column), until something is written for a
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import astuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import (
-    ALPHA, AVERAGE_ROW, DATASETS, FLAVOR_RECORDS, MODES, ROW_SEPARATOR, SCALE_CAP, SCALE_FLOOR,
-    UNSEEDED,
+    ALPHA, AVERAGE_ROW, MODES, ROW_SEPARATOR, SCALE_CAP, SCALE_FLOOR, UNSEEDED,
 )
 from ..functions.cells import ratio
 from ..functions.labels import dataset_of, strip_prefix
 from ..functions.text import change_text, display_name, mean_text
+from ..vocabulary import PLAIN, Arm, Vocabulary
 from .ordering import with_row_id
 
 
 # ---------------------------------------------------------------- rows
 
-def prepare_rows(df: DataFrame) -> DataFrame:
+def prepare_rows(df: DataFrame, vocabulary: Vocabulary = PLAIN) -> DataFrame:
     """Recompute ``dataset`` from the recipe and add the displayed ``row`` identity.
 
     A row that several recipes produce gets the recipe as a suffix. Which rows those are is a
     small aggregate joined back, so one busy row does not become one task.
     """
-    named = df.withColumn("dataset", dataset_of(F.col("recipe"))).withColumn(
-        "row", F.concat("dataset", F.lit(ROW_SEPARATOR), "endpoint")
+    named = df.withColumn("dataset", dataset_of(F.col("recipe"), vocabulary)).withColumn(
+        "row", F.concat("dataset", F.lit(ROW_SEPARATOR), F.coalesce("endpoint", F.lit("")))
     )
     shared = named.groupBy("row").agg(
         (F.min("recipe") != F.max("recipe")).alias("_shared")
@@ -40,16 +41,17 @@ def prepare_rows(df: DataFrame) -> DataFrame:
     ).drop("_shared")
 
 
-def dataset_rank(dataset: Column) -> Column:
+def dataset_rank(dataset: Column, vocabulary: Vocabulary = PLAIN) -> Column:
     """Display position of a dataset; unknown ones come last, together."""
-    at = F.array_position(F.array(*[F.lit(d) for d in DATASETS]), dataset)
-    return F.when(at > 0, at - 1).otherwise(F.lit(len(DATASETS)))
+    known = F.array(*[F.lit(d) for d in vocabulary.datasets]).cast("array<string>")
+    at = F.array_position(known, dataset)
+    return F.when(at > 0, at - 1).otherwise(F.lit(len(vocabulary.datasets)))
 
 
-def order_rows(df: DataFrame) -> DataFrame:
+def order_rows(df: DataFrame, vocabulary: Vocabulary = PLAIN) -> DataFrame:
     """Distinct rows with their display position ``row_ord``: dataset, endpoint, row."""
     rows = df.select("dataset", "endpoint", "row").distinct().withColumn(
-        "_rank", dataset_rank(F.col("dataset"))
+        "_rank", dataset_rank(F.col("dataset"), vocabulary)
     )
     return with_row_id(rows, ["_rank", "endpoint", "row"], "row_ord").drop("_rank")
 
@@ -76,9 +78,9 @@ def source_groups(rows: DataFrame, name: Column | None = None) -> DataFrame:
     ).drop("_run")
 
 
-def merge_groups(rows: DataFrame) -> DataFrame:
+def merge_groups(rows: DataFrame, vocabulary: Vocabulary = PLAIN) -> DataFrame:
     """Source runs, with adjacent runs of one display name fused."""
-    return source_groups(rows, display_name(F.col("source")))
+    return source_groups(rows, display_name(F.col("source"), vocabulary))
 
 
 def filter_mode(df: DataFrame, mode: str, column: str = "flavor") -> DataFrame:
@@ -208,14 +210,15 @@ def per_seed_average_delta(df: DataFrame, rows: DataFrame, baseline: DataFrame,
 # ---------------------------------------------------------------- assembled cards
 
 def r2_card(df: DataFrame, baseline_flavor: str, columns: Sequence[str], metric: str = "r2",
-            baseline_name: str = "baseline", control: DataFrame | None = None) -> DataFrame:
+            baseline_name: str = "baseline", control: DataFrame | None = None,
+            vocabulary: Vocabulary = PLAIN) -> DataFrame:
     """The metric card, long: baseline column first, registry order after it, AVERAGE row last.
 
     Of ``columns`` only those that occur are shown. The spread shown with a cell is its seed
     std; the AVERAGE row carries none. ``df`` is read several times, so stage it if it is dear.
     """
     columns = present_columns(df, columns)
-    rows = order_rows(df)
+    rows = order_rows(df, vocabulary)
     cells = complete_grid(seed_matrix(df, metric, columns), rows.select("row", "row_ord"), columns)
     cells = cells.select("row_ord", "row", (F.col("col_ord") + 1).alias("col_ord"),
                          F.col("flavor").alias("column"), "value", F.col("std").alias("aux"))
@@ -263,10 +266,10 @@ def mae_delta_card(deltas: DataFrame, cell_p: DataFrame, average_p: DataFrame, r
 
 # ---------------------------------------------------------------- registry and grid
 
-def registry(spark: SparkSession) -> DataFrame:
-    """The flavor registry as a dimension table; ``ord`` is the display order."""
+def registry(spark: SparkSession, arms: Sequence[Arm]) -> DataFrame:
+    """The arms as a dimension table; ``ord`` is the display order."""
     return spark.createDataFrame(
-        [(*record, i) for i, record in enumerate(FLAVOR_RECORDS)],
+        [(*astuple(arm), i) for i, arm in enumerate(arms)],
         "name string, kind string, source string, width int, derived_from string, "
         "calculator string, corpus_from string, standalone boolean, ord int",
     )

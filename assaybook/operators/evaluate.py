@@ -10,12 +10,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import ratio
 from ..functions.labels import dataset_of
 from ..session import stage
+from ..vocabulary import PLAIN, Vocabulary
 from .ordering import largest_group, running_total, value_ranks
 
 UNIT = ("label", "recipe", "endpoint")
@@ -30,10 +31,11 @@ def regression_metrics(
     """n_test, mse, rmse, mae and r2 per group, in one aggregate.
 
     r2 of a constant truth is one if all predictions are right, else zero; below two rows it
-    is missing.
+    is missing. Rows that lack the truth or the prediction are in no statistic, ``n_test``
+    included; ``missing_predictions`` counts them.
     """
     err = F.col(y) - F.col(f)
-    base = pred.filter(F.col(y).isNotNull()).groupBy(*keys).agg(
+    base = pred.filter(_paired(y, f)).groupBy(*keys).agg(
         F.count("*").alias("n_test"),
         F.avg(err * err).alias("mse"),
         F.avg(F.abs(err)).alias("mae"),
@@ -48,6 +50,18 @@ def regression_metrics(
     )
 
 
+def _paired(y: str, f: str) -> Column:
+    """Rows that every metric of a group is taken over."""
+    return F.col(y).isNotNull() & F.col(f).isNotNull()
+
+
+def missing_predictions(
+    pred: DataFrame, keys: Sequence[str] = UNIT, y: str = "y_true", f: str = "y_pred"
+) -> DataFrame:
+    """Groups with a truth that has no prediction, and how many: (keys, n_missing)."""
+    return pred.filter(F.col(y).isNotNull() & F.col(f).isNull()).groupBy(*keys).agg(F.count("*").alias("n_missing"))
+
+
 def train_means(train: DataFrame, keys: Sequence[str] = UNIT, y: str = "y") -> DataFrame:
     return train.filter(F.col(y).isNotNull()).groupBy(*keys).agg(
         F.avg(y).alias("train_mean"), F.count("*").alias("n_train")
@@ -61,7 +75,7 @@ def rae(
     """Relative absolute error: mean error over mean deviation from the train mean."""
     means = stage(train_means(train, keys, y_train), "train_means")
     return (
-        pred.filter(F.col(y).isNotNull()).join(means, list(keys), "left")
+        pred.filter(_paired(y, f)).join(means, list(keys), "left")
         .groupBy(*keys)
         .agg(
             ratio(
@@ -96,7 +110,7 @@ def rank_metrics(
     positions from range shuffles over it, so that no task ever holds a group.
     """
     keys = list(keys)
-    rows = pred.filter(F.col(y).isNotNull() & F.col(f).isNotNull()).select(
+    rows = pred.filter(_paired(y, f)).select(
         *keys, F.col(y).alias("_y"), F.col(f).alias("_f")
     )
     if largest_group(rows, keys) <= BUCKET_ROWS:
@@ -267,7 +281,7 @@ def _kendall_spread(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def tidy_metrics(pred: DataFrame, train: DataFrame) -> DataFrame:
+def tidy_metrics(pred: DataFrame, train: DataFrame, vocabulary: Vocabulary = PLAIN) -> DataFrame:
     """One row per (label, recipe, endpoint) with every metric, ready for the report tables.
 
     ``pred`` is read several times, so stage it if it is dear; both rank metrics share a pass.
@@ -277,7 +291,7 @@ def tidy_metrics(pred: DataFrame, train: DataFrame) -> DataFrame:
         regression_metrics(pred).join(rank_metrics(pred), keys, "left")
         .join(rae(pred, train), keys, "left")
         .select(
-            F.col("label").alias("flavor"), dataset_of(F.col("recipe")).alias("dataset"), "recipe",
+            F.col("label").alias("flavor"), dataset_of(F.col("recipe"), vocabulary).alias("dataset"), "recipe",
             "endpoint", "r2", "rmse", "mae", "mse", "spearman", "kendall", "rae", "n_test",
             F.coalesce("n_train", F.lit(0)).alias("n_train"),
         )

@@ -1,28 +1,23 @@
 """Column profiles, moments, percentiles, correlations and cell transforms of a matrix.
 
-A matrix is ``(row_id, features array<double>)`` of one fixed width. Per-column statistics use
-the long form: exploding stays in the JVM and the aggregate combines before its shuffle, which
-then carries one record per (task, column).
+A matrix is ``(row_id, features array<double>)`` of one fixed width. Per-column statistics are
+reduced in numpy blocks inside the tasks; a shuffle carries one record per (task, column), or a
+count per (column, digit), whatever the number of rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import cells
-from ..functions.cells import as_cell, is_finite, long_cells
-from .blocks import to_block
-
-
-def _v() -> Column:
-    return F.col("value")
-
+from ..functions.cells import as_cell, is_finite
+from .blocks import from_block, map_blocks, to_block
 
 
 def to_matrix(df: DataFrame, columns: Sequence[str | Column], *keep: str) -> DataFrame:
@@ -31,9 +26,10 @@ def to_matrix(df: DataFrame, columns: Sequence[str | Column], *keep: str) -> Dat
     return df.select(*keep, F.array(*parts).alias("features"))
 
 
-def matrix_width(df: DataFrame, features: str = "features") -> int:
-    """Width of the first row; later readers fail on rows of another width."""
-    return df.select(F.size(features)).first()[0]
+def matrix_width(df: DataFrame, features: str = "features") -> int | None:
+    """Width of a row; later readers fail on rows of another width. None without rows."""
+    row = df.filter(F.col(features).isNotNull()).select(F.size(features)).first()
+    return row[0] if row else None
 
 
 def failure_counts(df: DataFrame, width: int, features: str = "features") -> tuple[DataFrame, Observation]:
@@ -53,17 +49,102 @@ def failure_counts(df: DataFrame, width: int, features: str = "features") -> tup
 
 # ---------------------------------------------------------------- per-column statistics
 
+@dataclass
+class _Tally:
+    """Per-column statistics of the rows a task has seen, merged block by block."""
+
+    rows: int
+    n: np.ndarray
+    mean: np.ndarray
+    m2: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> _Tally:
+        """Of one block; cells that are not finite are left out."""
+        good = np.isfinite(x)
+        n = good.sum(axis=0)
+        mean = np.where(good, x, 0.0).sum(axis=0) / np.maximum(n, 1)
+        off = np.where(good, x - mean, 0.0)
+        return cls(
+            len(x), n, mean, (off * off).sum(axis=0),
+            np.where(good, x, np.inf).min(axis=0, initial=np.inf), np.where(good, x, -np.inf).max(axis=0, initial=-np.inf),
+        )
+
+    def add(self, other: _Tally) -> _Tally:
+        n = self.n + other.n
+        gap, share = other.mean - self.mean, other.n / np.maximum(n, 1)
+        return _Tally(
+            self.rows + other.rows, n, self.mean + gap * share, self.m2 + other.m2 + gap * gap * self.n * share,
+            np.minimum(self.low, other.low), np.maximum(self.high, other.high),
+        )
+
+
+_TALLY = "rows long, col_id int, n long, mean double, m2 double, low double, high double"
+
+
+def column_tallies(df: DataFrame, features: str = "features") -> DataFrame:
+    """Rows, finite cells, mean, squared deviations and limits per column: one record a column.
+
+    Tasks reduce their rows in numpy blocks, so a record per (task, column) is shuffled and a
+    matrix row is never taken apart into cells.
+    """
+    width = matrix_width(df, features) or 0
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                own = _Tally.of(to_block(batch.column(0), width))
+                total = own if total is None else total.add(own)
+        if total is not None:
+            columns = [np.full(width, total.rows), np.arange(width, dtype=np.int32), total.n, total.mean, total.m2, total.low, total.high]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rows", "col_id", "n", "mean", "m2", "low", "high"])
+
+    parts = df.select(features).mapInArrow(reduce, _TALLY)
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(a: Column, p: Column) -> Column:
+        n = a["n"] + p["n"]
+        gap, share = p["mean"] - a["mean"], p["n"] / F.greatest(n, F.lit(1))
+        return F.struct(n.alias("n"), (a["mean"] + gap * share).alias("mean"), (a["m2"] + p["m2"] + gap * gap * a["n"] * share).alias("m2"))
+
+    merged = parts.groupBy("col_id").agg(
+        F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.aggregate(F.sort_array(F.collect_list(F.struct("n", "mean", "m2"))), start, add).alias("s"),
+    )
+    return merged.select("col_id", "rows", "low", "high", "s.*")
+
+
 def profile_columns(df: DataFrame) -> DataFrame:
     """Finite min and max, rows and invalid cells of every column."""
-    finite = is_finite(_v())
-    return long_cells(df).groupBy("col_id").agg(
-        F.min(F.when(finite, _v())).alias("col_min"),
-        F.max(F.when(finite, _v())).alias("col_max"),
-        F.count_if(~finite).alias("invalid"),
-        F.count(F.lit(1)).alias("n_rows"),
+    limit = lambda c: F.when(F.col("n") > 0, F.col(c))
+    return column_tallies(df).select(
+        "col_id", limit("low").alias("col_min"), limit("high").alias("col_max"),
+        (F.col("rows") - F.col("n")).alias("invalid"), F.col("rows").alias("n_rows"),
     )
 
 
+def block_profile(df: DataFrame) -> dict[str, np.ndarray]:
+    """The column profile as arrays; a column without a finite cell has infinite limits."""
+    t = column_tallies(df).orderBy("col_id").toArrow()
+    rows, n = t["rows"].to_numpy(), t["n"].to_numpy()
+    return {"low": t["low"].to_numpy(), "high": t["high"].to_numpy(), "invalid": rows - n, "n_rows": rows}
+
+
+def block_moments(df: DataFrame, width: int, floor: bool = True) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, mean and sample std of each column; with ``floor`` a std of zero counts as one."""
+    t = column_tallies(df).orderBy("col_id").toArrow()
+    if not len(t):
+        return 0, np.zeros(width), np.ones(width)
+    n = t["n"].to_numpy()
+    std = np.sqrt(np.maximum(t["m2"].to_numpy(), 0.0) / np.maximum(n - 1, 1))
+    # what is left of a constant column is the rounding of its own mean
+    std = np.where(std <= 1e-12 * np.abs(t["mean"].to_numpy()), 0.0, std)
+    return int(n.max()), t["mean"].to_numpy(), np.where(std > 0, std, 1.0) if floor else std
+
+
 def invalid_columns(profile: DataFrame, max_fraction: float = 0.2) -> DataFrame:
     """Columns to drop: too many invalid cells, or no finite cell at all."""
     return profile.filter(
@@ -73,9 +154,9 @@ def invalid_columns(profile: DataFrame, max_fraction: float = 0.2) -> DataFrame:
 
 def masked_moments(df: DataFrame) -> DataFrame:
     """Count, mean and sample std of the finite cells only; std is missing below two cells."""
-    v = F.when(is_finite(_v()), _v())
-    return long_cells(df).groupBy("col_id").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std")
+    return column_tallies(df).select(
+        "col_id", "n", F.when(F.col("n") > 0, F.col("mean")).alias("mean"),
+        F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))).alias("std"),
     )
 
 
@@ -84,24 +165,123 @@ def imputed_moments(df: DataFrame) -> DataFrame:
 
     Unlike the masked moments, the divisor is all rows. Std is one where the variance is zero.
     """
-    std = F.stddev_samp(_v())
-    return long_cells(df).groupBy("col_id").agg(
-        F.count(_v()).alias("n"),
-        F.avg(_v()).alias("mean"),
-        F.when(std > 0, std).otherwise(F.lit(1.0)).alias("std"),
-    )
+    std = F.sqrt(F.col("m2") / (F.col("n") - 1))
+    flat = (F.col("n") < 2) | (std <= 1e-12 * F.abs("mean"))
+    return column_tallies(df).select("col_id", "n", "mean", F.when(flat, F.lit(1.0)).otherwise(std).alias("std"))
 
 
-def percentiles(sample: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """Exact interpolated percentiles per column, as one array; for row-capped fit samples."""
-    return long_cells(sample).groupBy("col_id").agg(
-        F.percentile(_v(), [float(p) for p in probs]).alias("percentiles")
-    )
+#: Groups of tasks whose Gram blocks are summed first.
+GRAM_GROUPS = 64
+_SIGN = np.uint64(1) << np.uint64(63)
+#: Bits a narrowing pass reads, and cells a bracket may hold when they are fetched.
+RADIX_BITS, FETCHED = 8, 2048
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned numbers in the same order."""
+    bits = np.ascontiguousarray(x + 0.0).view(np.uint64)
+    return np.where(bits & _SIGN, ~bits, bits | _SIGN)
+
+
+def _value(key: np.ndarray) -> np.ndarray:
+    return np.where(key & _SIGN, key ^ _SIGN, ~key).view(np.float64)
+
+
+def _digits(depth: int, prefixes: np.ndarray, width: int):
+    """Cells per column, bracket and next digit: what one narrowing pass sends."""
+    shift = np.uint64(64 - depth - RADIX_BITS)
+    low = np.uint64((1 << RADIX_BITS) - 1)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, prefixes.shape[1], 1 << RADIX_BITS), dtype=np.int64)
+        for batch in batches:
+            x = to_block(batch.column(0), width)
+            keys, good = _ordered(x), ~np.isnan(x)
+            for j in range(width):
+                own = keys[good[:, j], j] >> shift
+                for k, prefix in enumerate(prefixes[j]):
+                    inside = own[(own >> np.uint64(RADIX_BITS)) == prefix] if depth else own
+                    total[j, k] += np.bincount((inside & low).astype(np.int64), minlength=1 << RADIX_BITS)
+        j, k, d = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(j.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(d.astype(np.int32)), pa.array(total[j, k, d])],
+            names=["j", "k", "d", "n"],
+        )
+
+    return count
 
-def low_variance_columns(sample: DataFrame, min_variance: float = 1e-8) -> DataFrame:
+
+def _inside(depth: int, prefixes: np.ndarray, width: int):
+    """The cells of each bracket, once brackets are small."""
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = to_block(batch.column(0), width)
+            keys, good = _ordered(x), ~np.isnan(x)
+            for j in range(width):
+                own = keys[good[:, j], j]
+                for k, prefix in enumerate(prefixes[j]):
+                    held = own[(own >> np.uint64(64 - depth)) == prefix] if depth else own
+                    if len(held):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([j], pa.int32()), pa.array([k], pa.int32()), pa.array([_value(held).tolist()], pa.list_(pa.float64()))],
+                            names=["j", "k", "held"],
+                        )
+
+    return fetch
+
+
+def block_quantiles(df: DataFrame, width: int, probs: Sequence[float], features: str = "features") -> np.ndarray:
+    """Exact interpolated quantiles of each column over all rows, missing cells left out: (probs, width).
+
+    Cells are never shuffled. Each pass counts, per column, the next bits of the cells inside the
+    bracket around every wanted rank and narrows it to one digit; when brackets hold few cells,
+    those are fetched. The number of passes grows with the logarithm of the rows, at most eight.
+    """
+    rows = df.select(features)
+    n = column_tallies(df, features).orderBy("col_id").toArrow()["n"].to_numpy() if width else np.zeros(0, np.int64)
+    if not len(n):
+        return np.full((len(probs), width), np.nan)
+    target = np.array([[p * (m - 1) for p in probs] for m in np.maximum(n, 1)])          # (width, probs)
+    ranks = np.concatenate((np.floor(target), np.ceil(target)), axis=1).astype(np.int64)
+    rank, depth = ranks.copy(), 0
+    prefix = np.zeros(ranks.shape, dtype=np.uint64)
+    size = np.broadcast_to(n[:, None], ranks.shape).copy()
+    while depth < 64 and size.max(initial=0) > FETCHED:
+        sent = rows.mapInArrow(_digits(depth, prefix, width), "j int, k int, d int, n long")
+        got = sent.groupBy("j", "k", "d").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros((*ranks.shape, 1 << RADIX_BITS), dtype=np.int64)
+        counts[got["j"].to_numpy(), got["k"].to_numpy(), got["d"].to_numpy()] = got["n"].to_numpy()
+        upto = counts.cumsum(axis=2)
+        digit = (upto <= rank[:, :, None]).sum(axis=2).clip(max=(1 << RADIX_BITS) - 1)
+        at = (*np.indices(ranks.shape), digit)
+        rank -= upto[at] - counts[at]
+        size = counts[at]
+        prefix = (prefix << np.uint64(RADIX_BITS)) | digit.astype(np.uint64)
+        depth += RADIX_BITS
+    found = np.full(ranks.shape, np.nan)
+    if depth == 64:
+        found = _value(prefix)
+    else:
+        fetched = rows.mapInArrow(_inside(depth, prefix, width), "j int, k int, held array<double>")
+        told = fetched.groupBy("j", "k").agg(F.sort_array(F.flatten(F.collect_list("held"))).alias("held")).toArrow()
+        for j, k, held in zip(told["j"].to_pylist(), told["k"].to_pylist(), told["held"].to_pylist()):
+            found[j, k] = held[rank[j, k]]
+    low, high = found[:, : len(probs)], found[:, len(probs) :]
+    value = low + (high - low) * (target - np.floor(target))
+    return np.where(n[:, None] > 0, value, np.nan).T
+
+
+def percentiles(df: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Exact interpolated percentiles per column over all rows, as one array."""
+    width = matrix_width(df) or 0
+    cuts = block_quantiles(df, width, [float(p) for p in probs])
+    rows = [(j, [None if np.isnan(v) else float(v) for v in cuts[:, j]]) for j in range(width)]
+    return df.sparkSession.createDataFrame(rows, "col_id int, percentiles array<double>")
+
+
+def low_variance_columns(df: DataFrame, min_variance: float = 1e-8) -> DataFrame:
     return (
-        long_cells(sample).groupBy("col_id").agg(F.var_pop(_v()).alias("variance"))
+        column_tallies(df).select("col_id", (F.col("m2") / F.col("n")).alias("variance"))
         .filter(F.col("variance") <= min_variance)
     )
 
@@ -162,7 +342,8 @@ def gram_rows(
 ) -> DataFrame:
     """Rows of Z'Z for Z = (X - shift) / scale, missing cells as zero: (i, gram array).
 
-    Each task reduces its rows to one width x width block before the shuffle.
+    Each task reduces its rows to one width x width block. Blocks are summed in two levels, a
+    group of tasks at a time and chunk by chunk, so no task ever stacks a row of all of them.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,44 +353,32 @@ def gram_rows(
                  - shift) / scale
             total = z.T @ z if total is None else total + z.T @ z
         if total is not None:
-            rows = pa.ListArray.from_arrays(
-                pa.array(np.arange(width + 1) * width, pa.int32()), pa.array(total.ravel())
-            )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(width), pa.int32()), rows], names=["i", "gram"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width), pa.int32()), from_block(total)], names=["i", "gram"])
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": [pdf["i"].iloc[0]], "gram": [np.sum(np.stack(pdf["gram"]), axis=0)]})
+    def merge(rows: pa.Table) -> pa.Table:
+        total = np.zeros(width)
+        for part in rows["gram"].chunks:
+            total += to_block(part, width).sum(axis=0)
+        return pa.table({"i": pa.array([rows["i"][0].as_py()], pa.int32()), "gram": from_block(total[None])})
 
-    parts = df.select(features).mapInArrow(partial, "i int, gram array<double>")
-    return parts.groupBy("i").applyInPandas(merge, "i int, gram array<double>")
+    group = F.pmod(F.spark_partition_id(), F.lit(GRAM_GROUPS)).alias("g")
+    parts = df.select(features).mapInArrow(partial, "i int, gram array<double>").select("i", "gram", group)
+    schema = "i int, gram array<double>"
+    return parts.groupBy("i", "g").applyInArrow(merge, schema).groupBy("i").applyInArrow(merge, schema)
 
 
-def correlation_pairs(sample: DataFrame, width: int) -> DataFrame:
-    """Pearson correlation of every column pair i < j of a row-capped sample: (i, j, r).
+def correlation_pairs(df: DataFrame, width: int, above: float | None = None) -> DataFrame:
+    """Pearson correlation of column pairs i < j over all rows: (i, j, r).
 
+    With ``above`` only pairs whose correlation is beyond it leave their row of the Gram matrix.
     A near-constant column is scaled by one, which makes its correlations zero.
     """
-    n, mean, std = _sample_moments(sample, width)
-    rows = gram_rows(sample, width, mean, std)
-    return (
-        rows.select("i", F.posexplode("gram").alias("j", "g"))
-        .filter("j > i")
-        .select("i", "j", F.greatest(F.least(F.col("g") / (n - 1), F.lit(1.0)), F.lit(-1.0)).alias("r"))
-    )
-
-
-def _sample_moments(sample: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
-    v = F.when(is_finite(_v()), _v()).otherwise(F.lit(0.0))
-    stats = (
-        long_cells(sample.select(F.lit(0).alias("row_id"), "features")).groupBy("col_id")
-        .agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("var"))
-        .orderBy("col_id").collect()
-    )
-    mean = np.array([r["mean"] for r in stats])
-    var = np.array([r["var"] if r["var"] is not None else 0.0 for r in stats])
-    return stats[0]["n"], mean, np.sqrt(np.where(var > 1e-12, var, 1.0))
+    n, mean, std = block_moments(map_blocks(df, lambda x: np.where(np.isfinite(x), x, 0.0), width), width, floor=False)
+    rows = gram_rows(df, width, mean, np.where(std**2 > 1e-12, std, 1.0))
+    bounded = lambda g: F.greatest(F.least(g / (n - 1), F.lit(1.0)), F.lit(-1.0))
+    cells = F.transform("gram", lambda g, j: F.struct(j.alias("j"), bounded(g).alias("r")))
+    kept = F.filter(cells, lambda c: (c["j"] > F.col("i")) & (F.lit(True) if above is None else F.abs(c["r"]) > above))
+    return rows.select("i", F.inline(kept))
 
 
 def drop_correlated(pairs: DataFrame, threshold: float = 0.98) -> list[int]:
@@ -228,13 +397,15 @@ def drop_correlated(pairs: DataFrame, threshold: float = 0.98) -> list[int]:
 def align(keys: DataFrame, matrix: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Join keys to their matrix rows; both must index the same rows, 0..n-1.
 
-    The check is one map-side aggregate per side (count, last id, sum of ids).
+    Each side's ids must run from zero without a gap or a repeat: as many rows as the last id
+    says, and no id twice. The second test groups by the id that the join shuffles by anyway.
     """
     id_ = F.col(row_id)
-    sums = F.count("*").alias("n"), F.max(id_).alias("last"), F.sum(id_.cast("decimal(38,0)")).alias("sum")
+    sums = F.count("*").alias("n"), F.min(id_).alias("first"), F.max(id_).alias("last"), F.count(id_).alias("named")
     k, m = keys.agg(*sums).first(), matrix.agg(*sums).first()
-    for side, s in (("keys", k), ("matrix", m)):
-        if s["n"] and (s["last"] != s["n"] - 1 or s["sum"] != s["n"] * (s["n"] - 1) // 2):
+    for side, df, s in (("keys", keys, k), ("matrix", matrix, m)):
+        dense = not s["n"] or (s["named"] == s["n"] and s["first"] == 0 and s["last"] == s["n"] - 1)
+        if not dense or not df.groupBy(row_id).count().filter("count > 1").isEmpty():
             raise ValueError(f"{side}: {row_id} is not a dense index over {s['n']} rows")
     if k["n"] != m["n"]:
         raise ValueError(f"{k['n']} keys do not line up with {m['n']} matrix rows")

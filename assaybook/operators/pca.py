@@ -9,12 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import PCA_THRESHOLDS, Recipe
-from ..functions.cells import is_finite, long_cells
-from ..session import stage
+from ..config import PCA_THRESHOLDS
 from . import matrix
-from .blocks import map_blocks
-from .splits import ChunkSplit, fit_sample
+from .blocks import map_blocks, to_block
+from .splits import ChunkSplit
 
 
 def pca_name(base: str, threshold: float) -> str:
@@ -83,24 +81,19 @@ def fit_pca_targets(
     split: ChunkSplit,
     base: str,
     thresholds: Sequence[float] = PCA_THRESHOLDS,
-    recipe: Recipe = Recipe("sample"),
     keep_failed_missing: bool = False,
 ) -> PcaModel:
-    """Fit on the row-capped train sample (missing as zero), z-score the scores on train rows.
+    """Fit on all train rows (missing as zero), z-score the scores on train rows.
 
     The covariance is summed where the rows are; only the width x width result is decomposed
     on the driver. A component's largest loading is made positive, as its sign is free.
     """
     width = matrix.matrix_width(df)
-    sample = stage(fit_sample(df.select("row_id", "features"), split, recipe), "sample")
-    v = F.when(is_finite(F.col("value")), F.col("value")).otherwise(F.lit(0.0))
-    stats = (
-        long_cells(sample).groupBy("col_id").agg(F.avg(v).alias("mean"), F.count(v).alias("n"))
-        .orderBy("col_id").collect()
-    )
-    mean, n = np.array([r["mean"] for r in stats]), stats[0]["n"]
-    rows = matrix.gram_rows(sample, width, mean, np.ones(width)).orderBy("i").collect()
-    covariance = np.array([r["gram"] for r in rows]) / max(n - 1, 1)
+    train = split.train(df.select("row_id", "features"))
+    filled = map_blocks(train, lambda x: np.where(np.isfinite(x), x, 0.0), width)
+    n, mean, _ = matrix.block_moments(filled, width)
+    rows = matrix.gram_rows(filled, width, mean, np.ones(width)).orderBy("i").toArrow()["gram"].combine_chunks()
+    covariance = to_block(rows, width) / max(n - 1, 1)
     variance, vectors = np.linalg.eigh(covariance)
     variance, vectors = np.clip(variance[::-1], 0, None), vectors[:, ::-1].T
     rank = min(n, width)
@@ -113,10 +106,8 @@ def fit_pca_targets(
     peak = np.abs(components).argmax(axis=1)
     components = components * np.sign(components[np.arange(len(components)), peak])[:, None]
     model = PcaModel(base, mean, components, explained, sizes, keep_failed_missing=keep_failed_missing)
-    projected = map_blocks(split.train(df.select("row_id", "features")), model.project, width)
-    moments = matrix.imputed_moments(projected).orderBy("col_id").collect()
-    model.score_mean = np.array([r["mean"] for r in moments])
-    model.score_std = np.array([r["std"] for r in moments])
+    projected = map_blocks(train, model.project, width)
+    _, model.score_mean, model.score_std = matrix.block_moments(projected, len(components))
     return model
 
 

@@ -1,15 +1,18 @@
-"""Yeo-Johnson power transform: numpy block form, and the maximum-likelihood fit per column."""
+"""Yeo-Johnson power transform: numpy block form, and the maximum-likelihood fit over all rows."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.cells import long_cells
+from .blocks import to_block
+from .matrix import block_profile, matrix_width
 
 _TINY = 2.220446049250313e-16
-_GOLDEN = (np.sqrt(5.0) - 1.0) / 2.0
 
 
 def transform(x: np.ndarray, lam: float) -> np.ndarray:
@@ -47,40 +50,93 @@ def _safe_range(x: np.ndarray) -> tuple[float, float]:
     return low, high
 
 
-def fit(x: np.ndarray, tolerance: float = 1e-8) -> float | None:
-    """Most likely lambda, or None for a column without spread.
+#: Lambdas a pass tries per column, and passes that narrow the bracket around the best one.
+FIRST, LATER, PASSES = 41, 11, 7
+
+
+def _grid_scores(grid: np.ndarray, width: int):
+    """Per column and lambda: cells, mean and squared deviations of the transform, and the log sum."""
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(grid.shape)
+        mean, m2, logs = np.zeros(grid.shape), np.zeros(grid.shape), np.zeros(grid.shape)
+        for batch in batches:
+            x = to_block(batch.column(0), width)
+            for j in range(width):
+                own = x[~np.isnan(x[:, j]), j]
+                if not len(own):
+                    continue
+                log = float(np.sum(np.sign(own) * np.log1p(np.abs(own))))
+                for k, lam in enumerate(grid[j]):
+                    with np.errstate(all="ignore"):
+                        t = transform(own, lam)
+                        centre = t.mean()
+                        spread = float(((t - centre) ** 2).sum())
+                    total = n[j, k] + len(own)
+                    gap = centre - mean[j, k]
+                    m2[j, k] += spread + gap * gap * n[j, k] * len(own) / total
+                    mean[j, k] += gap * len(own) / total
+                    n[j, k], logs[j, k] = total, logs[j, k] + log
+        j, k = np.indices(grid.shape)
+        columns = [j.ravel().astype(np.int32), k.ravel().astype(np.int32), n.ravel(), mean.ravel(), m2.ravel(), logs.ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["j", "k", "n", "mean", "m2", "logs"])
+
+    return score
+
+
+def _likelihoods(rows: DataFrame, grid: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each column at each of its lambdas: one pass over the rows."""
+    sent = rows.mapInArrow(_grid_scores(grid, len(grid)), "j int, k int, n double, mean double, m2 double, logs double").filter("n > 0")
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(a: Column, p: Column) -> Column:
+        n, gap = a["n"] + p["n"], p["mean"] - a["mean"]
+        return F.struct(n.alias("n"), (a["mean"] + gap * p["n"] / n).alias("mean"), (a["m2"] + p["m2"] + gap * gap * a["n"] * p["n"] / n).alias("m2"))
+
+    merged = sent.groupBy("j", "k").agg(
+        F.aggregate(F.sort_array(F.collect_list(F.struct("n", "mean", "m2"))), start, add).alias("s"), F.sum("logs").alias("logs")
+    ).select("j", "k", "s.n", "s.m2", "logs").toArrow()
+    out = np.full(grid.shape, -np.inf)
+    j, k, n, m2, logs = (merged[c].to_numpy() for c in ("j", "k", "n", "m2", "logs"))
+    with np.errstate(all="ignore"):
+        value = -0.5 * n * np.log(m2 / n) + (grid[j, k] - 1.0) * logs
+    usable = np.isfinite(value) & (m2 / n >= np.finfo(float).tiny)
+    out[j[usable], k[usable]] = value[usable]
+    return out
+
+
+def fit_blocks(df: DataFrame, width: int, features: str = "features") -> np.ndarray:
+    """Most likely lambda of each column over all rows, NaN for a column without spread.
 
-    A scan over the safe range finds the best bracket, golden-section search refines it.
+    Each pass sums the likelihood at a grid of lambdas per column where the rows are, so what is
+    shuffled does not depend on them. The first grid spans the safe range, later ones the bracket
+    around the best point; a parabola through the last three gives the fraction of a step.
     """
-    if x.size < 2 or np.ptp(x) == 0:
-        return None
-    low, high = _safe_range(x)
-    inner = np.linspace(max(low, -6.0), min(high, 8.0), 57)
-    grid = np.unique(np.concatenate([np.linspace(low, high, 41), inner]))
-    scores = [log_likelihood(x, g) for g in grid]
-    best = int(np.argmax(scores))
-    if not np.isfinite(scores[best]):
-        return None
-    a, b = grid[max(best - 1, 0)], grid[min(best + 1, grid.size - 1)]
-    c, d = b - _GOLDEN * (b - a), a + _GOLDEN * (b - a)
-    fc, fd = log_likelihood(x, c), log_likelihood(x, d)
-    while b - a > tolerance:
-        if fc >= fd:
-            b, d, fd = d, c, fc
-            c = b - _GOLDEN * (b - a)
-            fc = log_likelihood(x, c)
-        else:
-            a, c, fc = c, d, fd
-            d = a + _GOLDEN * (b - a)
-            fd = log_likelihood(x, d)
-    return float((a + b) / 2)
-
-
-def fit_yeo_johnson(sample: DataFrame) -> DataFrame:
-    """Lambda per column of a row-capped fit sample: (col_id, lam); one column is one group."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        lam = fit(pdf["value"].dropna().to_numpy(np.float64))
-        return pd.DataFrame({"col_id": [pdf["col_id"].iloc[0]], "lam": [lam]}).astype({"lam": float})
-
-    return long_cells(sample).groupBy("col_id").applyInPandas(one, "col_id int, lam double")
+    rows = df.select(features)
+    profile = block_profile(rows)
+    low, high = profile["low"], profile["high"]
+    spread = np.isfinite(low) & (high > low)
+    ranges = [_safe_range(np.array([a, b])) if ok else (0.0, 1.0) for a, b, ok in zip(low, high, spread)]
+    bottom = np.array([max(a, -6.0) for a, _ in ranges])
+    top = np.array([min(b, 8.0) for _, b in ranges])
+    steps = FIRST
+    for _ in range(PASSES):
+        grid = np.linspace(bottom, top, steps, axis=1)
+        score = _likelihoods(rows, grid)
+        best = score.argmax(axis=1)
+        at = np.arange(width)
+        bottom, top = grid[at, np.maximum(best - 1, 0)], grid[at, np.minimum(best + 1, steps - 1)]
+        steps = LATER
+    inner = np.clip(best, 1, grid.shape[1] - 2)
+    a, b, c = score[at, inner - 1], score[at, inner], score[at, inner + 1]
+    with np.errstate(all="ignore"):
+        lean = 0.5 * (a - c) / (a - 2 * b + c)
+    lean = np.where(np.isfinite(lean) & (best == inner), np.clip(lean, -1, 1), 0.0)
+    lam = grid[at, best] + lean * (grid[:, 1] - grid[:, 0])
+    return np.where(spread & np.isfinite(score.max(axis=1)), lam, np.nan)
+
+
+def fit_yeo_johnson(df: DataFrame) -> DataFrame:
+    """Lambda per column over all rows: (col_id, lam)."""
+    width = matrix_width(df) or 0
+    rows = [(j, None if np.isnan(v) else float(v)) for j, v in enumerate(fit_blocks(df, width))] if width else []
+    return df.sparkSession.createDataFrame(rows, "col_id int, lam double")

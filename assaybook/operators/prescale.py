@@ -1,82 +1,44 @@
-"""Prescaling: fit on train rows, transform every row in one narrow pass."""
+"""Prescaling: fit a recipe's steps on all train rows, transform every row in one narrow pass."""
 
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import LEGACY_STD_FACTOR, Recipe
-from ..session import stage
-from . import matrix, power
+from ..config import LEGACY_STD_FACTOR
+from . import matrix
 from .blocks import map_blocks
-from .ordering import with_row_id
-from .splits import ChunkSplit, evenly_spaced, fit_sample
-
-
-@dataclass
-class ColumnTransform:
-    """Per-column parameters of one pass: gather, clean, clip, power, z-score, blank missing."""
-
-    width_in: int
-    keep: np.ndarray
-    lowest: np.ndarray
-    highest: np.ndarray
-    lower: np.ndarray
-    upper: np.ndarray
-    lambdas: list[float | None]
-    mean: np.ndarray
-    std: np.ndarray
-
-    def select(self, mask: np.ndarray) -> ColumnTransform:
-        at = np.flatnonzero(mask)
-        pick = {f: getattr(self, f)[at] for f in
-                ("keep", "lowest", "highest", "lower", "upper", "mean", "std")}
-        return ColumnTransform(self.width_in, lambdas=[self.lambdas[i] for i in at], **pick)
-
-    def cleaned(self, block: np.ndarray) -> np.ndarray:
-        x = block[:, self.keep]
-        x = np.where(np.isnan(x), 0.0, x)
-        x = np.where(np.isposinf(x), self.highest, x)
-        return np.where(np.isneginf(x), self.lowest, x)
-
-    def shaped(self, block: np.ndarray) -> np.ndarray:
-        """Cleaned, clipped and power-transformed, without missing cells."""
-        x = np.clip(self.cleaned(block), self.lower, self.upper)
-        for j, lam in enumerate(self.lambdas):
-            if lam is not None:
-                x[:, j] = power.transform(x[:, j], lam)
-        return x
-
-    def scaled(self, block: np.ndarray) -> np.ndarray:
-        z = (self.shaped(block) - self.mean) / self.std
-        z[~np.isfinite(block[:, self.keep])] = np.nan
-        return z
+from .splits import ChunkSplit
+from .steps import Columns, Fit, Recipe
 
 
 @dataclass
 class PrescaleModel:
     """A fitted recipe. All of it is per-column state, so it is small next to any matrix."""
 
+    name: str
     recipe: Recipe
-    columns: ColumnTransform
-    dropped_invalid: list[int] = field(default_factory=list)
-    dropped_correlated: list[int] = field(default_factory=list)
-    dropped_low_variance: list[int] = field(default_factory=list)
+    columns: Columns
+    dropped: dict[str, list[int]]
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Scale every row; cells not finite on the way in are missing on the way out."""
-        return map_blocks(df, self.columns.scaled, self.columns.width_in)
+        return map_blocks(df, self.columns.scaled, self.columns.width)
+
+    def gone(self, reason: str) -> list[int]:
+        """The input positions that a step dropped: invalid, correlated or low_variance."""
+        return self.dropped.get(reason, [])
 
     def summary(self, spark) -> DataFrame:
-        """One row: columns in and out, and what each step dropped."""
+        """One row: columns in and out, what each step dropped, and the steps."""
+        steps = [{type(step).__name__: asdict(step)} for step in self.recipe]
         row = (
-            self.recipe.name, self.columns.width_in, len(self.columns.keep),
-            self.dropped_invalid, self.dropped_correlated, self.dropped_low_variance,
-            json.dumps(asdict(self.recipe)),
+            self.name, self.columns.width, len(self.columns.keep),
+            self.gone("invalid"), self.gone("correlated"), self.gone("low_variance"), json.dumps(steps),
         )
         return spark.createDataFrame(
             [row],
@@ -88,8 +50,8 @@ class PrescaleModel:
         """One row per kept column with every fitted number."""
         c = self.columns
         rows = [
-            (int(c.keep[j]), j, float(c.lowest[j]), float(c.highest[j]), float(c.lower[j]),
-             float(c.upper[j]), c.lambdas[j], float(c.mean[j]), float(c.std[j]))
+            (int(c.keep[j]), j, *(float(v[j]) for v in (c.fill_low, c.fill_high, c.low, c.high)),
+             None if np.isnan(c.lam[j]) else float(c.lam[j]), float(c.centre[j]), float(c.spread[j]))
             for j in range(len(c.keep))
         ]
         return spark.createDataFrame(
@@ -99,117 +61,22 @@ class PrescaleModel:
         )
 
 
-def _by_column(stats: DataFrame, *names: str) -> list[np.ndarray]:
-    rows = stats.orderBy("col_id").collect()
-    return [np.array([r[n] for r in rows], dtype=np.float64) for n in names]
-
+def fit_recipe(df: DataFrame, split: ChunkSplit, recipe: Recipe, name: str = "") -> PrescaleModel:
+    """Run a recipe's steps over a matrix and its chunk split.
 
-class Prescaler:
-    """Fits one recipe over a matrix and its chunk split.
-
-    The column profile reads all rows; every other statistic reads train rows only. The fit
-    sample is row-capped by the recipe and staged once, cut to the columns still in play.
+    The column profile reads all rows, every step all train rows; there is no sample. A column
+    without a finite cell always goes.
     """
-
-    def __init__(self, recipe: Recipe, split: ChunkSplit):
-        self.recipe, self.split = recipe, split
-
-    def fit(self, df: DataFrame) -> PrescaleModel:
-        recipe = self.recipe
-        profile = matrix.profile_columns(df).orderBy("col_id").collect()
-        width = len(profile)
-        n_rows = profile[0]["n_rows"]
-        has_finite = np.array([r["col_min"] is not None for r in profile])
-        invalid = np.array([r["invalid"] / n_rows for r in profile])
-        valid = has_finite & (invalid <= recipe.max_invalid_fraction) if recipe.drop_invalid else has_finite
-        if not valid.any():
-            raise ValueError("every column was dropped as invalid")
-        lowest = np.array([r["col_min"] if r["col_min"] is not None else 0.0 for r in profile])
-        highest = np.array([r["col_max"] if r["col_max"] is not None else 0.0 for r in profile])
-        columns = ColumnTransform(
-            width, np.arange(width), lowest, highest, np.full(width, -np.inf),
-            np.full(width, np.inf), [None] * width, np.zeros(width), np.ones(width),
-        ).select(valid)
-        model = PrescaleModel(recipe, columns, dropped_invalid=np.flatnonzero(~valid).tolist())
-
-        train = self.split.train(df.select("row_id", "features"))
-        raw_mean = raw_std = None
-        by_std = recipe.winsorize and recipe.winsorize_by == "std"
-        if by_std or (recipe.zscore and recipe.zscore_on == "raw"):
-            cleaned = map_blocks(train, columns.cleaned, width)
-            raw_mean, raw_std = _by_column(matrix.imputed_moments(cleaned), "mean", "std")
-
-        needs_sample = (
-            (recipe.winsorize and recipe.winsorize_by == "percentile")
-            or recipe.drop_correlated or recipe.yeo_johnson or recipe.drop_low_variance
-        )
-        if needs_sample:
-            sample = fit_sample(df.select("row_id", "features"), self.split, recipe)
-            sample = stage(map_blocks(sample, columns.cleaned, width), "sample")
-        if by_std:
-            columns.lower = raw_mean - recipe.winsorize_std_factor * raw_std
-            columns.upper = raw_mean + recipe.winsorize_std_factor * raw_std
-        elif recipe.winsorize:
-            low, high = recipe.winsorize_tails
-            cuts = matrix.percentiles(sample, [low, 1 - high]).orderBy("col_id").collect()
-            columns.lower = np.array([r["percentiles"][0] for r in cuts])
-            columns.upper = np.array([r["percentiles"][1] for r in cuts])
-
-        # the sample is already cleaned and cut to ``columns``, so later fits index into it
-        standing = np.ones(len(columns.keep), dtype=bool)
-
-        def clipped() -> DataFrame:
-            at, lo, hi = np.flatnonzero(standing), columns.lower[standing], columns.upper[standing]
-            return map_blocks(sample, lambda b: np.clip(b[:, at], lo, hi), len(standing))
-
-        if recipe.drop_correlated:
-            rows = clipped()
-            n = sample.count()
-            if n > recipe.correlation_max_rows:
-                rows = evenly_spaced(
-                    with_row_id(rows, ["row_id"], "at"), n, recipe.correlation_max_rows, "at"
-                )
-            gone = []
-            if n >= 2:
-                pairs = matrix.correlation_pairs(rows, len(standing))
-                gone = matrix.drop_correlated(pairs, recipe.max_correlation)
-            standing[gone] = False
-            model.dropped_correlated = columns.keep[gone].tolist()
-        if recipe.yeo_johnson:
-            lambdas = power.fit_yeo_johnson(clipped()).collect()
-            at = np.flatnonzero(standing)
-            for r in lambdas:
-                lam = r["lam"]
-                columns.lambdas[at[r["col_id"]]] = None if lam is None or np.isnan(lam) else lam
-        if recipe.drop_low_variance:
-            at, lo, hi = np.flatnonzero(standing), columns.lower[standing], columns.upper[standing]
-            lams = [columns.lambdas[i] for i in at]
-
-            def shaped(b: np.ndarray) -> np.ndarray:
-                x = np.clip(b[:, at], lo, hi)
-                for j, lam in enumerate(lams):
-                    if lam is not None:
-                        x[:, j] = power.transform(x[:, j], lam)
-                return x
-
-            flat = matrix.low_variance_columns(
-                map_blocks(sample, shaped, len(standing)), recipe.min_variance
-            ).collect()
-            gone = at[sorted(r["col_id"] for r in flat)].tolist()
-            standing[gone] = False
-            model.dropped_low_variance = columns.keep[gone].tolist()
-            if not standing.any():
-                raise ValueError("every column was dropped for low variance")
-
-        model.columns = columns = columns.select(standing)
-        if recipe.zscore and recipe.zscore_on == "raw":
-            columns.mean, columns.std = raw_mean[standing], raw_std[standing]
-        elif recipe.zscore:
-            shaped_rows = map_blocks(train, columns.shaped, width)
-            columns.mean, columns.std = _by_column(
-                matrix.imputed_moments(shaped_rows), "mean", "std"
-            )
-        return model
+    profile = matrix.block_profile(df.select("features"))
+    low, high = profile["low"], profile["high"]
+    finite = np.isfinite(low)
+    state = Fit(split.train(df.select("row_id", "features")), profile, Columns.untouched(np.where(finite, low, 0.0), np.where(finite, high, 0.0)))
+    state.drop("empty", ~finite)
+    for step in recipe:
+        step.fit(state)
+    dropped = {k: sorted(v) for k, v in state.dropped.items()}
+    dropped["invalid"] = sorted({*dropped.pop("empty"), *dropped.get("invalid", [])})
+    return PrescaleModel(name, recipe, state.columns, dropped)
 
 
 @dataclass
@@ -236,6 +103,11 @@ class LegacyScale:
         return map_blocks(df, self.block, len(self.mean))
 
 
+def _by_column(stats: DataFrame, *names: str) -> list[np.ndarray]:
+    rows = stats.orderBy("col_id").collect()
+    return [np.array([r[n] for r in rows], dtype=np.float64) for n in names]
+
+
 def fit_legacy(df: DataFrame, split: ChunkSplit, factor: float = LEGACY_STD_FACTOR) -> LegacyScale:
     train = split.train(df.select("row_id", "features"))
     mean, std = _by_column(matrix.masked_moments(train), "mean", "std")

@@ -12,6 +12,7 @@ from ..functions import labels
 from ..functions.cells import ratio
 from ..session import stage
 from . import significance
+from ..vocabulary import PLAIN, Vocabulary
 from .cards import prepare_rows
 from .keys import exclude_recipes
 from .ordering import quantiles, with_row_id
@@ -56,7 +57,8 @@ def sort_ranking(df: DataFrame, metric: str, descending: bool, by: Sequence[str]
     return df.orderBy(*by, key, name)
 
 
-def ablation_frame(df: DataFrame, exclude: Sequence[str] = (), exclude_in: Sequence[str] = ()) -> DataFrame:
+def ablation_frame(df: DataFrame, exclude: Sequence[str] = (), exclude_in: Sequence[str] = (),
+                   vocabulary: Vocabulary = PLAIN) -> DataFrame:
     """Tidy metrics of ``<arm>__s<seed>[__<mode>]`` labels with ``mode``, seed and row identity.
 
     Recipes in ``exclude`` are dropped from the protocols in ``exclude_in`` only; there the
@@ -65,11 +67,11 @@ def ablation_frame(df: DataFrame, exclude: Sequence[str] = (), exclude_in: Seque
     parsed = df.withColumns(
         {"mode": labels.mode_suffix(F.col("flavor")), "flavor": labels.mode_suffix_base(F.col("flavor"))}
     )
-    full = prepare_rows(labels.collapse_seeds(parsed))
+    full = prepare_rows(labels.collapse_seeds(parsed), vocabulary)
     if not exclude or not exclude_in:
         return full
     scoped = F.col("mode").isin(*exclude_in)
-    kept = prepare_rows(labels.collapse_seeds(exclude_recipes(parsed, exclude)))
+    kept = prepare_rows(labels.collapse_seeds(exclude_recipes(parsed, exclude)), vocabulary)
     return full.filter(~scoped).unionByName(kept.filter(scoped))
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CHUNK_ROWS, SPLIT_SEED, TRAIN_FRACTION, VAL_FRACTION, Recipe
+from ..config import CHUNK_ROWS, SPLIT_SEED, TRAIN_FRACTION, VAL_FRACTION
 from ..session import local_table
 from .ordering import hash_cutoff, hash_order, running_total
 
@@ -114,16 +114,17 @@ def evenly_spaced(df: DataFrame, n_rows: int, max_rows: int, row_id: str = "row_
     return df.filter((F.col(row_id) % step == 0) & (F.col(row_id) < step * max_rows))
 
 
-def sample_size(split: ChunkSplit, recipe: Recipe) -> int:
-    wanted = split.n_train_rows * recipe.sample_fraction
-    return int(min(max(wanted, recipe.sample_min_rows), recipe.sample_max_rows))
+def sample_size(split: ChunkSplit, fraction: float, least: int, most: int) -> int:
+    """A fraction of the train rows, within two limits."""
+    return int(min(max(split.n_train_rows * fraction, least), most))
 
 
-def fit_sample(
-    df: DataFrame, split: ChunkSplit, recipe: Recipe = Recipe("sample"), row_id: str = "row_id"
-) -> DataFrame:
-    """Evenly spaced over all rows, then only those on the train side."""
-    return split.train(evenly_spaced(df, split.n_rows, sample_size(split, recipe), row_id), row_id)
+def fit_sample(df: DataFrame, split: ChunkSplit, fraction: float, least: int, most: int, row_id: str = "row_id") -> DataFrame:
+    """Evenly spaced over all rows, then only those on the train side.
+
+    For a caller who asks for a sample; no fit of this library draws one.
+    """
+    return split.train(evenly_spaced(df, split.n_rows, sample_size(split, fraction, least, most), row_id), row_id)
 
 
 def fixed_split(

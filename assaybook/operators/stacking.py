@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..config import UNSEEDED
 from ..functions.cells import ratio
 from ..functions.labels import dataset_of, seed_base, seed_number, strip_prefix
-from ..session import stage
+from ..session import fresh_path, stage
+from ..vocabulary import PLAIN, Vocabulary
 from .splits import assign_folds
 
-UNIT = ("endpoint", "seed")
+UNIT = ("dataset", "recipe", "endpoint", "seed")
 
 
-def labelled_predictions(pred: DataFrame, strip: str = "") -> DataFrame:
+def labelled_predictions(pred: DataFrame, strip: str = "", vocabulary: Vocabulary = PLAIN) -> DataFrame:
     """Split the label of long predictions into ``flavor`` and ``seed``, and add the dataset.
 
     ``strip`` is a namespace such as ``lr_reduced__`` that maps a protocol's labels back to bare
@@ -29,7 +32,7 @@ def labelled_predictions(pred: DataFrame, strip: str = "") -> DataFrame:
         {
             "flavor": strip_prefix(seed_base(label), strip) if strip else seed_base(label),
             "seed": F.coalesce(seed_number(label), F.lit(UNSEEDED)),
-            "dataset": dataset_of(F.col("recipe")),
+            "dataset": dataset_of(F.col("recipe"), vocabulary),
         }
     ).drop("label")
 
@@ -37,15 +40,28 @@ def labelled_predictions(pred: DataFrame, strip: str = "") -> DataFrame:
 def stack_features(pred: DataFrame, flavors: Sequence[str], unit: Sequence[str] = UNIT) -> DataFrame:
     """One row per test item: truth and one prediction column per flavor, seeds kept apart.
 
-    Items that lack any flavor's prediction are left out, so every row is complete.
+    A unit stacks the flavors that it has; of the others its column is missing throughout, and
+    ``n_flavors`` says how many it has. A unit with fewer than two is left out, and so are items
+    that lack a prediction of one of their unit's flavors. Two predictions of one flavor for one
+    item are an error, as the unit then mixes what should be kept apart.
     """
-    wide = pred.filter(F.col("y_true").isNotNull() & F.col("flavor").isin(*flavors)).groupBy(
-        *unit, "row_id"
-    ).agg(
+    unit = list(unit)
+    own = pred.filter(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull() & F.col("flavor").isin(*flavors))
+    is_, has = (lambda f: F.col("flavor") == f), (lambda f: F.col(f"h_{f}"))
+    wide = own.groupBy(*unit, "row_id").agg(
         F.max("y_true").alias("y"),
-        *[F.max(F.when(F.col("flavor") == f, F.col("y_pred"))).alias(f"f_{f}") for f in flavors],
+        *[F.max(F.when(is_(f), F.col("y_pred"))).alias(f"f_{f}") for f in flavors],
+        F.greatest(*[F.count_if(is_(f)) for f in flavors], F.lit(0)).alias("_most"),
+    )
+    present = own.groupBy(*unit).agg(*[F.coalesce(F.max(is_(f)), F.lit(False)).alias(f"h_{f}") for f in flavors])
+    present = present.withColumn("n_flavors", sum((has(f).cast("int") for f in flavors), F.lit(0))).filter("n_flavors >= 2")
+    complete = F.lit(True)
+    for f in flavors:
+        complete = complete & (~has(f) | F.col(f"f_{f}").isNotNull())
+    once = F.when(F.col("_most") > 1, F.raise_error(F.lit("an item has two predictions of one flavor"))).otherwise(F.col("y"))
+    return wide.join(present, unit).filter(complete).select(
+        *unit, "row_id", once.alias("y"), *[f"f_{f}" for f in flavors], "n_flavors"
     )
-    return wide.na.drop(how="any", subset=[f"f_{f}" for f in flavors])
 
 
 def present_flavors(pred: DataFrame, registry: Sequence[str]) -> list[str]:
@@ -57,32 +73,33 @@ def present_flavors(pred: DataFrame, registry: Sequence[str]) -> list[str]:
     return flavors
 
 
-def _r2(n: Column, sy: Column, syy: Column, sse: Column) -> Column:
-    """r2 from sums; of a constant truth it is one if perfect, else zero."""
-    total = syy - sy * sy / n
+def _r2(n: Column, total: Column, sse: Column) -> Column:
+    """r2 from the spread of the truth and the squared errors; of a constant truth one if perfect, else zero."""
     perfect = F.when(sse <= 0, 1.0).otherwise(0.0)
-    return F.when(n < 2, None).when(total <= 0, perfect).otherwise(1 - ratio(sse, total))
+    return F.when((n < 2) | sse.isNull(), None).when(total <= 0, perfect).otherwise(1 - ratio(sse, total))
 
 
 def best_single(folded: DataFrame, flavors: Sequence[str], unit: Sequence[str] = UNIT) -> DataFrame:
     """Per fold, the flavor with the best r2 on the other folds: (unit, fold, winner).
 
     Leave-one-fold-out r2 is the total of each sum minus the fold's own, so one aggregate over
-    the data serves all folds. Registry order breaks ties.
+    the data serves all folds. Spreads are combined from the folds' own means, so that a large
+    mean does not drown them. A flavor the unit lacks never wins; registry order breaks ties.
     """
     y = F.col("y")
     sums = folded.groupBy(*unit, "fold").agg(
-        F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(y * y).alias("syy"),
+        F.count("*").alias("n"), F.avg("y").alias("m"), (F.var_pop("y") * F.count("*")).alias("s"),
         *[F.sum((y - F.col(f"f_{f}")) * (y - F.col(f"f_{f}"))).alias(f"e_{f}") for f in flavors],
     )
     whole = Window.partitionBy(*unit)                # one record per fold
-    rest = {c: F.sum(c).over(whole) - F.col(c) for c in ["n", "sy", "syy", *[f"e_{f}" for f in flavors]]}
-    left = sums.select(*unit, "fold", *[v.alias(c) for c, v in rest.items()])
+    n = F.col("n")
+    sums = sums.withColumn("d", F.col("m") - F.sum(n * F.col("m")).over(whole) / F.sum(n).over(whole))
+    sums = sums.withColumn("s", F.col("s") + n * F.col("d") * F.col("d"))
+    rest = {c: F.sum(c).over(whole) - F.col(c) for c in ["n", "s", *[f"e_{f}" for f in flavors]]}
+    left = sums.select(*unit, "fold", (n * F.col("d")).alias("nd"), *[v.alias(c) for c, v in rest.items()])
+    spread = F.col("s") - F.col("nd") * F.col("nd") / F.nullif(F.col("n"), F.lit(0))
     scores = F.array(*[
-        F.struct(
-            _r2(F.col("n"), F.col("sy"), F.col("syy"), F.col(f"e_{f}")).alias("r2"),
-            F.lit(-i).alias("o"), F.lit(f).alias("flavor"),
-        )
+        F.struct(_r2(F.col("n"), spread, F.col(f"e_{f}")).alias("r2"), F.lit(-i).alias("o"), F.lit(f).alias("flavor"))
         for i, f in enumerate(flavors)
     ])
     return left.select(*unit, "fold", F.array_max(scores)["flavor"].alias("winner"))
@@ -108,7 +125,8 @@ def ridge_weights(folded: DataFrame, flavors: Sequence[str], unit: Sequence[str]
     k = len(flavors)
     centre = stage(folded.groupBy(*unit).agg(F.avg("y").alias("_c")), "centres")
     rows = folded.join(centre, unit)
-    x = [F.lit(1.0), *[F.col(f"f_{f}") - F.col("_c") for f in flavors], F.col("y") - F.col("_c")]
+    # a flavor that the unit lacks is zero throughout, and so is its weight
+    x = [F.lit(1.0), *[F.coalesce(F.col(f"f_{f}") - F.col("_c"), F.lit(0.0)) for f in flavors], F.col("y") - F.col("_c")]
     names = [(i, j) for i in range(k + 2) for j in range(i, k + 2)]
     sums = rows.groupBy(*unit, "fold", "_c").agg(*[F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in names])
     fields = {f.name: f.dataType.simpleString() for f in folded.schema.fields}
@@ -125,7 +143,8 @@ def ridge_weights(folded: DataFrame, flavors: Sequence[str], unit: Sequence[str]
             a, b = g[: k + 1, : k + 1].copy(), g[: k + 1, k + 1]
             a[np.arange(1, k + 1), np.arange(1, k + 1)] += alpha
             w = np.linalg.lstsq(a, b, rcond=None)[0]
-            intercept = w[0] + centre_value - float(w[1:].sum()) * centre_value
+            held = np.diag(total)[1 : k + 1] > 0                 # the flavors the unit has
+            intercept = w[0] + centre_value - float(w[1:][held].sum()) * centre_value
             out.append((*[pdf[u].iloc[0] for u in unit], int(fold), intercept, w[1:].tolist()))
         return pd.DataFrame(out, columns=[*unit, "fold", "intercept", "weights"])
 
@@ -149,7 +168,7 @@ def stack_oof(features: DataFrame, flavors: Sequence[str], unit: Sequence[str] =
         fitted = stage(ridge_weights(folded, flavors, unit, alpha), "weights")
         meta = F.col("intercept")
         for i, f in enumerate(flavors):
-            meta = meta + F.col("weights")[i] * F.col(f"f_{f}")
+            meta = meta + F.coalesce(F.col("weights")[i] * F.col(f"f_{f}"), F.lit(0.0))
         scored = scored.join(fitted, [*unit, "fold"]).withColumn("meta", meta)
     elif estimator in ("rf", "gbt"):
         scored = scored.join(
@@ -161,6 +180,7 @@ def stack_oof(features: DataFrame, flavors: Sequence[str], unit: Sequence[str] =
     sums = scored.groupBy(*unit).agg(
         F.count("*").alias("n_test"), F.avg((y - F.col("meta")) * (y - F.col("meta"))).alias("_mm"),
         F.avg((y - F.col("single")) * (y - F.col("single"))).alias("_ms"), F.var_pop("y").alias("_v"),
+        F.max("n_flavors").alias("n_flavors"),
     )
 
     def r2(mse: str) -> Column:
@@ -169,30 +189,45 @@ def stack_oof(features: DataFrame, flavors: Sequence[str], unit: Sequence[str] =
 
     chosen = most_frequent(winners, unit, "winner", flavors).withColumnRenamed("winner", "best_single_flavor")
     return sums.join(chosen, unit).select(
-        *unit, "n_test", F.lit(len(flavors)).alias("n_flavors"), F.lit(estimator).alias("estimator"),
+        *unit, "n_test", "n_flavors", F.lit(estimator).alias("estimator"),
         r2("_mm").alias("meta_r2"), F.sqrt("_mm").alias("meta_rmse"), "best_single_flavor",
         r2("_ms").alias("best_single_r2"), (r2("_mm") - r2("_ms")).alias("delta_r2"),
     )
 
 
 def _tree_predictions(folded: DataFrame, flavors: Sequence[str], unit: list[str], estimator: str,
-                      seed: int) -> DataFrame:
-    """Held-out Spark ML tree predictions; each (unit, fold) is one distributed fit."""
+                      seed: int, at_once: int = 4) -> DataFrame:
+    """Held-out Spark ML tree predictions; each (unit, fold) is one distributed fit.
+
+    Some fits run at once, and each writes what it holds out, so the plan of the result is one
+    scan however many units there are. A flavor that a unit lacks is a constant column to it.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
     maker = RandomForestRegressor if estimator == "rf" else GBTRegressor
-    model = maker(featuresCol="features", labelCol="y", predictionCol="meta", seed=seed)
-    rows = VectorAssembler(inputCols=[f"f_{f}" for f in flavors], outputCol="features").transform(folded)
-    out = None
-    for u in folded.select(*unit, "fold").distinct().toLocalIterator():
+    filled = folded.na.fill(0.0, [f"f_{f}" for f in flavors])
+    rows = VectorAssembler(inputCols=[f"f_{f}" for f in flavors], outputCol="features").transform(filled)
+    spark = folded.sparkSession
+    target = fresh_path(spark, "trees")
+
+    def one(at: tuple[int, Row]) -> str:
+        number, u = at
         inside = rows
         for c in unit:
-            inside = inside.filter(F.col(c) == u[c])
+            inside = inside.filter(F.col(c).eqNullSafe(F.lit(u[c])))
+        model = maker(featuresCol="features", labelCol="y", predictionCol="meta", seed=seed)
         fit = model.fit(inside.filter(F.col("fold") != u["fold"]))
         part = fit.transform(inside.filter(F.col("fold") == u["fold"])).select(*unit, "row_id", "meta")
-        out = part if out is None else out.unionByName(part)
-    return out
+        part.write.parquet(f"{target}/{number}")
+        return f"{target}/{number}"
+
+    fits = folded.select(*unit, "fold").distinct().collect()          # a row per unit and fold
+    with ThreadPoolExecutor(at_once) as pool:
+        parts = list(pool.map(inheritable_thread_target(one), enumerate(fits)))
+    types = {f.name: f.dataType.simpleString() for f in folded.schema.fields}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*unit, "row_id"]) + ", meta double"
+    return spark.read.schema(schema).parquet(*parts)
 
 
 def most_frequent(df: DataFrame, unit: Sequence[str], column: str, order: Sequence[str]) -> DataFrame:

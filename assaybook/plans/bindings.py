@@ -16,6 +16,7 @@ from ..operators.evaluate import regression_metrics
 from ..operators.ordering import with_row_id
 from ..operators.splits import ChunkSplit, chunk_split
 from ..session import stage
+from .names import SAMPLE
 
 CONTROL = "f1"
 ARMS = ("f0", "f1", "f2", "f3")
@@ -31,10 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- predictions
 
 _RECIPES = {
-    "ECONOMY": "asap_mt", "LARGE": "asap_potency_mt", "MEDIUM": "cyp1a2_st",
-    "PROMO": "cyp_mt", "SMALL": "herg_st", "STANDARD": "zeta_st",
+    "ECONOMY": "plant_mt", "LARGE": "plant_potency_mt", "MEDIUM": "press1_st",
+    "PROMO": "press_mt", "SMALL": "gauge_st", "STANDARD": "zeta_st",
 }
-_ENDPOINTS = ("LOG_CLint_HLM", "LogD", "other_value")
+_ENDPOINTS = ("LOG_rate_A", "LogD", "other_value")
 
 
 def recipe_of(p_type):
@@ -70,10 +71,10 @@ def predictions(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
 PRED = """pred AS (
   SELECT CASE WHEN l_linestatus = 'O' THEN '' ELSE 'lr_reduced__' END
            || 'f' || (l_suppkey % 4) || '__s' || l_linenumber AS label,
-         CASE p_type WHEN 'ECONOMY' THEN 'asap_mt' WHEN 'LARGE' THEN 'asap_potency_mt'
-              WHEN 'MEDIUM' THEN 'cyp1a2_st' WHEN 'PROMO' THEN 'cyp_mt'
-              WHEN 'SMALL' THEN 'herg_st' WHEN 'STANDARD' THEN 'zeta_st' END AS recipe,
-         ['LOG_CLint_HLM', 'LogD', 'other_value'][p_size % 3 + 1] AS endpoint,
+         CASE p_type WHEN 'ECONOMY' THEN 'plant_mt' WHEN 'LARGE' THEN 'plant_potency_mt'
+              WHEN 'MEDIUM' THEN 'press1_st' WHEN 'PROMO' THEN 'press_mt'
+              WHEN 'SMALL' THEN 'gauge_st' WHEN 'STANDARD' THEN 'zeta_st' END AS recipe,
+         ['LOG_rate_A', 'LogD', 'other_value'][p_size % 3 + 1] AS endpoint,
          l_extendedprice AS y_true,
          l_extendedprice * (1 + (l_discount - 0.05::DOUBLE) * (1 + l_suppkey % 4) * 2)
            + (l_quantity - 25.5::DOUBLE) * (1 + l_suppkey % 4) * 300 AS y_pred,
@@ -126,7 +127,7 @@ metrics AS (
 
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seed-collapsed metrics with row identities, both protocols."""
-    return prepare_rows(collapse_seeds(metrics(spark, sf_dir)))
+    return prepare_rows(collapse_seeds(metrics(spark, sf_dir)), SAMPLE)
 
 
 def frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,10 +140,10 @@ named AS (
   SELECT regexp_replace(flavor, '__s[0-9]+$', '') AS flavor,
          CAST(regexp_extract(flavor, '__s([0-9]+)$', 1) AS BIGINT) AS seed,
          recipe, endpoint, r2, rmse, mae, mse, n_test,
-         CASE WHEN recipe LIKE 'asap\\_potency\\_%' ESCAPE '\\' THEN 'asap_potency'
-              WHEN recipe LIKE 'asap\\_%' ESCAPE '\\' THEN 'asap'
-              WHEN recipe LIKE 'cyp%' THEN 'openadmet_cyp'
-              WHEN recipe LIKE 'herg\\_%' ESCAPE '\\' THEN 'herg'
+         CASE WHEN recipe LIKE 'plant\\_potency\\_%' ESCAPE '\\' THEN 'plant_potency'
+              WHEN recipe LIKE 'plant\\_%' ESCAPE '\\' THEN 'plant'
+              WHEN recipe LIKE 'press%' THEN 'press_line'
+              WHEN recipe LIKE 'gauge\\_%' ESCAPE '\\' THEN 'gauge'
               ELSE split_part(recipe, '_', 1) END AS dataset
   FROM metrics),
 frame AS (
@@ -180,7 +181,7 @@ STACK = """items AS (
                             l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS row_id, *
   FROM lineitem),
 features AS (
-  SELECT ['LOG_CLint_HLM', 'LogD', 'other_value'][p_size % 3 + 1] AS endpoint,
+  SELECT ['LOG_rate_A', 'LogD', 'other_value'][p_size % 3 + 1] AS endpoint,
          l_linenumber::BIGINT AS seed, row_id, l_extendedprice AS y,
          l_extendedprice * (1 + (l_discount - 0.05::DOUBLE) * 4) AS f_f0,
          l_extendedprice + (l_quantity - 25.5::DOUBLE) * 600 AS f_f1,

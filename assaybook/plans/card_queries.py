@@ -10,10 +10,11 @@ from ..operators import cards, keys, significance
 from ..session import stage
 from . import bindings as b
 from .catalog import query, r, rounded
+from .names import SAMPLE
 
 _SHOWN = "flavor IN ('f0', 'f2', 'f3')"
-_RANK = """CASE dataset WHEN 'asap_potency' THEN 0 WHEN 'asap' THEN 1 WHEN 'biogen' THEN 2 WHEN 'chembl' THEN 3
-     WHEN 'openadmet_cyp' THEN 4 WHEN 'expansionrx' THEN 5 WHEN 'herg' THEN 6 WHEN 'pxr' THEN 7 ELSE 8 END"""
+_RANK = """CASE dataset WHEN 'plant_potency' THEN 0 WHEN 'plant' THEN 1 WHEN 'mill' THEN 2 WHEN 'lab' THEN 3
+     WHEN 'press_line' THEN 4 WHEN 'annex' THEN 5 WHEN 'gauge' THEN 6 WHEN 'dock' THEN 7 ELSE 8 END"""
 _ORDERED = f"""ordered AS (
   SELECT dataset, endpoint, row, row_number() OVER (ORDER BY {_RANK}, endpoint, row) - 1 AS row_ord
   FROM (SELECT DISTINCT dataset, endpoint, row FROM frozen))"""
@@ -79,7 +80,7 @@ def namespaces(spark, sf):
 WITH {b.FRAME} SELECT recipe, dataset, count(*) AS n FROM named GROUP BY ALL""")
 def dataset_of(spark, sf):
     return b.metrics(spark, sf).groupBy("recipe").agg(F.count("*").alias("n")).select(
-        "recipe", labels.dataset_of(F.col("recipe")).alias("dataset"), "n")
+        "recipe", labels.dataset_of(F.col("recipe"), SAMPLE).alias("dataset"), "n")
 
 
 # ---------------------------------------------------------------- rows
@@ -93,7 +94,7 @@ def prepare_rows(spark, sf):
 @query("order_rows", f"""
 WITH {b.FRAME}, {_ORDERED} SELECT * FROM ordered""")
 def order_rows(spark, sf):
-    return cards.order_rows(b.frozen(spark, sf))
+    return cards.order_rows(b.frozen(spark, sf), SAMPLE)
 
 
 _GROUPS = """SELECT min(row_ord) AS start, max(row_ord) + 1 AS "end", arg_min(dataset, row_ord) AS source
@@ -104,27 +105,27 @@ FROM (SELECT *, sum(new) OVER (ORDER BY row_ord) AS run FROM (
 
 @query("source_groups", f"WITH {b.FRAME}, {_ORDERED} {_GROUPS.format(name='dataset')}")
 def source_groups(spark, sf):
-    return cards.source_groups(cards.order_rows(b.frozen(spark, sf)))
+    return cards.source_groups(cards.order_rows(b.frozen(spark, sf), SAMPLE))
 
 
 @query("merge_groups", f"""WITH {b.FRAME}, {_ORDERED} {_GROUPS.format(
-    name="CASE WHEN dataset LIKE 'asap%' THEN 'ASAP' ELSE dataset END")}""")
+    name="CASE WHEN dataset LIKE 'plant%' THEN 'Plant' ELSE dataset END")}""")
 def merge_groups(spark, sf):
-    return cards.merge_groups(cards.order_rows(b.frozen(spark, sf)))
+    return cards.merge_groups(cards.order_rows(b.frozen(spark, sf), SAMPLE), SAMPLE)
 
 
 @query("row_labels", f"""
 WITH {b.FRAME}, {_ORDERED}
-SELECT row, CASE WHEN dataset = 'herg' THEN 'ChEMBL (cluster) ' ELSE '' END
-       || replace(CASE endpoint WHEN 'LOG_CLint_HLM' THEN 'CLint HLM' ELSE endpoint END
+SELECT row, CASE WHEN dataset = 'gauge' THEN 'Lab (cluster) ' ELSE '' END
+       || replace(CASE endpoint WHEN 'LOG_rate_A' THEN 'rate A' ELSE endpoint END
                   || CASE WHEN row LIKE '%(%' THEN ' (' || split_part(row, ' (', 2) ELSE '' END, '_', ' ') AS label,
-       CASE dataset WHEN 'asap' THEN 'ASAP' || chr(10) || '(predefined)' WHEN 'asap_potency' THEN 'ASAP' || chr(10) || '(predefined)'
-            WHEN 'openadmet_cyp' THEN 'ChEMBL CYP' || chr(10) || '(cluster)' WHEN 'herg' THEN ''
+       CASE dataset WHEN 'plant' THEN 'Plant' || chr(10) || '(predefined)' WHEN 'plant_potency' THEN 'Plant' || chr(10) || '(predefined)'
+            WHEN 'press_line' THEN 'Press line' || chr(10) || '(cluster)' WHEN 'gauge' THEN ''
             ELSE dataset || chr(10) || '(cluster)' END AS box
 FROM ordered""")
 def row_labels(spark, sf):
     rows = b.frozen(spark, sf).select("row", "dataset").distinct()
-    return rows.select("row", text.row_label(F.col("row")).alias("label"), text.group_label(F.col("dataset")).alias("box"))
+    return rows.select("row", text.row_label(F.col("row"), SAMPLE).alias("label"), text.group_label(F.col("dataset"), SAMPLE).alias("box"))
 
 
 @query("filter_mode", f"""
@@ -135,12 +136,12 @@ def filter_mode(spark, sf):
 
 
 @query("exclude_recipes", f"""
-WITH {b.FRAME}, kept AS (SELECT * FROM named WHERE recipe NOT IN ('cyp_mt', 'herg_st'))
+WITH {b.FRAME}, kept AS (SELECT * FROM named WHERE recipe NOT IN ('press_mt', 'gauge_st'))
 SELECT flavor, seed, recipe, dataset || ' · ' || endpoint AS row, {r('r2')} AS r2 FROM kept""")
 def exclude_recipes(spark, sf):
     # identities are built after the exclusion, so a recipe left alone sheds its suffix
-    kept = keys.exclude_recipes(b.metrics(spark, sf), ["cyp_mt", "herg_st"])
-    return rounded(cards.prepare_rows(labels.collapse_seeds(kept)).select("flavor", "seed", "recipe", "row", "r2"))
+    kept = keys.exclude_recipes(b.metrics(spark, sf), ["press_mt", "gauge_st"])
+    return rounded(cards.prepare_rows(labels.collapse_seeds(kept), SAMPLE).select("flavor", "seed", "recipe", "row", "r2"))
 
 
 # ---------------------------------------------------------------- cells
@@ -196,14 +197,14 @@ def delta_std(spark, sf):
 
 @query("complete_grid", f"""
 WITH {b.FRAME}, {_ORDERED}, sparse AS (
-  SELECT row, flavor, avg(r2) AS value FROM frozen WHERE flavor <> 'f2' OR recipe <> 'herg_st' GROUP BY ALL)
+  SELECT row, flavor, avg(r2) AS value FROM frozen WHERE flavor <> 'f2' OR recipe <> 'gauge_st' GROUP BY ALL)
 SELECT row, row_ord, (col - 1)::INTEGER AS col_ord, flavors[col] AS flavor, {r('value')} AS value
 FROM (SELECT row, row_ord, ['f0', 'f1', 'f2', 'f3'] AS flavors, unnest([1, 2, 3, 4]) AS col FROM ordered) g
 LEFT JOIN sparse s ON g.row = s.row AND s.flavor = flavors[col]""".replace("SELECT row, row_ord, (col", "SELECT g.row, row_ord, (col"))
 def complete_grid(spark, sf):
     f = b.frozen(spark, sf)
-    sparse = f.filter("flavor <> 'f2' or recipe <> 'herg_st'").groupBy("row", "flavor").agg(F.avg("r2").alias("value"))
-    grid = cards.complete_grid(sparse, cards.order_rows(f).select("row", "row_ord"), b.ARMS)
+    sparse = f.filter("flavor <> 'f2' or recipe <> 'gauge_st'").groupBy("row", "flavor").agg(F.avg("r2").alias("value"))
+    grid = cards.complete_grid(sparse, cards.order_rows(f, SAMPLE).select("row", "row_ord"), b.ARMS)
     return rounded(grid.select("row", "row_ord", "col_ord", "flavor", "value"))
 
 
@@ -314,13 +315,13 @@ card AS (SELECT * FROM body UNION ALL
 SELECT row_ord, row, col_ord, "column", {r('value')} AS value, {r('aux')} AS aux, {r('value')} AS color_value,
        printf('%.3f', value) || CASE WHEN aux IS NULL THEN '' ELSE chr(10) || '±' || printf('%.3f', aux) END AS text FROM card""")
 def card_cells(spark, sf):
-    return rounded(cards.r2_card(b.frozen(spark, sf), b.CONTROL, b.SHOWN))
+    return rounded(cards.r2_card(b.frozen(spark, sf), b.CONTROL, b.SHOWN, vocabulary=SAMPLE))
 
 
 @query("mae_delta_card")
 def mae_delta_card(spark, sf):
     f, deltas, cell_p, average_p = _p_tables(spark, sf)
-    return rounded(cards.mae_delta_card(deltas, cell_p, average_p, cards.order_rows(f), b.SHOWN), 4)
+    return rounded(cards.mae_delta_card(deltas, cell_p, average_p, cards.order_rows(f, SAMPLE), b.SHOWN), 4)
 
 
 @query("gate_cells", f"""

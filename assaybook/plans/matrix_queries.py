@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import RECIPES, Recipe
 from ..functions import cells
 from ..functions.cells import long_cells, yeo_johnson
 from ..operators import featurize, matrix, pca, power, prescale, splits
 from ..operators.ordering import with_row_id
+from ..operators.steps import ORDER_FIX, RECIPES, ClipSpread, DropInvalid, Scale
 from ..session import stage
 from . import bindings as b
 from .catalog import query, r, rounded
@@ -68,7 +68,7 @@ def evenly_spaced(spark, sf):
     return splits.evenly_spaced(m, m.count(), 20_000).select("row_id", F.col("features")[1].alias("price"))
 
 
-# the recipe's sample size over all rows, then the train side, as SQL
+# a bounded sample over all rows, then its train side, as SQL
 _TALL_SAMPLE = f"""{_TALL_SPLIT},
 target AS (
   SELECT CAST(floor(least(greatest(0.3::DOUBLE * 128 * (SELECT count(*) FROM sides WHERE side = 'train'),
@@ -83,7 +83,7 @@ picked AS (
 WITH {b.TALL}{_TALL_SAMPLE} SELECT row_id FROM picked""")
 def fit_sample(spark, sf):
     m = b.tall_matrix(spark, sf)
-    return splits.fit_sample(m, b.split_of(spark, m, 128)).select("row_id")
+    return splits.fit_sample(m, b.split_of(spark, m, 128), 0.3, 20_000, 100_000).select("row_id")
 
 
 @query("align_keys", f"""
@@ -181,13 +181,13 @@ def imputed_moments(spark, sf):
 
 
 @query("percentiles", f"""
-WITH {b.TALL}{_TALL_SAMPLE}
+WITH {b.TALL}{_TALL_SPLIT}
 SELECT col_id, {r('quantile_cont(value, 0.01)')} AS p01, {r('quantile_cont(value, 0.99)')} AS p99
-FROM cells JOIN picked USING (row_id) WHERE {_FINITE} GROUP BY col_id""")
+FROM cells JOIN sides ON row_id // 128 = chunk_id AND side = 'train' WHERE {_FINITE} GROUP BY col_id""")
 def percentiles(spark, sf):
     m = b.tall_matrix(spark, sf)
-    sample = splits.fit_sample(m, b.split_of(spark, m, 128))
-    finite = sample.withColumn("features", F.transform("features", lambda x: F.when(cells.is_finite(x), x)))
+    train = b.split_of(spark, m, 128).train(m)
+    finite = train.withColumn("features", F.transform("features", lambda x: F.when(cells.is_finite(x), x)))
     p = F.col("percentiles")
     return rounded(matrix.percentiles(finite, [0.01, 0.99]).select(
         "col_id", p[0].alias("p01"), p[1].alias("p99")))
@@ -214,22 +214,22 @@ def _cleaned_valid(m):
 
 
 @query("winsorize", f"""
-WITH {b.TALL}{_TALL_SAMPLE}, limits AS (
+WITH {b.TALL}{_TALL_SPLIT}, limits AS MATERIALIZED (
   SELECT col_id, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi
-  FROM cells JOIN picked USING (row_id) WHERE {_FINITE} GROUP BY col_id)
+  FROM cells JOIN sides ON row_id // 128 = chunk_id AND side = 'train' WHERE {_FINITE} GROUP BY col_id)
 SELECT row_id, col_id, CASE WHEN value IS NOT NULL THEN {r('greatest(least(value, hi), lo)', 8)} END AS value
 FROM cells JOIN limits USING (col_id)""")
 def winsorize(spark, sf):
     m = b.tall_matrix(spark, sf)
-    sample = splits.fit_sample(m, b.split_of(spark, m, 128))
-    finite = sample.withColumn("features", F.transform("features", lambda x: F.when(cells.is_finite(x), x)))
+    train = b.split_of(spark, m, 128).train(m)
+    finite = train.withColumn("features", F.transform("features", lambda x: F.when(cells.is_finite(x), x)))
     cuts = matrix.percentiles(finite, [0.01, 0.99]).orderBy("col_id").collect()
     clipped = matrix.clip_columns(m, [c["percentiles"][0] for c in cuts], [c["percentiles"][1] for c in cuts])
     return _long(clipped, 8)
 
 
 @query("zscore", f"""
-WITH {b.TALL}{_TALL_SPLIT}, moments AS (
+WITH {b.TALL}{_TALL_SPLIT}, moments AS MATERIALIZED (
   SELECT col_id, avg(value) AS mean, stddev_samp(value) AS std
   FROM cells JOIN sides ON row_id // 128 = chunk_id AND side = 'train' WHERE {_FINITE} GROUP BY col_id)
 SELECT row_id, col_id, CASE WHEN {_FINITE} THEN {r('(value - mean) / std')} END AS value
@@ -274,7 +274,7 @@ def yeo_johnson_apply(spark, sf):
 @query("yeo_johnson_fit")
 def yeo_johnson_fit(spark, sf):
     m = b.tall_matrix(spark, sf)
-    return rounded(power.fit_yeo_johnson(splits.fit_sample(_cleaned(m), b.split_of(spark, m, 128))), 4)
+    return rounded(power.fit_yeo_johnson(b.split_of(spark, m, 128).train(_cleaned(m))), 4)
 
 
 @query("correlation_pairs", f"""
@@ -288,8 +288,8 @@ SELECT a.col_id AS i, c.col_id AS j,
 FROM scaled a JOIN scaled c ON a.row_id = c.row_id AND a.col_id < c.col_id GROUP BY ALL""")
 def correlation_pairs(spark, sf):
     m = b.wide_matrix(spark, sf)
-    sample = stage(splits.fit_sample(_cleaned_valid(m), b.split_of(spark, m, b.WIDE_CHUNK)), "sample")
-    pairs = matrix.correlation_pairs(sample, b.WIDTH - 1)
+    train = stage(b.split_of(spark, m, b.WIDE_CHUNK).train(_cleaned_valid(m)), "train")
+    pairs = matrix.correlation_pairs(train, b.WIDTH - 1)
     name = lambda c: F.when(F.col(c) >= 7, F.col(c) + 1).otherwise(F.col(c)).alias(c)
     return rounded(pairs.select(name("i"), name("j"), "r"), 8)
 
@@ -317,8 +317,8 @@ SELECT unnest(gone)::INTEGER AS col_id FROM scan WHERE j = 63"""
 def drop_correlated(spark, sf):
     # a low threshold, so that chains of close columns occur
     m = b.wide_matrix(spark, sf)
-    sample = stage(splits.fit_sample(_cleaned_valid(m), b.split_of(spark, m, b.WIDE_CHUNK)), "sample")
-    gone = matrix.drop_correlated(matrix.correlation_pairs(sample, b.WIDTH - 1), 0.2)
+    train = stage(b.split_of(spark, m, b.WIDE_CHUNK).train(_cleaned_valid(m)), "train")
+    gone = matrix.drop_correlated(matrix.correlation_pairs(train, b.WIDTH - 1, 0.2), 0.2)
     return spark.createDataFrame([(c + (c >= 7),) for c in gone], "col_id int")
 
 
@@ -338,23 +338,22 @@ moments AS (
   FROM shaped JOIN sides ON row_id // {b.WIDE_CHUNK} = chunk_id AND side = 'train' GROUP BY col_id)
 SELECT row_id, (col_id - CASE WHEN col_id > 7 THEN 1 ELSE 0 END)::INTEGER AS col_id,
        CASE WHEN ok THEN {r('(value - mean) / std', 5)} END AS value
-FROM shaped JOIN moments USING (col_id) WHERE col_id <> 2"""
+FROM shaped JOIN moments USING (col_id)"""
 
 
-def _prescaled(spark, sf, recipe: Recipe):
+def _prescaled(spark, sf, recipe):
     m = stage(b.wide_matrix(spark, sf), "wide")
-    return prescale.Prescaler(recipe, b.split_of(spark, m, b.WIDE_CHUNK)).fit(m).transform(m)
+    return prescale.fit_recipe(m, b.split_of(spark, m, b.WIDE_CHUNK), recipe).transform(m)
 
 
 @query("prescale_minimal", _prescaled_sql(False))
 def prescale_minimal(spark, sf):
-    # the constant column is left to the low-variance test: its spread is rounding noise
-    return _long(_prescaled(spark, sf, RECIPES["minimal"]), 5).filter("col_id <> 2")
+    return _long(_prescaled(spark, sf, RECIPES["minimal"]), 5)
 
 
 @query("prescale_order_fix", _prescaled_sql(True))
 def prescale_order_fix(spark, sf):
-    return _long(_prescaled(spark, sf, RECIPES["order_fix"]), 5).filter("col_id <> 2")
+    return _long(_prescaled(spark, sf, RECIPES["order_fix"]), 5)
 
 
 @query("prescale_full")
@@ -390,9 +389,9 @@ def prescale_drops(spark, sf):
     split = b.split_of(spark, m, b.WIDE_CHUNK)
     rows = []
     for name in ("minimal", "order_fix", "plus_drop_corr", "plus_drop_low_var"):
-        model = prescale.Prescaler(RECIPES[name], split).fit(m)
-        for reason, gone in (("invalid", model.dropped_invalid), ("correlated", model.dropped_correlated),
-                             ("low_variance", model.dropped_low_variance)):
+        model = prescale.fit_recipe(m, split, RECIPES[name], name)
+        for reason, gone in (("invalid", model.gone("invalid")), ("correlated", model.gone("correlated")),
+                             ("low_variance", model.gone("low_variance"))):
             rows += [(name, reason, int(c)) for c in gone]
     return spark.createDataFrame(rows, "recipe string, reason string, col_id int")
 
@@ -402,17 +401,17 @@ def prescale_summaries(spark, sf):
     m = stage(b.wide_matrix(spark, sf), "wide")
     split = b.split_of(spark, m, b.WIDE_CHUNK)
     out = None
-    for recipe in RECIPES.values():
-        part = prescale.Prescaler(recipe, split).fit(m).summary(spark)
+    for name, recipe in RECIPES.items():
+        part = prescale.fit_recipe(m, split, recipe, name).summary(spark)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 @query("prescale_tall", f"""
-WITH {b.TALL}{_TALL_SAMPLE}, {_CLEAN.replace('0.2::DOUBLE', '0.5::DOUBLE')}, limits AS (
+WITH {b.TALL}{_TALL_SPLIT}, {_CLEAN.replace('0.2::DOUBLE', '0.5::DOUBLE').replace('clean AS (', 'clean AS MATERIALIZED (')}, limits AS MATERIALIZED (
   SELECT col_id, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi
-  FROM clean JOIN picked USING (row_id) GROUP BY col_id),
-shaped AS (SELECT row_id, col_id, ok, greatest(least(value, hi), lo) AS value FROM clean JOIN limits USING (col_id)),
+  FROM clean JOIN sides ON row_id // 128 = chunk_id AND side = 'train' GROUP BY col_id),
+shaped AS MATERIALIZED (SELECT row_id, col_id, ok, greatest(least(value, hi), lo) AS value FROM clean JOIN limits USING (col_id)),
 moments AS (
   SELECT col_id, avg(value) AS mean, stddev_samp(value) AS std
   FROM shaped JOIN sides ON row_id // 128 = chunk_id AND side = 'train' GROUP BY col_id)
@@ -420,22 +419,21 @@ SELECT row_id, col_id, CASE WHEN ok THEN {r('(value - mean) / std', 5)} END AS v
 FROM shaped JOIN moments USING (col_id)""")
 def prescale_tall(spark, sf):
     m = b.tall_matrix(spark, sf)
-    model = prescale.Prescaler(Recipe("order_fix", max_invalid_fraction=0.5), b.split_of(spark, m, 128)).fit(m)
+    model = prescale.fit_recipe(m, b.split_of(spark, m, 128), (DropInvalid(0.5), *ORDER_FIX[1:]))
     return _long(model.transform(m), 5)
 
 
 @query("legacy_rescale", f"""
-WITH {b.TALL}{_TALL_SPLIT}, moments AS (
+WITH {b.TALL}{_TALL_SPLIT}, moments AS MATERIALIZED (
   SELECT col_id, avg(value) AS mean, stddev_samp(value) AS std
   FROM cells JOIN sides ON row_id // 128 = chunk_id AND side = 'train' WHERE {_FINITE} GROUP BY col_id)
 SELECT row_id, side, col_id,
        {r('(greatest(least(value, mean + 6 * std), mean - 6 * std) - mean) / std')} AS value
-FROM cells JOIN sides ON row_id // 128 = chunk_id JOIN moments USING (col_id) WHERE value IS NOT NULL""")
+FROM cells JOIN sides ON row_id // 128 = chunk_id JOIN moments USING (col_id)""")
 def legacy_rescale(spark, sf):
     m = b.tall_matrix(spark, sf)
     scaled = prescale.legacy_rescale(m, b.split_of(spark, m, 128))
-    return rounded(scaled.select("row_id", "side", F.posexplode("features").alias("col_id", "value"))
-                   .filter("value is not null"))
+    return rounded(scaled.select("row_id", "side", F.posexplode("features").alias("col_id", "value")))
 
 
 @query("pca_targets")
@@ -539,3 +537,31 @@ def concat_blocks(spark, sf):
     made = b.table(spark, sf, "documents").select(
         "doc_id", featurize.concat_blocks([(sizes, 2), (lines, 2)]).alias("features"))
     return made.select("doc_id", F.posexplode("features").alias("col_id", "value"))
+
+
+def _by_spread_sql(raw: bool) -> str:
+    """Clipping by spread, or scaling quantile-clipped cells with the raw moments."""
+    limits = """SELECT col_id, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM train GROUP BY col_id""" if raw else \
+        """SELECT col_id, avg(value) - 6 * stddev_samp(value) AS lo, avg(value) + 6 * stddev_samp(value) AS hi FROM train GROUP BY col_id"""
+    source = "train" if raw else "train JOIN limits USING (col_id)"
+    value = "value" if raw else "greatest(least(value, hi), lo)"
+    return f"""
+WITH {b.WIDE}{_WIDE_SPLIT}, {_CLEAN}, train AS MATERIALIZED (
+  SELECT row_id, col_id, value FROM clean JOIN sides ON row_id // {b.WIDE_CHUNK} = chunk_id AND side = 'train'),
+limits AS MATERIALIZED ({limits}),
+moments AS MATERIALIZED (
+  SELECT col_id, avg({value}) AS mean, CASE WHEN stddev_samp({value}) > 1e-12::DOUBLE THEN stddev_samp({value}) ELSE 1 END AS std
+  FROM {source} GROUP BY col_id)
+SELECT row_id, (col_id - CASE WHEN col_id > 7 THEN 1 ELSE 0 END)::INTEGER AS col_id,
+       CASE WHEN ok THEN {r('(greatest(least(value, hi), lo) - mean) / std', 5)} END AS value
+FROM clean JOIN limits USING (col_id) JOIN moments USING (col_id)"""
+
+
+@query("prescale_by_spread", _by_spread_sql(False))
+def prescale_by_spread(spark, sf):
+    return _long(_prescaled(spark, sf, (DropInvalid(), ClipSpread(), Scale())), 5)
+
+
+@query("prescale_raw_scale", _by_spread_sql(True))
+def prescale_raw_scale(spark, sf):
+    return _long(_prescaled(spark, sf, (*ORDER_FIX[:-1], Scale(raw=True))), 5)

@@ -10,6 +10,7 @@ from ..sources.readers import melt_predictions
 from ..session import stage
 from . import bindings as b
 from .catalog import query, r, rounded
+from .names import SAMPLE
 
 _KEYS = "label, recipe, endpoint"
 
@@ -103,7 +104,7 @@ scored AS (
          corr(ry, rf) AS spearman, avg(abs(y_true - m)) AS dev, count(*) AS n_test, coalesce(max(n), 0)::BIGINT AS n_train
   FROM ranked LEFT JOIN means USING ({_KEYS}) GROUP BY {_KEYS})
 SELECT label AS flavor, recipe, endpoint,
-       CASE WHEN recipe LIKE 'asap%' THEN left(recipe, length(recipe) - 3) WHEN recipe LIKE 'cyp%' THEN 'openadmet_cyp'
+       CASE WHEN recipe LIKE 'plant%' THEN left(recipe, length(recipe) - 3) WHEN recipe LIKE 'press%' THEN 'press_line'
             ELSE split_part(recipe, '_', 1) END AS dataset,
        CASE WHEN n_test >= 2 THEN {r('1 - mse / v', 4)} END AS r2, {r('sqrt(mse)', 2)} AS rmse, {r('mae', 0)} AS mae,
        {r('mse', 2)} AS mse, {r('CASE WHEN isnan(spearman) THEN NULL ELSE spearman END', 4)} AS spearman,
@@ -114,7 +115,7 @@ FROM scored LEFT JOIN pairs USING ({_KEYS})"""
 @query("tidy_metrics", _TIDY)
 def tidy_metrics(spark, sf):
     train, test = b.train_and_test(spark, sf)
-    return rounded(evaluate.tidy_metrics(stage(test, "test"), train).withColumns(
+    return rounded(evaluate.tidy_metrics(stage(test, "test"), train, SAMPLE).withColumns(
         {"rmse": F.round("rmse", 2), "mae": F.round("mae", 0), "mse": F.round("mse", 2)}), 4)
 
 

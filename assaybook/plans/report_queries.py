@@ -10,6 +10,7 @@ from ..session import stage
 from . import bindings as b
 from .card_queries import dunnett_sql
 from .catalog import query, r, rounded
+from .names import SAMPLE
 
 _ORD = "CAST(substring(flavor, 2) AS INTEGER)"
 _R2_CELLS = f"cells AS (SELECT row, flavor, avg(r2) AS value, {_ORD} AS col_ord FROM frozen GROUP BY ALL)"
@@ -45,7 +46,7 @@ def rank_columns(spark, sf):
 
 _ABLATION = f"""tagged AS (
   SELECT *, CASE WHEN starts_with(flavor, 'lr_') THEN 'reduced' ELSE 'frozen' END AS mode,
-         regexp_extract(flavor, '(f[0-9])$', 1) AS arm FROM named WHERE NOT (starts_with(flavor, 'lr_') AND recipe = 'cyp_mt')),
+         regexp_extract(flavor, '(f[0-9])$', 1) AS arm FROM named WHERE NOT (starts_with(flavor, 'lr_') AND recipe = 'press_mt')),
 shared AS (SELECT mode, dataset, endpoint, count(DISTINCT recipe) > 1 AS many FROM tagged GROUP BY ALL),
 ab AS (
   SELECT mode, dataset || ' · ' || endpoint || CASE WHEN many THEN ' (' || recipe || ')' ELSE '' END AS row, arm AS flavor, avg(r2) AS value
@@ -62,7 +63,7 @@ def ablation_ranking(spark, sf):
     reduced = F.col("flavor").startswith("lr_")
     label = F.concat(F.lit("ablation_"), F.regexp_extract("flavor", "(f[0-9]__s[0-9]+)$", 1),
                      F.when(reduced, "__reduced").otherwise(""))
-    frame = reports.ablation_frame(b.metrics(spark, sf).withColumn("flavor", label), ["cyp_mt"], ["reduced"])
+    frame = reports.ablation_frame(b.metrics(spark, sf).withColumn("flavor", label), ["press_mt"], ["reduced"], SAMPLE)
     cells = stage(reports.ablation_cells(frame, "r2", b.ARMS), "ablation")
     return rounded(reports.rank_arms(cells, "r2", ["mode"]))
 
@@ -165,7 +166,7 @@ def nearest_arm(spark, sf):
 
 
 @query("external_test_report", f"""
-WITH {b.FRAME}, phase AS (SELECT * FROM frozen WHERE recipe = 'herg_st'),
+WITH {b.FRAME}, phase AS (SELECT * FROM frozen WHERE recipe = 'gauge_st'),
 {dunnett_sql('phase', 'r2', 'recipe')}
 SELECT recipe, flavor, {r('avg(r2)')} AS r2, {r('stddev_samp(r2)')} AS r2_std, {r('avg(mae)', 4)} AS mae,
        {r('stddev_samp(mae)', 4)} AS mae_std, count(r2) AS n,
@@ -174,7 +175,7 @@ FROM phase GROUP BY recipe, flavor""")
 def external_test_report(spark, sf):
     # the p-value and its star are not in SQL; external_test_stars lists them
     m = b.metrics(spark, sf).filter(~F.col("flavor").startswith("lr_"))
-    t = reports.external_test_report(m, "herg_st", b.CONTROL)
+    t = reports.external_test_report(m, "gauge_st", b.CONTROL)
     return t.select("recipe", "flavor", F.round("r2", 6).alias("r2"), F.round("r2_std", 6).alias("r2_std"),
                     F.round("mae", 4).alias("mae"), F.round("mae_std", 4).alias("mae_std"), "n",
                     F.round("delta", 6).alias("delta"))
@@ -183,7 +184,7 @@ def external_test_report(spark, sf):
 @query("external_test_stars")
 def external_test_stars(spark, sf):
     m = b.metrics(spark, sf).filter(~F.col("flavor").startswith("lr_"))
-    return rounded(reports.external_test_report(m, "herg_st", b.CONTROL).select("flavor", "p", "star"), 4)
+    return rounded(reports.external_test_report(m, "gauge_st", b.CONTROL).select("flavor", "p", "star"), 4)
 
 
 _BOX = """q AS (SELECT flavor, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
@@ -295,6 +296,7 @@ def instant_runoff(spark, sf):
 # ---------------------------------------------------------------- stacking
 
 _FLAVORS = ("f0", "f1", "f2", "f3")
+_UNIT = ("endpoint", "seed")
 _FOLDS = f"""folds AS (
   SELECT *, ntile(5) OVER (PARTITION BY endpoint, seed ORDER BY md5('0:' || endpoint || ':' || seed || ':' || row_id), row_id) - 1 AS fold
   FROM features)"""
@@ -312,14 +314,14 @@ _PICK = "CASE winner " + " ".join(f"WHEN '{f}' THEN f_{f}" for f in _FLAVORS) +
 
 
 def _features(spark, sf):
-    return stage(stacking.stack_features(b.stack_predictions(spark, sf), _FLAVORS), "features")
+    return stage(stacking.stack_features(b.stack_predictions(spark, sf), _FLAVORS, _UNIT), "features")
 
 
 @query("stack_features", f"""
 WITH {b.STACK}
 SELECT endpoint, seed, row_id, {r('y', 4)} AS y, {', '.join(f'{r(f"f_{f}", 4)} AS f_{f}' for f in _FLAVORS)} FROM features""")
 def stack_features(spark, sf):
-    return rounded(stacking.stack_features(b.stack_predictions(spark, sf), _FLAVORS), 4)
+    return rounded(stacking.stack_features(b.stack_predictions(spark, sf), _FLAVORS, _UNIT).drop("n_flavors"), 4)
 
 
 @query("assign_folds", f"WITH {b.STACK}, {_FOLDS} SELECT endpoint, seed, row_id, fold::INTEGER AS fold FROM folds")
@@ -329,7 +331,7 @@ def folds(spark, sf):
 
 @query("best_single", f"WITH {b.STACK}, {_FOLDS}, {_SINGLE} SELECT endpoint, seed, fold::INTEGER AS fold, winner FROM winners")
 def best_single(spark, sf):
-    return stacking.best_single(assign_folds(_features(spark, sf), ["endpoint", "seed"], "row_id"), _FLAVORS)
+    return stacking.best_single(assign_folds(_features(spark, sf), ["endpoint", "seed"], "row_id"), _FLAVORS, _UNIT)
 
 
 @query("best_single_oof", f"""
@@ -337,12 +339,12 @@ WITH {b.STACK}, {_FOLDS}, {_SINGLE}
 SELECT endpoint, seed, row_id, {r(_PICK, 4)} AS single FROM folds JOIN winners USING (endpoint, seed, fold)""")
 def best_single_oof(spark, sf):
     folded = stage(assign_folds(_features(spark, sf), ["endpoint", "seed"], "row_id"), "folds")
-    return rounded(stacking.best_single_oof(folded, _FLAVORS).select("endpoint", "seed", "row_id", "single"), 4)
+    return rounded(stacking.best_single_oof(folded, _FLAVORS, _UNIT).select("endpoint", "seed", "row_id", "single"), 4)
 
 
 @query("stack_oof")
 def stack_oof(spark, sf):
-    return rounded(stacking.stack_oof(_features(spark, sf), _FLAVORS), 4)
+    return rounded(stacking.stack_oof(_features(spark, sf), _FLAVORS, _UNIT), 4)
 
 
 _SCORES = """scores AS (
@@ -388,9 +390,37 @@ def stack_wins(spark, sf):
 
 @query("stack_report")
 def stack_report(spark, sf):
-    return rounded(stacking.stack_report(b.stack_predictions(spark, sf), _FLAVORS), 4)
+    return rounded(stacking.stack_report(b.stack_predictions(spark, sf), _FLAVORS, _UNIT), 4)
 
 
 @query("stack_summary")
 def stack_summary(spark, sf):
-    return rounded(stacking.stack_summary(stacking.stack_report(b.stack_predictions(spark, sf), _FLAVORS)), 4)
+    return rounded(stacking.stack_summary(stacking.stack_report(b.stack_predictions(spark, sf), _FLAVORS, _UNIT)), 4)
+
+
+_RAGGED = _FLAVORS[:3]
+_RAGGED_UNIT = ("dataset", "recipe", "endpoint", "seed")
+
+
+def _ragged(spark, sf):
+    """Two recipes over the same items, and an endpoint that lacks an arm."""
+    pred = b.stack_predictions(spark, sf).filter("flavor <> 'f3' AND NOT (endpoint = 'LogD' AND flavor = 'f2')")
+    recipe = F.explode(F.array(F.lit("plant_mt"), F.lit("gauge_st")))
+    twice = pred.withColumn("recipe", recipe).withColumn("dataset", F.split_part("recipe", F.lit("_"), F.lit(1)))
+    return twice.withColumn("y_pred", F.when(F.col("recipe") == "gauge_st", F.col("y_pred") * 0.9).otherwise(F.col("y_pred")))
+
+
+@query("stack_ragged_flavors", f"""
+WITH {b.STACK}, recipes AS (SELECT unnest(['plant', 'gauge']) AS dataset, unnest(['plant_mt', 'gauge_st']) AS recipe, unnest([1.0, 0.9]) AS w)
+SELECT dataset, recipe, endpoint, seed, row_id, {r('y', 4)} AS y, {r('f_f0 * w', 4)} AS f_f0, {r('f_f1 * w', 4)} AS f_f1,
+       CASE WHEN endpoint <> 'LogD' THEN {r('f_f2 * w', 4)} END AS f_f2, CASE WHEN endpoint = 'LogD' THEN 2 ELSE 3 END::INTEGER AS n_flavors
+FROM features, recipes""")
+def stack_ragged_flavors(spark, sf):
+    return rounded(stacking.stack_features(_ragged(spark, sf), _RAGGED, _RAGGED_UNIT), 4)
+
+
+@query("stack_trees")
+def stack_trees(spark, sf):
+    """Forests in place of ridge regression."""
+    features = stage(stacking.stack_features(b.stack_predictions(spark, sf), _FLAVORS, ("endpoint",)), "features")
+    return rounded(stacking.stack_oof(features, _FLAVORS, ("endpoint",), k=2, estimator="rf"), 4)

@@ -120,13 +120,13 @@ def write_matrix(spark, sf):
 
 @query("write_split", f"""
 WITH {b.TALL}{b.split_sql('tall', 128)}
-SELECT row_id, c1 AS price FROM tall JOIN sides ON row_id // 128 = chunk_id WHERE side = 'val'""")
+SELECT row_id, side, c1 AS price FROM tall JOIN sides ON row_id // 128 = chunk_id""")
 def write_split(spark, sf):
     path = fresh_path(spark, "split")
     m = b.tall_matrix(spark, sf)
     writers.write_split(m, b.split_of(spark, m, 128), path)
-    # the side is a folder, so this reads the val files only
-    return spark.read.parquet(path).filter("side = 'val'").select("row_id", F.col("features")[1].alias("price"))
+    # the side is a folder, and so a partition column of what is read back
+    return spark.read.parquet(path).select("row_id", "side", F.col("features")[1].alias("price"))
 
 
 @query("save_stats", f"""

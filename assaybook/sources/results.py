@@ -9,30 +9,40 @@ from pyspark.sql import functions as F
 
 from ..operators.evaluate import tidy_metrics
 from ..session import stage
+from ..vocabulary import PLAIN, Vocabulary
 from .readers import read_npy_tree, read_result_tree, read_target_order
 
 
 def evaluate_tree(spark: SparkSession, root: str, labels: Sequence[str] | None = None,
                   truth: str = "y_test.csv", pred: str = "y_pred.npy", train: str = "y_train.csv",
-                  order: str = "target_cols.json") -> tuple[DataFrame, DataFrame]:
+                  order: str = "target_cols.json", vocabulary: Vocabulary = PLAIN) -> tuple[DataFrame, DataFrame]:
     """Score every unit of ``<root>/<label>/<recipe>/...``; returns metrics and rejected files.
 
     Truth and train files are wide CSVs, one column per endpoint. Predictions are either such a
     CSV, matched by column name, or a numpy array, whose columns follow the unit's sidecar list
-    or, without one, the truth file. Rows match by position. A unit that lacks a readable file
-    is left out of the metrics.
+    or, without one, the truth file. Rows match by position. A unit that lacks a readable file, or
+    whose predictions have another number of rows or columns than its truths, is left out of the
+    metrics and becomes a reject.
     """
     unit = ["label", "recipe"]
     wanted, bad = read_result_tree(spark, root, labels, truth)
     known, bad_train = read_result_tree(spark, root, labels, train)
     if pred.endswith(".npy"):
         made, bad_pred = read_npy_tree(spark, root, labels, pred)
+        shape = _shape(made)
         sidecar = stage(read_target_order(spark, root, order), "order")
         header = wanted.select(*unit, "position", "column").distinct()
         names = sidecar.unionByName(header.join(sidecar.select(*unit).distinct(), unit, "left_anti"))
-        made = made.join(stage(names, "names"), [*unit, "position"])
+        names = stage(names, "names")
+        columns = names.groupBy(*unit).agg(F.count("*").alias("t_cols"))
+        made = made.join(names, [*unit, "position"])
     else:
         made, bad_pred = read_result_tree(spark, root, labels, pred)
+        # columns match by name here, so only those that the truth has count
+        shape = _shape(made.join(wanted.select(*unit, "column").distinct(), [*unit, "column"], "left_semi"), "column")
+        columns = wanted.groupBy(*unit).agg(F.count_distinct("column").alias("t_cols"))
+    odd = stage(_disagreements(wanted, columns, known, shape, bad.unionByName(bad_train).unionByName(bad_pred), pred, train), "odd")
+    wanted = wanted.join(odd.select(*unit), unit, "left_anti")
     at = [*unit, "row_id", "column"]
     scored = (
         wanted.filter(F.col("value").isNotNull()).select(*at, F.col("value").alias("y_true"))
@@ -41,4 +51,33 @@ def evaluate_tree(spark: SparkSession, root: str, labels: Sequence[str] | None =
         .withColumnRenamed("column", "endpoint")
     )
     known = known.select(*unit, F.col("column").alias("endpoint"), F.col("value").alias("y"))
-    return tidy_metrics(stage(scored, "scored"), known), bad.unionByName(bad_train).unionByName(bad_pred)
+    return tidy_metrics(stage(scored, "scored"), known, vocabulary), bad.unionByName(bad_train).unionByName(bad_pred).unionByName(odd)
+
+
+def _shape(cells: DataFrame, column: str = "position") -> DataFrame:
+    """Rows and columns of each unit's long cells."""
+    return cells.groupBy("label", "recipe").agg(
+        (F.max("row_id") + 1).alias("rows"), F.count_distinct(column).alias("cols")
+    )
+
+
+def _disagreements(wanted: DataFrame, columns: DataFrame, known: DataFrame, made: DataFrame, bad: DataFrame,
+                   pred: str, train: str) -> DataFrame:
+    """Rejects of units whose files are all readable but do not fit: (label, recipe, path, error).
+
+    A unit counts if any of its three files does; one that has a reject already is left to it.
+    """
+    unit = ["label", "recipe"]
+    truth = wanted.groupBy(*unit).agg((F.max("row_id") + 1).alias("t_rows")).join(columns, unit, "left")
+    sides = truth.join(made, unit, "full").join(known.select(*unit, F.lit(True).alias("trained")).distinct(), unit, "full")
+    error = (
+        F.when(F.col("t_rows").isNull(), F.lit("no truths"))
+        .when(F.col("rows").isNull(), F.lit(f"no {pred}"))
+        .when(F.col("trained").isNull(), F.lit(f"no {train}"))
+        .when(F.col("rows") != F.col("t_rows"), F.format_string("%d rows of predictions for %d of truths", "rows", "t_rows"))
+        .when(F.col("cols") != F.col("t_cols"), F.format_string("%d columns of predictions for %d of truths", "cols", "t_cols"))
+    )
+    return (
+        sides.join(bad.select(*unit).distinct(), unit, "left_anti")
+        .select(*unit, F.lit(None).cast("string").alias("path"), error.alias("error")).filter("error IS NOT NULL")
+    )

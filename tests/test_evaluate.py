@@ -93,3 +93,15 @@ def test_rae_and_tidy(spark, pred):
     assert got["hot"]["n_train"] == 10 and got["hot"]["dataset"] == "r"
     assert got["flat"]["rae"] is None and got["mid"]["rae"] is None and got["mid"]["n_train"] == 0
     assert set(got) == {"hot", "mid", "two", "one", "flat"}
+
+
+def test_a_missing_prediction_leaves_every_statistic(spark):
+    rows = [("f", "r_st", "e", float(y), p) for y, p in ((1, 1.0), (2, None), (3, 2.0), (5, 4.0))]
+    df = spark.createDataFrame(rows, "label string, recipe string, endpoint string, y_true double, y_pred double")
+    got = evaluate.regression_metrics(df).first()
+    assert got["n_test"] == 3 and got["mse"] == pytest.approx(2 / 3)
+    y, p = np.array([1, 3, 5.0]), np.array([1, 2, 4.0])
+    assert got["r2"] == pytest.approx(1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+    assert evaluate.missing_predictions(df).first()["n_missing"] == 1
+    train = spark.createDataFrame([("f", "r_st", "e", 0.0)], "label string, recipe string, endpoint string, y double")
+    assert evaluate.rae(df, train).first()["rae"] == pytest.approx((2 / 3) / 3)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaybook.functions import labels, text
+from assaybook.plans.names import SAMPLE
 
 
 def apply(spark, values, fn, schema="s string"):
@@ -35,14 +36,20 @@ def test_mode_prefix(spark):
 def test_namespaces(spark):
     assert apply(spark, ["ablation_full__s1", "full", "ablation_x"], labels.ablation_name) == ["full", "full", "x"]
     assert apply(spark, ["ext__a", "a"], lambda c: labels.strip_prefix(c, "ext__")) == ["a", "a"]
-    assert apply(spark, ["bb_cyp_mt", "cyp"], lambda c: labels.endpoint_of_template(c, "bb")) == ["cyp_mt", "cyp"]
+    assert apply(spark, ["bb_press_mt", "press"], lambda c: labels.endpoint_of_template(c, "bb")) == ["press_mt", "press"]
     assert apply(spark, ["frozen", "unlocked"], lambda c: labels.baseline_label("ctl", c)) == ["ctl", "ctl_unlocked"]
 
 
 def test_dataset_rules(spark):
-    made = ["asap_potency_mt", "asap_mt", "asap", "cyp1a2_st", "cyp_mt", "cypher_x", "herg", "new_thing_st"]
-    assert apply(spark, made, labels.dataset_of) == [
-        "asap_potency", "asap", "asap", "openadmet_cyp", "openadmet_cyp", "cypher", "herg", "new"]
+    made = ["plant_potency_mt", "plant_mt", "plant", "press1_st", "press_mt", "presser_x", "gauge", "new_thing_st"]
+    assert apply(spark, made, lambda c: labels.dataset_of(c, SAMPLE)) == [
+        "plant_potency", "plant", "plant", "press_line", "press_line", "presser", "gauge", "new"]
+
+
+def test_an_empty_vocabulary_names_nothing(spark):
+    assert apply(spark, ["plant_mt", "gauge"], labels.dataset_of) == ["plant", "gauge"]
+    assert apply(spark, ["plant · LOG_rate_A"], text.row_label) == ["LOG rate A"]
+    assert apply(spark, ["plant"], text.group_label) == ["plant\n(cluster)"]
 
 
 def test_texts(spark):
@@ -52,7 +59,7 @@ def test_texts(spark):
         "+12%\np=0.200", "-3%\np=0.200", ""]
     assert apply(spark, [1.5], lambda c: text.change_text(c, F.lit(None).cast("double")), "s double") == ["+2%"]
     assert apply(spark, [0.5], lambda c: text.mean_text(c, F.lit(0.01)), "s double") == ["0.500\n±0.010"]
-    rows = ["asap · LOG_CLint_HLM", "chembl · LOG_CLint_HLM (chembl_mt)", "pxr · PXR_pEC50", "new · my_end", "AVERAGE"]
-    assert apply(spark, rows, text.row_label) == [
-        "CLint HLM", "CLint HLM (chembl mt)", "Octant (cluster) PXR pEC50", "my end", "AVERAGE"]
-    assert apply(spark, ["asap", "herg", "other"], text.group_label) == ["ASAP\n(predefined)", "", "other\n(cluster)"]
+    rows = ["plant · LOG_rate_A", "lab · LOG_rate_A (lab_mt)", "dock · flow_x", "new · my_end", "AVERAGE"]
+    assert apply(spark, rows, lambda c: text.row_label(c, SAMPLE)) == [
+        "rate A", "rate A (lab mt)", "dock (cluster) flow x", "my end", "AVERAGE"]
+    assert apply(spark, ["plant", "gauge", "other"], lambda c: text.group_label(c, SAMPLE)) == ["Plant\n(predefined)", "", "other\n(cluster)"]

@@ -2,24 +2,31 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assaybook.config import RECIPES, Recipe, get_recipe
-from assaybook.operators import matrix, power, prescale
+from assaybook.operators import blocks, matrix, power, prescale, steps
 from assaybook.operators.splits import chunk_split
+from assaybook.operators.steps import RECIPES
 
-N, CHUNK = 1280, 32
+N, CHUNK = 1500, 25
+
+
+# what each column of the fixture is there for
+PLAIN, TWIN, HEAVY, FLAT, HOLES, LIMITS, EMPTY, SPARSE, SKEWED, OTHER, WIDE = range(11)
+BLANK = 777                                     # a row that failed throughout
 
 
 def raw_matrix():
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(N, 8))
-    x[:, 1] = x[:, 0] + rng.normal(scale=1e-3, size=N)
-    x[:, 2] = 3.14
-    x[:50, 3] = np.nan
-    x[60:65, 4], x[70:75, 4] = np.inf, -np.inf
-    x[:, 5] *= 100
-    x[0, 5] = 1e6
-    x[:, 7] = np.nan
-    x[200] = np.nan
+    rng = np.random.default_rng(20240607)
+    x = rng.uniform(-2, 2, size=(N, 11))
+    x[:, TWIN] = 7 - 3 * x[:, PLAIN] + rng.uniform(-1e-4, 1e-4, size=N)
+    x[:, HEAVY] = rng.standard_t(2, size=N)
+    x[:, FLAT] = -0.625
+    x[rng.choice(N, 90, replace=False), HOLES] = np.nan
+    x[410:418, LIMITS], x[903, LIMITS] = -np.inf, np.inf
+    x[:, EMPTY] = np.nan
+    x[: N // 2, SPARSE] = np.nan                # half missing: beyond the default share
+    x[:, SKEWED] = rng.gamma(1.5, 4.0, size=N)
+    x[:, WIDE] = rng.integers(-3, 4, size=N) * 1e5
+    x[BLANK] = np.nan
     return x
 
 
@@ -42,96 +49,133 @@ def setup(spark):
     return x, split, df, np.sort(train)
 
 
+def fit(df, split, recipe):
+    return prescale.fit_recipe(df, split, recipe)
+
+
+def has(recipe, step):
+    return any(isinstance(s, step) for s in recipe)
+
+
 @pytest.mark.parametrize("name", list(RECIPES))
 def test_missing_stays_missing(setup, name):
     x, split, df, _ = setup
-    model = prescale.Prescaler(RECIPES[name], split).fit(df)
-    out = back(model.transform(df))
-    kept = model.columns.keep
-    assert 7 in model.dropped_invalid and 7 not in kept
+    model = fit(df, split, RECIPES[name])
+    out, kept = back(model.transform(df)), model.columns.keep
+    assert model.gone("invalid") == [EMPTY, SPARSE]
     assert (np.isfinite(out) == np.isfinite(x[:, kept])).all()
-    assert np.isnan(out[200]).all()
-    r = RECIPES[name]
-    assert (1 in model.dropped_correlated) == r.drop_correlated
-    assert (2 in model.dropped_low_variance) == r.drop_low_variance
-
-
-def reference(x, train, recipe):
-    """Straight numpy account of a recipe without correlation, power or variance steps."""
-    finite = np.isfinite(x)
-    keep = np.flatnonzero(((~finite).mean(0) <= 0.2) & finite.any(0))
-    x = x[:, keep]
-    hi = np.where(np.isfinite(x), x, -np.inf).max(0)
-    lo = np.where(np.isfinite(x), x, np.inf).min(0)
-    c = np.where(np.isnan(x), 0, x)
-    c = np.where(np.isposinf(c), hi, np.where(np.isneginf(c), lo, c))
-    if recipe.winsorize and recipe.winsorize_by == "percentile":
-        c = np.clip(c, *np.percentile(c[train], [1, 99], axis=0))
-    elif recipe.winsorize:
-        m, s = c[train].mean(0), c[train].std(0, ddof=1)
-        c = np.clip(c, m - 6 * s, m + 6 * s)
-    m, s = c[train].mean(0), c[train].std(0, ddof=1)
-    z = (c - m) / np.where(s > 0, s, 1)
-    z[~np.isfinite(x)] = np.nan
-    return keep, z
-
-
-@pytest.mark.parametrize("recipe", [RECIPES["minimal"], RECIPES["order_fix"], Recipe("std", winsorize_by="std")])
-def test_values_equal_numpy(setup, recipe):
+    assert np.isnan(out[BLANK]).all()
+    assert (TWIN in model.gone("correlated")) == has(RECIPES[name], steps.DropCorrelated)
+    assert (FLAT in model.gone("low_variance")) == has(RECIPES[name], steps.DropFlat)
+
+
+def in_numpy(x, train, clip):
+    """A recipe without correlation, power or variance steps, told in numpy; ``clip`` gives its limits."""
+    known = np.isfinite(x)
+    keep = np.flatnonzero((known.sum(0) >= 0.8 * len(x)) & known.any(0))
+    masked = np.ma.masked_invalid(x[:, keep])
+    c = np.nan_to_num(x[:, keep], nan=0.0, posinf=np.inf, neginf=-np.inf)
+    c = np.minimum(np.maximum(c, masked.min(0).filled()), masked.max(0).filled())
+    c = np.where(np.isnan(x[:, keep]), 0.0, c)
+    limits = clip(c[train]) if clip else (-np.inf, np.inf)
+    c = np.clip(c, *limits)
+    spread = c[train].std(0, ddof=1)
+    z = (c - c[train].mean(0)) / np.where(spread > 1e-9, spread, 1)
+    return keep, np.where(known[:, keep], z, np.nan)
+
+
+def quantile_limits(c):
+    return np.quantile(c, 0.01, axis=0), np.quantile(c, 0.99, axis=0)
+
+
+def spread_limits(c):
+    return c.mean(0) - 6 * c.std(0, ddof=1), c.mean(0) + 6 * c.std(0, ddof=1)
+
+
+BY_SPREAD = (steps.DropInvalid(), steps.ClipSpread(), steps.Scale())
+
+
+@pytest.mark.parametrize("recipe, clip", [(RECIPES["minimal"], None), (RECIPES["order_fix"], quantile_limits), (BY_SPREAD, spread_limits)])
+def test_values_equal_numpy_over_all_train_rows(setup, recipe, clip):
     x, split, df, train = setup
-    keep, want = reference(x, train, recipe)
-    model = prescale.Prescaler(recipe, split).fit(df)
+    keep, want = in_numpy(x, train, clip)
+    model = fit(df, split, recipe)
     assert model.columns.keep.tolist() == keep.tolist()
-    steady = keep != 2                                     # the constant's spread is rounding
-    np.testing.assert_allclose(back(model.transform(df))[:, steady], want[:, steady], atol=1e-8)
+    np.testing.assert_allclose(back(model.transform(df)), want, atol=1e-7)
 
 
 def test_raw_zscore(setup):
     x, split, df, train = setup
-    model = prescale.Prescaler(Recipe("raw", zscore_on="raw"), split).fit(df)
-    plain = prescale.Prescaler(Recipe("none", zscore=False), split).fit(df)
-    clipped, scaled = back(plain.transform(df)), back(model.transform(df))
-    np.testing.assert_allclose(scaled[:, 0], (clipped[:, 0] - model.columns.mean[0]) / model.columns.std[0])
-    np.testing.assert_allclose(model.columns.mean[0], np.nan_to_num(x[train, 0]).mean())
+    clipped = (steps.DropInvalid(), steps.ClipQuantiles())
+    model = fit(df, split, (*clipped, steps.Scale(raw=True)))
+    plain = back(fit(df, split, clipped).transform(df))
+    raw = np.nan_to_num(x[train, PLAIN])
+    np.testing.assert_allclose(back(model.transform(df))[:, 0], (plain[:, 0] - raw.mean()) / raw.std(ddof=1), atol=1e-9)
 
 
-def test_no_leakage_from_validation(spark, setup):
+def test_validation_rows_leave_train_rows_alone(spark, setup):
     x, split, df, train = setup
     changed = x.copy()
-    val = np.setdiff1d(np.arange((split.n_chunks - 1) * CHUNK), train)
-    changed[val] = 1e4
-    a = back(prescale.Prescaler(RECIPES["order_fix"], split).fit(df).transform(df))
-    other = frame(spark, changed)
-    model = prescale.Prescaler(RECIPES["order_fix"], split).fit(other)
-    ok = train[np.isfinite(x[train]).all(axis=1) | True]
-    b = back(model.transform(other))
-    cols = [0, 1, 3, 5, 6]                # infinite cells take their value from all rows by design
-    keep = model.columns.keep.tolist()
-    np.testing.assert_allclose(a[np.ix_(ok, [keep.index(c) for c in cols])],
-                               b[np.ix_(ok, [keep.index(c) for c in cols])], atol=1e-9)
-
-
-def test_all_invalid_is_an_error(spark, setup):
+    changed[np.setdiff1d(np.arange((split.n_chunks - 1) * CHUNK), train)] = -321.0
+    ours, other = fit(df, split, RECIPES["order_fix"]), fit(frame(spark, changed), split, RECIPES["order_fix"])
+    # infinite cells take their value from all rows by design, and so do the shares of missing cells
+    shared = [c for c in ours.columns.keep if c in other.columns.keep and c != LIMITS]
+    a = back(ours.transform(df))[:, [list(ours.columns.keep).index(c) for c in shared]]
+    b = back(other.transform(frame(spark, changed)))[:, [list(other.columns.keep).index(c) for c in shared]]
+    np.testing.assert_allclose(a[train], b[train], atol=1e-9)
+
+
+def test_all_invalid_is_an_error(setup):
     _, split, df, _ = setup
     gone = df.withColumn("features", F.transform("features", lambda v: F.lit(None).cast("double")))
     with pytest.raises(ValueError):
-        prescale.Prescaler(RECIPES["minimal"], split).fit(gone)
+        fit(gone, split, RECIPES["minimal"])
 
 
 def test_recipes():
     assert list(RECIPES) == ["minimal", "order_fix", "plus_drop_corr", "plus_drop_low_var", "plus_yeo_johnson", "full"]
     with pytest.raises(KeyError):
-        get_recipe("nope")
-    with pytest.raises(ValueError):
-        Recipe("x", winsorize_by="magic")
+        steps.get_recipe("nope")
 
 
 def test_summary_and_stats(spark, setup):
     _, split, df, _ = setup
-    model = prescale.Prescaler(RECIPES["full"], split).fit(df)
+    model = prescale.fit_recipe(df, split, RECIPES["full"], "full")
     row = model.summary(spark).first()
-    assert row["n_cols_in"] == 8 and row["n_cols_out"] == len(model.columns.keep) == model.column_stats(spark).count()
-    assert (row["dropped_invalid"], row["dropped_correlated"], row["dropped_low_variance"]) == ([7], [1], [2])
+    assert row["name"] == "full" and row["n_cols_in"] == 11
+    assert row["n_cols_out"] == len(model.columns.keep) == model.column_stats(spark).count()
+    assert (row["dropped_invalid"], row["dropped_correlated"], row["dropped_low_variance"]) == ([EMPTY, SPARSE], [TWIN], [FLAT])
+
+
+def test_block_statistics_equal_numpy(spark, setup):
+    x, _, df, _ = setup
+    good = np.where(np.isfinite(x), x, np.nan)
+    stats = matrix.masked_moments(df).orderBy("col_id").collect()
+    for j, r in enumerate(stats):
+        own = good[~np.isnan(good[:, j]), j]
+        assert r["n"] == len(own)
+        if len(own) > 1:
+            assert r["mean"] == pytest.approx(own.mean(), rel=1e-9, abs=1e-12) and r["std"] == pytest.approx(own.std(ddof=1), rel=1e-9, abs=1e-12)
+    profile = {r["col_id"]: r for r in matrix.profile_columns(df).collect()}
+    assert profile[EMPTY]["col_min"] is None and profile[EMPTY]["invalid"] == N
+    assert profile[LIMITS]["invalid"] == 10 and profile[LIMITS]["col_max"] == np.nanmax(good[:, LIMITS])
+
+
+def test_quantiles_narrow_to_the_exact_ones(spark, setup, monkeypatch):
+    x, _, df, _ = setup
+    finite = frame(spark, np.where(np.isfinite(x), x, np.nan))
+    want = np.nanquantile(np.where(np.isfinite(x), x, np.nan)[:, :EMPTY], [0, 0.013, 0.5, 1], axis=0)
+    for fetched in (matrix.FETCHED, 1):                   # with one cell a bracket, all the narrowing passes run
+        monkeypatch.setattr(matrix, "FETCHED", fetched)
+        got = matrix.block_quantiles(finite, 11, [0, 0.013, 0.5, 1])
+        np.testing.assert_allclose(got[:, :EMPTY], want, rtol=1e-12)
+        assert np.isnan(got[:, EMPTY]).all()
+
+
+def test_ragged_rows_are_an_error(spark):
+    ragged = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [1.0] * 5)], "row_id long, features array<double>").coalesce(1)
+    with pytest.raises(Exception, match="cells, not"):
+        blocks.map_blocks(ragged, lambda x: x, 4).collect()
 
 
 def test_legacy(setup):
@@ -144,10 +188,11 @@ def test_legacy(setup):
     mean, std = np.nanmean(finite, 0), np.nanstd(finite, 0, ddof=1)
     with np.errstate(all="ignore"):
         want = (np.clip(x[rows], mean - 6 * std, mean + 6 * std) - mean) / std
-    for c in (0, 3, 4, 5):
+    for c in (PLAIN, HEAVY, HOLES, LIMITS, SPARSE):
         np.testing.assert_allclose(got[:, c], want[:, c], atol=1e-8)
-    assert np.isfinite(got[60:65, 4][np.isin(np.arange(60, 65), rows)]).all()   # infinite cells become limits
-    assert np.isnan(got[:, 2]).all() and np.isnan(got[:, 7]).all()             # no spread, no value
+    at = np.array(rows)
+    assert np.isfinite(got[(at >= 410) & (at < 418), LIMITS]).all()             # infinite cells become limits
+    assert np.isnan(got[:, FLAT]).all() and np.isnan(got[:, EMPTY]).all()       # no spread, no value
 
 
 def test_greedy_correlation_drop(spark):
@@ -187,3 +232,6 @@ def test_align(spark, setup):
         matrix.align(keys.filter("row_id < 5"), df)
     with pytest.raises(ValueError):
         matrix.align(keys.withColumn("row_id", F.col("row_id") + 1), df)
+    twice = spark.createDataFrame([(i, [0.0]) for i in (0, 0, 3, 3)], "row_id long, features array<double>")
+    with pytest.raises(ValueError):                        # as many rows, the same last id and the same sum
+        matrix.align(keys.filter("row_id < 4"), twice)

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from assaybook.operators import cards, reports
+from assaybook.plans.names import SAMPLE
 from test_cards import SCHEMA, frame, tidy_rows  # noqa: F401
 
 
@@ -63,7 +64,7 @@ def test_control(spark):
 
 def test_external(spark):
     got = reports.external_test_report(spark.createDataFrame([("ns__" + r[0], *r[1:]) for r in tidy_rows()], SCHEMA),
-                                       "herg_st", "ctl", prefix="ns__").collect()
+                                       "gauge_st", "ctl", prefix="ns__").collect()
     assert [r["flavor"] for r in got][0] == "better" and got[-1]["flavor"] == "worse"
     star = {r["flavor"]: r["star"] for r in got}
     assert star == {"better": True, "worse": True, "equal": False, "ctl": False}
@@ -100,11 +101,11 @@ def test_holm_variance_depth_runoff(spark):
 
 def test_ablation_scope(spark):
     rows = [(f"ablation_{arm}__s{s}{m}", r, "x", v, 1.0) for arm, v in (("full", 0.4), ("minimal", 0.2)) for s in (1, 2)
-            for m in ("", "__reduced") for r in ("cyp_mt", "cyp1a2_st")] + [("ctl__s1", "cyp_mt", "x", 0.3, 1.0)]
+            for m in ("", "__reduced") for r in ("press_mt", "press1_st")] + [("ctl__s1", "press_mt", "x", 0.3, 1.0)]
     df = spark.createDataFrame(rows, SCHEMA)
-    frame_ = reports.ablation_frame(df, ["cyp_mt"], ["reduced"])
+    frame_ = reports.ablation_frame(df, ["press_mt"], ["reduced"], SAMPLE)
     got = {(r["mode"], r["row"]) for r in frame_.select("mode", "row").distinct().collect()}
-    assert got == {("frozen", "openadmet_cyp · x (cyp_mt)"), ("frozen", "openadmet_cyp · x (cyp1a2_st)"), ("reduced", "openadmet_cyp · x")}
+    assert got == {("frozen", "press_line · x (press_mt)"), ("frozen", "press_line · x (press1_st)"), ("reduced", "press_line · x")}
     cells = reports.ablation_cells(frame_, "r2", ["minimal", "full"])
     ranked = [(r["mode"], r["flavor"], r["wins"]) for r in reports.rank_arms(cells, "r2", ["mode"]).collect()]
     assert ranked == [("frozen", "full", 2), ("frozen", "minimal", 0), ("reduced", "full", 1), ("reduced", "minimal", 0)]

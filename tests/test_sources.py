@@ -3,12 +3,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from assaybook.config import RECIPES
 from assaybook.operators import keys
-from assaybook.operators.prescale import Prescaler
+from assaybook.operators.prescale import fit_recipe
+from assaybook.operators.steps import RECIPES
 from assaybook.operators.splits import chunk_split
 from assaybook.sources import readers, writers
-from test_prescale import frame, raw_matrix
+from test_prescale import CHUNK, N, frame, raw_matrix
 
 
 def test_read_keys(spark, tmp_path):
@@ -70,14 +70,14 @@ def test_result_tree(spark, tmp_path):
         os.makedirs(d)
         (d / "y_test.csv").write_text(text)
 
-    unit("f__s1", "cyp_mt", 'a,"b,c"\n1.0,\n2.5,"3"\n\n,4\n')
-    unit("f__s2", "herg_st", "a\n7\n")
+    unit("f__s1", "press_mt", 'a,"b,c"\n1.0,\n2.5,"3"\n\n,4\n')
+    unit("f__s2", "gauge_st", "a\n7\n")
     unit("f__s1", "broken_st", "a\n1,2,3\n")
     unit("f__s1", "empty_st", "")
     good, rejects = readers.read_result_tree(spark, str(tmp_path / "results"))
     got = sorted((r["label"], r["recipe"], r["row_id"], r["column"], r["value"]) for r in good.collect() if r["value"] is not None)
-    assert got == [("f__s1", "cyp_mt", 0, "a", 1.0), ("f__s1", "cyp_mt", 1, "a", 2.5), ("f__s1", "cyp_mt", 1, "b,c", 3.0),
-                   ("f__s1", "cyp_mt", 2, "b,c", 4.0), ("f__s2", "herg_st", 0, "a", 7.0)]
+    assert got == [("f__s1", "press_mt", 0, "a", 1.0), ("f__s1", "press_mt", 1, "a", 2.5), ("f__s1", "press_mt", 1, "b,c", 3.0),
+                   ("f__s1", "press_mt", 2, "b,c", 4.0), ("f__s2", "gauge_st", 0, "a", 7.0)]
     assert sorted((r["recipe"], r["error"]) for r in rejects.collect()) == [
         ("broken_st", "1 rows are wider than the header"), ("empty_st", "empty file")]
     only, _ = readers.read_result_tree(spark, str(tmp_path / "results"), ["f__s2"])
@@ -96,31 +96,31 @@ def test_melt(spark):
 def test_matrix_round_trip(spark, tmp_path):
     df = frame(spark, raw_matrix())
     path = str(tmp_path / "m")
-    writers.write_matrix(df, path, 32)
+    writers.write_matrix(df, path, CHUNK)
     with pytest.raises(Exception, match="(?i)exist"):
-        writers.write_matrix(df, path, 32)
-    writers.write_matrix(df, path, 32, force=True)
+        writers.write_matrix(df, path, CHUNK)
+    writers.write_matrix(df, path, CHUNK, force=True)
     back = spark.read.parquet(path)
-    assert back.count() == 1280 and back.select("chunk_id").distinct().count() == 40
-    split = chunk_split(spark, 1280, 32)
+    assert back.count() == N and back.select("chunk_id").distinct().count() == 60
+    split = chunk_split(spark, N, CHUNK)
     writers.write_split(df, split, str(tmp_path / "s"))
     assert sorted(d for d in os.listdir(tmp_path / "s") if d.startswith("side")) == ["side=train", "side=val"]
-    model = Prescaler(RECIPES["order_fix"], split).fit(df)
+    model = fit_recipe(df, split, RECIPES["order_fix"])
     writers.save_stats(model.column_stats(spark), str(tmp_path / "stats"))
-    assert spark.read.parquet(str(tmp_path / "stats")).count() == 7
-    assert readers.row_count(spark, path) == 1280
+    assert spark.read.parquet(str(tmp_path / "stats")).count() == 9
+    assert readers.row_count(spark, path) == N
 
 
 def test_shards_and_orphans(spark, tmp_path):
     df = frame(spark, raw_matrix())
     paths = []
     for s in range(2):
-        part = df.filter(F.col("row_id").between(s * 640, s * 640 + 639)).withColumn("row_id", F.col("row_id") - s * 640)
+        part = df.filter(F.col("row_id").between(s * 750, s * 750 + 749)).withColumn("row_id", F.col("row_id") - s * 750)
         paths.append(str(tmp_path / f"shard{s}"))
         writers.write_matrix(part, paths[-1])
-    merged = readers.merge_shards(spark, paths, 1280, 8)
-    assert sorted(r[0] for r in merged.select("row_id").collect()) == list(range(1280))
-    for bad in ((paths, 1281, 8), (paths, 1280, 9)):
+    merged = readers.merge_shards(spark, paths, N, 11)
+    assert sorted(r[0] for r in merged.select("row_id").collect()) == list(range(N))
+    for bad in ((paths, N + 1, 11), (paths, N, 12)):
         with pytest.raises(ValueError):
             readers.merge_shards(spark, *bad)
     dead = df.withColumn("features", F.transform("features", lambda x: F.lit(float("inf"))))
@@ -131,7 +131,7 @@ def test_shards_and_orphans(spark, tmp_path):
 
 def test_metrics_table(spark, tmp_path):
     path = str(tmp_path / "metrics")
-    rows = [("f__s1", "herg", "herg_st", "a", 0.5, 1.0, 0.5, 1.0, None, 0.2, None, 10, 90)]
+    rows = [("f__s1", "gauge", "gauge_st", "a", 0.5, 1.0, 0.5, 1.0, None, 0.2, None, 10, 90)]
     writers.write_table(spark.createDataFrame(rows, readers.METRICS_SCHEMA), path)
     assert [tuple(r) for r in readers.read_metrics(spark, path).collect()] == rows
     with pytest.raises(ValueError):
@@ -166,23 +166,43 @@ def test_evaluate_tree(spark, tmp_path):
 
     import numpy as np
 
-    unit("f__s1", "herg_st", y_test="a,b\n1,\n2,5\n4,6\n", y_pred="b,a\n0,1\n5,3\n7,4\n", y_train="a,b\n0,1\n,3\n2,2\n")
-    unit("f__s2", "herg_st", y_test="a\n1\n", y_train="a\n1\n")                       # no predictions
-    unit("f__s3", "herg_st", y_test="a\n1\n", y_train="a\n1\n")
+    unit("f__s1", "gauge_st", y_test="a,b\n1,\n2,5\n4,6\n", y_pred="b,a\n0,1\n5,3\n7,4\n", y_train="a,b\n0,1\n,3\n2,2\n")
+    unit("f__s2", "gauge_st", y_test="a\n1\n", y_train="a\n1\n")                       # no predictions
+    unit("f__s3", "gauge_st", y_test="a\n1\n", y_train="a\n1\n")
     arrays = tmp_path / "r"
-    np.save(arrays / "f__s1" / "herg_st" / "data" / "y_pred.npy", np.array([[0.0, 1], [5, 3], [7, 4]]))
-    (arrays / "f__s1" / "herg_st" / "data" / "target_cols.json").write_text('["b", "a"]')
-    (arrays / "f__s3" / "herg_st" / "data" / "y_pred.npy").write_bytes(b"broken")
+    np.save(arrays / "f__s1" / "gauge_st" / "data" / "y_pred.npy", np.array([[0.0, 1], [5, 3], [7, 4]]))
+    (arrays / "f__s1" / "gauge_st" / "data" / "target_cols.json").write_text('["b", "a"]')
+    (arrays / "f__s3" / "gauge_st" / "data" / "y_pred.npy").write_bytes(b"broken")
     for pred in ("y_pred.csv", "y_pred.npy"):
         metrics, rejects = evaluate_tree(spark, str(arrays), pred=pred)
         got = {r["endpoint"]: r for r in metrics.collect()}
         assert set(got) == {"a", "b"}
         a = got["a"]
-        assert (a["flavor"], a["dataset"], a["n_test"], a["n_train"]) == ("f__s1", "herg", 3, 2)
+        assert (a["flavor"], a["dataset"], a["n_test"], a["n_train"]) == ("f__s1", "gauge", 3, 2)
         assert a["mae"] == pytest.approx(1 / 3) and a["rae"] == pytest.approx((1 / 3) / (4 / 3)) and a["spearman"] == pytest.approx(1.0)
         assert got["b"]["n_test"] == 2 and got["b"]["mse"] == pytest.approx(0.5)
-    assert [r["label"] for r in rejects.collect()] == ["f__s3"]
+    assert {r["label"]: r["error"] for r in rejects.collect()} == {"f__s2": "no y_pred.npy", "f__s3": "ValueError"}
     # without the sidecar the truth file's own column order counts
-    (arrays / "f__s1" / "herg_st" / "data" / "target_cols.json").unlink()
+    (arrays / "f__s1" / "gauge_st" / "data" / "target_cols.json").unlink()
     swapped = {r["endpoint"]: r["mae"] for r in evaluate_tree(spark, str(arrays))[0].collect()}
     assert swapped["a"] == pytest.approx((1 + 3 + 3) / 3)
+
+
+def test_predictions_of_another_shape_are_rejected(spark, tmp_path):
+    """Fewer predictions than truths must not pass as a score over those that match."""
+    import numpy as np
+
+    from assaybook.sources.results import evaluate_tree
+
+    for label, shape in (("short", (6, 1)), ("wide", (10, 2)), ("right", (10, 1)), ("untrained", (10, 1))):
+        d = tmp_path / "t" / label / "gauge_st"
+        os.makedirs(d)
+        (d / "y_test.csv").write_text("a\n" + "".join(f"{i}\n" for i in range(10)))
+        if label != "untrained":
+            (d / "y_train.csv").write_text("a\n1\n2\n")
+        np.save(d / "y_pred.npy", np.arange(shape[0] * shape[1], dtype=float).reshape(shape))
+    metrics, rejects = evaluate_tree(spark, str(tmp_path / "t"))
+    assert [(r["flavor"], r["n_test"], r["r2"]) for r in metrics.collect()] == [("right", 10, 1.0)]
+    assert {r["label"]: r["error"] for r in rejects.collect()} == {
+        "short": "6 rows of predictions for 10 of truths", "wide": "2 columns of predictions for 1 of truths",
+        "untrained": "no y_train.csv"}

@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assaybook.config import Recipe
 from assaybook.operators import splits
 
 
@@ -63,8 +62,7 @@ def test_evenly_spaced(spark):
 def test_fit_sample_is_train_only(spark):
     df = spark.range(5000).withColumnRenamed("id", "row_id")
     split = splits.chunk_split(spark, 5000, 100)
-    recipe = Recipe("x", sample_min_rows=500, sample_max_rows=1000)
-    got = [r[0] for r in splits.fit_sample(df, split, recipe).collect()]
+    got = [r[0] for r in splits.fit_sample(df, split, 0.3, 500, 1000).collect()]
     train, _, _ = sides(spark, split)
     assert sorted(got) == [i for i in range(0, 5000, 5) if i // 100 in train][:1000]
 

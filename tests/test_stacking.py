@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from assaybook.operators import stacking
 
 FLAVORS = ["good", "noise", "absent"]
+UNIT = ("endpoint", "seed")
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +23,7 @@ def pred(spark):
 def test_features_keep_seeds_apart(pred):
     flavors = stacking.present_flavors(pred, FLAVORS)
     assert flavors == ["good", "noise"]
-    f = stacking.stack_features(pred, flavors)
+    f = stacking.stack_features(pred, flavors, UNIT)
     assert {(r["seed"], r["count"]) for r in f.filter("endpoint = 'e'").groupBy("seed").count().collect()} == {(0, 40), (1, 55)}
     with pytest.raises(ValueError):
         stacking.present_flavors(pred.filter("flavor = 'good'"), FLAVORS)
@@ -34,8 +35,8 @@ def r2(y, f):
 
 def test_ridge_and_best_single_equal_brute_force(pred):
     flavors = ["good", "noise"]
-    folded = stacking.assign_folds(stacking.stack_features(pred, flavors), ["endpoint", "seed"], "row_id").cache()
-    got = {r["seed"]: r for r in stacking.stack_oof(stacking.stack_features(pred, flavors), flavors, alpha=1.0).collect()}
+    folded = stacking.assign_folds(stacking.stack_features(pred, flavors, UNIT), ["endpoint", "seed"], "row_id").cache()
+    got = {r["seed"]: r for r in stacking.stack_oof(stacking.stack_features(pred, flavors, UNIT), flavors, UNIT, alpha=1.0).collect()}
     assert set(got) == {0, 1}                               # the one-row endpoint has no folds
     for seed in (0, 1):
         rows = folded.filter((F.col("seed") == seed) & (F.col("endpoint") == "e")).collect()
@@ -59,7 +60,7 @@ def test_ridge_and_best_single_equal_brute_force(pred):
 
 
 def test_report_averages_scores(pred):
-    report = stacking.stack_report(pred, FLAVORS)
+    report = stacking.stack_report(pred, FLAVORS, UNIT)
     row = report.filter("endpoint = 'e'").first()
     assert row["n_seeds"] == 2 and row["n_flavors"] == 2 and row["n_test"] == round((40 + 55) / 2)
     assert row["best_single_flavor"] == "good"
@@ -77,22 +78,58 @@ def test_seed_aggregation_ties_and_single_seed(spark):
 
 
 def test_trees(pred):
-    f = stacking.stack_features(pred.filter("endpoint = 'e' and seed = 0"), ["good", "noise"])
-    r = stacking.stack_oof(f, ["good", "noise"], k=2, estimator="rf").first()
+    f = stacking.stack_features(pred.filter("endpoint = 'e' and seed = 0"), ["good", "noise"], UNIT)
+    r = stacking.stack_oof(f, ["good", "noise"], UNIT, k=2, estimator="rf").first()
     assert r["estimator"] == "rf" and r["meta_r2"] > 0.3
     with pytest.raises(ValueError):
-        stacking.stack_oof(f, ["good", "noise"], estimator="magic")
+        stacking.stack_oof(f, ["good", "noise"], UNIT, estimator="magic")
 
 
 def test_labelled_predictions(pred):
     labelled = pred.filter("endpoint = 'e'").select(
         F.concat(F.lit("lr_reduced__"), "flavor", F.lit("__s"), F.col("seed").cast("string")).alias("label"),
-        F.lit("herg_st").alias("recipe"), "endpoint", "row_id", "y_true", "y_pred")
+        F.lit("gauge_st").alias("recipe"), "endpoint", "row_id", "y_true", "y_pred")
     made = stacking.labelled_predictions(labelled, "lr_reduced__")
     assert {(r["flavor"], r["seed"], r["dataset"]) for r in made.select("flavor", "seed", "dataset").distinct().collect()} == {
-        (f, s, "herg") for f in ("good", "noise") for s in (0, 1)}
+        (f, s, "gauge") for f in ("good", "noise") for s in (0, 1)}
     unit = ("dataset", "recipe", "endpoint", "seed")
     row = stacking.stack_report(made, FLAVORS, unit).first()
-    assert (row["dataset"], row["recipe"], row["endpoint"], row["n_seeds"]) == ("herg", "herg_st", "e", 2)
+    assert (row["dataset"], row["recipe"], row["endpoint"], row["n_seeds"]) == ("gauge", "gauge_st", "e", 2)
     bare = stacking.labelled_predictions(labelled.withColumn("label", F.lit("good")))
     assert {r["seed"] for r in bare.select("seed").distinct().collect()} == {-1}
+
+
+def ragged(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for recipe, shift in (("r1_st", 0.0), ("r2_st", 5.0)):
+        for endpoint, flavors in (("e1", "abc"), ("e2", "ab"), ("e3", "a")):
+            y = rng.normal(size=30) + shift
+            rows += [("d", recipe, endpoint, 1, i, f, float(v), float(v + rng.normal(scale=0.2 + k))) for k, f in enumerate(flavors) for i, v in enumerate(y)]
+    return spark.createDataFrame(rows, "dataset string, recipe string, endpoint string, seed long, row_id long, flavor string, y_true double, y_pred double")
+
+
+def test_units_stack_the_flavors_they_have(spark):
+    pred = ragged(spark)
+    report = {(r["recipe"], r["endpoint"]): r for r in stacking.stack_report(pred, ["a", "b", "c", "d"]).collect()}
+    assert set(report) == {(x, e) for x in ("r1_st", "r2_st") for e in ("e1", "e2")}       # e3 has one flavor
+    assert report["r1_st", "e1"]["n_flavors"] == 3 and report["r1_st", "e2"]["n_flavors"] == 2
+    alone = stacking.stack_report(pred.filter("endpoint = 'e2'"), ["a", "b"])
+    for r in alone.collect():
+        assert report[r["recipe"], "e2"]["meta_r2"] == pytest.approx(r["meta_r2"], abs=1e-9)
+
+
+def test_recipes_never_mix(spark):
+    pred = ragged(spark)
+    assert stacking.stack_features(pred, ["a", "b", "c"]).filter("endpoint = 'e1'").count() == 60
+    with pytest.raises(Exception, match="two predictions"):
+        stacking.stack_features(pred, ["a", "b"], ("endpoint", "seed")).collect()
+
+
+def test_best_single_with_a_large_mean(spark):
+    rng = np.random.default_rng(4)
+    y = rng.normal(size=60)
+    rows = [("e", 1, i, f, float(v + 1e8), float(v + 1e8 + rng.normal(scale=s))) for f, s in (("x", 0.1), ("y", 0.3)) for i, v in enumerate(y)]
+    pred = spark.createDataFrame(rows, "endpoint string, seed long, row_id long, flavor string, y_true double, y_pred double")
+    scored = stacking.stack_oof(stacking.stack_features(pred, ["y", "x"], UNIT), ["y", "x"], UNIT).first()
+    assert scored["best_single_flavor"] == "x" and 0.9 < scored["best_single_r2"] <= 1
