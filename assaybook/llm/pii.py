@@ -7,10 +7,10 @@ as a share of the entity's own information content. A term that is never seen wi
 gives it away in full (share 1) and is as good as the entity itself. Terms beyond one threshold
 are generalised to their class, beyond a higher one removed.
 
-Only spans leave the pass over the texts. Terms of the corpus are counted only if they stand beside
-an entity in enough different texts; those candidates are a staged table whose measured size
-decides how the join runs. Counts combine before their shuffles, so a value or term that a third
-of all documents hold is one row a task.
+Only spans leave the first pass over the texts, and only counts of terms the second. Terms that
+stand beside an entity in enough different texts are candidates; their counts meet the corpus's
+after those are complete. Counts combine before their shuffles, so a value or term that a third of
+all documents hold is one row a task.
 
 Every pattern is linear: a run is tried from its first character only and never given back, which
 finds the same leftmost matches, since what follows the run decides and is the same for all of it.
@@ -152,7 +152,8 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, least_texts: int = LEAST_
         return None
     terms = stage(pairs.select("term").distinct(), "terms")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole_text()), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_term = words.join(terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    # counted before the join: a join of the words themselves would grow with both sides
+    n_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term")
     entities = base.select("doc", "k1", "k2", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     n = float(base.count())
     told = F.log(F.lit(n) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log(F.lit(n) / F.col("n_entity"))
