@@ -428,7 +428,7 @@ WITH {b.TALL}{_TALL_SPLIT}, moments AS MATERIALIZED (
   SELECT col_id, avg(value) AS mean, stddev_samp(value) AS std
   FROM cells JOIN sides ON row_id // 128 = chunk_id AND side = 'train' WHERE {_FINITE} GROUP BY col_id)
 SELECT row_id, side, col_id,
-       {r('(greatest(least(value, mean + 6 * std), mean - 6 * std) - mean) / std')} AS value
+       CASE WHEN value IS NOT NULL THEN {r('(greatest(least(value, mean + 6 * std), mean - 6 * std) - mean) / std')} END AS value
 FROM cells JOIN sides ON row_id // 128 = chunk_id JOIN moments USING (col_id)""")
 def legacy_rescale(spark, sf):
     m = b.tall_matrix(spark, sf)
