@@ -2,11 +2,11 @@
 
 1. One pass over the texts reduces each document to the size of its shingle set, a 128-bit key of
    the set, and signatures. Documents with equal sets are one class from here on.
-2. Signatures are an exact filter. Sets that link differ in at most d shingles, d given by their
-   sizes. Shingles are dealt by hash into d + 2 parts, so two parts at least hold the same shingles
-   in both sets; the hash of a part is a signature. Sizes are banded, and a set near the top of a
-   band takes the next band's parts as well, so any two sizes that may link share a band. Classes
-   that share a signature with no other, or only one, link with nothing and are left out.
+2. Signatures are an exact filter. Shingles are dealt by hash into parts, more of them than sets
+   that link can differ in, so at least two parts that hold anything hold the same in both; the
+   hash of a part is a signature. Sizes are banded, and a set near the top of a band takes the next
+   band's parts as well, so any two sizes that may link share a band. Classes that share a
+   signature with no other, or only one, link with nothing and are left out.
 3. The rest falls into families that signatures connect. Inside a family the document by n-gram
    incidence matrix is multiplied with its transpose, block by block: blocks of at most ``BLOCK``
    classes, only those whose sizes may link, overlap counts accumulated over column strips, pairs
@@ -50,22 +50,26 @@ def set_key(values: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(values: np.ndarray, percent: int, bands: np.ndarray) -> np.ndarray:
-    """The signatures of one set: the hashes of its parts, in its band and where needed the next."""
+    """The signatures of one set: the hashes of its parts, in its band and where needed the next.
+
+    A set of n shingles differs from one it links with in at most n (100 - percent) / percent of
+    them, whichever of the two is larger. That many of its parts at most can differ, so of the
+    parts that hold anything all the others are equal. A set with too few such parts to be sure of
+    ``EQUAL_PARTS`` has its empty ones count as well, and meets the other sets of that kind there.
+    """
     n = len(values)
     band = int(np.searchsorted(bands, n, "right")) - 1
     if band < 0:
         return np.zeros(0, dtype=np.int64)
     out = []
     for k in (band, band + 1) if 100 * n >= percent * int(bands[band + 1]) else (band,):
-        most = 2 * (int(bands[k + 1]) - 1) * (100 - percent) // (100 + percent)      # shingles a linked pair may differ in
-        parts = most + EQUAL_PARTS
+        parts = (int(bands[k + 1]) - 1) * (100 - percent) // percent * 9 // 8 + 3 * EQUAL_PARTS
         dealt = ((mix(values, 100 + k) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(dealt, kind="stable")
         begins = np.flatnonzero(np.concatenate(([True], np.diff(dealt[order]) != 0)))
         held = dealt[order][begins]
         inside = np.add.reduceat(mix(values[order], 7), begins)
-        # equal empty parts say little, so they count only for a set that has many
-        if parts - len(held) >= EQUAL_PARTS:
+        if len(held) - n * (100 - percent) // percent < EQUAL_PARTS:
             full = np.zeros(parts, dtype=np.uint64)
             full[held] = inside
             held, inside = np.arange(parts), full
