@@ -17,7 +17,7 @@ from ..functions.cells import ratio
 from ..functions.labels import dataset_of
 from ..session import stage
 from ..vocabulary import PLAIN, Vocabulary
-from .ordering import largest_group, running_total, value_ranks
+from .ordering import running_total, value_ranks
 
 UNIT = ("label", "recipe", "endpoint")
 # Kendall: rows per bucket, and the most buckets a group is cut into
@@ -104,17 +104,15 @@ def rank_metrics(
     pred: DataFrame, keys: Sequence[str] = UNIT, y: str = "y_true", f: str = "y_pred",
     metrics: Sequence[str] = ("spearman", "kendall"),
 ) -> DataFrame:
-    """Rank correlations per group, in one shuffle when every group is counted to be small.
+    """Rank correlations per group, for groups of any size on one path.
 
-    Otherwise equal (y, f) pairs are collapsed into a staged table, and both metrics get their
-    positions from range shuffles over it, so that no task ever holds a group.
+    Equal (y, f) pairs are collapsed into a staged table, and both metrics get their positions
+    from range shuffles over it, so that no task ever holds a group.
     """
     keys = list(keys)
     rows = pred.filter(_paired(y, f)).select(
         *keys, F.col(y).alias("_y"), F.col(f).alias("_f")
     )
-    if largest_group(rows, keys) <= BUCKET_ROWS:
-        return _small_groups(rows, keys, metrics)
     pairs = stage(rows.groupBy(*keys, "_y", "_f").agg(F.count("*").alias("_w")), "pairs")
     parts = {"spearman": _spearman_spread, "kendall": _kendall_spread}
     out = parts[metrics[0]](pairs, keys)
@@ -123,58 +121,6 @@ def rank_metrics(
     return out
 
 
-def _small_groups(rows: DataFrame, keys: list[str], metrics: Sequence[str]) -> DataFrame:
-    """Rank metrics of groups that are known to fit a task, a group per call."""
-    names = [f"_k{i}" for i in range(len(keys))]
-    types = {c.name: c.dataType.simpleString() for c in rows.schema.fields}
-    schema = ", ".join([*(f"{n} {types[k]}" for n, k in zip(names, keys)), *(f"{m} double" for m in metrics)])
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, f = pdf["_y"].to_numpy(float), pdf["_f"].to_numpy(float)
-        out = {n: [pdf[n].iloc[0]] for n in names}
-        for m in metrics:
-            out[m] = [rho(y, f) if m == "spearman" else tau_b(y, f)]
-        return pd.DataFrame(out).astype({m: float for m in metrics})
-
-    renamed = rows.select(*[F.col(k).alias(n) for n, k in zip(names, keys)], "_y", "_f")
-    scored = renamed.groupBy(*names).applyInPandas(score, schema)
-    return scored.select(
-        *[F.col(n).alias(k) for n, k in zip(names, keys)],
-        *[F.when(~F.isnan(m), F.col(m)).alias(m) for m in metrics],
-    )
-
-
-def _average_ranks(v: np.ndarray) -> np.ndarray:
-    _, at, n = np.unique(v, return_inverse=True, return_counts=True)
-    return (np.cumsum(n) - (n - 1) / 2)[at]
-
-
-def rho(y: np.ndarray, f: np.ndarray) -> float | None:
-    """Spearman correlation of two arrays."""
-    a, b = (_average_ranks(v) - (v.size + 1) / 2 for v in (y, f))
-    bottom = np.sqrt(a @ a) * np.sqrt(b @ b)
-    return float(a @ b / bottom) if bottom > 0 else None
-
-
-def tau_b(y: np.ndarray, f: np.ndarray) -> float | None:
-    """Kendall tau-b of two arrays."""
-    n = y.size
-    order = np.lexsort((f, y))
-    y, f = y[order], f[order]
-    by_f = np.empty(n)
-    by_f[np.lexsort((y, f))] = np.arange(n)
-    joint = np.flatnonzero(np.r_[True, (y[1:] != y[:-1]) | (f[1:] != f[:-1]), True])
-    n0, same = _pairs(float(n)), _pairs(np.diff(joint)).sum()
-    ty, tf = (_pairs(np.unique(v, return_counts=True)[1]).sum() for v in (y, f))
-    bottom = np.sqrt(n0 - ty) * np.sqrt(n0 - tf)
-    top = n0 - ty - tf + same - 2 * inversions(by_f, np.ones(n))
-    return float(top / bottom) if bottom > 0 else None
-
-
-def _pairs(n):
-    return n * (n - 1) / 2
-
-
 def _spearman_spread(pairs: DataFrame, keys: list[str]) -> DataFrame:
     joined = pairs
     for v in ("_y", "_f"):

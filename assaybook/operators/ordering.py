@@ -19,7 +19,6 @@ from ..session import local_table, stage
 
 _SLICE, _POS = "_slice", "_pos"
 _IN_PARTITION = (1 << 33) - 1          # low bits of monotonically_increasing_id
-SMALL_GROUP = 1_000_000                # rows of one group that a single task may sort
 
 
 def _sorted_slices(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -55,11 +54,6 @@ def with_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id") -> Da
     )
 
 
-def largest_group(df: DataFrame, group: Sequence[str]) -> int:
-    """Rows of the biggest group: one aggregate that combines before its shuffle."""
-    return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-
-
 def running_total(
     df: DataFrame,
     group: Sequence[str],
@@ -71,18 +65,12 @@ def running_total(
     """Add the sum of ``weight`` over earlier rows of the group, and over the whole group.
 
     Without ``weight`` rows count one each, so ``before`` is the 0-based position.
-    When every group is counted to be small, one window per group does it. Else the rows are
-    range-partitioned: the in-slice window sees at most one partition, the cross-slice window
-    one record per (group, slice). ``df`` is read more than once, so stage it if it is dear.
+    Rows are range-partitioned by group and order: the in-slice window sees at most one
+    partition, the cross-slice window one record per (group, slice). So a group of any size takes
+    the same path.
     """
     group = list(group)
     w = F.col(weight) if weight else F.lit(1).cast("long")
-    if largest_group(df, group) <= SMALL_GROUP:
-        whole = Window.partitionBy(*group)
-        earlier = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumns(
-            {before: F.coalesce(F.sum(w).over(earlier), F.lit(0)), total: F.sum(w).over(whole)}
-        )
     rows = _sorted_slices(df, [*group, *order])
     cell = Window.partitionBy(_SLICE, *group)
     inside = rows.withColumn(
@@ -167,8 +155,8 @@ def hash_cutoff(hashes: DataFrame, n: int, column: str = "h") -> str | None:
     """The n-th smallest md5 in ``column`` (None if there are fewer than ``n``).
 
     Rows with ``h <= cutoff`` are then a seeded sample of exactly ``n`` rows, taken by a plain
-    filter. Selection narrows by hex prefix: each pass counts at most 65,536 prefixes, until
-    one prefix holds few enough hashes to read.
+    filter. Selection narrows by hex prefix: each pass counts at most 65,536 prefixes and keeps
+    one, until that holds a single hash.
     """
     if n <= 0:
         return ""
@@ -176,16 +164,16 @@ def hash_cutoff(hashes: DataFrame, n: int, column: str = "h") -> str | None:
     while True:
         width = len(prefix) + 4
         counts = (
-            pool.groupBy(F.substring(column, 1, width).alias("p")).count().orderBy("p").collect()
+            pool.groupBy(F.substring(column, 1, width).alias("p"))
+            .agg(F.count("*").alias("n"), F.min(column).alias("least")).orderBy("p").collect()
         )
         for r in counts:
-            if r["count"] >= remaining:
+            if r["n"] >= remaining:
                 break
-            remaining -= r["count"]
+            remaining -= r["n"]
         else:
             return None
+        if r["n"] == 1 or width >= 32:
+            return r["least"]
         prefix = r["p"]
         pool = pool.filter(F.col(column).startswith(prefix))
-        if r["count"] <= 100_000 or width >= 32:
-            tail = pool.orderBy(column).limit(remaining).agg(F.max(column)).first()[0]
-            return tail

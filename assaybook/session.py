@@ -2,38 +2,30 @@
 
 Several operators need a result twice, or need row positions that must not change when a
 lost executor recomputes a partition. They write that result as a Parquet table below the
-folder the cluster names in ``spark.checkpoint.dir`` and read it back. The table survives
-executor loss, and its file sizes give the optimizer a true size, so a later join broadcasts
-it only when it really is small.
+folder the cluster names in ``spark.checkpoint.dir``, or else below the warehouse, and read it
+back. The table survives executor loss, and its file sizes give the optimizer a true size, so a
+later join broadcasts it only when it really is small.
 """
 
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
 _watched: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for staged tables; a private one only on a local master with none set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder for this application's staged tables, on a file system every executor can reach."""
     app = spark.sparkContext.applicationId
     if app not in _watched:
         _watched.add(app)
         atexit.register(_release_quietly, spark)
-    if named:
-        return f"{named.rstrip('/')}/assaybook/{app}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="assaybook-")
-    return _local_roots[app]
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/assaybook/{app}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -64,7 +56,6 @@ def release(spark: SparkSession) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.delete(path, True)
-    _local_roots.pop(spark.sparkContext.applicationId, None)
 
 
 def _release_quietly(spark: SparkSession) -> None:

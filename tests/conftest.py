@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -14,7 +15,7 @@ def spark():
         SparkSession.builder.master("local[4]").appName("assaybook-tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="assaybook-"))
         # small test data must still be spread over several partitions
         .config("spark.sql.adaptive.coalescePartitions.enabled", "false").getOrCreate()
     )

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from assaybook.operators import evaluate, ordering
+from assaybook.operators import evaluate
 
 KEYS = ["label", "recipe", "endpoint"]
 
@@ -49,12 +49,10 @@ def test_regression(spark, pred):
     assert evaluate.regression_metrics(perfect).first()["r2"] == 1.0
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_rank_metrics(pred, monkeypatch, small):
-    """Both paths: groups scored one by one, and spread over range partitions and buckets."""
-    if not small:
-        monkeypatch.setattr(ordering, "SMALL_GROUP", 0)
-        monkeypatch.setattr(evaluate, "BUCKET_ROWS", 16)
+@pytest.mark.parametrize("bucket", [evaluate.BUCKET_ROWS, 16])
+def test_rank_metrics(pred, monkeypatch, bucket):
+    """Groups of one bucket and of many."""
+    monkeypatch.setattr(evaluate, "BUCKET_ROWS", bucket)
     rows, df = pred
     tau = {r["label"]: r["kendall"] for r in evaluate.kendall(df).collect()}
     rho = {r["label"]: r["spearman"] for r in evaluate.spearman(df).collect()}
@@ -69,7 +67,6 @@ def test_kendall_with_capped_buckets(pred, monkeypatch):
     """The bucket count stays at its maximum for a huge group; buckets just grow."""
     monkeypatch.setattr(evaluate, "BUCKET_ROWS", 4)
     monkeypatch.setattr(evaluate, "MAX_BUCKETS", 7)
-    monkeypatch.setattr(ordering, "SMALL_GROUP", 0)
     rows, df = pred
     tau = {r["label"]: r["kendall"] for r in evaluate.kendall(df).collect()}
     assert tau["hot"] == pytest.approx(kendall_brute(*group(rows, "hot")), abs=1e-12)

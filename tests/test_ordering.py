@@ -21,9 +21,7 @@ def test_row_id_is_dense_and_ordered(spark):
     assert got == {v: v for v in range(5000)}
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_running_total(spark, skewed, monkeypatch, limit):
-    monkeypatch.setattr(ordering, "SMALL_GROUP", limit)
+def test_running_total(skewed):
     rows, df = skewed
     got = {r["id"]: (r["before"], r["total"]) for r in ordering.running_total(df, ["g"], ["v", "id"], "w").collect()}
     for g in {r[0] for r in rows}:
@@ -34,9 +32,7 @@ def test_running_total(spark, skewed, monkeypatch, limit):
             seen += r[2]
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_value_ranks_and_quantiles(spark, skewed, monkeypatch, limit):
-    monkeypatch.setattr(ordering, "SMALL_GROUP", limit)
+def test_value_ranks_and_quantiles(skewed):
     rows, df = skewed
     got = {(r["g"], r["v"]): r["rank"] for r in ordering.value_ranks(df.withColumn("one", F.lit(1)), ["g"], "v", "one").collect()}
     probs = [0.0, 0.01, 0.25, 0.5, 0.77, 1.0]
@@ -59,9 +55,8 @@ def test_hash_cutoff(spark):
     assert df.filter(F.col("h") <= ordering.hash_cutoff(df, 0)).count() == 0
 
 
-def test_hot_group_is_spread(spark, monkeypatch):
+def test_hot_group_is_spread(spark):
     """Sorting a single group uses several partitions, not one."""
-    monkeypatch.setattr(ordering, "SMALL_GROUP", 0)
     df = spark.range(20000).select(F.lit("hot").alias("g"), F.rand(1).alias("v"), "id")
     slices = ordering._sorted_slices(df, ["g", "v", "id"]).groupBy("_slice").count().collect()
     assert len(slices) > 1 and max(r["count"] for r in slices) < 15000
