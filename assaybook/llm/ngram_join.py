@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .bloom import bloom_filter, may_hold
 from .components import components
-from .rows import text_key, whole_text
+from .rows import small_batches, text_key, whole_text
 from .shingles import mix, shingle_sets
 
 #: Classes of a block, of a bundle of small families, and columns of a strip.
 BLOCK, BUNDLE, STRIP = 512, 2048, 4096
+#: Sets that a task remembers to have met, before it starts afresh.
+SEEN = 200_000
 #: Equal parts that a link is sure to have.
 EQUAL_PARTS = 2
 
@@ -89,12 +91,14 @@ def _pieces(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
 
 
 def _sketcher(words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Documents to (doc, t1, t2, n, k1, k2, parts); of equal sets in a batch only the first has its signatures."""
+    """Documents to (doc, t1, t2, n, k1, k2, parts); of equal sets that a task has met only the first has its signatures."""
     bands = size_bands(percent)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int, int]] = set()
         for b in batches:
-            seen = set()
+            if len(seen) > SEEN:
+                seen = set()
             for start, stop in _pieces(b["whole"]):
                 sizes, first, second, parts = [], [], [], []
                 for values in shingle_sets(b["whole"].slice(start, stop - start), words):
@@ -248,7 +252,7 @@ def ngram_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFram
     rows: no rows.
     """
     t1, t2 = text_key(whole_text())
-    read = docs.select(F.col("doc_id").cast("long").alias("doc"), t1.alias("t1"), t2.alias("t2"), whole_text().alias("whole"))
+    read = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc"), t1.alias("t1"), t2.alias("t2"), whole_text().alias("whole"))
     sketch = stage(read.mapInArrow(_sketcher(words, percent), "doc long, t1 long, t2 long, n long, k1 long, k2 long, parts array<bigint>"), "sketch")
     shared = sketch.filter("parts IS NOT NULL").select("k1", F.explode("parts").alias("part"))
     by_part = Window.partitionBy("part").orderBy("k1")

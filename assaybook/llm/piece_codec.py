@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rows import text_slices, whole_text
+from .rows import small_batches, text_slices, whole_text
 from .token_counts import PairTable
 
 MARK = "▁"                          # stands for a space inside pieces
 #: Segments a worker remembers before it starts afresh.
-REMEMBERED = 250_000
+REMEMBERED = 300_000
 #: Pairs of tokens whose compatibility a worker remembers: 2 to this power.
 MEMORY_BITS = 20
 _LATE = np.int32(np.iinfo(np.int32).max)
@@ -282,7 +282,8 @@ class PieceCodec:
 
     def __init__(self, vocabulary: PieceVocabulary):
         self.vocabulary = vocabulary
-        self.known: dict[str, tuple[str, int, str]] = {}
+        self.known: dict[str, str] = {}          # segment key to its ids, joined by commas
+        self.changed: dict[str, str] = {}        # texts of the few segments that decoding changes
 
     def __getstate__(self) -> dict:
         return {"vocabulary": self.vocabulary}
@@ -315,24 +316,36 @@ class PieceCodec:
         return out + [MARK * run] if run else out
 
     def learn(self, keys: list[str]) -> None:
-        segments = [k if k[0] in "\n" + MARK else MARK + k for k in keys]
         for start in range(0, len(keys), 20_000):
-            part = segments[start : start + 20_000]
-            for key, ids in zip(keys[start:], self.vocabulary.segment_ids(part)):
-                self.known[key] = (",".join(map(str, ids)), len(ids), self.vocabulary.decode_run(ids))
+            own = keys[start : start + 20_000]
+            segments = [k if k[0] in "\n" + MARK else MARK + k for k in own]
+            for key, ids in zip(own, self.vocabulary.segment_ids(segments)):
+                self.known[key] = ",".join(map(str, ids))
+                decoded = self.vocabulary.decode_run(ids)
+                if decoded != self._plain(key):
+                    self.changed[key] = decoded
+
+    @staticmethod
+    def _plain(key: str) -> str:
+        """The text of a segment that decoding gives back unchanged."""
+        return key if key[0] == "\n" else key.replace(MARK, " ") if key[0] == MARK else " " + key
 
     def round_trip(self, texts: list[str]) -> list[tuple[str, int, str]]:
         """For each text its ids joined by commas, how many, and the text decoded from them."""
         cut = [self.segments(t) for t in texts]
         fresh = set().union(*cut).difference(self.known)
         if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
+            self.known, self.changed = {}, {}
             fresh = set().union(*cut)
         self.learn(list(fresh))
         out = []
         for keys in cut:
-            found = [self.known[k] for k in keys]
-            out.append((",".join([f[0] for f in found]), sum([f[1] for f in found]), "".join([f[2] for f in found])[1:]))
+            ids = ",".join([self.known[k] for k in keys])
+            if self.changed and not self.changed.keys().isdisjoint(keys):
+                decoded = "".join([self.changed.get(k) or self._plain(k) for k in keys])
+            else:
+                decoded = "".join([self._plain(k) for k in keys])
+            out.append((ids, ids.count(",") + bool(ids), decoded[1:]))
         return out
 
 
@@ -362,7 +375,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     A missing or empty text has no ids and decodes to an empty text. No rows: no rows.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return docs.select(row, F.col("doc_id"), coded(whole_text(), PieceVocabulary(path)).alias("c")).select("row", "doc_id", "c.*")
+    return small_batches(docs).select(row, F.col("doc_id"), coded(whole_text(), PieceVocabulary(path)).alias("c")).select("row", "doc_id", "c.*")
 
 
 def encode_stage(docs: DataFrame, path: str) -> DataFrame:

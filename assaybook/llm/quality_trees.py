@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rows import text_slices, whole_text
+from .rows import small_batches, text_slices, whole_text
 
 #: Labelled rows a fit reads at most. The bound is a parameter of ``fit_quality``.
 TRAIN_ROWS = 20_000
@@ -267,7 +267,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     ``row`` is the document's own row. A missing or empty text has no words and fails. Rows with
     equal texts get equal verdicts. No rows: no rows.
     """
-    model = fit_quality(docs, labels, rows)
+    model = fit_quality(small_batches(docs), labels, rows)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     return (
         docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), quality_verdict(whole_text(), model).alias("v"))

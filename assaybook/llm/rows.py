@@ -38,7 +38,19 @@ def with_text(docs: DataFrame, text: Column) -> list[Column]:
     return [replaced.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns]
 
 
-def text_slices(texts: pa.Array, size: int = 1 << 21) -> Iterator[list[str]]:
+#: Documents of an Arrow batch, where the session has Spark's default of ten thousand.
+BATCH_ROWS = 1000
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """The same rows; Arrow batches of this session hold fewer, as a row is a whole text."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
+def text_slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[list[str]]:
     """An Arrow array of texts in lists of about ``size`` bytes, so that few are Python strings at once."""
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(lengths, dtype=np.int64) // size

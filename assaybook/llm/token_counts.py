@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rows import text_slices, whole_text
+from .rows import small_batches, text_slices, whole_text
 
 #: Fixed value: how the library cuts a text before byte-level merges.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -236,5 +236,5 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     missing or empty text has no bytes and no tokens; repeated rows count alike. No rows: no rows.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    sized = docs.select(row, F.col("doc_id"), token_sizes(whole_text(), ByteMerges(path)).alias("s"))
+    sized = small_batches(docs).select(row, F.col("doc_id"), token_sizes(whole_text(), ByteMerges(path)).alias("s"))
     return sized.select("row", "doc_id", "s.*", (F.col("s.n_tokens") > limit).alias("over_limit"))
