@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import matrix, prescale
 from ..session import fresh_path, stage
 from ..sources import readers, writers
+from ..sources.results import evaluate_tree
 from . import bindings as b
 from .catalog import query, r, rounded
 
@@ -94,6 +95,53 @@ def result_tree(spark, sf):
     return rounded(cells.join(rejects.select("label", "recipe"), ["label", "recipe"], "left_anti"), 2)
 
 
+_TREE = f"""WITH {b.PRED}, units AS (
+  SELECT 'f' || left(split_part(label, 'f', -1), 1) AS label, recipe, endpoint, y_true, y_pred, l_orderkey FROM pred)"""
+
+
+def _tree(spark, sf):
+    """One folder a unit with truths, predictions and train labels; the suffix tells the three apart.
+
+    The last arm's predictions lack some rows, and one unit has none at all.
+    """
+    root = fresh_path(spark, "tree")
+    p = b.predictions(spark, sf, "l_orderkey", "l_linenumber", "l_partkey").withColumn(
+        "label", F.regexp_extract("label", "f[0-3]", 0))
+    late = lambda c: F.when(F.col("endpoint") == "LogD", F.col(c)).alias("late")
+    order = ["label", "recipe", "l_orderkey", "l_linenumber", "l_partkey", "y_true", "y_pred"]
+    p = p.repartition("label", "recipe").sortWithinPartitions(*order)
+    parts = {
+        "none": p.select("label", "recipe", F.col("y_true").alias("truth"), late("y_true")),
+        "gzip": p.filter("NOT (label = 'f3' AND l_orderkey % 7 = 0) AND NOT (label = 'f2' AND recipe = 'zeta_st')")
+                 .select("label", "recipe", F.col("y_pred").alias("truth"), F.col("y_pred").alias("late")),
+        "bzip2": p.filter("l_linenumber = 1").select("label", "recipe", F.col("y_true").alias("truth"), late("y_true")),
+    }
+    for codec, part in parts.items():
+        part.write.mode("append").partitionBy("label", "recipe").options(header=True, compression=codec).csv(root)
+    return evaluate_tree(spark, root, truth="*.csv", pred="*.csv.gz", train="*.csv.bz2")
+
+
+@query("evaluate_tree_metrics", f"""
+{_TREE}, cells AS (
+  SELECT label, recipe, 'truth' AS endpoint, y_true, y_pred FROM units
+  UNION ALL SELECT label, recipe, 'late', y_true, y_pred FROM units WHERE endpoint = 'LogD')
+SELECT label AS flavor, recipe, endpoint, count(*) AS n_test, {r('avg(abs(y_true - y_pred))', 0)} AS mae,
+       {r('1 - avg((y_true - y_pred) * (y_true - y_pred)) / var_pop(y_true)', 4)} AS r2
+FROM cells WHERE label <> 'f3' AND NOT (label = 'f2' AND recipe = 'zeta_st') GROUP BY ALL""")
+def evaluate_tree_metrics(spark, sf):
+    scored = _tree(spark, sf)[0].select("flavor", "recipe", "endpoint", "n_test", F.round("mae", 0).alias("mae"), "r2")
+    return rounded(scored, 4)
+
+
+@query("evaluate_tree_rejects", f"""
+{_TREE}
+SELECT label, recipe, CASE WHEN label = 'f2' THEN 'no *.csv.gz' ELSE
+       count(*) FILTER (WHERE l_orderkey % 7 <> 0) || ' rows of predictions for ' || count(*) || ' of truths' END AS error
+FROM units WHERE label = 'f3' OR (label = 'f2' AND recipe = 'zeta_st') GROUP BY label, recipe""")
+def evaluate_tree_rejects(spark, sf):
+    return _tree(spark, sf)[1].select("label", "recipe", "error")
+
+
 @query("read_metrics", f"""
 WITH {b.METRICS}
 SELECT flavor, split_part(recipe, '_', 1) AS dataset, recipe, endpoint, {r('r2')} AS r2, {r('mae', 0)} AS mae, n_test FROM metrics""")
