@@ -6,8 +6,6 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import HashingTF, NGram
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,13 +112,21 @@ TEXT_DESCRIPTORS = (
 )
 
 
-def hashed_bits(
-    df: DataFrame, column: str, n_bits: int = 2048, gram: int = 3, out: str = "features"
-) -> DataFrame:
-    """Binary fingerprint: bit h is set if any character n-gram of the text hashes to h."""
-    chars = F.split(F.coalesce(F.col(column), F.lit("")), "")
-    grams = NGram(n=gram, inputCol="_chars", outputCol="_grams").transform(df.withColumn("_chars", chars))
-    # a text shorter than one n-gram has its characters hashed
-    made = grams.withColumn("_grams", F.when(F.size("_chars") < gram, F.col("_chars")).otherwise(F.col("_grams")))
-    tf = HashingTF(numFeatures=n_bits, binary=True, inputCol="_grams", outputCol="_bits")
-    return tf.transform(made).withColumn(out, vector_to_array("_bits")).drop("_chars", "_grams", "_bits")
+def hashed_bits(text: Column, n_bits: int = 2048, gram: int = 3) -> Column:
+    """Binary fingerprint as the sorted positions of its set bits.
+
+    Bit h is set if any run of ``gram`` characters hashes to h; of a shorter text the characters
+    count. The hash is the first 32 bits of the md5, which other engines have as well.
+    """
+    chars = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?s)."), F.lit(0))
+    # the characters beside each other, once per place in a run; a lambda over them would split the text anew per run
+    beside = F.arrays_zip(*[F.slice(chars, F.lit(k + 1), F.greatest(F.size(chars) - gram + 1, F.lit(0))).alias(f"c{k}") for k in range(gram)])
+    runs = F.transform(beside, lambda z: F.concat(*[z[f"c{k}"] for k in range(gram)]))
+    grams = F.when(F.size(chars) < gram, chars).otherwise(runs)
+    number = lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long")
+    return F.array_sort(F.array_distinct(F.transform(F.array_distinct(grams), lambda g: (number(g) % n_bits).cast("int"))))
+
+
+def dense_bits(positions: Column, n_bits: int = 2048) -> Column:
+    """A fingerprint's positions as a row of zeros and ones, for a fit that wants a matrix."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n_bits - 1)), lambda i: F.array_contains(positions, i).cast("double"))

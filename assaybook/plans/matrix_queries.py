@@ -489,10 +489,16 @@ def text_descriptors(spark, sf):
         F.col("f")[i].alias(n) for i, n in enumerate(featurize.TEXT_DESCRIPTORS)]))
 
 
-@query("hashed_bits")
+@query("hashed_bits", """
+WITH chars AS (SELECT doc_id, string_split(coalesce(text, ''), '') AS c FROM documents),
+grams AS (
+  SELECT doc_id, unnest(CASE WHEN len(c) < 3 THEN c ELSE list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]) END) AS g FROM chars),
+bits AS (SELECT DISTINCT doc_id, ('0x' || left(md5(g), 8))::BIGINT % 2048 AS bit FROM (SELECT DISTINCT doc_id, g FROM grams WHERE g <> ''))
+SELECT doc_id, count(bit) AS set_bits, coalesce(sum(bit), 0)::BIGINT AS positions FROM documents LEFT JOIN bits USING (doc_id) GROUP BY doc_id""")
 def hashed_bits(spark, sf):
-    bits = featurize.hashed_bits(b.table(spark, sf, "documents").select("doc_id", "text"), "text")
-    return bits.select("doc_id", F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("set_bits"))
+    made = b.table(spark, sf, "documents").select("doc_id", featurize.hashed_bits(F.col("text")).alias("bits"))
+    total = F.aggregate("bits", F.lit(0).cast("long"), lambda a, x: a + x)
+    return made.select("doc_id", F.size("bits").cast("long").alias("set_bits"), total.alias("positions"))
 
 
 def _letter_shares(keys):

@@ -64,7 +64,10 @@ def test_ragged_rows_and_blocks(spark):
 
 def test_builtin_featurizers(spark):
     df = spark.createDataFrame([(1, "Ab1 ab\nx"), (2, ""), (3, "ab"), (4, "Ab1 ab\nx")], "id int, t string")
-    bits = {r["id"]: np.array(r["features"]) for r in featurize.hashed_bits(df, "t", 64).collect()}
+    positions = featurize.hashed_bits(F.col("t"), 64)
+    rows = df.select("id", positions.alias("p"), featurize.dense_bits(positions, 64).alias("d")).collect()
+    assert all(np.flatnonzero(r["d"]).tolist() == r["p"] for r in rows) and rows[0]["p"] == sorted(set(rows[0]["p"]))
+    bits = {r["id"]: np.array(r["d"]) for r in rows}
     assert set(np.unique(bits[1])) <= {0.0, 1.0} and 1 <= bits[1].sum() <= 6 and bits[3].sum() >= 1
     assert (bits[1] == bits[4]).all()
     d = {r["id"]: r["d"] for r in df.select("id", featurize.text_descriptors(F.col("t")).alias("d")).collect()}
