@@ -52,7 +52,7 @@ def set_key(values: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(values: np.ndarray, percent: int, bands: np.ndarray) -> np.ndarray:
-    """The signatures of one set: the hashes of its parts, in its band and where needed the next.
+    """The signatures of one set: the hashes of its parts, in its band and those above that it reaches.
 
     A set of n shingles differs from one it links with in at most n (100 - percent) / percent of
     them, whichever of the two is larger. That many of its parts at most can differ, so of the
@@ -63,8 +63,10 @@ def signatures(values: np.ndarray, percent: int, bands: np.ndarray) -> np.ndarra
     band = int(np.searchsorted(bands, n, "right")) - 1
     if band < 0:
         return np.zeros(0, dtype=np.int64)
-    out = []
-    for k in (band, band + 1) if 100 * n >= percent * int(bands[band + 1]) else (band,):
+    out, last = [], band
+    while 100 * n >= percent * int(bands[last + 1]):           # sets that begin there may still link with this one
+        last += 1
+    for k in range(band, last + 1):
         parts = (int(bands[k + 1]) - 1) * (100 - percent) // percent * 9 // 8 + 3 * EQUAL_PARTS
         dealt = ((mix(values, 100 + k) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(dealt, kind="stable")
@@ -171,6 +173,9 @@ def _multiply(percent: int) -> Callable[[pa.Table], pa.Table]:
         sets = [np.frombuffer(x, np.uint64) for x in rows["held"].to_pylist()]
         nodes, roots, counts = [], [], []
         order = np.lexsort((ids, side, family))
+        # a representative's row that stands twice in the table is one class
+        again = (np.diff(family[order]) == 0) & (np.diff(side[order]) == 0) & (np.diff(ids[order]) == 0)
+        order = order[np.concatenate(([True], ~again))]
         edges = np.flatnonzero(np.concatenate(([True], np.diff(family[order]) != 0, [True])))
         for a, b in zip(edges, edges[1:]):
             own = order[a:b]
