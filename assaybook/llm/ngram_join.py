@@ -34,8 +34,9 @@ from .shingles import mix, shingle_sets
 BLOCK, BUNDLE, STRIP = 512, 2048, 4096
 #: Sets that a task remembers to have met, before it starts afresh.
 SEEN = 200_000
-#: Equal parts that a link is sure to have.
+#: Equal parts that a link is sure to have at least, and the low bits that name a signature's band.
 EQUAL_PARTS = 2
+_BAND_BITS = np.uint64(7)
 
 
 def size_bands(percent: int, top: int = 1 << 40) -> np.ndarray:
@@ -51,19 +52,22 @@ def set_key(values: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(values, salt).sum(dtype=np.uint64).view(np.int64)) for salt in (3, 4))
 
 
-def signatures(values: np.ndarray, percent: int, bands: np.ndarray) -> np.ndarray:
+def signatures(values: np.ndarray, percent: int, bands: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
     """The signatures of one set: the hashes of its parts, in its band and those above that it reaches.
 
     A set of n shingles differs from one it links with in at most n (100 - percent) / percent of
     them, whichever of the two is larger. That many of its parts at most can differ, so of the
     parts that hold anything all the others are equal. A set with too few such parts to be sure of
     ``EQUAL_PARTS`` has its empty ones count as well, and meets the other sets of that kind there.
+    Also returned: by band, how many signatures any set that links shares with this one at least.
+    The low bits of a signature are its band.
     """
     n = len(values)
     band = int(np.searchsorted(bands, n, "right")) - 1
     if band < 0:
-        return np.zeros(0, dtype=np.int64)
-    out, last = [], band
+        return np.zeros(0, dtype=np.int64), {}
+    out, sure, last = [], {}, band
+    most = n * (100 - percent) // percent
     while 100 * n >= percent * int(bands[last + 1]):           # sets that begin there may still link with this one
         last += 1
     for k in range(band, last + 1):
@@ -73,12 +77,16 @@ def signatures(values: np.ndarray, percent: int, bands: np.ndarray) -> np.ndarra
         begins = np.flatnonzero(np.concatenate(([True], np.diff(dealt[order]) != 0)))
         held = dealt[order][begins]
         inside = np.add.reduceat(mix(values[order], 7), begins)
-        if len(held) - n * (100 - percent) // percent < EQUAL_PARTS:
+        if len(held) - most < EQUAL_PARTS:
             full = np.zeros(parts, dtype=np.uint64)
             full[held] = inside
             held, inside = np.arange(parts), full
-        out.append(mix(inside ^ mix(held.astype(np.uint64), 1000 + k)))
-    return np.concatenate(out).view(np.int64)
+            sure[k] = EQUAL_PARTS        # the other set may leave its empty parts out
+        else:
+            sure[k] = len(held) - most
+        hashes = mix(inside ^ mix(held.astype(np.uint64), 1000 + k))
+        out.append(hashes >> _BAND_BITS << _BAND_BITS | np.uint64(k))
+    return np.concatenate(out).view(np.int64), sure
 
 
 def _pieces(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
@@ -93,7 +101,7 @@ def _pieces(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
 
 
 def _sketcher(words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Documents to (doc, t1, t2, n, k1, k2, parts); of equal sets that a task has met only the first has its signatures."""
+    """Documents to (doc, t1, t2, n, k1, k2, parts, sure); of equal sets that a task has met only the first has its signatures."""
     bands = size_bands(percent)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,15 +110,17 @@ def _sketcher(words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]],
             if len(seen) > SEEN:
                 seen = set()
             for start, stop in _pieces(b["whole"]):
-                sizes, first, second, parts = [], [], [], []
+                sizes, first, second, parts, sure = [], [], [], [], []
                 for values in shingle_sets(b["whole"].slice(start, stop - start), words):
                     key = set_key(values)
                     sizes.append(len(values)), first.append(key[0]), second.append(key[1])
-                    parts.append(None if (len(values), *key) in seen else signatures(values, percent, bands))
+                    told = (None, {}) if (len(values), *key) in seen else signatures(values, percent, bands)
+                    parts.append(told[0]), sure.append([{"band": k, "least": n} for k, n in told[1].items()])
                     seen.add((len(values), *key))
                 yield pa.RecordBatch.from_arrays(
-                    [*[b[c].slice(start, stop - start) for c in ("doc", "t1", "t2")], pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(parts, pa.list_(pa.int64()))],
-                    names=["doc", "t1", "t2", "n", "k1", "k2", "parts"],
+                    [*[b[c].slice(start, stop - start) for c in ("doc", "t1", "t2")], pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
+                     pa.array(parts, pa.list_(pa.int64())), pa.array(sure, pa.list_(pa.struct([("band", pa.int32()), ("least", pa.int32())])))],
+                    names=["doc", "t1", "t2", "n", "k1", "k2", "parts", "sure"],
                 )
 
     return sketch
@@ -245,6 +255,28 @@ def _blocks(classes: DataFrame, percent: int) -> DataFrame:
     return small.select(*keep).unionByName(large.select(*keep))
 
 
+def _in_company(parts: DataFrame) -> DataFrame:
+    """Rows (part, k1) whose part several classes have, each once.
+
+    Neighbours in the order of classes tell, so no signature's classes are held together.
+    """
+    by_part = Window.partitionBy("part").orderBy("k1")
+    beside = parts.select(
+        "part", "k1", F.first("k1").over(by_part).alias("lead"), F.lag("k1").over(by_part).alias("before"), F.lead("k1").over(by_part).alias("after")
+    )
+    # of a class that stands there several times the last row is in company if it is not the first class, or another follows
+    last = ~F.col("after").eqNullSafe(F.col("k1"))
+    return beside.filter(last & ((F.col("lead") != F.col("k1")) | F.col("after").isNotNull())).select("part", "k1")
+
+
+def _enough(parts: DataFrame, sure: DataFrame) -> DataFrame:
+    """Rows of classes that have at least as many parts in company, in a band, as a link is sure to."""
+    band = F.col("part").bitwiseAND(F.lit((1 << int(_BAND_BITS)) - 1)).cast("int")
+    rows = parts.withColumn("band", band)
+    often = rows.groupBy("k1", "band").agg(F.count("*").alias("times")).join(sure, ["k1", "band"]).filter("times >= least")
+    return rows.join(often.select("k1", "band"), ["k1", "band"], "left_semi").select("part", "k1")
+
+
 def ngram_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """(doc, t1, t2, n_shingles, component_id, n_links), one row for every row of ``docs``.
 
@@ -258,19 +290,14 @@ def ngram_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFram
     """
     t1, t2 = text_key(whole_text())
     read = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc"), t1.alias("t1"), t2.alias("t2"), whole_text().alias("whole"))
-    sketch = stage(read.mapInArrow(_sketcher(words, percent), "doc long, t1 long, t2 long, n long, k1 long, k2 long, parts array<bigint>"), "sketch")
+    sketch = stage(read.mapInArrow(_sketcher(words, percent), "doc long, t1 long, t2 long, n long, k1 long, k2 long, parts array<bigint>, sure array<struct<band:int,least:int>>"), "sketch")
     shared = sketch.filter("parts IS NOT NULL").select("k1", F.explode("parts").alias("part"))
+    sure = sketch.filter("parts IS NOT NULL").select("k1", F.explode("sure").alias("s")).groupBy("k1", "s.band").agg(F.max("s.least").alias("least"))
+    # what does not share enough in a band with all others together cannot do so with one of them
+    for _ in range(2):
+        shared = stage(_enough(stage(_in_company(shared), "shared-parts"), sure), "shared-parts")
     by_part = Window.partitionBy("part").orderBy("k1")
-    # the first class of a signature is known without holding the others; repeated classes stand side by side
-    multiple = shared.select("part", "k1", F.first("k1").over(by_part).alias("lead"), F.lag("k1").over(by_part).alias("before"), F.lead("k1").over(by_part).alias("after"))
-    multiple = stage(
-        multiple.filter(~F.col("before").eqNullSafe(F.col("k1")) & (F.col("before").isNotNull() | F.col("after").isNotNull()))
-        .select("part", "k1", "lead", F.col("before").isNull().alias("leads")),
-        "shared-parts",
-    )
-    often = multiple.groupBy("k1").agg(F.count("*").alias("times")).filter(F.col("times") >= EQUAL_PARTS).select("k1")
-    again = multiple.join(often, "k1").select("part", "k1")
-    edges = again.select("k1", F.first("k1").over(by_part).alias("lead")).select(F.col("k1").alias("a"), F.col("lead").alias("b")).filter("a <> b").distinct()
+    edges = shared.select("k1", F.first("k1").over(by_part).alias("lead")).select(F.col("k1").alias("a"), F.col("lead").alias("b")).filter("a <> b").distinct()
     families = stage(components(edges, "families").select(F.col("node").alias("k1"), F.col("root").alias("family")), "families")
     whose = sketch.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc").alias("doc"))
     candidates = stage(_blocks(whose.join(families, "k1"), percent), "candidates")
