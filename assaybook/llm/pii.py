@@ -7,9 +7,12 @@ as a share of the entity's own information content. A term that is never seen wi
 gives it away in full (share 1) and is as good as the entity itself. Terms beyond one threshold
 are generalised to their class, beyond a higher one removed.
 
-Only spans leave the first pass over the texts, and only counts of terms the second. Terms that
-stand beside an entity in enough different texts are candidates; their counts meet the corpus's
-after those are complete. Counts combine before their shuffles, so a value or term that a third of
+How often a term comes with the entity is only known from the texts at hand, so a lower confidence
+bound stands in for it: few different texts prove little, and copies prove no more than one text.
+No entity or term is too rare to be scored.
+
+Only spans leave the first pass over the texts, and only counts of terms the second. The counts of
+terms beside an entity meet the corpus's after those are complete. Counts combine before their shuffles, so a value or term that a third of
 all documents hold is one row a task.
 
 Every pattern is linear: a run is tried from its first character only and never given back, which
@@ -37,8 +40,8 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM = r"[\p{L}\p{N}]{3,}"
 #: Code points before and after an entity that are searched for terms.
 NEAR = 64
-#: Different texts in which a term must stand beside an entity, and the shares of disclosure.
-LEAST_TEXTS, GENERALISE, REMOVE = 3, 0.6, 0.8
+#: Shares of disclosure, and the normal quantile of the one-sided bound (95 %) on what the texts prove.
+GENERALISE, REMOVE, SURE = 0.6, 0.8, 1.645
 
 
 def _placed(text: Column, pattern: str) -> tuple[Column, Column]:
@@ -137,17 +140,24 @@ def find_base(docs: DataFrame) -> DataFrame:
     return found.select("doc", "k1", "k2", "base", near.alias("near"))
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame, least_texts: int = LEAST_TEXTS, share: float = GENERALISE) -> DataFrame | None:
+def least_share(seen: Column, texts: Column) -> Column:
+    """The Wilson lower bound of a share that was ``seen`` in as many cases as hold ``texts`` different texts."""
+    m, z = texts / seen, F.lit(SURE)
+    return (seen + z * z / (2 * m) - z * F.sqrt(seen * (1 - seen) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+
+
+def disclosing_terms(docs: DataFrame, base: DataFrame, share: float = GENERALISE) -> DataFrame | None:
     """(entity, term, share) of terms that give an entity away by ``share`` or more; None if none can.
 
-    share = log(N n(c,t) / (n(c) n(t))) / log(N / n(c)), all counts of documents: N of all, n(c)
-    with the entity, n(t) with the term anywhere, n(c,t) with the term beside the entity.
+    share = log(N p / n(c)) / log(N / n(c)), all counts of documents: N of all, n(c) with the
+    entity. p is ``least_share`` of n(c,t) / n(t): n(t) with the term anywhere, n(c,t) with the term
+    beside the entity. For a term never seen without the entity that is 1 less what doubt there is.
     """
     beside = base.select("doc", "k1", "k2", F.explode("near").alias("x")).select("doc", "k1", "k2", "x.entity", "x.term").distinct()
     pairs = beside.groupBy("entity", "term", "k1", "k2").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(
         F.sum("n").alias("n_both"), F.count("*").alias("texts")
     )
-    pairs = stage(pairs.filter(F.col("texts") >= least_texts).select("entity", "term", "n_both"), "pairs")
+    pairs = stage(pairs, "pairs")
     if pairs.isEmpty():
         return None
     terms = stage(pairs.select("term").distinct(), "terms")
@@ -156,12 +166,13 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, least_texts: int = LEAST_
     n_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term")
     entities = base.select("doc", "k1", "k2", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     n = float(base.count())
-    told = F.log(F.lit(n) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log(F.lit(n) / F.col("n_entity"))
+    sure = least_share(F.col("n_both") / F.col("n_term"), F.col("texts"))
+    told = F.log(F.lit(n) * sure / F.col("n_entity")) / F.log(F.lit(n) / F.col("n_entity"))
     scored = pairs.join(n_term, "term").join(entities, "entity").filter(F.col("n_entity") < n)
     return scored.select("entity", "term", told.alias("share")).filter(F.col("share") >= share)
 
 
-def find_personal_data(docs: DataFrame, least_texts: int = LEAST_TEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(doc_id, k1, k2, base, added) for every row of ``docs``.
 
     ``base`` holds the base spans, by kind and start. ``added`` holds struct(kind, start, end) of
@@ -171,7 +182,7 @@ def find_personal_data(docs: DataFrame, least_texts: int = LEAST_TEXTS, generali
     """
     base = stage(find_base(docs), "personal")
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    telling = disclosing_terms(docs, base, least_texts, generalise)
+    telling = disclosing_terms(docs, base, generalise)
     if telling is None:
         return base.select(F.col("doc").alias("doc_id"), "k1", "k2", "base", none.alias("added"))
     hits = base.select("doc", "k1", "k2", F.explode("near").alias("x")).select("doc", "k1", "k2", "x.*").join(telling, ["entity", "term"])

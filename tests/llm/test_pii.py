@@ -70,6 +70,19 @@ def test_terms_that_give_an_entity_away(make):
     assert all(not r["added"] for r in pii.find_personal_data(make(few)).collect())
 
 
+def test_rare_entities_are_scored(make):
+    random.seed(4)
+    rows = [(i, " ".join(random.choice("river stone paper light cloud".split()) for _ in range(9)) + f" note{i}") for i in range(400)]
+    rows += [(500, "river Quillfeather at zoe@abc.org stone")]                                               # one text
+    rows += [(600 + i, f"river Ottershaw at max@def.org {'cloud' if i else 'paper'}") for i in range(2)]     # two texts
+    rows += [(700 + i, "river Brackenbury at eve@ghi.org stone") for i in range(10)]                         # copies of one
+    found = {r["doc_id"]: r for r in pii.find_personal_data(make(rows)).collect()}
+    added = {d: {(dict(rows)[d][s["start"] : s["end"]], s["kind"]) for s in r["added"]} for d, r in found.items()}
+    assert added[500] == {("Quillfeather", "generalise")} and added[600] == added[601] == {("Ottershaw", "remove")}
+    assert all(added[700 + i] == {("Brackenbury", "generalise")} for i in range(10))
+    assert not any(added[d] for d in range(400))
+
+
 def test_no_rows(nothing):
     assert pii.find_personal_data(nothing).isEmpty() and pii.sanitise(nothing).isEmpty()
 
