@@ -2,18 +2,21 @@
 
 DataFrame functions throughout. Patterns find e-mail addresses, IP addresses, card and phone
 numbers. Each distinct value is a protected entity. Corpus statistics then say how strongly a term
-beside an entity reveals it: the pointwise mutual information of term and entity, over documents,
-as a share of the entity's own information content. A term that is never seen without the entity
-gives it away in full (share 1) and is as good as the entity itself. Terms beyond one threshold
-are generalised to their class, beyond a higher one removed.
+in the same text as an entity reveals it: the pointwise mutual information of term and entity, over
+documents, as a share of the entity's own information content. A term that is never seen without
+the entity gives it away in full (share 1) and is as good as the entity itself. Terms beyond one
+threshold are generalised to their class, beyond a higher one removed, wherever in the text they
+stand.
 
 How often a term comes with the entity is only known from the texts at hand, so a lower confidence
 bound stands in for it: few different texts prove little, and copies prove no more than one text.
 No entity or term is too rare to be scored.
 
-Only spans leave the first pass over the texts, and only counts of terms the second. The counts of
-terms beside an entity meet the corpus's after those are complete. Counts combine before their shuffles, so a value or term that a third of
-all documents hold is one row a task.
+Spans and terms of the texts that hold an entity leave the first pass, and only counts of terms the
+second. Entities that stand in the same texts have the same counts with every term, so they are one
+class, and so are terms; a text meets its pairs of classes, not of names. A list of thousands of
+addresses in one text is one class. Counts combine before their shuffles, so a value or term that a
+third of all documents hold is one row a task.
 
 Every pattern is linear: a run is tried from its first character only and never given back, which
 finds the same leftmost matches, since what follows the run decides and is the same for all of it.
@@ -37,22 +40,27 @@ PATTERNS = {
 }
 #: A byte without which a text has no match.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-TERM = r"[\p{L}\p{N}]{3,}"
-#: Code points before and after an entity that are searched for terms.
-NEAR = 64
+#: Stands for a character of a base span. A term is a whole run that touches none.
+FILL = "\uffff"
+TERM = rf"(?<![\p{{L}}\p{{N}}{FILL}])[\p{{L}}\p{{N}}]{{3,}}+(?!{FILL})"
 #: Shares of disclosure, and the normal quantile of the one-sided bound (95 %) on what the texts prove.
 GENERALISE, REMOVE, SURE = 0.6, 0.8, 1.645
 
 
-def _placed(text: Column, pattern: str) -> tuple[Column, Column]:
-    """All matches of a pattern, and the stretches of text before, between and after them."""
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+def _spans(matches: Column, gaps: Column) -> Column:
+    """Matches with their places, in code points: struct(start, end, value).
 
-
-def _spans(matches: Column, gaps: Column, base: Column) -> Column:
-    """Matches with their places, in code points from ``base``: struct(start, end, value)."""
+    Stretches of about the root of all are placed each by itself, so that no long list is copied
+    for every match.
+    """
     nothing = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    begin = F.struct(base.cast("int").alias("at"), nothing.alias("found"))
+    n = F.size(matches)
+    step = F.ceil(F.sqrt(n)).cast("int")
+    stretches = F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int"))
+
+    def pairs(i: Column) -> Column:
+        of = lambda x: F.slice(x, i * step + 1, F.least(step, n - i * step))
+        return F.zip_with(of(gaps), of(matches), lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
 
     def add(so_far: Column, pair: Column) -> Column:
         start = so_far["at"] + F.length(pair["gap"])
@@ -60,8 +68,13 @@ def _spans(matches: Column, gaps: Column, base: Column) -> Column:
         found = F.concat(so_far["found"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("value"))))
         return F.struct(end.alias("at"), found.alias("found"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, begin, add, lambda x: x["found"])).otherwise(nothing)
+    lengths = F.transform(stretches, lambda i: F.aggregate(pairs(i), F.lit(0), lambda t, p: t + F.length(p["gap"]) + F.length(p["match"])))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
+    begins = F.aggregate(
+        lengths, begin, lambda x, n: F.struct((x["at"] + n).alias("at"), F.concat(x["begins"], F.array(x["at"])).alias("begins")), lambda x: x["begins"]
+    )
+    placed = F.zip_with(stretches, begins, lambda i, at: F.aggregate(pairs(i), F.struct(at.alias("at"), nothing.alias("found")), add, lambda x: x["found"]))
+    return F.when(n > 0, F.flatten(placed)).otherwise(nothing)
 
 
 def digits(value: Column) -> Column:
@@ -100,23 +113,23 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], plain)
 
 
-def _near_terms(text: Column, span: Column) -> Column:
-    """Whole terms within NEAR code points of a span, with their places."""
-    low = F.greatest(span["start"] - NEAR, F.lit(0))
-    before = F.substring(text, low + 1, span["start"] - low)
-    after = F.substring(text, span["end"] + 1, F.lit(NEAR))
-    high = span["end"] + F.length(after)
-    # a term cut by the far edge of the stretch is left out, unless the text ends there too
-    left = F.filter(_spans(*_placed(before, TERM), low), lambda t: (t["start"] > low) | (low == 0))
-    right = F.filter(_spans(*_placed(after, TERM), span["end"]), lambda t: (t["end"] < high) | (high >= F.length(text)))
-    return F.concat(left, right)
+def _filled(text: Column, base: Column) -> Column:
+    """The text with FILL for every character of a base span."""
+    def write(so_far: Column, s: Column) -> Column:
+        start, end = F.greatest(s["start"], so_far["at"]), F.greatest(s["end"], so_far["at"])
+        piece = F.concat(F.substring(text, so_far["at"] + 1, start - so_far["at"]), F.repeat(F.lit(FILL), end - start))
+        return F.struct(end.alias("at"), F.concat(so_far["text"], F.array(piece)).alias("text"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("text"))
+    spans = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return F.aggregate(spans, begin, write, lambda x: F.concat(F.array_join(x["text"], ""), F.substring(text, x["at"] + 1, F.length(text))))
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """(doc, k1, k2, base, near) for every row: its base spans, and the terms beside them.
+    """(doc, k1, k2, base, terms) for every row: its base spans, and the terms of a text that has some.
 
-    ``base`` holds struct(kind, start, end, value) by kind as listed, then start; ``near`` holds
-    struct(entity, term, start, end), none of them inside a base span. ``k1, k2`` stand for the text.
+    ``base`` holds struct(kind, start, end, value) by kind as listed, then start; ``terms`` holds
+    struct(term, start, end), none of them touching a base span. ``k1, k2`` stand for the text.
     """
     k1, k2 = text_key(whole_text())
     found = docs.select(F.col("doc_id").cast("long").alias("doc"), k1.alias("k1"), k2.alias("k2"), whole_text().alias("whole"))
@@ -128,16 +141,12 @@ def find_base(docs: DataFrame) -> DataFrame:
     for kind in KINDS:
         gaps = F.when(F.size(kind) > 0, F.split("whole", PATTERNS[kind], -1)).otherwise(F.array().cast("array<string>"))
         found = found.withColumn(f"{kind}_gaps", gaps)
-    spans = [_of_kind(kind, _spans(F.col(kind), F.col(f"{kind}_gaps"), F.lit(0))) for kind in KINDS]
+    spans = [_of_kind(kind, _spans(F.col(kind), F.col(f"{kind}_gaps"))) for kind in KINDS]
     found = found.withColumn("base", F.concat(*spans))
-    near = F.flatten(F.transform("base", lambda s: F.transform(
-        F.filter(
-            _near_terms(F.col("whole"), s),
-            lambda t: ~F.exists("base", lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"])),
-        ),
-        lambda t: F.struct(entity(s).alias("entity"), F.lower(t["value"]).alias("term"), t["start"].alias("start"), t["end"].alias("end")),
-    )))
-    return found.select("doc", "k1", "k2", "base", near.alias("near"))
+    found = found.withColumn("filled", F.when(F.size("base") > 0, _filled(F.col("whole"), F.col("base"))).otherwise(""))
+    found = found.withColumn("words", F.regexp_extract_all("filled", F.lit(TERM), F.lit(0))).withColumn("word_gaps", F.split("filled", TERM, -1))
+    terms = F.transform(_spans(F.col("words"), F.col("word_gaps")), lambda t: F.struct(F.lower(t["value"]).alias("term"), t["start"].alias("start"), t["end"].alias("end")))
+    return found.select("doc", "k1", "k2", "base", terms.alias("terms"))
 
 
 def least_share(seen: Column, texts: Column) -> Column:
@@ -146,37 +155,53 @@ def least_share(seen: Column, texts: Column) -> Column:
     return (seen + z * z / (2 * m) - z * F.sqrt(seen * (1 - seen) / m + z * z / (4 * m * m))) / (1 + z * z / m)
 
 
+def _named_texts(texts: DataFrame, names: str) -> DataFrame:
+    """(k1, k2, n, name) rows of a column of names, with ``n_held``, the name's documents, and ``c1, c2``, which stand for its texts."""
+    rows = texts.select("k1", "k2", "n", F.explode(names).alias("name"))
+    told = rows.groupBy("name").agg(F.sum("n").alias("n_held"), *[F.bit_xor(F.xxhash64("k1", "k2", F.lit(i))).alias(f"c{i}") for i in (1, 2)])
+    return rows.join(told, "name")
+
+
 def disclosing_terms(docs: DataFrame, base: DataFrame, share: float = GENERALISE) -> DataFrame | None:
-    """(entity, term, share) of terms that give an entity away by ``share`` or more; None if none can.
+    """(k1, k2, term, share) of terms that give an entity of the text away by ``share`` or more; None if none can.
 
     share = log(N p / n(c)) / log(N / n(c)), all counts of documents: N of all, n(c) with the
-    entity. p is ``least_share`` of n(c,t) / n(t): n(t) with the term anywhere, n(c,t) with the term
-    beside the entity. For a term never seen without the entity that is 1 less what doubt there is.
+    entity. p is ``least_share`` of n(c,t) / n(t): n(t) with the term, n(c,t) with both. For a term
+    never seen without the entity that is 1 less what doubt there is. Of a text's entities the one
+    counts that the term gives away most.
     """
-    beside = base.select("doc", "k1", "k2", F.explode("near").alias("x")).select("doc", "k1", "k2", "x.entity", "x.term").distinct()
-    pairs = beside.groupBy("entity", "term", "k1", "k2").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(
-        F.sum("n").alias("n_both"), F.count("*").alias("texts")
+    held = base.filter(F.size("base") > 0).select(
+        "k1", "k2", F.array_distinct(F.transform("base", entity)).alias("entities"), F.array_distinct(F.transform("terms", lambda t: t["term"])).alias("words")
     )
-    pairs = stage(pairs, "pairs")
-    if pairs.isEmpty():
+    texts = stage(held.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("words").alias("words")), "texts")
+    if texts.isEmpty():
         return None
-    terms = stage(pairs.select("term").distinct(), "terms")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole_text()), F.lit(TERM), F.lit(0)))).alias("term"))
-    # counted before the join: a join of the words themselves would grow with both sides
-    n_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term")
-    entities = base.select("doc", "k1", "k2", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     n = float(base.count())
+    entities = _named_texts(texts, "entities").filter(F.col("n_held") < n)
+    entities = entities.select("k1", "k2", "n", F.col("c1").alias("e1"), F.col("c2").alias("e2"), F.col("n_held").alias("n_entity")).distinct()
+    own = _named_texts(texts, "words").withColumnRenamed("name", "term").drop("n", "n_held")
+    words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(whole_text(), F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    # counted before the join: a join of the words themselves would grow with both sides
+    n_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(own.select("term").distinct(), "term", "left_semi")
+    own = stage(own.join(n_term, "term"), "terms")
+    kind = ["c1", "c2", "n_term"]
+    # n(c,t) is n(c) at most: with more documents than this the term is below the share whatever the texts say
+    most = F.pow("n_entity", F.lit(share)) * n ** (1 - share) * 1.000001
+    met = entities.join(own.select("k1", "k2", *kind).distinct(), ["k1", "k2"]).filter(F.col("n_term") <= most)
+    met = stage(met, "pairs")
+    pairs = met.groupBy("e1", "e2", "n_entity", *kind).agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
     sure = least_share(F.col("n_both") / F.col("n_term"), F.col("texts"))
     told = F.log(F.lit(n) * sure / F.col("n_entity")) / F.log(F.lit(n) / F.col("n_entity"))
-    scored = pairs.join(n_term, "term").join(entities, "entity").filter(F.col("n_entity") < n)
-    return scored.select("entity", "term", told.alias("share")).filter(F.col("share") >= share)
+    scored = pairs.select("e1", "e2", "n_entity", *kind, told.alias("share")).filter(F.col("share") >= share)
+    telling = met.join(scored, ["e1", "e2", "n_entity", *kind]).groupBy("k1", "k2", *kind).agg(F.max("share").alias("share"))
+    return own.join(telling, ["k1", "k2", *kind]).select("k1", "k2", "term", "share")
 
 
 def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(doc_id, k1, k2, base, added) for every row of ``docs``.
 
     ``base`` holds the base spans, by kind and start. ``added`` holds struct(kind, start, end) of
-    disclosing terms beside the entities that they give away, by start: kind ``generalise`` or
+    disclosing terms in the texts of the entities that they give away, by start: kind ``generalise`` or
     ``remove``. Places are code points, the end exclusive. A missing or empty text has no spans.
     Repeated rows are found alike, and count each. No rows: no rows.
     """
@@ -185,7 +210,7 @@ def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, remove:
     telling = disclosing_terms(docs, base, generalise)
     if telling is None:
         return base.select(F.col("doc").alias("doc_id"), "k1", "k2", "base", none.alias("added"))
-    hits = base.select("doc", "k1", "k2", F.explode("near").alias("x")).select("doc", "k1", "k2", "x.*").join(telling, ["entity", "term"])
+    hits = base.select("doc", "k1", "k2", F.explode("terms").alias("x")).select("doc", "k1", "k2", "x.*").join(telling, ["k1", "k2", "term"])
     spans = hits.groupBy("doc", "k1", "k2", "start", "end").agg(F.max("share").alias("share"))
     kind = F.when(F.col("share") >= remove, "remove").otherwise("generalise")
     added = spans.groupBy("doc", "k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "end", kind.alias("kind")))).alias("added"))

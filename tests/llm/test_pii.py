@@ -83,6 +83,20 @@ def test_rare_entities_are_scored(make):
     assert not any(added[d] for d in range(400))
 
 
+def test_terms_far_from_the_entity(make):
+    random.seed(5)
+    filler = lambda n: " ".join(random.choice("river stone paper light cloud".split()) for _ in range(n))
+    rows = [(i, filler(40)) for i in range(200)]
+    # a heading, a footer a thousand characters on, and the name once more behind it; a list of many addresses
+    rows += [(300 + i, f"Ashgrove {filler(200)} tom@abc.org and so on {filler(60)} again ASHGROVE {filler(i)}") for i in range(4)]
+    rows += [(400, "Members " + " ".join(f"{filler(1)} m{j}@club.org" for j in range(300)) + " Thistledown")]
+    found = {r["doc_id"]: r for r in pii.find_personal_data(make(rows + rows[200:201])).collect()}
+    of = lambda d: [(dict(rows)[d][s["start"] : s["end"]], s["kind"]) for s in found[d]["added"]]
+    for i in range(4):
+        assert of(300 + i) == [("Ashgrove", "remove"), ("and", "remove"), ("again", "remove"), ("ASHGROVE", "remove")]
+    assert of(400) == [("Members", "generalise"), ("Thistledown", "generalise")] and not any(of(d) for d in range(200))
+
+
 def test_no_rows(nothing):
     assert pii.find_personal_data(nothing).isEmpty() and pii.sanitise(nothing).isEmpty()
 
