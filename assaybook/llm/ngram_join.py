@@ -288,6 +288,11 @@ def ngram_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFram
     is never the smallest unless a group has no other. ``t1, t2`` stand for the row's text. No
     rows: no rows.
     """
+    return _groups(docs, words, percent).drop("root")
+
+
+def _groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``ngram_groups`` with ``root``, which every component has of its own even where no row has an id; NULL without words."""
     t1, t2 = text_key(whole_text())
     read = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc"), t1.alias("t1"), t2.alias("t2"), whole_text().alias("whole"))
     sketch = stage(read.mapInArrow(_sketcher(words, percent), "doc long, t1 long, t2 long, n long, k1 long, k2 long, parts array<bigint>, sure array<struct<band:int,least:int>>"), "sketch")
@@ -316,12 +321,12 @@ def ngram_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFram
     )
     # a component is named by its smallest document; a set nothing links with, by its own key alone
     named = classes.groupBy("root").agg(F.min("doc").alias("component_id"))
-    told = classes.join(named, "root").select("n", "k1", "k2", "component_id", "n_links")
+    told = classes.join(named, "root").select("n", "k1", "k2", "root", "component_id", "n_links")
     out = sketch.select("doc", "t1", "t2", "n", "k1", "k2").join(told, ["n", "k1", "k2"], "left")
     alone = F.col("n") == 0
     return out.select(
         "doc", "t1", "t2", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+        F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), "root",
     )
 
 
@@ -331,11 +336,14 @@ def near_duplicate_stage(docs: DataFrame, words: int = 5, percent: int = 80) ->
     Of rows that share that id, the one whose text hashes lowest stays, and of equal rows one.
     Documents without words stay, equal rows once.
     """
-    groups = stage(ngram_groups(docs, words, percent), "groups")
+    groups = stage(_groups(docs, words, percent), "groups")
     place = F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "t1", "t2")
-    worded = groups.filter("n_shingles > 0").withColumn("place", place).select("doc", "t1", "t2", "place", F.col("component_id").alias("group"))
-    first = worded.groupBy("group").agg(F.min("place").alias("first"), F.max("place").alias("final")).filter("first <> final")
-    gone = worded.join(first.select(F.col("group").alias("of"), "first"), F.col("group").eqNullSafe(F.col("of"))).filter("place <> first")
+    # a component without any id has no name: its root tells it from the others of that kind
+    worded = groups.filter("n_shingles > 0").withColumn("place", place).select(
+        "doc", "t1", "t2", "place", F.coalesce("component_id", "root").alias("group"), F.col("component_id").isNotNull().alias("named")
+    )
+    first = worded.groupBy("group", "named").agg(F.min("place").alias("first"), F.max("place").alias("final")).filter("first <> final")
+    gone = worded.join(first.select("group", "named", "first"), ["group", "named"]).filter("place <> first")
     gone = gone.select(F.col("doc").alias("g"), F.col("t1").alias("g1"), F.col("t2").alias("g2")).distinct()
     t1, t2 = text_key(whole_text())
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")

@@ -94,6 +94,13 @@ def test_one_document_of_each_group_stays(messy, make):
     assert kept == {c for _, _, c, _ in by_hand(families(7), 5, 80)}
 
 
+def test_unrelated_texts_without_an_id_all_stay(make):
+    rows = [(None, "one text of its own that nobody else has"), (None, "quite another matter with seven other words"), (None, "quite another matter with seven other words")]
+    rows += [(4, "a third thing that stands here under a number"), (None, "a third thing that stands here under a number")]
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.near_duplicate_stage(make(rows)).collect()]
+    assert Counter(kept) == Counter([rows[0], rows[1], rows[3]])
+
+
 def test_no_rows(nothing):
     assert ngram_join.ngram_groups(nothing).isEmpty() and ngram_join.near_duplicate_stage(nothing).schema == nothing.schema
 
