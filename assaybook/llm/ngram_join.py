@@ -127,10 +127,18 @@ def _sketcher(words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def _refetcher(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Representatives' texts to their sets, as bytes; rows whose text is another one are dropped."""
+    """Representatives' texts to their sets, as bytes, each once a task; rows whose text is another one are dropped."""
 
     def refetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int, int]] = set()
         for b in batches:
+            if len(seen) > SEEN:
+                seen = set()
+            # rows without an id may repeat a representative's text
+            new = []
+            for k in zip(*[b[c].to_pylist() for c in ("n", "k1", "k2")]):
+                new.append(k not in seen), seen.add(k)
+            b = b.filter(pa.array(new, pa.bool_()))
             for start, stop in _pieces(b["whole"]):
                 part = b.slice(start, stop - start)
                 sets = shingle_sets(part["whole"], words)
@@ -251,7 +259,7 @@ def _blocks(classes: DataFrame, percent: int) -> DataFrame:
     with_above = F.transform(upto(F.col("above")), lambda j: F.struct(key(here, F.col("cell"), up, j).alias("key"), F.lit(0).alias("side")))
     with_below = F.transform(upto(F.col("below")), lambda j: F.struct(key(down, j, here, F.col("cell")).alias("key"), F.lit(1).alias("side")))
     large = large.withColumn("cell", cell).withColumn("blocks", F.concat(inside, with_above, with_below))
-    keep = ["k1", "k2", "n", "doc", "family", "blocks"]
+    keep = ["k1", "k2", "n", "doc", "t1", "t2", "family", "blocks"]
     return small.select(*keep).unionByName(large.select(*keep))
 
 
@@ -304,11 +312,15 @@ def _groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     by_part = Window.partitionBy("part").orderBy("k1")
     edges = shared.select("k1", F.first("k1").over(by_part).alias("lead")).select(F.col("k1").alias("a"), F.col("lead").alias("b")).filter("a <> b").distinct()
     families = stage(components(edges, "families").select(F.col("node").alias("k1"), F.col("root").alias("family")), "families")
-    whose = sketch.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc").alias("doc"))
+    whose = sketch.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "t1", "t2")).alias("x"))
+    whose = whose.select("n", "k1", "k2", "x.doc", "x.t1", "x.t2")
     candidates = stage(_blocks(whose.join(families, "k1"), percent), "candidates")
     # few texts are candidates' ones: the others need not travel to find that out
-    wanted = bloom_filter(candidates, "doc", candidates.count())
-    texts = read.filter(may_hold(wanted, F.col("doc"))).join(candidates, "doc").select("whole", "n", "k1", "k2", "family", "blocks")
+    key = F.coalesce("doc", "t1")        # a class may have no id, but always has a text
+    wanted = bloom_filter(candidates.select(key.alias("key")), "key", candidates.count())
+    told = candidates.select(F.col("doc").alias("d"), F.col("t1").alias("c1"), F.col("t2").alias("c2"), "n", "k1", "k2", "family", "blocks")
+    same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2"))
+    texts = read.filter(may_hold(wanted, key)).join(told, same).select("whole", "n", "k1", "k2", "family", "blocks")
     sets = texts.mapInArrow(_refetcher(words), "k1 long, n long, family long, blocks array<struct<key:string,side:int>>, held binary")
     dealt = sets.select("k1", "family", "held", F.explode("blocks").alias("block")).select("k1", "family", "held", "block.*")
     products = stage(dealt.groupBy("key").applyInArrow(_multiply(percent), "a long, b long, links long"), "links")

@@ -101,6 +101,20 @@ def test_unrelated_texts_without_an_id_all_stay(make):
     assert Counter(kept) == Counter([rows[0], rows[1], rows[3]])
 
 
+def test_near_copies_without_an_id_link(make):
+    random.seed(11)
+    base = [f"w{i}" for i in range(60)]
+    change = lambda *at: " ".join("x" + w if i in at else w for i, w in enumerate(base))
+    # the texts of 1 and 2 are only connected by one without an id; two more texts without an id link with each other
+    rows = [(1, change(0)), (2, change(59)), *[(None, " ".join(base))] * 5]
+    lone = [f"z{i}" for i in range(60)]
+    rows += [(None, " ".join(lone)), (None, " ".join(["y", *lone[1:]])), (9, "nothing in common with any of the others at all")]
+    want = by_hand(rows, 3, 96)
+    assert got(make(rows), 3, 96) == want and want[(2, 58, 1, 1)] == 1 and want[(None, 58, None, 1)] == 2
+    kept = [r["doc_id"] for r in ngram_join.near_duplicate_stage(make(rows)).collect()]
+    assert Counter(kept) == Counter([1, None, 9])
+
+
 def test_no_rows(nothing):
     assert ngram_join.ngram_groups(nothing).isEmpty() and ngram_join.near_duplicate_stage(nothing).schema == nothing.schema
 
