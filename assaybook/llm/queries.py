@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, byte_codec, line_dedup, lpf_dedup, mixing, multi_index, ngram_join, pii, piece_codec, quality_trees, token_counts, url_filter
+from . import alignment, byte_codec, line_dedup, lpf_dedup, mixing, multi_index, ngram_join, pii, piece_codec, pivot_clusters, quality_trees, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -177,3 +177,39 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
+
+
+def _clusters_sql(rounds: int = 3) -> str:
+    """Every vector against every centroid, round by round."""
+    steps = []
+    for r in range(rounds + 1):
+        # distance and number in one integer, so that its minimum breaks ties
+        steps.append(f"""
+near{r} as materialized (
+  select id, min(16 * cast(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) as bigint) + k) as m
+  from kept, centroids{r} group by id)""")
+        if r < rounds:
+            steps.append(f"""
+sums{r} as (
+  select k, i, sum(x) as s, count(*) as n
+  from (select m % 16 as k, unnest(v) as x, generate_subscripts(v, 1) as i from kept join near{r} using (id)) group by k, i),
+centroids{r + 1} as materialized (
+  select old.k, coalesce(new.c, old.c) as c
+  from centroids{r} old left join (select k, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as c from sums{r} group by k) new using (k))""")
+    return f"""
+with kept as materialized (
+  select row_number() over () as id, vec_id, embedding, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+  from embeddings where len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64 and len(embedding) = 64),
+centroids0 as materialized (
+  select row_number() over (order by sha256('1:' || vec_id) nulls last, embedding) - 1 as k, v as c from kept qualify k < 16),{",".join(steps)},
+told as (
+  select k, any_value(c) as c, cast(sum(m // 16) as bigint) as s from near{rounds} join centroids{rounds} on m % 16 = k group by k)
+select vec_id, cast(m % 16 as integer) as cluster, cast(m // 16 as bigint) as distance, s as cluster_inertia,
+       cast((select sum(s) from told) as bigint) as inertia, sha256(list_aggregate(c, 'string_agg', ',')) as centroid_sha256
+from kept join near{rounds} using (id) join told on m % 16 = k
+"""
+
+
+@query("op12_pivot_clusters", _clusters_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_clusters.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid")

@@ -29,7 +29,7 @@ def test_stages_keep_the_columns_and_take_effect(spark):
 
 def test_every_operator_is_registered():
     names = set(entry.queries())
-    assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES}
+    assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in queries.QUERIES}
     assert set(queries.ORACLES) <= set(queries.QUERIES) <= names
 
 
