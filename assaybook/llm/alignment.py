@@ -27,13 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stage
-from .piece_codec import MARK, PieceCodec, PieceVocabulary
+from .byte_codec import DUMMY_PREFIX, NORMALIZER, _bytes, _whole, characters
+from .piece_codec import MARK, PieceCodec
 from .ragged import Remembered, TokenBytes, flat_lists, int_lists, run_sums
 from .rows import text_slices, whole_text
 from .token_counts import PRE_TOKEN, byte_letters, unknown_letters
 
 #: Bytes of a document that one place of the state vector walks over.
 STRETCH = 512
+#: Rows whose lists a task works on at once, and new partial counts it holds before it adds them up.
+ROWS, HELD = 256, 1 << 20
 
 
 class ByteLevelTokens(Remembered):
@@ -54,12 +57,10 @@ class ByteLevelTokens(Remembered):
         for entry, i in ids.items():
             by_id[i] = bytes(byte_of[c] for c in entry)
         self.bytes = TokenBytes(by_id)
-        self.letters = dict(enumerate(byte_letters()))
         self.unknown = unknown_letters() if unknown is None else unknown
         self.plain = self.exact = regex.compile(PRE_TOKEN)
-        self.odd = None
-        if self.unknown:
-            self.odd = regex.compile(f"[{self.unknown}]")
+        self.odd = characters(self.unknown)
+        if self.odd:
             exact = PRE_TOKEN
             for name in (r"\p{L}", r"\p{N}"):
                 exact = exact.replace(name, f"[{name}--[{self.unknown}]]")
@@ -73,21 +74,20 @@ class ByteLevelTokens(Remembered):
         self.__init__(spec=state[0], unknown=state[1])
 
     def cut(self, text: str) -> list[str]:
-        plain = text.isascii() or self.odd is None or not self.odd.search(text)
+        plain = text.isascii() or self.odd.isdisjoint(text)
         return (self.plain if plain else self.exact).findall(text)
 
     def encode_parts(self, parts: list[str]) -> Iterator[Sequence[int]]:
         if self.model is None:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")          # a task has one core
-            from tokenizers import Tokenizer, models
+            from tokenizers import Tokenizer, models, pre_tokenizers
 
             own = self.spec["model"]
             merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in own["merges"]]
-            # nothing cuts or changes its input: pre-tokens come in as letters of bytes
             self.model = Tokenizer(models.BPE(vocab=own["vocab"], merges=merges, ignore_merges=own.get("ignore_merges", False)))
-        mapped = [part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters) for part in parts]
-        for start in range(0, len(mapped), 5000):
-            for coded in self.model.encode_batch_fast(mapped[start : start + 5000], add_special_tokens=False):
+            self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)          # parts are cut already
+        for start in range(0, len(parts), 5000):
+            for coded in self.model.encode_batch_fast(parts[start : start + 5000], add_special_tokens=False):
                 yield coded.ids
 
 
@@ -96,22 +96,29 @@ class PieceTokens(Remembered):
 
     cut = staticmethod(PieceCodec.segments)
 
-    def __init__(self, vocabulary: PieceVocabulary):
+    def __init__(self, path: str | None = None, proto: bytes | None = None):
         super().__init__()
-        self.vocabulary = vocabulary
-        self.bytes = TokenBytes([bytes([vocabulary.byte_of[i]]) if i in vocabulary.byte_of else piece.replace(MARK, " ").encode()
-                                 for i, piece in enumerate(vocabulary.pieces)])
+        import sentencepiece
 
-    def __getstate__(self) -> PieceVocabulary:
-        return self.vocabulary
+        if proto is None:
+            with open(path, "rb") as file:
+                proto = file.read()
+        self.proto = proto
+        # parts of a text bring their own space: the last word on a field of the message counts
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=proto + _bytes(NORMALIZER, _whole(DUMMY_PREFIX, 0)))
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        if any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces):
+            raise ValueError("pieces must hold the space mark only at their front, and no line feed")
+        self.bytes = TokenBytes([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)])
 
-    def __setstate__(self, state: PieceVocabulary) -> None:
-        self.__init__(state)
+    def __getstate__(self) -> bytes:
+        return self.proto
 
-    def encode_parts(self, parts: list[str]) -> Iterator[Sequence[int]]:
-        for start in range(0, len(parts), 20_000):
-            some = parts[start : start + 20_000]
-            yield from self.vocabulary.segment_ids([p if p[0] in "\n" + MARK else MARK + p for p in some])
+    def __setstate__(self, state: bytes) -> None:
+        self.__init__(proto=state)
+
+    def encode_parts(self, parts: list[str]) -> list[Sequence[int]]:
+        return self.model.encode([p if p[0] in "\n" + MARK else MARK + p for p in parts], num_threads=1)
 
 
 def shared_ends(a_ends: np.ndarray, b_ends: np.ndarray, doc_ends: np.ndarray, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
@@ -193,17 +200,29 @@ def _links(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], i
     return a[0][np.cumsum(in_a, dtype=np.int64) - 1].astype(np.int64) << 32 | b[0][np.cumsum(in_b, dtype=np.int64) - 1]
 
 
+def _row_slices(*columns: pa.Array) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """List columns as (values, counts), some rows at a time."""
+    for k in range(0, len(columns[0]), ROWS):
+        yield [flat_lists(c.slice(k, ROWS)) for c in columns]
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Partial counts of pairs as one."""
+    pairs, at = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+    return pairs, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(pairs)).astype(np.int64)
+
+
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """(pair, n): the links of every id pair over all rows; tasks add up their own before the shuffle."""
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
         for batch in batches:
-            a, b, in_a, in_b = (flat_lists(batch.column(c)) for c in ("a", "b", "a_sizes", "b_sizes"))
-            new, n = np.unique(_links(a, b, in_a[0], in_b[0]), return_counts=True)
-            pairs, at = np.unique(np.concatenate((pairs, new)), return_inverse=True)
-            total = np.zeros(len(pairs), np.int64)
-            np.add.at(total, at, np.concatenate((sums, n)))
-            sums = total
+            for a, b, in_a, in_b in _row_slices(*(batch.column(c) for c in ("a", "b", "a_sizes", "b_sizes"))):
+                parts.append(np.unique(_links(a, b, in_a[0], in_b[0]), return_counts=True))
+                size += len(parts[-1][0])
+                if size > HELD:
+                    parts, size = [_added(parts)], 0
+        pairs, sums = _added(parts)
         yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(sums)], names=["pair", "n"])
 
     return aligned.select("a", "b", "a_sizes", "b_sizes").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -249,8 +268,6 @@ class GroupText:
 _ALIGNED = T.StructType([T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("a", "b", "a_sizes", "b_sizes")])
 _SCORED = T.StructType([*[T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")],
                         T.StructField("groups", T.StringType())])
-#: Rows whose lists a task turns into text at once.
-ROWS = 256
 
 
 def aligned(text: Column, aligner: Aligner) -> Column:
@@ -268,8 +285,7 @@ def scored(scores: PairScores, writer: GroupText) -> Column:
     @F.arrow_udf(_SCORED)
     def run(a: pa.Array, b: pa.Array, a_sizes: pa.Array, b_sizes: pa.Array) -> pa.Array:
         out = []
-        for k in range(0, len(a), ROWS):
-            ids_a, ids_b, in_a, in_b = (flat_lists(c.slice(k, ROWS)) for c in (a, b, a_sizes, b_sizes))
+        for ids_a, ids_b, in_a, in_b in _row_slices(a, b, a_sizes, b_sizes):
             at = scores.find(_links(ids_a, ids_b, in_a[0], in_b[0]))
             groups = in_a[1]
             numbers = [ids_a[1], ids_b[1], groups, groups, run_sums(scores.best[at], groups), run_sums(scores.counts[at], groups)]
@@ -296,7 +312,7 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     as the counts over all documents come between two passes over them.
     """
     spark = docs.sparkSession
-    aligner = Aligner(ByteLevelTokens(a_path), PieceTokens(PieceVocabulary(b_path)))
+    aligner = Aligner(ByteLevelTokens(a_path), PieceTokens(b_path))
     sides = aligner.a.bytes, aligner.b.bytes
     staged = stage(docs.select("doc_id", aligned(whole_text(), aligner).alias("t")).select("doc_id", "t.*"), "aligned")
     # at most ``most_pairs`` rows, a number that the two vocabularies fix

@@ -102,6 +102,11 @@ def class_gaps() -> dict[str, str]:
     return gaps
 
 
+def characters(body: str) -> frozenset[str]:
+    """The characters of a class body that is made of ranges only."""
+    return frozenset(chr(c) for a, b in zip(body[::3], body[2::3]) for c in range(ord(a), ord(b) + 1))
+
+
 class ByteCodec(Remembered):
     """Encodes and decodes texts by a file of ranks and the pattern that cuts texts before merging."""
 
@@ -114,6 +119,7 @@ class ByteCodec(Remembered):
         self.ranks, self.pattern = ranks, pattern
         entries = sorted(ranks, key=ranks.get)
         self.id_of = np.array([ranks[e] for e in entries], dtype=np.int32)          # by piece
+        self.dense = int(self.id_of[-1]) == len(entries) - 1
         by_id = [b""] * (int(self.id_of[-1]) + 1)
         for entry, rank in ranks.items():
             by_id[rank] = entry
@@ -121,7 +127,7 @@ class ByteCodec(Remembered):
         self.proto = proto or model_proto(entries)
         self.gaps = class_gaps() if gaps is None else gaps
         self.simple = regex.compile(pattern)
-        self.odd = regex.compile(f"[{''.join(self.gaps.values())}]") if self.gaps else None
+        self.odd = frozenset().union(*map(characters, self.gaps.values()))
         exact = pattern
         for name, body in self.gaps.items():
             exact = exact.replace(name, f"[{name}--[{body}]]")
@@ -137,7 +143,7 @@ class ByteCodec(Remembered):
 
     def cut(self, text: str) -> list[str]:
         """The pre-tokens of a text, as the library's own Unicode cuts them."""
-        plain = text.isascii() or self.odd is None or not self.odd.search(text)
+        plain = text.isascii() or self.odd.isdisjoint(text)
         return (self.simple if plain else self.exact).findall(text)
 
     def encode_parts(self, parts: list[str]) -> list:
@@ -150,7 +156,7 @@ class ByteCodec(Remembered):
         rest = [k for k, ids in enumerate(out) if ids is None]
         mapped = [raw[k].decode("latin-1").translate(self.letters) for k in rest]
         for k, pieces in zip(rest, self.model.encode(mapped, num_threads=1)):
-            out[k] = self.id_of[pieces]
+            out[k] = pieces if self.dense else self.id_of[pieces].tolist()
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:

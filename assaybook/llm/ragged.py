@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
 
 #: Parts of texts a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Ids whose bytes are put together at once.
 AT_ONCE = 1 << 18
 
@@ -82,7 +83,7 @@ class Remembered:
             fresh = set().union(*cuts)
         parts = list(fresh)
         for part, ids in zip(parts, self.encode_parts(parts)):
-            self.known[part] = np.asarray(ids, dtype=np.int32).tobytes()
+            self.known[part] = array('i', ids).tobytes()
         runs = [b"".join([self.known[part] for part in cut]) for cut in cuts]
         counts = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
         return np.frombuffer(b"".join(runs), np.int32), counts
