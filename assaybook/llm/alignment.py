@@ -7,6 +7,9 @@ batch, one step moves them all, and documents that are through leave the vector.
 takes several places in it, each for a stretch of its bytes, so a batch takes no more steps
 for one very long text.
 
+Texts are encoded word by word, and a word met before is looked up: neither tokenizer merges
+across a space that follows no space and precedes no white space.
+
 Tokens end together only if one's bytes are a suffix of the other's, so there are no more linked
 id pairs than the two vocabularies have such pairs, whatever the corpus. That bound is computed and
 checked, and the counts of pairs go back to the tasks as one sorted array.
@@ -15,100 +18,74 @@ checked, and the counts of pairs go back to the tasks as one sorted array.
 from __future__ import annotations
 
 import json
-import os
+import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stage
-from .byte_codec import DUMMY_PREFIX, NORMALIZER, _bytes, _whole, characters
-from .piece_codec import MARK, PieceCodec
-from .ragged import Remembered, TokenBytes, flat_lists, int_lists, run_sums
-from .rows import text_slices, whole_text
+from .byte_codec import DUMMY_PREFIX, NORMALIZER, ByteCodec, _bytes, _whole
+from .piece_codec import MARK
+from .ragged import REMEMBERED, TokenBytes, flat_lists, int_lists, run_sums
+from .rows import small_batches, text_slices, whole_text
 from .token_counts import PRE_TOKEN, byte_letters, unknown_letters
 
 #: Bytes of a document that one place of the state vector walks over.
 STRETCH = 512
 #: Rows whose lists a task works on at once, and new partial counts it holds before it adds them up.
 ROWS, HELD = 256, 1 << 20
+#: New words that go through the tokenizers at once.
+WORDS = 5000
 
 
-class ByteLevelTokens(Remembered):
-    """Ids of a byte-level vocabulary file; strings of special tokens are ordinary text."""
-
-    def __init__(self, path: str | None = None, spec: dict | None = None, unknown: str | None = None):
-        super().__init__()
-        if spec is None:
-            with open(path, encoding="utf-8") as file:
-                spec = json.load(file)
-        before = spec["pre_tokenizer"] or {}
-        if spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
-            raise ValueError("the file is no plain byte-level vocabulary")
-        self.spec = {k: spec[k] for k in ("normalizer", "pre_tokenizer", "model")}
-        ids = spec["model"]["vocab"]
-        byte_of = {letter: b for b, letter in enumerate(byte_letters())}
-        by_id = [b""] * (max(ids.values()) + 1)
-        for entry, i in ids.items():
-            by_id[i] = bytes(byte_of[c] for c in entry)
-        self.bytes = TokenBytes(by_id)
-        self.unknown = unknown_letters() if unknown is None else unknown
-        self.plain = self.exact = regex.compile(PRE_TOKEN)
-        self.odd = characters(self.unknown)
-        if self.odd:
-            exact = PRE_TOKEN
-            for name in (r"\p{L}", r"\p{N}"):
-                exact = exact.replace(name, f"[{name}--[{self.unknown}]]")
-            self.exact = regex.compile(exact, regex.VERSION1)
-        self.model = None
-
-    def __getstate__(self) -> tuple:
-        return self.spec, self.unknown
-
-    def __setstate__(self, state: tuple) -> None:
-        self.__init__(spec=state[0], unknown=state[1])
-
-    def cut(self, text: str) -> list[str]:
-        plain = text.isascii() or self.odd.isdisjoint(text)
-        return (self.plain if plain else self.exact).findall(text)
-
-    def encode_parts(self, parts: list[str]) -> Iterator[Sequence[int]]:
-        if self.model is None:
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")          # a task has one core
-            from tokenizers import Tokenizer, models, pre_tokenizers
+def byte_level_codec(path: str) -> ByteCodec:
+    """The encoder of a byte-level vocabulary file; strings of special tokens are ordinary text.
 
-            own = self.spec["model"]
-            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in own["merges"]]
-            self.model = Tokenizer(models.BPE(vocab=own["vocab"], merges=merges, ignore_merges=own.get("ignore_merges", False)))
-            self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)          # parts are cut already
-        for start in range(0, len(parts), 5000):
-            for coded in self.model.encode_batch_fast(parts[start : start + 5000], add_special_tokens=False):
-                yield coded.ids
-
-
-class PieceTokens(Remembered):
-    """Ids of a sentencepiece vocabulary, which puts a space before the text by itself."""
-
-    cut = staticmethod(PieceCodec.segments)
+    The file lists its merges. Merging by the ranks of joined bytes gives the same tokens if entries stand
+    in order of their merges and every entry comes out of its own bytes: then no two tokens that
+    join to an entry can stand side by side unless their merge is listed. Both are checked.
+    """
+    from tokenizers import Tokenizer, models
+
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    before, own = spec["pre_tokenizer"] or {}, spec["model"]
+    if spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        raise ValueError("the file is no plain byte-level vocabulary")
+    ids = own["vocab"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in own["merges"]]
+    made = [ids[letter] for letter in byte_letters()], [ids[a + b] for a, b in merges]
+    entries = list(ids)
+    alone = Tokenizer(models.BPE(vocab=ids, merges=merges)).encode_batch(entries, add_special_tokens=False)
+    if max(made[0]) >= min(made[1]) or made[1] != sorted(made[1]) or any(e.ids != [ids[t]] for t, e in zip(entries, alone)):
+        raise ValueError("the merges of the file are not in the order of its entries")
+    byte_of = {letter: b for b, letter in enumerate(byte_letters())}
+    ranks = {bytes(byte_of[c] for c in entry): i for entry, i in ids.items()}
+    gaps = {name: unknown_letters() for name in (r"\p{L}", r"\p{N}")} if unknown_letters() else {}
+    return ByteCodec(ranks, PRE_TOKEN, gaps=gaps)
+
+
+class PieceTokens:
+    """Ids of a sentencepiece vocabulary for parts of texts that bring their own space."""
 
     def __init__(self, path: str | None = None, proto: bytes | None = None):
-        super().__init__()
         import sentencepiece
 
         if proto is None:
             with open(path, "rb") as file:
                 proto = file.read()
         self.proto = proto
-        # parts of a text bring their own space: the last word on a field of the message counts
+        # no space in front by itself: the last word on a field of the message counts
         self.model = sentencepiece.SentencePieceProcessor(model_proto=proto + _bytes(NORMALIZER, _whole(DUMMY_PREFIX, 0)))
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        if any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces):
-            raise ValueError("pieces must hold the space mark only at their front, and no line feed")
+        if any(MARK in p.lstrip(MARK) for p in pieces):
+            raise ValueError("pieces must hold the space mark only at their front")
         self.bytes = TokenBytes([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)])
 
     def __getstate__(self) -> bytes:
@@ -118,7 +95,47 @@ class PieceTokens(Remembered):
         self.__init__(proto=state)
 
     def encode_parts(self, parts: list[str]) -> list[Sequence[int]]:
-        return self.model.encode([p if p[0] in "\n" + MARK else MARK + p for p in parts], num_threads=1)
+        return self.model.encode(parts, num_threads=1)
+
+
+class Runs:
+    """Runs of ids by number, in one growing array."""
+
+    def __init__(self) -> None:
+        self.ids, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1, np.int64)
+
+    def add(self, runs: Iterable[Sequence[int]]) -> None:
+        flat = array("i")
+        sizes = array("q")
+        for run in runs:
+            flat.extend(run)
+            sizes.append(len(run))
+        start = int(self.ends[-1])
+        if start + len(flat) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), len(flat)), np.int32)))
+        self.ids[start : start + len(flat)] = flat
+        self.ends = np.concatenate((self.ends, start + np.cumsum(sizes, dtype=np.int64)))
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some runs in a row, and how many each has."""
+        start = self.ends[numbers]
+        counts = self.ends[numbers + 1] - start
+        before = np.cumsum(counts) - counts
+        return self.ids[np.arange(int(counts.sum())) + np.repeat(start - before, counts)], counts
+
+
+#: Where neither tokenizer merges: a space between no space and no white space.
+_WORDS = re.compile(r"(?<! ) (?=\S)")
+
+
+def words(text: str) -> list[str]:
+    """A space and the text, cut into parts that each stand for a space and themselves."""
+    parts = _WORDS.split(" " + text)
+    if parts[0]:
+        parts[0] = parts[0][1:]
+    else:
+        del parts[0]
+    return parts
 
 
 def shared_ends(a_ends: np.ndarray, b_ends: np.ndarray, doc_ends: np.ndarray, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
@@ -152,19 +169,52 @@ def shared_ends(a_ends: np.ndarray, b_ends: np.ndarray, doc_ends: np.ndarray, st
 class Aligner:
     """Encodes texts by both tokenizers and cuts them where both have a token end."""
 
-    def __init__(self, a: ByteLevelTokens, b: PieceTokens):
+    def __init__(self, a: ByteCodec, b: PieceTokens):
         self.a, self.b = a, b
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.runs = Runs(), Runs()
+
+    def __getstate__(self) -> tuple:
+        return self.a, self.b
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of A and of B for all texts in a row, and how many each text has."""
+        cuts = [words(text) if text else [] for text in texts]
+        fresh = set().union(*cuts).difference(self.known)
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self._forget()
+            fresh = set().union(*cuts)
+        new = list(fresh)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        for k in range(0, len(new), WORDS):
+            parts = [" " + word for word in new[k : k + WORDS]]
+            tokens = [self.a.cut(part) for part in parts]
+            ids, sizes = [], iter(self.a.encode_parts([t for cut in tokens for t in cut]))
+            for cut in tokens:
+                run: list[int] = []
+                for _ in cut:
+                    run += next(sizes)
+                ids.append(run)
+            self.runs[0].add(ids)
+            self.runs[1].add(self.b.encode_parts(parts))
+        numbers = np.fromiter((self.known[word] for cut in cuts for word in cut), np.int64)
+        sizes = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        return [(ids, run_sums(counts, sizes)) for ids, counts in (runs.take(numbers) for runs in self.runs)]
 
     def align(self, texts: list[str]) -> list[pa.ListArray]:
         """For each text the ids of A and of B, and how many of each are in each group.
 
         A text that the tokens of A or B do not spell, or an empty one, has none.
         """
-        a_ids, a_counts = self.a.ids([" " + t for t in texts])
-        b_ids, b_counts = self.b.ids(texts)
+        (a_ids, a_counts), (b_ids, b_counts) = self.encode(texts)
         raw = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         keep = self._spelled(self.a.bytes, a_ids, a_counts, raw) & self._spelled(self.b.bytes, b_ids, b_counts, raw)
-        keep &= np.fromiter(map(bool, texts), bool, len(texts))
         a_ids, b_ids = a_ids[np.repeat(keep, a_counts)], b_ids[np.repeat(keep, b_counts)]
         a_counts, b_counts = np.where(keep, a_counts, 0), np.where(keep, b_counts, 0)
         doc_ends = np.cumsum(self.a.bytes.sizes(a_ids, a_counts))
@@ -312,9 +362,9 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     as the counts over all documents come between two passes over them.
     """
     spark = docs.sparkSession
-    aligner = Aligner(ByteLevelTokens(a_path), PieceTokens(b_path))
+    aligner = Aligner(byte_level_codec(a_path), PieceTokens(b_path))
     sides = aligner.a.bytes, aligner.b.bytes
-    staged = stage(docs.select("doc_id", aligned(whole_text(), aligner).alias("t")).select("doc_id", "t.*"), "aligned")
+    staged = stage(small_batches(docs).select("doc_id", aligned(whole_text(), aligner).alias("t")).select("doc_id", "t.*"), "aligned")
     # at most ``most_pairs`` rows, a number that the two vocabularies fix
     bound = most_pairs(*sides)
     counts = stage(pair_counts(staged), "pairs").limit(bound + 1).toArrow()

@@ -112,6 +112,27 @@ def test_no_rows(nothing):
     assert out.isEmpty() and set(COLUMNS) <= set(out.columns)
 
 
-def test_other_kinds_of_vocabulary_are_refused():
+def test_other_kinds_of_vocabulary_are_refused(tmp_path):
+    import json
+
+    with pytest.raises(ValueError):
+        alignment.byte_level_codec(public_tokenizers.path("word_bpe_49k.json"))
+    spec = json.load(open(A))
+    spec["model"]["merges"] = spec["model"]["merges"][::-1]
+    (tmp_path / "other.json").write_text(json.dumps(spec))
     with pytest.raises(ValueError):
-        alignment.ByteLevelTokens(public_tokenizers.path("word_bpe_49k.json"))
+        alignment.byte_level_codec(str(tmp_path / "other.json"))
+
+
+def test_words_join_to_the_text_and_a_full_memory_starts_afresh(monkeypatch):
+    random.seed(9)
+    for _ in range(3000):
+        text = "".join(random.choice("ab  \n\t\x1c\u00a0\u2003.") for _ in range(random.randint(1, 12)))
+        assert "".join(" " + w for w in alignment.words(text)) == " " + text
+    monkeypatch.setattr(alignment, "REMEMBERED", 15)
+    aligner = alignment.Aligner(alignment.byte_level_codec(A), alignment.PieceTokens(B))
+    tok, spm = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    for i in range(20):
+        text = f"some words {i} and  others {i * i}\n of text"
+        (a, _), (b, _) = aligner.encode([text])
+        assert a.tolist() == tok.encode(" " + text).ids and b.tolist() == spm.encode(text)
