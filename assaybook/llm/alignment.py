@@ -22,6 +22,8 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 from ..session import stage
 from .byte_codec import DUMMY_PREFIX, NORMALIZER, ByteCodec, _bytes, _whole
 from .piece_codec import MARK
-from .ragged import REMEMBERED, TokenBytes, flat_lists, int_lists, run_sums
+from .ragged import TokenBytes, int_lists, packed, run_sums, unpacked
 from .rows import small_batches, text_slices, whole_text
 from .token_counts import PRE_TOKEN, byte_letters, unknown_letters
 
@@ -40,8 +42,8 @@ from .token_counts import PRE_TOKEN, byte_letters, unknown_letters
 STRETCH = 512
 #: Rows whose lists a task works on at once, and new partial counts it holds before it adds them up.
 ROWS, HELD = 256, 1 << 20
-#: New words that go through the tokenizers at once.
-WORDS = 5000
+#: New words that go through the tokenizers at once, and words a worker remembers before it starts afresh.
+WORDS, REMEMBERED = 5000, 200_000
 
 
 def byte_level_codec(path: str) -> ByteCodec:
@@ -105,16 +107,13 @@ class Runs:
         self.ids, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1, np.int64)
 
     def add(self, runs: Iterable[Sequence[int]]) -> None:
-        flat = array("i")
-        sizes = array("q")
-        for run in runs:
-            flat.extend(run)
-            sizes.append(len(run))
+        runs = list(runs)
+        flat, sizes = array("i", chain.from_iterable(runs)), np.fromiter(map(len, runs), np.int64, len(runs))
         start = int(self.ends[-1])
         if start + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), len(flat)), np.int32)))
         self.ids[start : start + len(flat)] = flat
-        self.ends = np.concatenate((self.ends, start + np.cumsum(sizes, dtype=np.int64)))
+        self.ends = np.concatenate((self.ends, start + np.cumsum(sizes)))
 
     def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some runs in a row, and how many each has."""
@@ -207,8 +206,13 @@ class Aligner:
         sizes = np.fromiter(map(len, cuts), np.int64, len(cuts))
         return [(ids, run_sums(counts, sizes)) for ids, counts in (runs.take(numbers) for runs in self.runs)]
 
-    def align(self, texts: list[str]) -> list[pa.ListArray]:
-        """For each text the ids of A and of B, and how many of each are in each group.
+    @property
+    def kinds(self) -> tuple[np.dtype, np.dtype]:
+        """The number types that hold the ids of A and of B."""
+        return tuple(np.dtype(np.uint16 if len(side.bytes.width) <= 1 << 16 else np.uint32) for side in (self.a, self.b))
+
+    def align(self, texts: list[str]) -> list[pa.BinaryArray]:
+        """For each text the ids of A and of B, and for each token whether it ends a group, as packed numbers.
 
         A text that the tokens of A or B do not spell, or an empty one, has none.
         """
@@ -219,9 +223,9 @@ class Aligner:
         a_counts, b_counts = np.where(keep, a_counts, 0), np.where(keep, b_counts, 0)
         doc_ends = np.cumsum(self.a.bytes.sizes(a_ids, a_counts))
         cut_a, cut_b = shared_ends(np.cumsum(self.a.bytes.width[a_ids]), np.cumsum(self.b.bytes.width[b_ids]), doc_ends)
-        groups = run_sums(cut_a, a_counts)
-        in_a, in_b = (np.diff(np.flatnonzero(cut), prepend=-1) for cut in (cut_a, cut_b))
-        return [int_lists(a_ids, a_counts), int_lists(b_ids, b_counts), int_lists(in_a, groups), int_lists(in_b, groups)]
+        a_kind, b_kind = self.kinds
+        return [packed(a_ids.astype(a_kind), a_counts), packed(b_ids.astype(b_kind), b_counts),
+                packed(cut_a.astype(np.uint8), a_counts), packed(cut_b.astype(np.uint8), b_counts)]
 
     @staticmethod
     def _spelled(table: TokenBytes, ids: np.ndarray, counts: np.ndarray, raw: list[bytes]) -> np.ndarray:
@@ -245,15 +249,31 @@ def most_pairs(a: TokenBytes, b: TokenBytes) -> int:
     return suffixes(in_a, in_b, 0) + suffixes(in_b, in_a, 1)
 
 
-def _links(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], in_a: np.ndarray, in_b: np.ndarray) -> np.ndarray:
-    """A number for the linked id pair of every group: the last token of A and of B in it."""
-    return a[0][np.cumsum(in_a, dtype=np.int64) - 1].astype(np.int64) << 32 | b[0][np.cumsum(in_b, dtype=np.int64) - 1]
+@dataclass
+class Aligned:
+    """Some rows of aligned ids: flat ids and counts per row, and the numbers of tokens in each group."""
+
+    a: np.ndarray
+    b: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    a_sizes: np.ndarray
+    b_sizes: np.ndarray
+    groups: np.ndarray
 
+    @property
+    def links(self) -> np.ndarray:
+        """A number for the linked id pair of every group: the last token of A and of B in it."""
+        a, b = self.a[np.cumsum(self.a_sizes) - 1], self.b[np.cumsum(self.b_sizes) - 1]
+        return a.astype(np.int64) << 32 | b.astype(np.int64)
 
-def _row_slices(*columns: pa.Array) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
-    """List columns as (values, counts), some rows at a time."""
+
+def read_aligned(columns: Sequence[pa.BinaryArray], kinds: tuple[np.dtype, np.dtype]) -> Iterator[Aligned]:
+    """Packed columns, some rows at a time."""
     for k in range(0, len(columns[0]), ROWS):
-        yield [flat_lists(c.slice(k, ROWS)) for c in columns]
+        (a, n_a), (b, n_b), (cut_a, _), (cut_b, _) = (unpacked(c.slice(k, ROWS), kind) for c, kind in zip(columns, (*kinds, np.uint8, np.uint8)))
+        a_sizes, b_sizes = (np.diff(np.flatnonzero(cut), prepend=-1) for cut in (cut_a, cut_b))
+        yield Aligned(a, b, n_a, n_b, a_sizes, b_sizes, run_sums(cut_a, n_a))
 
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -262,20 +282,20 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return pairs, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(pairs)).astype(np.int64)
 
 
-def pair_counts(aligned: DataFrame) -> DataFrame:
+def pair_counts(packed_rows: DataFrame, kinds: tuple[np.dtype, np.dtype]) -> DataFrame:
     """(pair, n): the links of every id pair over all rows; tasks add up their own before the shuffle."""
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
         for batch in batches:
-            for a, b, in_a, in_b in _row_slices(*(batch.column(c) for c in ("a", "b", "a_sizes", "b_sizes"))):
-                parts.append(np.unique(_links(a, b, in_a[0], in_b[0]), return_counts=True))
+            for rows in read_aligned(batch.columns, kinds):
+                parts.append(np.unique(rows.links, return_counts=True))
                 size += len(parts[-1][0])
                 if size > HELD:
                     parts, size = [_added(parts)], 0
         pairs, sums = _added(parts)
         yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(sums)], names=["pair", "n"])
 
-    return aligned.select("a", "b", "a_sizes", "b_sizes").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return packed_rows.select(*_PACKED).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 class PairScores:
@@ -301,49 +321,64 @@ class GroupText:
         self.parts = [f"{i}{tail}" for tail, n in tails for i in range(n)]
         self.n_a, self.n_b = n_a, n_b
 
-    def write(self, a: tuple, b: tuple, in_a: np.ndarray, in_b: np.ndarray) -> list[str]:
-        before_a, before_b = np.cumsum(in_a, dtype=np.int64), np.cumsum(in_b, dtype=np.int64)
-        codes = np.empty(len(a[0]) + len(b[0]), np.int64)
-        last_a, last_b = np.zeros(len(a[0]), np.int64), np.zeros(len(b[0]), np.int64)
+    def write(self, rows: Aligned) -> list[str]:
+        before_a, before_b = np.cumsum(rows.a_sizes), np.cumsum(rows.b_sizes)
+        codes = np.empty(len(rows.a) + len(rows.b), np.int64)
+        last_a, last_b = np.zeros(len(rows.a), np.int64), np.zeros(len(rows.b), np.int64)
         last_a[before_a - 1], last_b[before_b - 1] = 1, 1
-        codes[np.arange(len(a[0])) + np.repeat(before_b - in_b, in_a)] = a[0] + last_a * self.n_a
-        codes[np.arange(len(b[0])) + np.repeat(before_a, in_b)] = b[0] + 2 * self.n_a + last_b * self.n_b
+        codes[np.arange(len(rows.a)) + np.repeat(before_b - rows.b_sizes, rows.a_sizes)] = rows.a.astype(np.int64) + last_a * self.n_a
+        codes[np.arange(len(rows.b)) + np.repeat(before_a, rows.b_sizes)] = rows.b.astype(np.int64) + 2 * self.n_a + last_b * self.n_b
         out, start, flat = [], 0, codes.tolist()
-        for n in (a[1] + b[1]).tolist():
+        for n in (rows.n_a + rows.n_b).tolist():
             out.append("".join([self.parts[c] for c in flat[start : start + n]])[:-1])
             start += n
         return out
 
 
-_ALIGNED = T.StructType([T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("a", "b", "a_sizes", "b_sizes")])
+#: Staged columns: ids of A and B, and for every token one byte that says whether it ends a group.
+_PACKED = ("a", "b", "a_cuts", "b_cuts")
+_ALIGNED = T.StructType([T.StructField(c, T.BinaryType()) for c in _PACKED])
+_LISTS = T.StructType([T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("a", "b", "a_sizes", "b_sizes")])
 _SCORED = T.StructType([*[T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")],
                         T.StructField("groups", T.StringType())])
 
 
+def _struct(parts: list[pa.StructArray], names: Sequence[str], kinds: Sequence[pa.DataType]) -> pa.StructArray:
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(zip(names, kinds))))
+
+
 def aligned(text: Column, aligner: Aligner) -> Column:
-    """A struct (a, b, a_sizes, b_sizes) for a text: ids of both tokenizers, and their numbers in each group."""
+    """A struct of packed columns for a text."""
     @F.arrow_udf(_ALIGNED)
     def run(texts: pa.Array) -> pa.Array:
-        out = [pa.StructArray.from_arrays(aligner.align(part), names=_ALIGNED.names) for part in text_slices(texts)]
-        return pa.concat_arrays(out) if out else pa.array([], pa.struct([(c, pa.list_(pa.int32())) for c in _ALIGNED.names]))
+        return _struct([pa.StructArray.from_arrays(aligner.align(part), names=_PACKED) for part in text_slices(texts)], _PACKED, [pa.binary()] * 4)
 
     return run(text)
 
 
-def scored(scores: PairScores, writer: GroupText) -> Column:
+def lists(kinds: tuple[np.dtype, np.dtype]) -> Column:
+    """Ids of both tokenizers, and how many of each are in each group, as arrays."""
+    @F.arrow_udf(_LISTS)
+    def run(a: pa.Array, b: pa.Array, a_cuts: pa.Array, b_cuts: pa.Array) -> pa.Array:
+        parts = [pa.StructArray.from_arrays([int_lists(r.a, r.n_a), int_lists(r.b, r.n_b), int_lists(r.a_sizes, r.groups), int_lists(r.b_sizes, r.groups)],
+                                            names=_LISTS.names) for r in read_aligned((a, b, a_cuts, b_cuts), kinds)]
+        return _struct(parts, _LISTS.names, [pa.list_(pa.int32())] * 4)
+
+    return run(*_PACKED)
+
+
+def scored(scores: PairScores, writer: GroupText, kinds: tuple[np.dtype, np.dtype]) -> Column:
     """Numbers of tokens, groups and links, what the links count corpus-wide, and the groups as text."""
     @F.arrow_udf(_SCORED)
-    def run(a: pa.Array, b: pa.Array, a_sizes: pa.Array, b_sizes: pa.Array) -> pa.Array:
-        out = []
-        for ids_a, ids_b, in_a, in_b in _row_slices(a, b, a_sizes, b_sizes):
-            at = scores.find(_links(ids_a, ids_b, in_a[0], in_b[0]))
-            groups = in_a[1]
-            numbers = [ids_a[1], ids_b[1], groups, groups, run_sums(scores.best[at], groups), run_sums(scores.counts[at], groups)]
-            texts = writer.write(ids_a, ids_b, in_a[0], in_b[0])
-            out.append(pa.StructArray.from_arrays([*[pa.array(n, pa.int64()) for n in numbers], pa.array(texts, pa.string())], names=_SCORED.names))
-        return pa.concat_arrays(out) if out else pa.array([], pa.struct([(f.name, pa.string() if f.name == "groups" else pa.int64()) for f in _SCORED]))
+    def run(a: pa.Array, b: pa.Array, a_cuts: pa.Array, b_cuts: pa.Array) -> pa.Array:
+        parts = []
+        for r in read_aligned((a, b, a_cuts, b_cuts), kinds):
+            at = scores.find(r.links)
+            numbers = [r.n_a, r.n_b, r.groups, r.groups, run_sums(scores.best[at], r.groups), run_sums(scores.counts[at], r.groups)]
+            parts.append(pa.StructArray.from_arrays([*[pa.array(n, pa.int64()) for n in numbers], pa.array(writer.write(r), pa.string())], names=_SCORED.names))
+        return _struct(parts, _SCORED.names, [pa.int64()] * 6 + [pa.string()])
 
-    return run("a", "b", "a_sizes", "b_sizes")
+    return run(*_PACKED)
 
 
 def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -361,15 +396,14 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     other columns of ``docs`` are not read. No rows: no rows. The aligned ids are staged once,
     as the counts over all documents come between two passes over them.
     """
-    spark = docs.sparkSession
     aligner = Aligner(byte_level_codec(a_path), PieceTokens(b_path))
-    sides = aligner.a.bytes, aligner.b.bytes
+    sides, kinds = (aligner.a.bytes, aligner.b.bytes), aligner.kinds
     staged = stage(small_batches(docs).select("doc_id", aligned(whole_text(), aligner).alias("t")).select("doc_id", "t.*"), "aligned")
     # at most ``most_pairs`` rows, a number that the two vocabularies fix
     bound = most_pairs(*sides)
-    counts = stage(pair_counts(staged), "pairs").limit(bound + 1).toArrow()
+    counts = stage(pair_counts(staged, kinds), "pairs").limit(bound + 1).toArrow()
     if counts.num_rows > bound:
         raise ValueError(f"more than {bound} linked id pairs: the tokens do not spell the texts")
     scores = PairScores(*(counts[c].to_numpy() for c in ("pair", "n")))
     writer = GroupText(*(len(s.width) for s in sides))
-    return staged.select("*", scored(scores, writer).alias("s")).select("doc_id", "a", "b", "a_sizes", "b_sizes", "s.*")
+    return staged.select("doc_id", lists(kinds).alias("l"), scored(scores, writer, kinds).alias("s")).select("doc_id", "l.*", "s.*")

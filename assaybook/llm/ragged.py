@@ -58,6 +58,19 @@ def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), counts
 
 
+def packed(values: np.ndarray, counts: np.ndarray) -> pa.BinaryArray:
+    """Runs of numbers as the bytes of each run."""
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, offsets(counts * values.itemsize).buffers()[1], pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(column: pa.BinaryArray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from the bytes of each run, and how many each run has."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    data = column.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return values.view(kind) if values.flags.aligned and ends[0] % np.dtype(kind).itemsize == 0 else np.frombuffer(values.tobytes(), kind), np.diff(ends) // np.dtype(kind).itemsize
+
+
 class Remembered:
     """Encodes texts part by part; the ids of a part met before are looked up.
 
