@@ -1,15 +1,13 @@
 """Regression and rank metrics per group of a long prediction table.
 
-Sums and means combine before their shuffle. Rank metrics count equal values first and get
-positions from range shuffles, so one huge group is spread over the cluster like any other.
+Sums and means combine before their shuffle; rank metrics cut the whole table into slices of
+bounded size, so one huge group is spread over the cluster like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +15,9 @@ from ..functions.cells import ratio
 from ..functions.labels import dataset_of
 from ..session import stage
 from ..vocabulary import PLAIN, Vocabulary
-from .ordering import running_total, value_ranks
+from .rankings import rank_correlations
 
 UNIT = ("label", "recipe", "endpoint")
-# Kendall: rows per bucket, and the most buckets a group is cut into
-BUCKET_ROWS = 1 << 16
-MAX_BUCKETS = 1024
 
 
 def regression_metrics(
@@ -104,127 +99,9 @@ def rank_metrics(
     pred: DataFrame, keys: Sequence[str] = UNIT, y: str = "y_true", f: str = "y_pred",
     metrics: Sequence[str] = ("spearman", "kendall"),
 ) -> DataFrame:
-    """Rank correlations per group, for groups of any size on one path.
-
-    Equal (y, f) pairs are collapsed into a staged table, and both metrics get their positions
-    from range shuffles over it, so that no task ever holds a group.
-    """
-    keys = list(keys)
-    rows = pred.filter(_paired(y, f)).select(
-        *keys, F.col(y).alias("_y"), F.col(f).alias("_f")
-    )
-    pairs = stage(rows.groupBy(*keys, "_y", "_f").agg(F.count("*").alias("_w")), "pairs")
-    parts = {"spearman": _spearman_spread, "kendall": _kendall_spread}
-    out = parts[metrics[0]](pairs, keys)
-    for m in metrics[1:]:
-        out = out.join(parts[m](pairs, keys), keys)
-    return out
-
-
-def _spearman_spread(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    joined = pairs
-    for v in ("_y", "_f"):
-        ranks = value_ranks(pairs, keys, v, "_w")
-        # ranks centred on the group's mean rank keep the sums small
-        centred = ranks.select(
-            *keys, v, (F.col("rank") - (F.col("total") + 1) / 2).alias(f"{v}_rank")
-        )
-        joined = joined.join(centred, [*keys, v])
-    w, a, b = F.col("_w"), F.col("_y_rank"), F.col("_f_rank")
-    return joined.groupBy(*keys).agg(
-        ratio(F.sum(w * a * b), F.sqrt(F.sum(w * a * a)) * F.sqrt(F.sum(w * b * b))).alias("spearman")
-    )
-
-
-def inversions(order: np.ndarray, weight: np.ndarray) -> float:
-    """Weighted pairs standing in descending order; ``order`` holds distinct numbers.
-
-    One stable split per bit of the rank: at each bit, pairs that differ first there are
-    counted with a running sum inside every block of equal higher bits.
-    """
-    n = order.size
-    if n < 2:
-        return 0.0
-    rank = np.empty(n, dtype=np.int64)
-    rank[np.argsort(order, kind="stable")] = np.arange(n)
-    w, total = weight.astype(np.float64), 0.0
-    for bit in range(int(n - 1).bit_length() - 1, -1, -1):
-        block, high = rank >> (bit + 1), (rank >> bit) & 1
-        ahead = np.cumsum(w * high)
-        first = np.r_[True, block[1:] != block[:-1]]
-        start = np.r_[0.0, ahead[:-1]][first][np.cumsum(first) - 1]
-        total += float((w * (1 - high) * (ahead - start)).sum())
-        at = np.argsort(rank >> bit, kind="stable")
-        rank, w = rank[at], w[at]
-    return total
-
-
-def _kendall_spread(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """tau-b without collecting a group in one task.
-
-    Rows of a group get a position by (y, f) and one by (f, y). Cutting both into buckets
-    splits the discordant pairs in three: within a y bucket, within an f bucket but across y
-    buckets, and across both. The first two are counted bucket by bucket, the last from the
-    bounded table of bucket counts.
-    """
-    one_way = running_total(pairs.select(*keys, "_y", "_f", "_w"), keys, ["_y", "_f"], None, "_p", "_n")
-    both = running_total(one_way, keys, ["_f", "_y"], None, "_q", "_m").drop("_m")
-    size = F.greatest(F.lit(BUCKET_ROWS), F.ceil(F.col("_n") / MAX_BUCKETS))
-    placed = stage(
-        both.select(*keys, "_w", "_p", "_q", F.floor(F.col("_p") / size).alias("_bp"),
-                    F.floor(F.col("_q") / size).alias("_bq"), "_n"),
-        "placed",
-    )
-    names = [f"_k{i}" for i in range(len(keys))]
-    types = {c.name: c.dataType.simpleString() for c in pairs.schema.fields}
-    schema = ", ".join(f"{n} {types[k]}" for n, k in zip(names, keys)) + ", _d double"
-    placed = placed.select(*[F.col(k).alias(n) for n, k in zip(names, keys)], "_w", "_p", "_q",
-                           "_bp", "_bq", "_n")
-
-    def result(pdf: pd.DataFrame, d: float) -> pd.DataFrame:
-        return pd.DataFrame({**{n: [pdf[n].iloc[0]] for n in names}, "_d": [d]})
-
-    def within_y(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_p")
-        return result(pdf, inversions(pdf["_q"].to_numpy(), pdf["_w"].to_numpy()))
-
-    def within_f(pdf: pd.DataFrame) -> pd.DataFrame:
-        # rows of one y bucket stand in _q order, so only pairs across y buckets count
-        pdf = pdf.sort_values(["_bp", "_q"])
-        return result(pdf, inversions(pdf["_q"].to_numpy(), pdf["_w"].to_numpy()))
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((int(pdf["_bp"].max()) + 1, int(pdf["_bq"].max()) + 1))
-        grid[pdf["_bp"].to_numpy(), pdf["_bq"].to_numpy()] = pdf["_c"].to_numpy()
-        above = np.zeros_like(grid)
-        above[1:] = np.cumsum(grid, axis=0)[:-1]                  # strictly earlier y buckets
-        right = np.cumsum(above[:, ::-1], axis=1)[:, ::-1] - above  # strictly later f buckets
-        return result(pdf, float((grid * right).sum()))
-
-    buckets = placed.groupBy(*names, "_bp").applyInPandas(within_y, schema)
-    wide = placed.filter(F.col("_n") > BUCKET_ROWS)   # groups of one bucket have no other pairs
-    cells = wide.groupBy(*names, "_bp", "_bq").agg(F.sum("_w").alias("_c"))
-    discordant = (
-        buckets.unionByName(wide.groupBy(*names, "_bq").applyInPandas(within_f, schema))
-        .unionByName(cells.groupBy(*names).applyInPandas(across, schema))
-        .groupBy(*names).agg(F.sum("_d").alias("_d"))
-        .select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "_d")
-    )
-
-    def pairs_of(c: str):
-        d = F.col(c).cast("double")
-        return F.sum(d * (d - 1) / 2)
-
-    def tied(v: str, out: str) -> DataFrame:
-        return pairs.groupBy(*keys, v).agg(F.sum("_w").alias("_t")).groupBy(*keys).agg(pairs_of("_t").alias(out))
-
-    whole = pairs.groupBy(*keys).agg(F.sum("_w").cast("double").alias("_n"), pairs_of("_w").alias("_same"))
-    n0 = F.col("_n") * (F.col("_n") - 1) / 2
-    score = n0 - F.col("_ty") - F.col("_tf") + F.col("_same") - 2 * F.col("_d")
-    return (
-        whole.join(tied("_y", "_ty"), keys).join(tied("_f", "_tf"), keys).join(discordant, keys)
-        .select(*keys, ratio(score, F.sqrt(n0 - F.col("_ty")) * F.sqrt(n0 - F.col("_tf"))).alias("kendall"))
-    )
+    """Rank correlations per group, for groups of any size on one path; both come from the same sorts."""
+    rows = pred.filter(_paired(y, f)).select(*keys, F.col(y).alias("_y"), F.col(f).alias("_f"))
+    return rank_correlations(rows, keys).select(*keys, *metrics)
 
 
 def tidy_metrics(pred: DataFrame, train: DataFrame, vocabulary: Vocabulary = PLAIN) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from assaybook.operators import evaluate
+from assaybook.operators import evaluate, rankings
 
 KEYS = ["label", "recipe", "endpoint"]
 
@@ -49,27 +49,50 @@ def test_regression(spark, pred):
     assert evaluate.regression_metrics(perfect).first()["r2"] == 1.0
 
 
-@pytest.mark.parametrize("bucket", [evaluate.BUCKET_ROWS, 16])
-def test_rank_metrics(pred, monkeypatch, bucket):
-    """Groups of one bucket and of many."""
-    monkeypatch.setattr(evaluate, "BUCKET_ROWS", bucket)
+@pytest.mark.parametrize("rows_of_a_slice, branches", [(rankings.SLICE_ROWS, 64), (64, 64), (24, 3)])
+def test_rank_metrics(pred, monkeypatch, rows_of_a_slice, branches):
+    """Groups inside one slice, and groups of many slices below trees of several levels."""
+    monkeypatch.setattr(rankings, "SLICE_ROWS", rows_of_a_slice)
+    monkeypatch.setattr(rankings, "TASK_ROWS", min(rows_of_a_slice, 100))
+    monkeypatch.setattr(rankings, "BRANCHES", branches)
     rows, df = pred
-    tau = {r["label"]: r["kendall"] for r in evaluate.kendall(df).collect()}
-    rho = {r["label"]: r["spearman"] for r in evaluate.spearman(df).collect()}
-    for g in ("hot", "mid"):
+    got = {r["label"]: r for r in evaluate.rank_metrics(df).collect()}
+    for g in ("hot", "mid", "two"):
         y, f = group(rows, g)
-        assert tau[g] == pytest.approx(kendall_brute(y, f), abs=1e-12)
-        assert rho[g] == pytest.approx(np.corrcoef(avg_rank(y), avg_rank(f))[0, 1], abs=1e-12)
-    assert tau["flat"] is None and rho["flat"] is None and tau["one"] is None and rho["one"] is None
-
-
-def test_kendall_with_capped_buckets(pred, monkeypatch):
-    """The bucket count stays at its maximum for a huge group; buckets just grow."""
-    monkeypatch.setattr(evaluate, "BUCKET_ROWS", 4)
-    monkeypatch.setattr(evaluate, "MAX_BUCKETS", 7)
-    rows, df = pred
-    tau = {r["label"]: r["kendall"] for r in evaluate.kendall(df).collect()}
-    assert tau["hot"] == pytest.approx(kendall_brute(*group(rows, "hot")), abs=1e-12)
+        assert got[g]["kendall"] == pytest.approx(kendall_brute(y, f), abs=1e-12)
+        assert got[g]["spearman"] == pytest.approx(np.corrcoef(avg_rank(y), avg_rank(f))[0, 1], abs=1e-12)
+    assert [got[g][m] for g in ("flat", "one") for m in ("kendall", "spearman")] == [None] * 4
+
+
+@pytest.mark.parametrize("kind", ["one value of y", "one value of f", "one pair", "reversed", "missing key"])
+def test_runs_over_many_slices(spark, monkeypatch, kind):
+    """A run of equal values, or a group without a name, that goes on through several slices."""
+    monkeypatch.setattr(rankings, "SLICE_ROWS", 20)
+    monkeypatch.setattr(rankings, "TASK_ROWS", 20)
+    monkeypatch.setattr(rankings, "BRANCHES", 3)
+    rng = np.random.default_rng(8)
+    y, f = rng.integers(0, 90, 300).astype(float), rng.integers(0, 90, 300).astype(float)
+    if kind == "one value of y":
+        y[40:260] = 44.0
+    if kind == "one value of f":
+        f[40:260] = 44.0
+    if kind == "one pair":
+        y[40:260], f[40:260] = 44.0, 44.0
+    if kind == "reversed":
+        y, f = np.arange(300.0), -np.arange(300.0)
+    name = None if kind == "missing key" else "g"
+    rows = [(name, a, b) for a, b in zip(y.tolist(), f.tolist())] + [("z", a, b) for a, b in zip(f[:30].tolist(), y[:30].tolist())]
+    df = spark.createDataFrame(rows, "g string, y_true double, y_pred double")
+    got = {r["g"]: r for r in evaluate.rank_metrics(df, ["g"]).collect()}
+    for g, a, b in ((name, y, f), ("z", f[:30], y[:30])):
+        want = kendall_brute(a, b)
+        assert got[g]["kendall"] == (None if want is None else pytest.approx(want, abs=1e-12))
+        assert got[g]["spearman"] == (None if want is None else pytest.approx(np.corrcoef(avg_rank(a), avg_rank(b))[0, 1], abs=1e-12))
+
+
+def test_no_pairs(spark):
+    empty = spark.createDataFrame([], "g string, y_true double, y_pred double")
+    assert evaluate.rank_metrics(empty, ["g"]).isEmpty()
 
 
 def test_inversions():
@@ -77,7 +100,10 @@ def test_inversions():
     for n in (1, 2, 3, 17, 64, 100):
         q, w = rng.permutation(n), rng.integers(1, 5, n)
         brute = sum(w[i] * w[j] for i in range(n) for j in range(i + 1, n) if q[i] > q[j])
-        assert evaluate.inversions(q, w) == brute
+        assert rankings.inversions(q, w) == brute
+    owner = np.sort(rng.integers(0, 5, 100))
+    split = [rankings.inversions(q[owner == g], w[owner == g]) for g in range(5)]
+    assert rankings.inversions_of(q, w, owner, 5).tolist() == split
 
 
 def test_rae_and_tidy(spark, pred):
