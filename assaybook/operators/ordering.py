@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import local_table, stage
@@ -54,6 +54,25 @@ def with_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id") -> Da
     )
 
 
+def input_row_ids(spark: SparkSession, path: str, name: str = "row_id") -> DataFrame:
+    """Parquet rows with a dense 0-based index in their own order: by file name, then as they stand.
+
+    A file's rows know their place in it, so only the files' sizes are counted: rows are neither
+    shuffled nor written. ``with_row_id`` is for any other order.
+    """
+    rows = spark.read.parquet(path)
+    file, at = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    sizes = rows.select(file.alias("_file")).groupBy("_file").agg(F.count("*").alias("n")).orderBy("_file").collect()
+    ends = np.cumsum([r["n"] for r in sizes], dtype=np.int64)
+    starts = local_table(
+        spark, {"_file": [r["_file"] for r in sizes], "_start": [int(e) - r["n"] for e, r in zip(ends, sizes)]},
+        {"_file": pa.string(), "_start": pa.int64()},
+    )
+    # a record per file: far below any limit of a broadcast
+    placed = rows.select("*", file.alias("_file"), at.alias("_at")).join(F.broadcast(starts), "_file")
+    return placed.withColumn(name, F.col("_start") + F.col("_at")).drop("_file", "_at", "_start")
+
+
 def running_total(
     df: DataFrame,
     group: Sequence[str],

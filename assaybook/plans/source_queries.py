@@ -206,8 +206,10 @@ def merge_shards(spark, sf):
     return rounded(cells.groupBy("row_id").agg(F.sum(finite).alias("total")))
 
 
-@query("orphan_check", """
-SELECT 'kept' AS output, false AS orphan UNION ALL SELECT 'crashed', true""")
+@query("orphan_check", f"""
+WITH {b.WIDE}
+SELECT 'kept' AS output, count(*) FILTER (WHERE value IS NOT NULL AND isfinite(value)) = 0 AS orphan FROM cells
+UNION ALL SELECT 'crashed', count(*) FILTER (WHERE nothing IS NOT NULL) = 0 FROM (SELECT nullif(value, value) AS nothing FROM cells)""")
 def orphan_check(spark, sf):
     m = stage(b.wide_matrix(spark, sf), "wide")
     crashed = m.withColumn("features", F.transform("features", lambda x: F.lit(None).cast("double")))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _watched: set[str] = set()
+_tables: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +42,20 @@ def stage(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_aligned(df: DataFrame, key: str, buckets: int, name: str = "table") -> DataFrame:
+    """Like ``stage``, with the rows stored by the hash of ``key``.
+
+    Two tables stored alike join on that key, and group by it, without an exchange.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    table = f"assaybook_{path.rsplit('-', 1)[1]}"
+    by_hash = df.repartition(buckets, key).sortWithinPartitions(key)          # so a bucket is one file
+    by_hash.write.option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(table)
+    return spark.table(table)
+
+
 def local_table(spark: SparkSession, columns: dict[str, list], types: dict[str, pa.DataType]) -> DataFrame:
     """A small driver-side table as a local relation, whose exact size the optimizer knows.
 
@@ -53,6 +68,8 @@ def local_table(spark: SparkSession, columns: dict[str, list], types: dict[str,
 
 def release(spark: SparkSession) -> None:
     """Delete every table this application staged; call it when their results have been used."""
+    for table in _tables.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.delete(path, True)

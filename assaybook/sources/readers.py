@@ -8,14 +8,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import EXPECTED_TARGETS, NON_TARGET_COLUMNS
 from ..functions.cells import as_cell, is_finite, lenient_double
 from ..operators.keys import standardize_keys, wide_targets
-from ..operators.ordering import running_total, with_row_id
+from ..operators.ordering import with_row_id
 from ..session import stage
+from .records import csv_records
 
 log = logging.getLogger(__name__)
 
@@ -87,51 +88,45 @@ def read_result_tree(spark: SparkSession, root: str, labels: Sequence[str] | Non
     """Wide CSVs of a ``<root>/<label>/<recipe>/.../<file>`` tree, long, plus the rejects.
 
     Cells come as (label, recipe, row_id, position, column, value), missing ones as null; ``file`` may be
-    a glob, and folders may be named ``key=value``. Every file has its own header. Files are
-    read by line, so a large one is split like any other. A file that is empty or has rows
+    a glob, and folders may be named ``key=value``. Every file has its own header. Fields may be quoted, and
+    then hold commas, doubled quotes and line feeds. Files are read by blocks of lines, so a large
+    one is split like any other. A file that is empty, ends inside a quoted field or has rows
     wider than its header becomes a (label, recipe, path, error) reject and does not stop the
     rest.
     """
-    tree = {"recursiveFileLookup": True, "pathGlobFilter": file}
     unit = _unit_of(root)
-    files = spark.read.options(**tree).text(root)
-    lines = files.select(
-        _plain_path(F.col("_metadata.file_path")).alias("path"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"),
-        "value",
-    ).filter(F.length(F.trim("value")) > 0)
-    lines = stage(lines.select("*", *unit(F.col("path"))), "tree")
+    files = spark.read.options(recursiveFileLookup=True, pathGlobFilter=file, lineSep="\n").text(root)
+    records, open_ = csv_records(files, _plain_path(F.col("_metadata.file_path")))
+    records = stage(records.select("*", *unit(F.col("path"))), "tree")
     # names only: Spark already lists them to plan the read, and skips empty files in it
     listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(
-        _plain_path(F.col("path")).alias("path"))
-    empty = listed.join(lines.select("path").distinct(), "path", "left_anti").select(
-        *unit(F.col("path")), "path", F.lit("empty file").alias("error"))
+        _plain_path(F.col("path")).alias("path")).distinct()
+    unread = listed.join(records.select("path").distinct(), "path", "left_anti")
+    reject = lambda df, error: df.select(*unit(F.col("path")), "path", F.lit(error).alias("error"))
+    rejects = reject(open_, "a quote is left open").unionByName(reject(unread.join(open_, "path", "left_anti"), "empty file"))
     if labels is not None:
-        lines, empty = (d.filter(F.col("label").isin(*labels)) for d in (lines, empty))
+        records, rejects = (d.filter(F.col("label").isin(*labels)) for d in (records, rejects))
 
-    at = F.struct("_block", "_line")
+    at = F.struct("block", "seq")
     headers = stage(
-        lines.groupBy("path").agg(F.min(at).alias("_first"), F.min_by("value", at).alias("_header")), "headers"
+        records.groupBy("path").agg(F.min(at).alias("_first"), F.min_by("cells", at).alias("_names")), "headers"
     )
-    parsed = lines.join(headers, "path").select(
-        "label", "recipe", "path", "_block", "_line", _fields("_header").alias("_names"),
-        _fields("value").alias("_cells"), (at == F.col("_first")).alias("_head"),
-    ).filter(~F.col("_head"))
-    wide = F.size("_cells") > F.size("_names")
+    parsed = records.join(headers, "path").filter(at > F.col("_first"))
     bad = stage(
-        parsed.filter(wide).groupBy("label", "recipe", "path").agg(F.count("*").alias("_n"))
+        parsed.filter(F.size("cells") > F.size("_names")).groupBy("label", "recipe", "path").agg(F.count("*").alias("_n"))
         .select("label", "recipe", "path", F.concat("_n", F.lit(" rows are wider than the header")).alias("error")),
         "rejects",
     )
-    rows = running_total(
-        stage(parsed.join(bad.select("path"), "path", "left_anti"), "rows"),
-        ["label", "recipe"], ["path", "_block", "_line"], None, "row_id", "_total",
-    )
-    cells = rows.select("label", "recipe", "row_id", "_cells", F.posexplode("_names").alias("_at", "column"))
-    good = cells.select("label", "recipe", "row_id", F.col("_at").alias("position"), "column",
-                        lenient_double(F.get("_cells", "_at")).alias("value"))
-    return good, bad.unionByName(empty)
+    good = parsed.join(bad.select("path"), "path", "left_anti")
+    # rows of a block are numbered as they are read, so its place among all blocks is all that is missing
+    blocks = good.groupBy("label", "recipe", "path", "block").agg(F.count("*").alias("_n"), F.min("seq").alias("_least"))
+    before = F.sum("_n").over(Window.partitionBy("label", "recipe").orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = stage(blocks.select("path", "block", (F.coalesce(before, F.lit(0)) - F.col("_least")).alias("_start")), "starts")
+    rows = good.join(starts, ["path", "block"]).withColumn("row_id", F.col("_start") + F.col("seq"))
+    cells = rows.select("label", "recipe", "row_id", "cells", F.posexplode("_names").alias("_at", "column"))
+    out = cells.select("label", "recipe", "row_id", F.col("_at").alias("position"), "column",
+                       lenient_double(F.get("cells", "_at")).alias("value"))
+    return out, bad.unionByName(rejects)
 
 
 def read_npy_tree(spark: SparkSession, root: str, labels: Sequence[str] | None = None,
@@ -197,12 +192,6 @@ def _unit_of(root: str):
     return columns
 
 
-def _fields(line: str):
-    """Fields of one CSV line; commas inside double quotes do not separate."""
-    parts = F.split(F.col(line), r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    return F.transform(parts, lambda f: F.regexp_replace(F.trim(f), r'^"|"$', ""))
-
-
 def melt_predictions(pred: DataFrame, truth: DataFrame, ids: Sequence[str],
                      target_columns: Sequence[str] | None = None) -> DataFrame:
     """Wide predictions and truths -> long (ids, endpoint, y_true, y_pred), labelled cells only.

@@ -21,6 +21,19 @@ def write_matrix(df: DataFrame, path: str, chunk_rows: int = CHUNK_ROWS, force:
     )
 
 
+def write_aligned(df: DataFrame, name: str, buckets: int, path: str | None = None, row_id: str = "row_id", force: bool = False) -> None:
+    """A table whose rows are stored by the hash of their row id, one file per bucket.
+
+    Keys and matrices written with the same number of buckets line up without an exchange, whatever
+    their size: each bucket of one is joined with the same bucket of the other. About 128 MB of a
+    matrix a bucket is a good size.
+    """
+    writer = df.repartition(buckets, row_id).sortWithinPartitions(row_id).write.mode("overwrite" if force else "errorifexists")
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.bucketBy(buckets, row_id).sortBy(row_id).saveAsTable(name)
+
+
 def write_split(df: DataFrame, split: ChunkSplit, path: str, force: bool = False) -> None:
     """Keys and matrix rows of both sides as one table, a folder per side."""
     (

@@ -8,6 +8,7 @@ from assaybook.operators.prescale import fit_recipe
 from assaybook.operators.steps import RECIPES
 from assaybook.operators.splits import chunk_split
 from assaybook.sources import readers, writers
+from assaybook.sources import records as records_module
 from test_prescale import CHUNK, N, frame, raw_matrix
 
 
@@ -84,6 +85,59 @@ def test_result_tree(spark, tmp_path):
     assert only.count() == 1
 
 
+CELLS = ["1.5", '"2,5"', '"7\n8"', '"a ""b"" c"', "", " 3 ", '"\n"', "it's 5\" long", '""', '"x\r\ny,""\n"']
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_records_equal_pandas_wherever_blocks_are_cut(spark, tmp_path, seed):
+    """Quoted commas, quotes and line feeds, in blocks of a few bytes, as pandas reads them."""
+    import random
+
+    import pandas as pd
+
+    rnd = random.Random(seed)
+    rows = [["a", '"b,c"', '"d\ne"']] + [[rnd.choice(CELLS) for _ in range(3)] for _ in range(40)]
+    text = "".join(",".join(r) + rnd.choice(["\n", "\r\n", "\n\n"]) for r in rows if any(c.strip() for c in r))
+    (tmp_path / "x.csv").write_bytes(text.encode())
+    (tmp_path / "open.csv").write_text('a\n1\n"never closed\n2\n')
+    want = pd.read_csv(tmp_path / "x.csv", header=None, dtype=str, keep_default_na=False)
+    for size in (40, 1 << 20):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            lines = spark.read.option("lineSep", "\n").text(str(tmp_path))
+            records, broken = records_module.csv_records(lines, F.element_at(F.split("_metadata.file_path", "/"), -1))
+            got = [r["cells"] for r in records.filter("path = 'x.csv'").orderBy("block", "seq").collect()]
+            assert got == [[c.strip() if "\n" not in c else c for c in r] for r in want.values.tolist()]
+            assert [r["path"] for r in broken.collect()] == ["open.csv"]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_wide_line_takes_linear_time():
+    import time
+
+    def seconds(n):
+        line = ",".join(['"1,5"'] * n)
+        start = time.perf_counter()
+        for _ in range(20):
+            assert len(records_module.fields(line)) == n and not records_module.ends_inside(line, False)
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(3585 * 8) < 8 * 4 * seconds(3585)
+
+
+def test_a_file_that_ends_inside_a_quote_is_rejected(spark, tmp_path):
+    for label, text in (("good", 'a,"b, c"\n1,"2"\n"3\n",4\n'), ("bad", 'a,b\n1,"2\n3,4\n')):
+        d = tmp_path / "tree" / label / "r"
+        d.mkdir(parents=True)
+        (d / "y_test.csv").write_text(text)
+    good, rejects = readers.read_result_tree(spark, str(tmp_path / "tree"))
+    assert sorted((r["label"], r["row_id"], r["column"], r["value"]) for r in good.collect()) == [
+        ("good", 0, "a", 1.0), ("good", 0, "b, c", 2.0), ("good", 1, "a", 3.0), ("good", 1, "b, c", 4.0)]
+    assert [(r["label"], r["error"]) for r in rejects.collect()] == [("bad", "a quote is left open")]
+
+
 def test_melt(spark):
     truth = spark.createDataFrame([(0, 1.0, None), (1, None, float("nan")), (2, 3.0, 4.0)], "row_id int, b double, a double")
     pred = spark.createDataFrame([(i, [10.0 + i, 20.0 + i]) for i in range(3)], "row_id int, y_pred array<double>")
