@@ -199,11 +199,15 @@ def control_comparison(df: DataFrame, subject: str, baseline: str, context: Sequ
 
 # ---------------------------------------------------------------- external test
 
-def external_test_report(df: DataFrame, recipe: str, control: str, prefix: str = "",
+def external_test_report(df: DataFrame, recipe: str | Sequence[str] | None, control: str, prefix: str = "",
                          alpha: float = ALPHA) -> DataFrame:
-    """One phase's flavor ranking: mean and std of r2 and mae, delta and star against the control."""
+    """Every phase's flavor ranking: mean and std of r2 and mae, delta and star against the control.
+
+    ``recipe`` names the phase, or several; None is all that ``df`` has. Each is a family of its own.
+    """
+    wanted = [recipe] if isinstance(recipe, str) else recipe
     flavor = labels.strip_prefix(labels.seed_base(F.col("flavor")), prefix)
-    rows = df.filter(F.col("recipe") == recipe).select("recipe", flavor.alias("flavor"), "r2", "mae")
+    rows = (df if wanted is None else df.filter(F.col("recipe").isin(*wanted))).select("recipe", flavor.alias("flavor"), "r2", "mae")
     zero = F.lit(0.0)
     table = rows.groupBy("recipe", "flavor").agg(
         F.avg("r2").alias("r2"), F.coalesce(F.stddev_samp("r2"), zero).alias("r2_std"),
@@ -217,7 +221,7 @@ def external_test_report(df: DataFrame, recipe: str, control: str, prefix: str =
     joined = table.join(tests, ["recipe", "flavor"], "left").withColumn(
         "star", significance.is_significant(F.col("p"), alpha)
     )
-    return sort_ranking(joined, "r2", True)
+    return sort_ranking(joined, "r2", True, ["recipe"])
 
 
 # ---------------------------------------------------------------- boxes
@@ -307,29 +311,38 @@ def variance_ratio(df: DataFrame, metric: str) -> DataFrame:
     )
 
 
+#: Votes of the standing arms, the arm that leaves, and who is left, in the words of a recursive query.
+_VOTES = """transform({standing}, a -> named_struct('flavor', a.flavor, 'col_ord', a.col_ord, 'votes',
+  aggregate(ballots, 0L, (n, b) -> n + if(filter(b.picks, p -> exists({standing}, s -> s.flavor = p))[0] = a.flavor, b.n, 0L))))"""
+_DECIDED = "(size(tally) = 1 OR 2 * array_max(transform(tally, a -> a.votes)) > aggregate(tally, 0L, (n, a) -> n + a.votes))"
+_OUT = "array_min(transform(tally, a -> named_struct('votes', a.votes, 'back', -a.col_ord, 'flavor', a.flavor))).flavor"
+
+
 def instant_runoff(cells: DataFrame, metric: str) -> DataFrame:
     """Instant-runoff election: every row ranks the arms, the weakest arm goes each round.
 
     Ballots are (row, flavor, value, col_ord). The arm with the fewest first places leaves,
     the later in order on ties; rounds end when one arm holds a majority or stands alone.
-    Returns (round, flavor, votes, eliminated). A round is one aggregate over the ballots and
-    only its one record per arm is read, to choose who leaves.
+    Returns (round, flavor, votes, eliminated).
+
+    One recursive query, whose state is the arms that stand and the ballots; equal ballots are counted
+    first, so there are as many as the displayed rows rank the arms differently. Spark stops a recursion after a
+    hundred levels, so there may be as many arms.
     """
-    spark = cells.sparkSession
-    ballots = stage(cells.select("row", "flavor", "value", "col_ord"), "ballots")
-    arms = [(r["flavor"], r["o"]) for r in
-            ballots.groupBy("flavor").agg(F.min("col_ord").alias("o")).orderBy("o").collect()]
-    record = []
-    for round_ in range(1, max(len(arms), 2)):
-        standing = [a for a, _ in arms]
-        first = row_winner(ballots.filter(F.col("flavor").isin(*standing)), metric)
-        tally = {r["winner"]: r["n"] for r in
-                 first.groupBy("winner").agg(F.count("*").alias("n")).collect()}
-        votes = [(a, o, tally.get(a, 0)) for a, o in arms]
-        decided = len(arms) == 1 or 2 * max(v for *_, v in votes) > sum(v for *_, v in votes)
-        out = None if decided else min(votes, key=lambda x: (x[2], -x[1]))[0]
-        record += [(round_, a, int(v), a == out) for a, _, v in votes]
-        arms = [(a, o) for a, o in arms if a != out]
-        if decided:
-            break
-    return spark.createDataFrame(record, "round int, flavor string, votes long, eliminated boolean")
+    sign = -1.0 if labels.higher_is_better(metric) else 1.0
+    choice = F.when(F.col("value").isNotNull(), F.struct((F.col("value") * sign).alias("v"), "col_ord", "flavor"))
+    ranked = cells.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(choice)), lambda c: c["flavor"]).alias("picks"))
+    ballots = ranked.groupBy("picks").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("picks", "n")).alias("ballots"))
+    arms = cells.groupBy("flavor").agg(F.min("col_ord").alias("col_ord")).agg(
+        F.sort_array(F.collect_list(F.struct("col_ord", "flavor"))).alias("arms"))
+    # one row each, joined by the constant they share
+    start = arms.select("arms", F.lit(1).alias("k")).join(ballots.select("ballots", F.lit(1).alias("k")), "k").filter(F.size("arms") > 0)
+    rounds = cells.sparkSession.sql(f"""
+        WITH RECURSIVE rounds(round, most, tally, ballots) AS (
+          SELECT 1, greatest(size(arms) - 1, 1), {_VOTES.format(standing='arms')}, ballots FROM {{start}}
+          UNION ALL
+          SELECT round + 1, most, {_VOTES.format(standing='rest')}, ballots
+          FROM (SELECT *, filter(tally, a -> a.flavor <> {_OUT}) AS rest FROM rounds WHERE round < most AND NOT {_DECIDED}))
+        SELECT round, tally, CASE WHEN {_DECIDED} THEN NULL ELSE {_OUT} END AS out FROM rounds""", start=start)
+    return rounds.select("round", "out", F.inline("tally")).select(
+        "round", "flavor", "votes", F.coalesce(F.col("flavor") == F.col("out"), F.lit(False)).alias("eliminated"))

@@ -1,99 +1,21 @@
-"""Family-wise and pairwise tests. Group statistics are SQL; only tail integrals are numpy."""
+"""Family-wise and pairwise tests, all in SQL: group statistics, and tail integrals over quadrature nodes."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ALPHA
 from ..functions.cells import ratio
+from ..functions.normal import legendre, normal_cdf, normal_grid
+from ..session import stage
 
 MIN_OBSERVATIONS = 2
-
-
-# ---------------------------------------------------------------- numpy tails
-
-def _normal_cdf(x: np.ndarray) -> np.ndarray:
-    """Standard normal distribution function, through the complementary error function."""
-    return 0.5 * np.vectorize(math.erfc, otypes=[float])(-x / math.sqrt(2.0))
-
-
-_CDF_X = np.linspace(-9.0, 9.0, 36001)
-_CDF_Y = _normal_cdf(_CDF_X)
-
-
-def _fast_cdf(x: np.ndarray) -> np.ndarray:
-    """Tabulated normal distribution function with a quadratic correction; good to 1e-11."""
-    step = _CDF_X[1] - _CDF_X[0]
-    at = np.clip(x, _CDF_X[0], _CDF_X[-1])
-    i = np.rint((at - _CDF_X[0]) / step).astype(np.int64)
-    x0 = _CDF_X[i]
-    d = at - x0
-    density = np.exp(-0.5 * x0 * x0) / math.sqrt(2.0 * math.pi)
-    return _CDF_Y[i] + density * (d - 0.5 * x0 * d * d + (x0 * x0 - 1.0) * d**3 / 6.0)
-
-
-def _scale_nodes(df: float, n: int = 96) -> tuple[np.ndarray, np.ndarray]:
-    """Quadrature nodes and weights for S = sqrt(chi2_df / df)."""
-    spread = 1.0 / math.sqrt(2.0 * df)
-    low, high = max(1e-9, 1.0 - 9.0 * spread), 1.0 + 10.0 * spread
-    if df < 8:
-        low, high = 1e-9, max(high, 6.0)
-    x, w = np.polynomial.legendre.leggauss(n)
-    s = 0.5 * (high - low) * x + 0.5 * (high + low)
-    log_density = (
-        math.log(2.0) + 0.5 * df * math.log(df / 2.0) - math.lgamma(df / 2.0)
-        + (df - 1.0) * np.log(s) - 0.5 * df * s * s
-    )
-    return s, 0.5 * (high - low) * w * np.exp(log_density)
-
-
-def dunnett_tail(t: np.ndarray, n: np.ndarray, n_control: int, df: float) -> np.ndarray:
-    """P(max |T| > |t|) for many-to-one contrasts with group sizes ``n``.
-
-    The contrasts share the control, so given its mean and the pooled scale they are
-    independent; that leaves a two-dimensional integral, done on a fixed grid.
-    """
-    lam = np.sqrt(n / (n + n_control))
-    width = np.sqrt(1.0 - lam**2)
-    z, wz = np.polynomial.hermite_e.hermegauss(80)
-    wz = wz / wz.sum()
-    s, ws = _scale_nodes(df)
-    out = np.empty(t.size)
-    for i, value in enumerate(np.abs(t)):
-        inside = np.ones((s.size, z.size))
-        for a, b, count in _same_size(lam, width):
-            upper = (value * s[:, None] + a * z[None, :]) / b
-            lower = (-value * s[:, None] + a * z[None, :]) / b
-            inside *= (_fast_cdf(upper) - _fast_cdf(lower)) ** count
-        out[i] = 1.0 - float(ws @ inside @ wz) / float(ws.sum())
-    return np.clip(out, 0.0, 1.0)
-
-
-def _same_size(lam: np.ndarray, width: np.ndarray):
-    for a in np.unique(lam):
-        same = lam == a
-        yield a, width[same][0], int(same.sum())
-
-
-def t_tail(t: float, df: float) -> float:
-    """Two-sided p-value of a t statistic.
-
-    With t = sqrt(df) tan(angle) the density becomes a power of the cosine, integrated from
-    the observed angle up.
-    """
-    start = math.atan(abs(t) / math.sqrt(df))
-    end = min(math.pi / 2, start + 40.0 / math.sqrt(df))
-    x, w = np.polynomial.legendre.leggauss(200)
-    angle = 0.5 * (end - start) * x + 0.5 * (end + start)
-    log_scale = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(math.pi)
-    body = np.exp(log_scale + (df - 1) * np.log(np.cos(angle)))
-    return float(min(1.0, 2.0 * 0.5 * (end - start) * (w @ body)))
+#: Quadrature nodes: of the pooled scale, of the control's mean, and of a t tail.
+SCALE_NODES, MEAN_NODES, TAIL_NODES = 48, 161, 200
 
 
 # ---------------------------------------------------------------- Spark
@@ -151,24 +73,46 @@ def dunnett(
     """Two-sided Dunnett p-value ``p`` per family and arm, next to the test's statistics.
 
     The pooled variance comes from the arms given, so the displayed column set changes the
-    p-values. Only one record per arm enters the integral.
+    p-values.
     """
-    stats = dunnett_stats(df, family, arm, value, control, controls)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema.fields)
+    stats = stage(dunnett_stats(df, family, arm, value, control, controls), "tests")
+    keys = [*family, arm]
+    tails = dunnett_tails(stats, family, arm)
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+    return stats.alias("s").join(tails.alias("t"), same, "left").select("s.*", "t.p")
 
-    def tails(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf.assign(p=np.nan)
-        at = pdf["t"].notna().to_numpy()
-        if at.any():
-            part = pdf[at]
-            out.loc[at, "p"] = dunnett_tail(
-                part["t"].to_numpy(float), part["n"].to_numpy(float),
-                int(part["n0"].iloc[0]), float(part["df"].iloc[0]),
-            )
-        return out
 
-    tested = stats.groupBy(*family).applyInPandas(tails, schema + ", p double")
-    return tested.withColumn("p", F.when(~F.isnan("p"), F.col("p")))
+def dunnett_tails(stats: DataFrame, family: Sequence[str], arm: str) -> DataFrame:
+    """P(max |T| > |t|) of many-to-one contrasts: (family, arm, p), from n, n0, df and t.
+
+    The contrasts share the control, so given its mean and the pooled scale they are
+    independent. That leaves a mean over both: every arm meets the nodes of the two, and at each
+    node the chances of all arms of its family are multiplied. Arms of one size share a factor.
+    """
+    family, keys = list(family), [*family, arm]
+    tested = stats.filter(F.col("t").isNotNull())
+    whole = Window.partitionBy(*family)              # one record per arm
+    sizes = F.collect_list("n").over(whole)
+    sized = tested.select(*keys, F.abs("t").alias("_t"), F.col("df").cast("double").alias("_df"), F.col("n0").cast("double").alias("_n0"), sizes.alias("_all"))
+    factors = sized.select("*", F.explode(F.array_distinct("_all")).alias("_n")).select(
+        *keys, "_t", "_df", F.sqrt(F.col("_n") / (F.col("_n") + F.col("_n0"))).alias("_lam"),
+        F.size(F.filter("_all", lambda n: n == F.col("_n"))).alias("_count"))
+    spread = 1 / F.sqrt(2 * F.col("_df"))
+    few = F.col("_df") < 8
+    low = F.when(few, 1e-9).otherwise(F.greatest(F.lit(1e-9), 1 - 9 * spread))
+    high = F.when(few, F.greatest(F.lit(6.0), 1 + 10 * spread)).otherwise(1 + 10 * spread)
+    scaled = factors.select(*keys, "_t", "_df", "_lam", "_count", F.posexplode(legendre(SCALE_NODES)).alias("_i", "_s"), low.alias("_low"), high.alias("_high"))
+    s = 0.5 * (F.col("_high") - F.col("_low")) * F.col("_s.x") + 0.5 * (F.col("_high") + F.col("_low"))
+    # the density of the scale but for a constant, which cancels
+    scaled = scaled.withColumn("_at", s).withColumn(
+        "_ws", F.col("_s.w") * F.exp((F.col("_df") - 1) * F.log("_at") - F.col("_df") * (F.col("_at") * F.col("_at") - 1) / 2))
+    placed = scaled.select(*keys, "_t", "_lam", "_count", "_i", "_at", "_ws", F.posexplode(normal_grid(MEAN_NODES)).alias("_j", "_z"))
+    width, mean, reach = F.sqrt(1 - F.col("_lam") * F.col("_lam")), F.col("_lam") * F.col("_z.x"), F.col("_t") * F.col("_at")
+    inside = normal_cdf((reach + mean) / width) - normal_cdf((mean - reach) / width)
+    points = placed.groupBy(*keys, "_i", "_j").agg(
+        F.sum(F.col("_count") * F.log(F.greatest(inside, F.lit(1e-300)))).alias("_log"), F.first(F.col("_ws") * F.col("_z.w")).alias("_w"))
+    p = 1 - F.sum(F.col("_w") * F.exp("_log")) / F.sum("_w")
+    return points.groupBy(*keys).agg(F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0)).alias("p"))
 
 
 def cell_pvalues(matrix: DataFrame, control_rows: DataFrame, baseline: str,
@@ -215,16 +159,25 @@ def welch_columns() -> list[Column]:
 
 def with_t_pvalue(stats: DataFrame) -> DataFrame:
     """Add the two-sided p-value of ``t`` at ``df`` degrees of freedom."""
+    return stats.withColumn("p", t_tail(F.col("t"), F.col("df")))
+
+
+def t_tail(t: Column, df: Column) -> Column:
+    """Two-sided p-value of a t statistic.
+
+    With t = sqrt(df) tan(angle) the density becomes a power of the cosine, so the tail is the share of
+    its integral from the observed angle up; both integrals end where nothing is left of it.
+    """
+    df, start = df.cast("double"), F.atan(F.abs(t) / F.sqrt(df.cast("double")))
+    reach = 40 / F.sqrt(df)
 
-    @F.pandas_udf("double")
-    def tail(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([
-            t_tail(a, b) if np.isfinite(a) and np.isfinite(b) else None
-            for a, b in zip(t.astype(float), df.astype(float))
-        ], dtype=float)
+    def integral(a: Column) -> Column:
+        half = (F.least(F.lit(math.pi / 2), a + reach) - a) / 2
+        angle = lambda node: a + half * (1 + node["x"])
+        power = lambda node: node["w"] * F.exp((df - 1) * F.log(F.greatest(F.cos(angle(node)), F.lit(1e-300))))
+        return half * F.aggregate(legendre(TAIL_NODES), F.lit(0.0), lambda total, node: total + power(node))
 
-    p = tail("t", "df")
-    return stats.withColumn("p", p).withColumn("p", F.when(~F.isnan("p"), F.col("p")))
+    return F.when(t.isNotNull() & df.isNotNull(), F.least(F.lit(1.0), integral(start) / integral(F.lit(0.0))))
 
 
 def is_significant(p, alpha: float = ALPHA):

@@ -9,6 +9,7 @@ from ..functions.cells import ratio
 from ..operators import cards, keys, significance
 from ..session import stage
 from . import bindings as b
+from . import tails
 from .catalog import query, r, rounded
 from .names import SAMPLE
 
@@ -247,16 +248,16 @@ def per_seed_average_delta(spark, sf):
 
 # ---------------------------------------------------------------- significance
 
-def dunnett_sql(source: str, value: str, family: str = "row", control: str = "f1") -> str:
-    """CTEs ``tested``: the Dunnett statistics of ``source`` per family and arm."""
-    return f"""arms AS (
+def dunnett_sql(source: str, value: str, family: str = "row", control: str = "f1", tag: str = "") -> str:
+    """CTEs ``tested<tag>``: the Dunnett statistics of ``source`` per family and arm."""
+    return f"""arms{tag} AS (
   SELECT {family} AS family, flavor, count({value}) AS n, avg({value}) AS mean, var_pop({value}) * count({value}) AS ss
   FROM {source} GROUP BY ALL),
-pool AS (SELECT family, sum(ss) AS ss, sum(n) - count(*) AS df, count(*) - 1 AS arms FROM arms WHERE n >= 2 GROUP BY family),
-tested AS (
+pool{tag} AS (SELECT family, sum(ss) AS ss, sum(n) - count(*) AS df, count(*) - 1 AS arms FROM arms{tag} WHERE n >= 2 GROUP BY family),
+tested{tag} AS (
   SELECT a.family, a.flavor, a.n, a.mean, c.n AS n0, c.mean AS mean0, p.arms, p.df::BIGINT AS df, p.ss / p.df AS pooled_var,
          (a.mean - c.mean) / sqrt(p.ss / p.df * (1.0::DOUBLE / a.n + 1.0::DOUBLE / c.n)) AS t
-  FROM arms a JOIN pool p ON a.family = p.family JOIN arms c ON c.family = a.family AND c.flavor = '{control}'
+  FROM arms{tag} a JOIN pool{tag} p ON a.family = p.family JOIN arms{tag} c ON c.family = a.family AND c.flavor = '{control}'
   WHERE a.flavor <> '{control}')"""
 
 
@@ -270,7 +271,9 @@ def dunnett_stats(spark, sf):
                     "arms", "df", F.round("pooled_var", 9).alias("pooled_var"), F.round("t", 4).alias("t"))
 
 
-@query("dunnett_pvalues")
+@query("dunnett_pvalues", f"""
+WITH {b.FRAME}, {dunnett_sql('frozen', 'r2')}, {tails.dunnett_p()}
+SELECT family AS row, flavor, {r('t', 4)} AS t, {r('p', 4)} AS p FROM tested JOIN ps USING (family, flavor)""")
 def dunnett_pvalues(spark, sf):
     return rounded(significance.dunnett(b.frozen(spark, sf), ["row"], "flavor", "r2", b.CONTROL)
                    .select("row", "flavor", "t", "p"), 4)
@@ -284,26 +287,36 @@ def _p_tables(spark, sf):
     return f, deltas, cell_p, average_p
 
 
-@query("average_pvalues")
+_CELL_TESTS = f"""cell_tests AS (SELECT row, flavor, mae FROM frozen), {dunnett_sql('cell_tests', 'mae')}, {tails.dunnett_p()}"""
+
+
+@query("cell_pvalues", f"""
+WITH {b.FRAME}, {_CELL_TESTS}
+SELECT family AS row, flavor, {r('t', 4)} AS t, {r('p', 4)} AS p FROM tested JOIN ps USING (family, flavor)""")
+def cell_pvalues(spark, sf):
+    return rounded(_p_tables(spark, sf)[2].select("row", "flavor", "t", "p"), 4)
+
+
+_CHANGES = f"""joined AS (SELECT * FROM frozen JOIN base USING (row)),
+{_PER_SEED.format(expr='100 * (mae - base) / base', src='joined')}, one AS (SELECT *, 'average' AS family FROM per_seed)"""
+_AVERAGE_TESTS = f"{_CHANGES}, {dunnett_sql('one', 'value', 'family')}"
+
+
+@query("average_pvalues", f"""
+WITH {b.FRAME}, {_BASE}, {_AVERAGE_TESTS}, {tails.dunnett_p()}
+SELECT flavor, n, {r('t', 4)} AS t, {r('p', 4)} AS p FROM tested JOIN ps USING (family, flavor)""")
 def average_pvalues(spark, sf):
     return rounded(_p_tables(spark, sf)[3].select("flavor", "n", "t", "p"), 4)
 
 
 @query("average_test_stats", f"""
-WITH {b.FRAME}, {_BASE}, joined AS (SELECT * FROM frozen JOIN base USING (row)),
-{_PER_SEED.format(expr='100 * (mae - base) / base', src='joined')}, one AS (SELECT *, 'average' AS family FROM per_seed),
-{dunnett_sql('one', 'value', 'family')}
+WITH {b.FRAME}, {_BASE}, {_AVERAGE_TESTS}
 SELECT flavor, n, {r('mean', 4)} AS mean, n0, arms, df, {r('t', 3)} AS t FROM tested""")
 def average_test_stats(spark, sf):
     return rounded(_p_tables(spark, sf)[3].select("flavor", "n", F.round("mean", 4).alias("mean"), "n0", "arms", "df",
                                                   F.round("t", 3).alias("t")))
 
 
-@query("cell_pvalues")
-def cell_pvalues(spark, sf):
-    return rounded(_p_tables(spark, sf)[2].select("row", "flavor", "t", "p"), 4)
-
-
 @query("card_cells", f"""
 WITH {b.FRAME}, {_ORDERED},
 cells AS (SELECT row, flavor, avg(r2) AS value, stddev_samp(r2) AS aux FROM frozen GROUP BY ALL),
@@ -318,20 +331,36 @@ def card_cells(spark, sf):
     return rounded(cards.r2_card(b.frozen(spark, sf), b.CONTROL, b.SHOWN, vocabulary=SAMPLE))
 
 
-@query("mae_delta_card")
+_CARD_P = f"""{_DELTA}, {_CELL_TESTS}, cell_p AS (SELECT family AS row, flavor, p FROM ps),
+{_CHANGES}, {dunnett_sql('one', 'value', 'family', tag='2')}, {tails.dunnett_p('tested2', 'qs')}"""
+
+
+@query("mae_delta_card", f"""
+WITH {b.FRAME}, {_ORDERED}, {_CARD_P},
+body AS (
+  SELECT row_ord, row, (CASE flavor WHEN 'f0' THEN 0 WHEN 'f2' THEN 1 ELSE 2 END)::INTEGER AS col_ord, flavor AS "column", delta AS value, p AS aux
+  FROM deltas JOIN ordered USING (row) LEFT JOIN cell_p USING (row, flavor)),
+card AS (SELECT * FROM body UNION ALL
+  SELECT m, 'AVERAGE', col_ord, "column", v, p FROM (
+    SELECT max(row_ord) + 1 AS m, col_ord, "column", avg(value) AS v FROM body GROUP BY col_ord, "column") LEFT JOIN qs ON "column" = qs.flavor)
+SELECT row_ord, row, col_ord, "column", {r('value', 4)} AS value, {r('aux', 4)} AS aux,
+       {r('CASE WHEN value IS NULL THEN NULL WHEN aux <= 0.05 THEN value ELSE 0 END', 4)} AS color_value,
+       CASE WHEN value IS NULL THEN '' ELSE printf('%+.0f%%', value) || CASE WHEN aux IS NULL THEN '' ELSE chr(10) || {tails.p_text('aux')} END END AS text
+FROM card""")
 def mae_delta_card(spark, sf):
     f, deltas, cell_p, average_p = _p_tables(spark, sf)
     return rounded(cards.mae_delta_card(deltas, cell_p, average_p, cards.order_rows(f, SAMPLE), b.SHOWN), 4)
 
 
 @query("gate_cells", f"""
-WITH {b.FRAME}, {_DELTA}, gated AS (SELECT row, flavor, delta, CASE WHEN n = 0 THEN NULL ELSE std / value END AS p FROM deltas)
+WITH {b.FRAME}, {_DELTA}, {_CELL_TESTS}, gated AS (
+  SELECT d.row, d.flavor, delta, p FROM deltas d LEFT JOIN ps ON ps.family = d.row AND ps.flavor = d.flavor)
 SELECT row, flavor, {r('CASE WHEN delta IS NULL THEN NULL WHEN p <= 0.05 THEN delta ELSE 0 END')} AS color_value,
-       CASE WHEN p IS NULL THEN '' WHEN p < 0.001 THEN 'p<.001' WHEN p > 0.999 THEN 'p>.999' ELSE 'p=' || printf('%.3f', p) END AS p_text
+       {tails.p_text('p')} AS p_text
 FROM gated""")
 def gate_cells(spark, sf):
-    # the relative seed spread stands in for a p-value, so that SQL can follow the gate
-    cells = _deltas(spark, sf)[2].withColumn("p", ratio(F.col("std"), F.col("value")))
+    _, deltas, cell_p, _ = _p_tables(spark, sf)
+    cells = deltas.join(cell_p.select("row", "flavor", "p"), ["row", "flavor"], "left")
     return rounded(cells.select("row", "flavor", cards.gate(F.col("delta"), F.col("p")).alias("color_value"),
                                 text.format_p(F.col("p")).alias("p_text")))
 

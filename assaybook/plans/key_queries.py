@@ -11,8 +11,8 @@ from .catalog import query
 
 _FIXED = """sides AS (
   SELECT *, CASE WHEN row_number() OVER (ORDER BY md5('42:' || doc_id))
-                      <= round_even(0.1 * (SELECT count(*) FROM corpus), 0) THEN 'val' ELSE 'train' END AS side
-  FROM std)"""
+                      <= round_even(0.1 * count(*) OVER (), 0) THEN 'val' ELSE 'train' END AS side
+  FROM std WHERE canonical IS NOT NULL)"""
 
 
 def _standard(spark, sf):
@@ -21,7 +21,7 @@ def _standard(spark, sf):
 
 def _sides(spark, sf):
     std = stage(_standard(spark, sf).select("doc_id", "lang", "canonical"), "std")
-    return splits.fixed_split(std, b.table(spark, sf, "documents").count(), "doc_id")
+    return splits.fixed_split(std, std.count(), "doc_id")
 
 
 @query("standardize_keys", f"""
@@ -94,11 +94,11 @@ def drop_leakage(spark, sf):
 
 @query("held_out_keys", f"""
 WITH {b.CORPUS}, {b.CANONICAL}, {_FIXED}
-SELECT canonical FROM sides WHERE side = 'val' AND lang = 'en'
-UNION SELECT canonical FROM sides WHERE side = 'val' AND lang = 'de'""")
+SELECT DISTINCT canonical FROM sides WHERE side = 'val' AND canonical IS NOT NULL""")
 def held_out_keys(spark, sf):
-    val = _sides(spark, sf).filter("side = 'val'")
-    return keys.held_out_keys([val.filter("lang = 'en'"), val.filter("lang = 'de'")], "canonical")
+    val = stage(_sides(spark, sf).filter("side = 'val'"), "val")
+    languages = [r["lang"] for r in val.select("lang").distinct().collect()]          # a held-out set for each
+    return keys.held_out_keys([val.filter(F.col("lang").eqNullSafe(F.lit(name))) for name in languages], "canonical")
 
 
 @query("split_overlap", f"""

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import cells
 from ..functions.cells import long_cells, yeo_johnson
 from ..operators import featurize, matrix, pca, power, prescale, splits
-from ..operators.ordering import with_row_id
+from ..operators.ordering import input_row_ids, with_row_id
 from ..operators.steps import ORDER_FIX, RECIPES, ClipSpread, DropInvalid, Scale
-from ..session import stage
+from ..session import stage, stage_aligned
 from . import bindings as b
 from .catalog import query, r, rounded
 
@@ -68,6 +68,13 @@ def evenly_spaced(spark, sf):
     return splits.evenly_spaced(m, m.count(), 20_000).select("row_id", F.col("features")[1].alias("price"))
 
 
+@query("input_row_index", """
+SELECT row_number() OVER () - 1 AS row_id, l_orderkey || ':' || l_linenumber AS key, l_extendedprice AS price FROM lineitem""")
+def input_row_index(spark, sf):
+    rows = input_row_ids(spark, f"{sf}/lineitem.parquet")
+    return rows.select("row_id", F.concat_ws(":", "l_orderkey", "l_linenumber").alias("key"), F.col("l_extendedprice").alias("price"))
+
+
 # a bounded sample over all rows, then its train side, as SQL
 _TALL_SAMPLE = f"""{_TALL_SPLIT},
 target AS (
@@ -95,8 +102,8 @@ SELECT row_id, key, c1 AS price FROM keyed JOIN tall USING (row_id)""")
 def align_keys(spark, sf):
     rows = with_row_id(b.table(spark, sf, "lineitem").select(*b.TALL_ORDER), b.TALL_ORDER)
     keys = rows.select("row_id", F.concat_ws(":", "l_orderkey", "l_linenumber").alias("key"))
-    return matrix.align(keys, b.tall_matrix(spark, sf)).select(
-        "row_id", "key", F.col("features")[1].alias("price"))
+    stored = [stage_aligned(df, "row_id", 8, "aligned") for df in (keys, b.tall_matrix(spark, sf))]
+    return matrix.align(*stored).select("row_id", "key", F.col("features")[1].alias("price"))
 
 
 # ---------------------------------------------------------------- profiles and moments
@@ -452,7 +459,7 @@ def pca_summary(spark, sf):
 @query("components_for", f"""
 WITH {b.WIDE}, {_CLEAN}, shares AS (
   SELECT col_id, var_pop(value) / sum(var_pop(value)) OVER () AS share
-  FROM clean WHERE col_id NOT IN (2, 5) GROUP BY col_id),
+  FROM clean GROUP BY col_id),
 running AS (
   SELECT row_number() OVER (ORDER BY share DESC, col_id) AS comp,
          sum(share) OVER (ORDER BY share DESC, col_id ROWS UNBOUNDED PRECEDING) AS total FROM shares)
@@ -460,8 +467,7 @@ SELECT t AS threshold, min(comp)::INTEGER AS n_components
 FROM running, (SELECT unnest([0.8::DOUBLE, 0.9::DOUBLE, 0.95::DOUBLE]) AS t) WHERE total >= t GROUP BY t""")
 def components_for(spark, sf):
     m = _cleaned_valid(b.wide_matrix(spark, sf))
-    # positions 2 and 5 hold the constant and the outliers
-    spread = long_cells(m).filter(~F.col("col_id").isin(2, 5)).groupBy("col_id").agg(F.var_pop("value").alias("v"))
+    spread = long_cells(m).groupBy("col_id").agg(F.var_pop("value").alias("v"))
     spread = stage(spread, "spread")
     total = spread.agg(F.sum("v")).first()[0]
     shares = with_row_id(spread.withColumn("down", -F.col("v")), ["down", "col_id"], "comp").select(

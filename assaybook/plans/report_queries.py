@@ -8,6 +8,7 @@ from ..operators import cards, reports, significance, stacking
 from ..operators.splits import assign_folds
 from ..session import stage
 from . import bindings as b
+from . import tails
 from .card_queries import dunnett_sql
 from .catalog import query, r, rounded
 from .names import SAMPLE
@@ -150,7 +151,21 @@ def welch_stats(spark, sf):
                     F.round("t", 4).alias("t"), F.round("df", 4).alias("df"))
 
 
-@query("control_comparison")
+_WELCH = f"""{_ARM_SEEDS}, s AS (
+  SELECT flavor, count(*) AS n, avg(value) AS m, var_samp(value) / count(*) AS v FROM arm_seeds GROUP BY flavor),
+welch AS (
+  SELECT 'f0' AS subject, x.n AS n_a, y.n AS n_b, x.m AS mean_a, y.m AS mean_b, (x.m - y.m) / sqrt(x.v + y.v) AS t,
+         pow(x.v + y.v, 2) / (x.v * x.v / (x.n - 1) + y.v * y.v / (y.n - 1)) AS df
+  FROM s x JOIN s y ON x.flavor = 'f0' AND y.flavor = 'f1'),
+gaps AS (SELECT c.flavor, abs(c.m - x.m) AS gap FROM s c JOIN s x ON x.flavor = 'f0' WHERE c.flavor IN ('f2', 'f3'))"""
+
+
+@query("control_comparison", f"""
+WITH {b.METRICS}, {_WELCH}, {tails.student_p('welch', 'subject')}
+SELECT subject, n_a, n_b, {r('mean_a', 4)} AS mean_a, {r('mean_b', 4)} AS mean_b, {r('t', 4)} AS t, {r('df', 4)} AS df,
+       (SELECT arg_min(flavor, gap) FROM gaps) AS nearest, (SELECT {r('min(gap)', 4)} FROM gaps) AS distance, {r('p', 4)} AS p,
+       {r('mean_a - mean_b', 4)} AS delta, p <= 0.05 AS significant
+FROM welch JOIN ps USING (subject)""")
 def control_comparison(spark, sf):
     return rounded(reports.control_comparison(b.metrics(spark, sf), "f0", "f1", ["f2", "f3"]), 4)
 
@@ -165,26 +180,33 @@ def nearest_arm(spark, sf):
     return rounded(c.select("subject", "nearest", "distance", "delta"))
 
 
+_PHASES = f"""{dunnett_sql('frozen', 'r2', 'recipe')}, shown AS (
+  SELECT recipe, flavor, avg(r2) AS r2, stddev_samp(r2) AS r2_std, avg(mae) AS mae, stddev_samp(mae) AS mae_std, count(r2) AS n
+  FROM frozen GROUP BY recipe, flavor)"""
+
+
 @query("external_test_report", f"""
-WITH {b.FRAME}, phase AS (SELECT * FROM frozen WHERE recipe = 'gauge_st'),
-{dunnett_sql('phase', 'r2', 'recipe')}
-SELECT recipe, flavor, {r('avg(r2)')} AS r2, {r('stddev_samp(r2)')} AS r2_std, {r('avg(mae)', 4)} AS mae,
-       {r('stddev_samp(mae)', 4)} AS mae_std, count(r2) AS n,
-       (SELECT {r('mean - mean0')} FROM tested t WHERE t.flavor = phase.flavor) AS delta
-FROM phase GROUP BY recipe, flavor""")
+WITH {b.FRAME}, {_PHASES}
+SELECT recipe, shown.flavor, {r('r2')} AS r2, {r('r2_std')} AS r2_std, {r('mae', 4)} AS mae, {r('mae_std', 4)} AS mae_std, shown.n,
+       {r('mean - mean0')} AS delta
+FROM shown LEFT JOIN tested ON tested.family = recipe AND tested.flavor = shown.flavor""")
 def external_test_report(spark, sf):
-    # the p-value and its star are not in SQL; external_test_stars lists them
-    m = b.metrics(spark, sf).filter(~F.col("flavor").startswith("lr_"))
-    t = reports.external_test_report(m, "gauge_st", b.CONTROL)
+    t = reports.external_test_report(_external(spark, sf), None, b.CONTROL)
     return t.select("recipe", "flavor", F.round("r2", 6).alias("r2"), F.round("r2_std", 6).alias("r2_std"),
                     F.round("mae", 4).alias("mae"), F.round("mae_std", 4).alias("mae_std"), "n",
                     F.round("delta", 6).alias("delta"))
 
 
-@query("external_test_stars")
+def _external(spark, sf):
+    return b.metrics(spark, sf).filter(~F.col("flavor").startswith("lr_"))
+
+
+@query("external_test_stars", f"""
+WITH {b.FRAME}, {_PHASES}, {tails.dunnett_p()}
+SELECT recipe, shown.flavor, {r('p', 4)} AS p, coalesce(p <= 0.05, false) AS star
+FROM shown LEFT JOIN ps ON ps.family = recipe AND ps.flavor = shown.flavor""")
 def external_test_stars(spark, sf):
-    m = b.metrics(spark, sf).filter(~F.col("flavor").startswith("lr_"))
-    return rounded(reports.external_test_report(m, "gauge_st", b.CONTROL).select("flavor", "p", "star"), 4)
+    return rounded(reports.external_test_report(_external(spark, sf), None, b.CONTROL).select("recipe", "flavor", "p", "star"), 4)
 
 
 _BOX = """q AS (SELECT flavor, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
@@ -217,7 +239,19 @@ def average_summary(spark, sf):
     return rounded(reports.average_summary(cells, cards.per_seed_average(f, f.select("row"), "r2")))
 
 
-@query("average_summary_tests")
+@query("average_summary_tests", f"""
+WITH {b.FRAME}, changes AS (
+  SELECT row, flavor, 100 * (avg(mae) - any_value(base)) / any_value(base) AS value
+  FROM frozen JOIN (SELECT row, avg(mae) AS base FROM frozen WHERE flavor = 'f1' GROUP BY row) USING (row) GROUP BY row, flavor),
+cells AS (SELECT * FROM changes WHERE flavor <> 'f1'), {_BOX},
+joined AS (SELECT frozen.*, base FROM frozen JOIN (SELECT row, avg(mae) AS base FROM frozen WHERE flavor = 'f1' GROUP BY row) USING (row)),
+per_seed AS (SELECT flavor, seed, avg(m) AS value FROM (
+  SELECT flavor, coalesce(seed, -1) AS seed, row, avg(100 * (mae - base) / base) AS m FROM joined GROUP BY ALL) GROUP BY ALL),
+seeds AS (SELECT flavor, count(*) AS n_seeds, stddev_samp(value) AS seed_sd FROM per_seed GROUP BY flavor),
+one AS (SELECT *, 'average' AS family FROM per_seed), {dunnett_sql('one', 'value', 'family')}, {tails.dunnett_p()}
+SELECT box.flavor, {r('average', 4)} AS average, box.n AS n_endpoints, {r('q1', 4)} AS q1, {r('median', 4)} AS median, {r('q3', 4)} AS q3,
+       {r('low', 4)} AS whisker_low, {r('high', 4)} AS whisker_high, n_seeds, {r('seed_sd', 4)} AS seed_sd, {r('p', 4)} AS p, p <= 0.05 AS significant
+FROM box JOIN seeds USING (flavor) JOIN ps USING (flavor)""")
 def average_summary_tests(spark, sf):
     f = b.frozen(spark, sf)
     base = stage(cards.reference_series(f, b.CONTROL, "mae"), "base")
@@ -261,16 +295,20 @@ def control_depth(spark, sf):
 
 
 @query("holm", f"""
-WITH {b.FRAME}, tests AS (
-  SELECT row, flavor, least(1, stddev_samp(r2) / avg(r2)) AS p FROM frozen WHERE flavor <> 'f1' GROUP BY ALL),
-steps AS (SELECT *, p * (count(*) OVER (PARTITION BY row) - row_number() OVER (PARTITION BY row ORDER BY p, flavor) + 1) AS s FROM tests)
-SELECT row, flavor, {r('p')} AS p, {r('least(1, max(s) OVER (PARTITION BY row ORDER BY p, flavor ROWS UNBOUNDED PRECEDING))')} AS p_holm
+WITH {b.FRAME}, arms AS (SELECT row, flavor, count(r2) AS n, avg(r2) AS m, var_samp(r2) / count(r2) AS v FROM frozen GROUP BY ALL),
+tests AS (
+  SELECT x.row, x.flavor, (x.m - y.m) / sqrt(x.v + y.v) AS t, pow(x.v + y.v, 2) / (x.v * x.v / (x.n - 1) + y.v * y.v / (y.n - 1)) AS df
+  FROM arms x JOIN arms y ON x.row = y.row AND y.flavor = 'f1' WHERE x.flavor <> 'f1'),
+{tails.student_p('tests', 'row, flavor')},
+steps AS (SELECT *, p * (count(*) OVER (PARTITION BY row) - row_number() OVER (PARTITION BY row ORDER BY p, flavor) + 1) AS s FROM ps)
+SELECT row, flavor, {r('p', 4)} AS p, {r('least(1, max(s) OVER (PARTITION BY row ORDER BY p, flavor ROWS UNBOUNDED PRECEDING))', 4)} AS p_holm
 FROM steps""")
 def holm(spark, sf):
-    # the relative seed spread stands in for a p-value, so that SQL can follow the step-down
-    spread = F.least(F.lit(1.0), F.stddev_samp("r2") / F.avg("r2"))
-    tests = b.frozen(spark, sf).filter("flavor <> 'f1'").groupBy("row", "flavor").agg(spread.alias("p"))
-    return rounded(reports.holm(tests))
+    f = b.frozen(spark, sf).select("row", "flavor", "r2")
+    arms = f.filter("flavor <> 'f1'")
+    control = arms.select("row", "flavor").distinct().join(f.filter("flavor = 'f1'").select("row", "r2"), "row")
+    tests = significance.with_t_pvalue(significance.welch_stats(arms, control, ["row", "flavor"], "r2"))
+    return rounded(reports.holm(tests.select("row", "flavor", "p")), 4)
 
 
 def _ballot_round(i: int) -> str:
