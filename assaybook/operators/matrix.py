@@ -7,6 +7,7 @@ count per (column, digit), whatever the number of rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..functions.cells import as_cell, is_finite
+from ..session import local_table, stage
 from .blocks import from_block, map_blocks, to_block
 
 
@@ -84,13 +86,13 @@ class _Tally:
 _TALLY = "rows long, col_id int, n long, mean double, m2 double, low double, high double"
 
 
-def column_tallies(df: DataFrame, features: str = "features") -> DataFrame:
+def column_tallies(df: DataFrame, features: str = "features", width: int | None = None) -> DataFrame:
     """Rows, finite cells, mean, squared deviations and limits per column: one record a column.
 
     Tasks reduce their rows in numpy blocks, so a record per (task, column) is shuffled and a
     matrix row is never taken apart into cells.
     """
-    width = matrix_width(df, features) or 0
+    width = (matrix_width(df, features) or 0) if width is None else width
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -130,12 +132,12 @@ def block_profile(df: DataFrame) -> dict[str, np.ndarray]:
     """The column profile as arrays; a column without a finite cell has infinite limits."""
     t = column_tallies(df).orderBy("col_id").toArrow()
     rows, n = t["rows"].to_numpy(), t["n"].to_numpy()
-    return {"low": t["low"].to_numpy(), "high": t["high"].to_numpy(), "invalid": rows - n, "n_rows": rows}
+    return {"low": t["low"].to_numpy(), "high": t["high"].to_numpy(), "mean": t["mean"].to_numpy(), "invalid": rows - n, "n_rows": rows}
 
 
 def block_moments(df: DataFrame, width: int, floor: bool = True) -> tuple[int, np.ndarray, np.ndarray]:
     """Rows, mean and sample std of each column; with ``floor`` a std of zero counts as one."""
-    t = column_tallies(df).orderBy("col_id").toArrow()
+    t = column_tallies(df, width=width).orderBy("col_id").toArrow()
     if not len(t):
         return 0, np.zeros(width), np.ones(width)
     n = t["n"].to_numpy()
@@ -170,11 +172,13 @@ def imputed_moments(df: DataFrame) -> DataFrame:
     return column_tallies(df).select("col_id", "n", "mean", F.when(flat, F.lit(1.0)).otherwise(std).alias("std"))
 
 
-#: Groups of tasks whose Gram blocks are summed first.
-GRAM_GROUPS = 64
+#: Gram matrices: columns of a tile, rows per column of a partial sum at least, and tiles added up at once.
+TILE, GRAM_ROWS, GRAM_FAN = 512, 16, 32
+#: Close pairs of columns that one process scans.
+LAST_PAIRS = 1 << 18
 _SIGN = np.uint64(1) << np.uint64(63)
-#: Bits a narrowing pass reads, and cells a bracket may hold when they are fetched.
-RADIX_BITS, FETCHED = 8, 2048
+#: Cells a bracket may hold when they are fetched.
+FETCHED = 2048
 
 
 def _ordered(x: np.ndarray) -> np.ndarray:
@@ -187,21 +191,24 @@ def _value(key: np.ndarray) -> np.ndarray:
     return np.where(key & _SIGN, key ^ _SIGN, ~key).view(np.float64)
 
 
-def _digits(depth: int, prefixes: np.ndarray, width: int):
-    """Cells per column, bracket and next digit: what one narrowing pass sends."""
-    shift = np.uint64(64 - depth - RADIX_BITS)
-    low = np.uint64((1 << RADIX_BITS) - 1)
+def _digits(low: np.ndarray, shift: np.ndarray, bins: int, width: int):
+    """Cells per column, bracket and part of the bracket: what one narrowing pass sends.
 
+    Bracket k of column j holds the keys from ``low[j, k]`` on, in parts of 2 to the ``shift[j, k]`` keys.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, prefixes.shape[1], 1 << RADIX_BITS), dtype=np.int64)
+        total = np.zeros((*low.shape, bins), dtype=np.int64)
         for batch in batches:
             x = to_block(batch.column(0), width)
-            keys, good = _ordered(x), ~np.isnan(x)
+            keys, good = _ordered(x), np.isfinite(x)
             for j in range(width):
-                own = keys[good[:, j], j] >> shift
-                for k, prefix in enumerate(prefixes[j]):
-                    inside = own[(own >> np.uint64(RADIX_BITS)) == prefix] if depth else own
-                    total[j, k] += np.bincount((inside & low).astype(np.int64), minlength=1 << RADIX_BITS)
+                own = keys[good[:, j], j]
+                for k in range(low.shape[1]):
+                    if k and low[j, k] == low[j, k - 1] and shift[j, k] == shift[j, k - 1]:
+                        continue                                  # the same bracket as the one before
+                    inside = own[own >= low[j, k]]
+                    part = (inside - low[j, k]) >> shift[j, k]
+                    total[j, k] += np.bincount(part[part < bins].astype(np.int64), minlength=bins)
         j, k, d = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(j.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(d.astype(np.int32)), pa.array(total[j, k, d])],
@@ -211,63 +218,95 @@ def _digits(depth: int, prefixes: np.ndarray, width: int):
     return count
 
 
-def _inside(depth: int, prefixes: np.ndarray, width: int):
+def _inside(low: np.ndarray, high: np.ndarray, width: int):
     """The cells of each bracket, once brackets are small."""
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = to_block(batch.column(0), width)
-            keys, good = _ordered(x), ~np.isnan(x)
+            keys, good = _ordered(x), np.isfinite(x)
+            sent: list[tuple[int, int, list[float]]] = []
             for j in range(width):
                 own = keys[good[:, j], j]
-                for k, prefix in enumerate(prefixes[j]):
-                    held = own[(own >> np.uint64(64 - depth)) == prefix] if depth else own
+                for k in range(low.shape[1]):
+                    if k and low[j, k] == low[j, k - 1] and high[j, k] == high[j, k - 1]:
+                        continue
+                    held = own[(own >= low[j, k]) & (own <= high[j, k])]
                     if len(held):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([j], pa.int32()), pa.array([k], pa.int32()), pa.array([_value(held).tolist()], pa.list_(pa.float64()))],
-                            names=["j", "k", "held"],
-                        )
+                        sent.append((j, k, _value(held).tolist()))
+            if sent:
+                columns = zip(*sent)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.list_(pa.float64())))], names=["j", "k", "held"])
 
     return fetch
 
 
-def block_quantiles(df: DataFrame, width: int, probs: Sequence[float], features: str = "features") -> np.ndarray:
-    """Exact interpolated quantiles of each column over all rows, missing cells left out: (probs, width).
+def block_quantiles(
+    df: DataFrame, width: int, probs: Sequence[float], features: str = "features", limits: tuple[np.ndarray, np.ndarray] | None = None
+) -> np.ndarray:
+    """Exact interpolated quantiles of each column's finite cells over all rows: (probs, width).
 
-    Cells are never shuffled. Each pass counts, per column, the next bits of the cells inside the
-    bracket around every wanted rank and narrows it to one digit; when brackets hold few cells,
-    those are fetched. The number of passes grows with the logarithm of the rows, at most eight.
+    Cells are never shuffled. Between a column's limits, doubles are numbered in their order; each
+    pass counts the cells in equal parts of the bracket around every wanted rank and narrows it to
+    one part, and when brackets hold few cells, those are fetched. As a pass shortens a bracket by the
+    number of parts, there are six at most with 4096 parts, and hardly more than one on most data.
+    ``limits`` are bounds of the columns' cells, where they are known without a pass.
     """
     rows = df.select(features)
-    n = column_tallies(df, features).orderBy("col_id").toArrow()["n"].to_numpy() if width else np.zeros(0, np.int64)
-    if not len(n):
-        return np.full((len(probs), width), np.nan)
-    target = np.array([[p * (m - 1) for p in probs] for m in np.maximum(n, 1)])          # (width, probs)
-    ranks = np.concatenate((np.floor(target), np.ceil(target)), axis=1).astype(np.int64)
-    rank, depth = ranks.copy(), 0
-    prefix = np.zeros(ranks.shape, dtype=np.uint64)
-    size = np.broadcast_to(n[:, None], ranks.shape).copy()
-    while depth < 64 and size.max(initial=0) > FETCHED:
-        sent = rows.mapInArrow(_digits(depth, prefix, width), "j int, k int, d int, n long")
+    if not width:
+        return np.full((len(probs), 0), np.nan)
+    if limits is None:
+        t = column_tallies(df, features, width).orderBy("col_id").toArrow()
+        if not len(t):
+            return np.full((len(probs), width), np.nan)
+        limits = t["low"].to_numpy(), t["high"].to_numpy()
+    # the floor and the ceiling of a rank stand side by side: as a rule they share a bracket
+    shape = (width, 2 * len(probs))
+    bins = 1 << max(4, min(12, int(math.log2((1 << 22) / (width * shape[1])))))
+    bounded = limits[0] <= limits[1]
+    low, high = (np.repeat(_ordered(np.where(bounded, x, 0.0))[:, None], shape[1], axis=1) for x in limits)
+    n = rank = size = None
+    while n is None or ((size > FETCHED) & (high > low)).any():
+        spans = (high - low).astype(object)
+        shift = np.array([[max(0, int(w).bit_length() - bins.bit_length() + 1) for w in row] for row in spans], dtype=np.uint64)
+        sent = rows.mapInArrow(_digits(low, shift, bins, width), "j int, k int, d int, n long")
         got = sent.groupBy("j", "k", "d").agg(F.sum("n").alias("n")).toArrow()
-        counts = np.zeros((*ranks.shape, 1 << RADIX_BITS), dtype=np.int64)
+        counts = np.zeros((*shape, bins), dtype=np.int64)
         counts[got["j"].to_numpy(), got["k"].to_numpy(), got["d"].to_numpy()] = got["n"].to_numpy()
+        for k in range(1, shape[1]):
+            same = (low[:, k] == low[:, k - 1]) & (shift[:, k] == shift[:, k - 1])
+            counts[same, k] = counts[same, k - 1]
+        if n is None:
+            n = counts[:, 0].sum(axis=1)
+            target = np.array([[p * (m - 1) for p in probs] for m in np.maximum(n, 1)])          # (width, probs)
+            rank = np.stack((np.floor(target), np.ceil(target)), axis=2).reshape(shape).astype(np.int64)
+            size = np.repeat(n[:, None], shape[1], axis=1)
         upto = counts.cumsum(axis=2)
-        digit = (upto <= rank[:, :, None]).sum(axis=2).clip(max=(1 << RADIX_BITS) - 1)
-        at = (*np.indices(ranks.shape), digit)
-        rank -= upto[at] - counts[at]
-        size = counts[at]
-        prefix = (prefix << np.uint64(RADIX_BITS)) | digit.astype(np.uint64)
-        depth += RADIX_BITS
-    found = np.full(ranks.shape, np.nan)
-    if depth == 64:
-        found = _value(prefix)
-    else:
-        fetched = rows.mapInArrow(_inside(depth, prefix, width), "j int, k int, held array<double>")
+        part = (upto <= rank[:, :, None]).sum(axis=2).clip(max=bins - 1)
+        at = (*np.indices(shape), part)
+        narrowed = (n > 0)[:, None] & (high > low)
+        rank = np.where(narrowed, rank - (upto[at] - counts[at]), rank)
+        size = np.where(narrowed, counts[at], size)
+        low = np.where(narrowed, low + (part.astype(np.uint64) << shift), low)
+        high = np.where(narrowed, np.minimum(high, low + ((np.uint64(1) << shift) - np.uint64(1))), high)
+    known = np.repeat((n > 0)[:, None], shape[1], axis=1)
+    found = np.full(shape, np.nan)
+    alike = known & (high == low)                      # nothing but copies of one number
+    found[alike] = _value(low[alike])
+    wanted = known & ~alike
+    if wanted.any():
+        # a bracket of one number, or of none, asks for nothing
+        asked = np.where(wanted, low, np.uint64(1)), np.where(wanted, high, np.uint64(0))
+        fetched = rows.mapInArrow(_inside(*asked, width), "j int, k int, held array<double>")
         told = fetched.groupBy("j", "k").agg(F.sort_array(F.flatten(F.collect_list("held"))).alias("held")).toArrow()
-        for j, k, held in zip(told["j"].to_pylist(), told["k"].to_pylist(), told["held"].to_pylist()):
-            found[j, k] = held[rank[j, k]]
-    low, high = found[:, : len(probs)], found[:, len(probs) :]
-    value = low + (high - low) * (target - np.floor(target))
+        cells = {(j, k): held for j, k, held in zip(told["j"].to_pylist(), told["k"].to_pylist(), told["held"].to_pylist())}
+        for j, k in np.argwhere(wanted).tolist():
+            own = k
+            while (j, own) not in cells:               # sent once for brackets that are the same
+                own -= 1
+            found[j, k] = cells[j, own][rank[j, k]]
+    pairs = found.reshape(width, len(probs), 2)
+    value = pairs[:, :, 0] + (pairs[:, :, 1] - pairs[:, :, 0]) * (target - np.floor(target))
     return np.where(n[:, None] > 0, value, np.nan).T
 
 
@@ -337,58 +376,135 @@ def rescatter_missing(raw: Column, scaled: Column) -> Column:
 
 # ---------------------------------------------------------------- Gram matrices and correlation
 
-def gram_rows(
-    df: DataFrame, width: int, shift: np.ndarray, scale: np.ndarray, features: str = "features"
+def gram_tiles(
+    df: DataFrame, width: int, shift: np.ndarray, scale: np.ndarray, rows: int | None = None, features: str = "features", ones: bool = False
 ) -> DataFrame:
-    """Rows of Z'Z for Z = (X - shift) / scale, missing cells as zero: (i, gram array).
+    """Square tiles of Z'Z for Z = (X - shift) / scale, missing cells as zero: (a, b, tile), a <= b.
+
+    With ``ones`` Z has one more column, of ones, so that the same pass gives the rows and the columns' sums.
 
-    Each task reduces its rows to one width x width block. Blocks are summed in two levels, a
-    group of tasks at a time and chunk by chunk, so no task ever stacks a row of all of them.
+    Only the tiles on and above the diagonal are made. Input splits are merged without a shuffle into
+    as many partial sums as there are cores, or fewer where that would be less than ``GRAM_ROWS`` rows
+    per column each (``rows`` says how many there are). So what is shuffled does not depend
+    on the number of splits. Partial sums are added along a tree, a few tiles at a time.
     """
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    if rows is not None:
+        parts = max(1, min(parts, -(-rows // (GRAM_ROWS * max(width, 1)))))
+    cuts = [slice(k, min(k + TILE, width + ones)) for k in range(0, width + ones, TILE)]
+    wanted = [(a, b) for a in range(len(cuts)) for b in range(a, len(cuts))]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        sums: list[np.ndarray] | None = None
         for batch in batches:
-            z = (np.nan_to_num(to_block(batch.column(0), width), nan=0.0, posinf=0.0, neginf=0.0)
-                 - shift) / scale
-            total = z.T @ z if total is None else total + z.T @ z
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width), pa.int32()), from_block(total)], names=["i", "gram"])
-
-    def merge(rows: pa.Table) -> pa.Table:
-        total = np.zeros(width)
-        for part in rows["gram"].chunks:
-            total += to_block(part, width).sum(axis=0)
-        return pa.table({"i": pa.array([rows["i"][0].as_py()], pa.int32()), "gram": from_block(total[None])})
-
-    group = F.pmod(F.spark_partition_id(), F.lit(GRAM_GROUPS)).alias("g")
-    parts = df.select(features).mapInArrow(partial, "i int, gram array<double>").select("i", "gram", group)
-    schema = "i int, gram array<double>"
-    return parts.groupBy("i", "g").applyInArrow(merge, schema).groupBy("i").applyInArrow(merge, schema)
-
+            if not batch.num_rows:
+                continue
+            z = (np.nan_to_num(to_block(batch.column(0), width), nan=0.0, posinf=0.0, neginf=0.0) - shift) / scale
+            if ones:
+                z = np.concatenate((z, np.ones((len(z), 1))), axis=1)
+            own = (z[:, cuts[a]].T @ z[:, cuts[b]] for a, b in wanted)
+            sums = list(own) if sums is None else [s + t for s, t in zip(sums, own)]
+        for (a, b), total in zip(wanted, sums or []):
+            yield _tile(a, b, total.ravel())
+
+    def merge(held: pa.Table) -> pa.Table:
+        total = np.zeros(len(held["tile"][0]))
+        for chunk in held["tile"].chunks:
+            total += to_block(chunk, len(total)).sum(axis=0)
+        return pa.Table.from_batches([_tile(held["a"][0].as_py(), held["b"][0].as_py(), total)])
+
+    schema = "a int, b int, tile array<double>"
+    tiles = df.select(features).coalesce(parts).mapInArrow(partial, schema).withColumn("part", F.spark_partition_id())
+    while True:
+        part = F.floor(F.col("part") / GRAM_FAN).cast("int")
+        tiles = tiles.select("a", "b", "tile", part.alias("g")).groupBy("a", "b", "g").applyInArrow(
+            lambda key, held: merge(held).append_column("part", pa.array([key[2].as_py()], pa.int32())), schema + ", part int")
+        parts = -(-parts // GRAM_FAN)
+        if parts == 1:
+            return tiles.drop("part")
+
+
+def _tile(a: int, b: int, cells: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([b], pa.int32()), from_block(cells[None])], names=["a", "b", "tile"])
+
+
+def _tile_cells(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First row, first column and cells of every tile of a batch."""
+    for a, b, cells in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("tile")):
+        rows = min(TILE, width - a * TILE)
+        yield a * TILE, b * TILE, cells.values.to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def gram_matrix(tiles: DataFrame, width: int) -> np.ndarray:
+    """The whole matrix on the driver, whose size is the square of the width."""
+    out = np.zeros((width, width))
+    for batch in tiles.toArrow().to_batches():
+        for i, j, cells in _tile_cells(batch, width):
+            out[i : i + cells.shape[0], j : j + cells.shape[1]] = cells
+            out[j : j + cells.shape[1], i : i + cells.shape[0]] = cells.T
+    return out
+
+
+def correlation_pairs(df: DataFrame, width: int, above: float | None = None, near: np.ndarray | None = None) -> DataFrame:
+    """Pearson correlation of column pairs i < j over all rows: (i, j, r); a cell that is not finite counts as zero.
+
+    With ``above`` only pairs whose correlation is beyond it leave their tile; matrices of some thousand
+    columns need it. A near-constant column has correlations of zero. ``near`` holds a number near each column's
+    mean; with it the rows are read once, as one pass gives products and sums. Without it a pass finds the means.
+    """
+    if near is None:
+        near = block_moments(map_blocks(df, lambda x: np.where(np.isfinite(x), x, 0.0), width), width)[1]
+    tiles = stage(gram_tiles(map_blocks(df, lambda x: np.where(np.isfinite(x), x, 0.0), width), width, near, np.ones(width), ones=True), "gram")
+    last = width // TILE                                  # where the column of ones is
+    sums, squares = np.zeros(width + 1), np.zeros(width + 1)
+    for batch in tiles.filter((F.col("a") == F.col("b")) | (F.col("b") == last)).toArrow().to_batches():
+        for i, j, cells in _tile_cells(batch, width + 1):
+            if j == last * TILE:
+                sums[i : i + len(cells)] = cells[:, -1]
+            if i == j:
+                squares[i : i + len(cells)] = np.diagonal(cells)
+    n, off = max(sums[-1], 1.0), sums[:-1] / max(sums[-1], 1.0)
+    spread = squares[:-1] - n * off * off
+    deviation = np.where(spread / max(n - 1, 1) > 1e-12, np.sqrt(np.maximum(spread, 0.0)), 0.0)
+    # what is left of a constant column is the rounding of its own mean
+    deviation = np.where(deviation <= 1e-12 * np.abs(near + off) * np.sqrt(n), 0.0, deviation)
 
-def correlation_pairs(df: DataFrame, width: int, above: float | None = None) -> DataFrame:
-    """Pearson correlation of column pairs i < j over all rows: (i, j, r).
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, cells in _tile_cells(batch, width + 1):
+                rows, columns = (np.arange(k, min(k + m, width)) for k, m in zip((i, j), cells.shape))
+                products = cells[: len(rows), : len(columns)] - n * off[rows][:, None] * off[columns][None]
+                norm = deviation[rows][:, None] * deviation[columns][None]
+                r = np.clip(np.divide(products, norm, out=np.zeros(norm.shape), where=norm > 0), -1.0, 1.0)
+                wanted = (columns[None] > rows[:, None]) & (True if above is None else np.abs(r) > above)
+                at = np.nonzero(wanted)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows[at[0]].astype(np.int32)), pa.array(columns[at[1]].astype(np.int32)), pa.array(r[at])], names=["i", "j", "r"])
 
-    With ``above`` only pairs whose correlation is beyond it leave their row of the Gram matrix.
-    A near-constant column is scaled by one, which makes its correlations zero.
-    """
-    n, mean, std = block_moments(map_blocks(df, lambda x: np.where(np.isfinite(x), x, 0.0), width), width, floor=False)
-    rows = gram_rows(df, width, mean, np.where(std**2 > 1e-12, std, 1.0))
-    bounded = lambda g: F.greatest(F.least(g / (n - 1), F.lit(1.0)), F.lit(-1.0))
-    cells = F.transform("gram", lambda g, j: F.struct(j.alias("j"), bounded(g).alias("r")))
-    kept = F.filter(cells, lambda c: (c["j"] > F.col("i")) & (F.lit(True) if above is None else F.abs(c["r"]) > above))
-    return rows.select("i", F.inline(kept))
+    return tiles.mapInArrow(pairs, "i int, j int, r double")
 
 
 def drop_correlated(pairs: DataFrame, threshold: float = 0.98) -> list[int]:
-    """Columns to drop: of each pair above the threshold, the later one if both still stand.
+    """Columns to drop: of each pair above the threshold in order, the later one if both still stand.
 
-    The scan is sequential, but only the pairs above the threshold reach the driver.
+    What stays is the lexicographically first set of columns without a close pair. It is found in rounds: a
+    column with no earlier neighbour in doubt stays and takes its neighbours, all such columns at
+    once. Pairs stay distributed; a round brings back names of columns, and once at most
+    ``LAST_PAIRS`` pairs are in doubt, those are scanned.
     """
-    close = pairs.filter(F.abs("r") > threshold).orderBy("i", "j").select("i", "j")
+    spark = pairs.sparkSession
+    close = stage(pairs.filter(F.abs("r") > threshold).select("i", "j"), "close")
     gone: set[int] = set()
-    for i, j in close.toLocalIterator():
+    columns = lambda df: [r[0] for r in df.collect()]  # noqa: E731 - at most one per matrix column
+    listed = lambda name, which: local_table(spark, {name: sorted(which)}, {name: pa.int32()})
+    while close.count() > LAST_PAIRS:
+        stays = columns(close.select("i").distinct().join(close.select(F.col("j").alias("i")).distinct(), "i", "left_anti"))
+        taken = set(columns(close.join(listed("i", stays), "i", "left_semi").select("j").distinct()))
+        gone |= taken
+        decided = taken.union(stays)
+        close = stage(close.join(listed("i", decided), "i", "left_anti").join(listed("j", decided), "j", "left_anti"), "close")
+    rest = close.toArrow()
+    for i, j in sorted(zip(rest["i"].to_pylist(), rest["j"].to_pylist())):
         if i not in gone and j not in gone:
             gone.add(j)
     return sorted(gone)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import PCA_THRESHOLDS
 from . import matrix
-from .blocks import map_blocks, to_block
+from .blocks import map_blocks
 from .splits import ChunkSplit
 
 
@@ -92,8 +92,7 @@ def fit_pca_targets(
     train = split.train(df.select("row_id", "features"))
     filled = map_blocks(train, lambda x: np.where(np.isfinite(x), x, 0.0), width)
     n, mean, _ = matrix.block_moments(filled, width)
-    rows = matrix.gram_rows(filled, width, mean, np.ones(width)).orderBy("i").toArrow()["gram"].combine_chunks()
-    covariance = to_block(rows, width) / max(n - 1, 1)
+    covariance = matrix.gram_matrix(matrix.gram_tiles(filled, width, mean, np.ones(width), n), width) / max(n - 1, 1)
     variance, vectors = np.linalg.eigh(covariance)
     variance, vectors = np.clip(variance[::-1], 0, None), vectors[:, ::-1].T
     rank = min(n, width)

@@ -50,89 +50,154 @@ def _safe_range(x: np.ndarray) -> tuple[float, float]:
     return low, high
 
 
-#: Lambdas a pass tries per column, and passes that narrow the bracket around the best one.
-FIRST, LATER, PASSES = 41, 11, 7
+#: Lambdas that the first pass looks at, steps that settle a column, and passes after which the bracket has to do.
+STARTS = (-2.0, 0.0, 1.0, 2.0, 4.0)
+SETTLED, PASSES = 1e-4, 60
+_STATISTICS = ("n", "m0", "m1", "m2", "c00", "c01", "c11", "c02", "logs")
 
 
-def _grid_scores(grid: np.ndarray, width: int):
-    """Per column and lambda: cells, mean and squared deviations of the transform, and the log sum."""
+def _growth(t: np.ndarray, u: np.ndarray, lam: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """g = (exp(lam u) - 1) / lam and its first two derivatives in lam, where t = lam u."""
+    with np.errstate(all="ignore"):
+        e = np.exp(t)
+        g0 = np.expm1(t) / lam
+        g1 = (u * e - g0) / lam
+        g2 = (u * u * e - 2 * g1) / lam
+    near = np.abs(t) < 0.1
+    if near.any():
+        # the quotients lose their digits near zero; their series in t does not
+        s, v = t[near], u[near]
+        s0, s1, s2, power, factorial = np.zeros_like(s), np.zeros_like(s), np.zeros_like(s), np.ones_like(s), 1.0
+        for k in range(12):
+            factorial *= k + 1                                   # (k + 1)!
+            s0 += power / factorial
+            s1 += power * (k + 1) / (factorial * (k + 2))
+            s2 += power * (k + 1) * (k + 2) / (factorial * (k + 2) * (k + 3))
+            power = power * s
+        g0[near], g1[near], g2[near] = v * s0, v * v * s1, v ** 3 * s2
+    return g0, g1, g2
+
+
+def derivatives(x: np.ndarray, u: np.ndarray, lam: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The transform of every column at its lambda, and its first two derivatives; ``u`` is log1p(|x|)."""
+    up = x >= 0
+    own = np.where(up, lam, 2.0 - lam)
+    own = np.where(np.abs(own) < _TINY, _TINY, own)
+    g0, g1, g2 = _growth(own * u, u, own)
+    return np.where(up, g0, -g0), g1, np.where(up, g2, -g2)
+
+
+def _moments_at(grid: np.ndarray, width: int):
+    """Per column and lambda: cells, means and products of the transform and its derivatives, and the log sum."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(grid.shape)
-        mean, m2, logs = np.zeros(grid.shape), np.zeros(grid.shape), np.zeros(grid.shape)
+        total = np.zeros((len(_STATISTICS), *grid.shape))
         for batch in batches:
             x = to_block(batch.column(0), width)
-            for j in range(width):
-                own = x[~np.isnan(x[:, j]), j]
-                if not len(own):
-                    continue
-                log = float(np.sum(np.sign(own) * np.log1p(np.abs(own))))
-                for k, lam in enumerate(grid[j]):
-                    with np.errstate(all="ignore"):
-                        t = transform(own, lam)
-                        centre = t.mean()
-                        spread = float(((t - centre) ** 2).sum())
-                    total = n[j, k] + len(own)
-                    gap = centre - mean[j, k]
-                    m2[j, k] += spread + gap * gap * n[j, k] * len(own) / total
-                    mean[j, k] += gap * len(own) / total
-                    n[j, k], logs[j, k] = total, logs[j, k] + log
+            good = ~np.isnan(x)
+            n = good.sum(axis=0).astype(np.float64)
+            x = np.where(good, x, 0.0)
+            u = np.log1p(np.abs(x))
+            logs = np.where(good, np.sign(x) * u, 0.0).sum(axis=0)
+            for k in range(grid.shape[1]):
+                parts = [np.where(good, d, 0.0) for d in derivatives(x, u, grid[:, k])]
+                with np.errstate(all="ignore"):
+                    means = [d.sum(axis=0) / np.maximum(n, 1) for d in parts]
+                    off = [np.where(good, d - m, 0.0) for d, m in zip(parts, means)]
+                    products = [np.einsum("ij,ij->j", off[a], off[b]) for a, b in ((0, 0), (0, 1), (1, 1), (0, 2))]
+                    total[:, :, k] = _combined(total[:, :, k], np.stack([n, *means, *products, logs]))
         j, k = np.indices(grid.shape)
-        columns = [j.ravel().astype(np.int32), k.ravel().astype(np.int32), n.ravel(), mean.ravel(), m2.ravel(), logs.ravel()]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["j", "k", "n", "mean", "m2", "logs"])
+        columns = [j.ravel().astype(np.int32), k.ravel().astype(np.int32), *total.reshape(len(_STATISTICS), -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["j", "k", *_STATISTICS])
 
     return score
 
 
-def _likelihoods(rows: DataFrame, grid: np.ndarray) -> np.ndarray:
-    """Log-likelihood of each column at each of its lambdas: one pass over the rows."""
-    sent = rows.mapInArrow(_grid_scores(grid, len(grid)), "j int, k int, n double, mean double, m2 double, logs double").filter("n > 0")
-    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+def _combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Statistics of two sets of cells as those of both."""
+    n = a[0] + b[0]
+    share = b[0] / np.maximum(n, 1)
+    gap = b[1:4] - a[1:4]
+    out = a + b
+    out[1:4] = a[1:4] + gap * share
+    for row, (p, q) in zip((4, 5, 6, 7), ((0, 0), (0, 1), (1, 1), (0, 2))):
+        out[row] += gap[p] * gap[q] * a[0] * share
+    return out
+
+
+def _likelihoods(rows: DataFrame, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-likelihood and its first two derivatives, for each column at each of its lambdas: one pass."""
+    schema = "j int, k int, " + ", ".join(f"{s} double" for s in _STATISTICS)
+    sent = rows.mapInArrow(_moments_at(grid, len(grid)), schema).filter("n > 0")
+    struct = F.struct(*[F.lit(0.0).alias(s) for s in _STATISTICS[:-1]])
 
     def add(a: Column, p: Column) -> Column:
-        n, gap = a["n"] + p["n"], p["mean"] - a["mean"]
-        return F.struct(n.alias("n"), (a["mean"] + gap * p["n"] / n).alias("mean"), (a["m2"] + p["m2"] + gap * gap * a["n"] * p["n"] / n).alias("m2"))
+        n = a["n"] + p["n"]
+        gap = [p[f"m{i}"] - a[f"m{i}"] for i in range(3)]
+        means = [(a[f"m{i}"] + gap[i] * p["n"] / n).alias(f"m{i}") for i in range(3)]
+        products = [(a[f"c{i}{j}"] + p[f"c{i}{j}"] + gap[i] * gap[j] * a["n"] * p["n"] / n).alias(f"c{i}{j}") for i, j in ((0, 0), (0, 1), (1, 1), (0, 2))]
+        return F.struct(n.alias("n"), *means, *products)
 
     merged = sent.groupBy("j", "k").agg(
-        F.aggregate(F.sort_array(F.collect_list(F.struct("n", "mean", "m2"))), start, add).alias("s"), F.sum("logs").alias("logs")
-    ).select("j", "k", "s.n", "s.m2", "logs").toArrow()
-    out = np.full(grid.shape, -np.inf)
-    j, k, n, m2, logs = (merged[c].to_numpy() for c in ("j", "k", "n", "m2", "logs"))
+        F.aggregate(F.sort_array(F.collect_list(F.struct(*_STATISTICS[:-1]))), struct, add).alias("s"), F.sum("logs").alias("logs")
+    ).select("j", "k", "s.*", "logs").toArrow()
+    out = np.full((3, *grid.shape), np.nan)
+    out[0] = -np.inf
+    j, k = merged["j"].to_numpy(), merged["k"].to_numpy()
+    n, c00, c01, c11, c02, logs = (merged[c].to_numpy() for c in ("n", "c00", "c01", "c11", "c02", "logs"))
     with np.errstate(all="ignore"):
-        value = -0.5 * n * np.log(m2 / n) + (grid[j, k] - 1.0) * logs
-    usable = np.isfinite(value) & (m2 / n >= np.finfo(float).tiny)
-    out[j[usable], k[usable]] = value[usable]
-    return out
+        value = -0.5 * n * np.log(c00 / n) + (grid[j, k] - 1.0) * logs
+        slope = -n * c01 / c00 + logs
+        curve = -n * (c11 + c02) / c00 + 2 * n * (c01 / c00) ** 2
+        usable = np.isfinite(value) & np.isfinite(slope) & np.isfinite(curve) & (c00 / n >= np.finfo(float).tiny)
+    for held, new in zip(out, (value, slope, curve)):
+        held[j[usable], k[usable]] = new[usable]
+    return out[0], out[1], out[2]
 
 
-def fit_blocks(df: DataFrame, width: int, features: str = "features") -> np.ndarray:
+def fit_blocks(df: DataFrame, width: int, features: str = "features", limits: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Most likely lambda of each column over all rows, NaN for a column without spread.
 
-    Each pass sums the likelihood at a grid of lambdas per column where the rows are, so what is
-    shuffled does not depend on them. The first grid spans the safe range, later ones the bracket
-    around the best point; a parabola through the last three gives the fraction of a step.
+    The first pass looks at a few lambdas per column, every later one at a single lambda: a Newton
+    step from the best one, by derivatives summed where the rows are. The sign of the slope narrows a
+    bracket, and a step that leaves it halves the bracket instead. ``limits`` are the columns' smallest and
+    largest cells, where they are known.
     """
     rows = df.select(features)
-    profile = block_profile(rows)
-    low, high = profile["low"], profile["high"]
+    if limits is None:
+        profile = block_profile(rows)
+        limits = profile["low"], profile["high"]
+    low, high = limits
     spread = np.isfinite(low) & (high > low)
+    if not spread.any():
+        return np.full(width, np.nan)
     ranges = [_safe_range(np.array([a, b])) if ok else (0.0, 1.0) for a, b, ok in zip(low, high, spread)]
-    bottom = np.array([max(a, -6.0) for a, _ in ranges])
-    top = np.array([min(b, 8.0) for _, b in ranges])
-    steps = FIRST
+    bottom, top = np.array([max(a, -6.0) for a, _ in ranges]), np.array([min(b, 8.0) for _, b in ranges])
+    grid = np.clip(np.array(STARTS)[None, :], bottom[:, None], top[:, None])
+    at, best, lam = np.arange(width), np.full(width, -np.inf), np.ones(width)
+    open_ = spread.copy()
     for _ in range(PASSES):
-        grid = np.linspace(bottom, top, steps, axis=1)
-        score = _likelihoods(rows, grid)
-        best = score.argmax(axis=1)
-        at = np.arange(width)
-        bottom, top = grid[at, np.maximum(best - 1, 0)], grid[at, np.minimum(best + 1, steps - 1)]
-        steps = LATER
-    inner = np.clip(best, 1, grid.shape[1] - 2)
-    a, b, c = score[at, inner - 1], score[at, inner], score[at, inner + 1]
-    with np.errstate(all="ignore"):
-        lean = 0.5 * (a - c) / (a - 2 * b + c)
-    lean = np.where(np.isfinite(lean) & (best == inner), np.clip(lean, -1, 1), 0.0)
-    lam = grid[at, best] + lean * (grid[:, 1] - grid[:, 0])
-    return np.where(spread & np.isfinite(score.max(axis=1)), lam, np.nan)
+        value, slope, curve = _likelihoods(rows, grid)
+        rising = np.where(slope > 0, grid, -np.inf).max(axis=1)
+        falling = np.where(slope <= 0, grid, np.inf).min(axis=1)
+        bottom, top = np.maximum(bottom, rising), np.minimum(top, falling)
+        k = value.argmax(axis=1)
+        here = grid[at, k]
+        with np.errstate(all="ignore"):
+            step = -slope[at, k] / curve[at, k]
+            newton = here + step
+        halved = (bottom + top) / 2
+        inside = np.isfinite(newton) & (curve[at, k] < 0) & (newton > bottom) & (newton < top)
+        nearer = np.where(inside, newton, halved)
+        better = value[at, k] >= best
+        # a Newton step this short leaves an error of its square; a bracket this short has nothing left
+        done = (inside & (np.abs(step) < SETTLED)) | (top - bottom < 1e-9)
+        lam = np.where(open_ & np.isfinite(value[at, k]), nearer, lam)
+        best = np.where(better, value[at, k], best)
+        open_ &= ~done
+        if not open_.any():
+            break
+        grid = np.where(open_, lam, here)[:, None]
+    return np.where(spread & np.isfinite(best), lam, np.nan)
 
 
 def fit_yeo_johnson(df: DataFrame) -> DataFrame:

@@ -75,6 +75,7 @@ class Fit:
     profile: dict[str, np.ndarray]
     columns: Columns
     dropped: dict[str, list[int]] = field(default_factory=dict)
+    known: tuple | None = None
 
     def drop(self, reason: str, gone: np.ndarray) -> None:
         """Drop columns by a mask over those standing; none left is an error."""
@@ -83,10 +84,28 @@ class Fit:
             raise ValueError(f"every column was dropped: {reason}")
         self.columns = self.columns.narrowed(~gone)
 
-    def moments(self, raw: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Mean and std of the standing columns over the train rows, as filled or as bent."""
-        shape = self.columns.filled if raw else self.columns.bent
-        return matrix.block_moments(map_blocks(self.train, shape, self.columns.width), len(self.columns.keep))[1:]
+    def moments(self, raw: bool = False) -> tuple[int, np.ndarray, np.ndarray]:
+        """Train rows, and the standing columns' mean and std without a floor, as filled or as bent.
+
+        They are kept: a step that asks again after columns were dropped, but none was changed, needs no pass.
+        """
+        c = self.columns
+        cells = None if raw else (c.low, c.high, c.lam)
+        if self.known is not None and self.known[0] == raw:
+            _, keep, before, n, mean, std = self.known
+            at = np.searchsorted(keep, c.keep)
+            if raw or all(np.array_equal(x[at], y, equal_nan=True) for x, y in zip(before, cells)):
+                return n, mean[at], std[at]
+        shape = c.filled if raw else c.bent
+        n, mean, std = matrix.block_moments(map_blocks(self.train, shape, c.width), len(c.keep), floor=False)
+        self.known = raw, c.keep, cells, n, mean, std
+        return n, mean, std
+
+    def limits(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the standing columns' cells as clipped, from what is known without a pass."""
+        c = self.columns
+        low = np.where(np.isfinite(c.fill_low), np.minimum(c.fill_low, 0.0), 0.0)           # a filled cell is zero
+        return np.clip(low, c.low, c.high), np.clip(np.maximum(c.fill_high, 0.0), c.low, c.high)
 
 
 @dataclass(frozen=True)
@@ -107,7 +126,8 @@ class ClipQuantiles:
     tails: tuple[float, float] = (0.01, 0.01)
 
     def fit(self, state: Fit) -> None:
-        cuts = matrix.block_quantiles(state.columns.rows(state.train), len(state.columns.keep), (self.tails[0], 1 - self.tails[1]))
+        rows, width = state.columns.rows(state.train), len(state.columns.keep)
+        cuts = matrix.block_quantiles(rows, width, (self.tails[0], 1 - self.tails[1]), limits=state.limits())
         state.columns.low, state.columns.high = cuts
 
 
@@ -118,7 +138,8 @@ class ClipSpread:
     factor: float = 6.0
 
     def fit(self, state: Fit) -> None:
-        mean, std = state.moments(raw=True)
+        _, mean, std = state.moments(raw=True)
+        std = np.where(std > 0, std, 1.0)
         state.columns.low, state.columns.high = mean - self.factor * std, mean + self.factor * std
 
 
@@ -131,7 +152,9 @@ class DropCorrelated:
     def fit(self, state: Fit) -> None:
         width = len(state.columns.keep)
         gone = np.zeros(width, dtype=bool)
-        gone[matrix.drop_correlated(matrix.correlation_pairs(state.columns.rows(state.train), width, self.most), self.most)] = True
+        near = np.clip(state.profile["mean"][state.columns.keep], *state.limits())
+        pairs = matrix.correlation_pairs(state.columns.rows(state.train), width, self.most, near)
+        gone[matrix.drop_correlated(pairs, self.most)] = True
         state.drop("correlated", gone)
 
 
@@ -140,7 +163,7 @@ class Power:
     """Yeo-Johnson with the most likely lambda of each column."""
 
     def fit(self, state: Fit) -> None:
-        state.columns.lam = power.fit_blocks(state.columns.rows(state.train), len(state.columns.keep))
+        state.columns.lam = power.fit_blocks(state.columns.rows(state.train), len(state.columns.keep), limits=state.limits())
 
 
 @dataclass(frozen=True)
@@ -150,7 +173,7 @@ class DropFlat:
     least: float = 1e-8
 
     def fit(self, state: Fit) -> None:
-        n, _, std = matrix.block_moments(state.columns.rows(state.train), len(state.columns.keep), floor=False)
+        n, _, std = state.moments()
         state.drop("low_variance", std**2 * (n - 1) / max(n, 1) <= self.least)
 
 
@@ -161,7 +184,8 @@ class Scale:
     raw: bool = False
 
     def fit(self, state: Fit) -> None:
-        state.columns.centre, state.columns.spread = state.moments(self.raw)
+        _, mean, std = state.moments(self.raw)
+        state.columns.centre, state.columns.spread = mean, np.where(std > 0, std, 1.0)
 
 
 Step = DropInvalid | ClipQuantiles | ClipSpread | DropCorrelated | Power | DropFlat | Scale

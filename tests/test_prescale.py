@@ -201,6 +201,62 @@ def test_greedy_correlation_drop(spark):
     assert matrix.drop_correlated(df, 0.98) == [1, 3]      # 1 falls to 0, so 2 stays and takes 3
 
 
+@pytest.mark.parametrize("last", [0, 40, 1 << 18])
+def test_parallel_drop_equals_the_scan_in_order(spark, monkeypatch, last):
+    """Random graphs, a chain and a star, in rounds only, in rounds and a scan, and as a scan."""
+    monkeypatch.setattr(matrix, "LAST_PAIRS", last)
+    rng = np.random.default_rng(6)
+    graphs = [[(i, j) for i in range(40) for j in range(i + 1, 40) if rng.random() < p] for p in (0.02, 0.1, 0.5)]
+    graphs += [[(i, i + 1) for i in range(9)], [(0, j) for j in range(1, 30)] + [(j, 30) for j in range(1, 30)], []]
+    for pairs in graphs:
+        gone = set()
+        for i, j in sorted(pairs):
+            if i not in gone and j not in gone:
+                gone.add(j)
+        df = spark.createDataFrame([(i, j, float(rng.choice([-1, 1]))) for i, j in pairs] + [(0, 1, 0.1)], "i int, j int, r double")
+        assert matrix.drop_correlated(df) == sorted(gone)
+
+
+def shuffled_bytes(df):
+    """Bytes that all exchanges of a plan wrote when it ran."""
+    df._jdf.collect()
+    seen, open_, total = set(), [df._jdf.queryExecution().executedPlan()], 0
+    while open_:
+        node = open_.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            open_.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            open_.append(node.plan())
+        if name == "Exchange" and node.id() not in seen:
+            seen.add(node.id())
+            total += node.metrics().apply("shuffleBytesWritten").value()
+        children = node.children()
+        open_ += [children.apply(k) for k in range(children.size())]
+    return total
+
+
+def test_gram_tiles_and_what_they_shuffle(spark, monkeypatch):
+    """Tiles of any size give Z'Z; more input splits do not send more."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 37))
+    x[5, 3], x[9] = np.nan, np.nan
+    df = frame(spark, x)
+    shift, scale = rng.normal(size=37), rng.uniform(1, 2, size=37)
+    z = (np.nan_to_num(x) - shift) / scale
+    for tile, fan in ((512, 32), (10, 2), (37, 2), (1, 3)):
+        monkeypatch.setattr(matrix, "TILE", tile)
+        monkeypatch.setattr(matrix, "GRAM_FAN", fan)
+        got = matrix.gram_matrix(matrix.gram_tiles(df, 37, shift, scale), 37)
+        np.testing.assert_allclose(got, z.T @ z, rtol=1e-10)
+    monkeypatch.setattr(matrix, "TILE", 16)
+    sent = [shuffled_bytes(matrix.gram_tiles(df.repartition(n), 37, shift, scale)) - shuffled_bytes(df.repartition(n)) for n in (8, 64)]
+    assert sent[1] < 1.1 * sent[0]
+    few, many = (shuffled_bytes(matrix.gram_tiles(df, 37, shift, scale, rows=n)) - shuffled_bytes(df) for n in (600, None))
+    assert few < 0.5 * many
+
+
 def test_correlation_matches_numpy(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 5))
