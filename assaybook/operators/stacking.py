@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import UNSEEDED
 from ..functions.cells import ratio
 from ..functions.labels import dataset_of, seed_base, seed_number, strip_prefix
-from ..session import fresh_path, stage
+from ..session import stage
 from ..vocabulary import PLAIN, Vocabulary
 from .splits import assign_folds
+from .trees import held_out_predictions
 
 UNIT = ("dataset", "recipe", "endpoint", "seed")
 
@@ -171,9 +170,8 @@ def stack_oof(features: DataFrame, flavors: Sequence[str], unit: Sequence[str] =
             meta = meta + F.coalesce(F.col("weights")[i] * F.col(f"f_{f}"), F.lit(0.0))
         scored = scored.join(fitted, [*unit, "fold"]).withColumn("meta", meta)
     elif estimator in ("rf", "gbt"):
-        scored = scored.join(
-            _tree_predictions(folded, flavors, unit, estimator, seed), [*unit, "row_id"]
-        )
+        held_out = held_out_predictions(folded, unit, [f"f_{f}" for f in flavors], estimator, seed)
+        scored = scored.join(stage(held_out, "held_out"), [*unit, "row_id"])
     else:
         raise ValueError(f"estimator must be ridge, rf or gbt, not {estimator!r}")
     y = F.col("y")
@@ -195,41 +193,6 @@ def stack_oof(features: DataFrame, flavors: Sequence[str], unit: Sequence[str] =
     )
 
 
-def _tree_predictions(folded: DataFrame, flavors: Sequence[str], unit: list[str], estimator: str,
-                      seed: int, at_once: int = 4) -> DataFrame:
-    """Held-out Spark ML tree predictions; each (unit, fold) is one distributed fit.
-
-    Some fits run at once, and each writes what it holds out, so the plan of the result is one
-    scan however many units there are. A flavor that a unit lacks is a constant column to it.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-
-    maker = RandomForestRegressor if estimator == "rf" else GBTRegressor
-    filled = folded.na.fill(0.0, [f"f_{f}" for f in flavors])
-    rows = VectorAssembler(inputCols=[f"f_{f}" for f in flavors], outputCol="features").transform(filled)
-    spark = folded.sparkSession
-    target = fresh_path(spark, "trees")
-
-    def one(at: tuple[int, Row]) -> str:
-        number, u = at
-        inside = rows
-        for c in unit:
-            inside = inside.filter(F.col(c).eqNullSafe(F.lit(u[c])))
-        model = maker(featuresCol="features", labelCol="y", predictionCol="meta", seed=seed)
-        fit = model.fit(inside.filter(F.col("fold") != u["fold"]))
-        part = fit.transform(inside.filter(F.col("fold") == u["fold"])).select(*unit, "row_id", "meta")
-        part.write.parquet(f"{target}/{number}")
-        return f"{target}/{number}"
-
-    fits = folded.select(*unit, "fold").distinct().collect()          # a row per unit and fold
-    with ThreadPoolExecutor(at_once) as pool:
-        parts = list(pool.map(inheritable_thread_target(one), enumerate(fits)))
-    types = {f.name: f.dataType.simpleString() for f in folded.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [*unit, "row_id"]) + ", meta double"
-    return spark.read.schema(schema).parquet(*parts)
-
-
 def most_frequent(df: DataFrame, unit: Sequence[str], column: str, order: Sequence[str]) -> DataFrame:
     """The most frequent value per unit; registry order breaks ties."""
     at = F.array_position(F.array(*[F.lit(o) for o in order]), F.col(column))

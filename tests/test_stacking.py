@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assaybook.operators import stacking
+from assaybook.operators import stacking, trees
 
 FLAVORS = ["good", "noise", "absent"]
 UNIT = ("endpoint", "seed")
@@ -85,6 +85,68 @@ def test_trees(pred):
         stacking.stack_oof(f, ["good", "noise"], UNIT, estimator="magic")
 
 
+def tree_rows(spark, n=900, units=2):
+    rng = np.random.default_rng(11)
+    rows = []
+    for u in range(units):
+        x = rng.normal(size=(n, 3))
+        y = np.where(x[:, 0] > 0.3, 2.0, -1.0) + x[:, 1] ** 2 + rng.normal(scale=0.2, size=n)
+        rows += [(f"u{u}", i, int(i % 3), float(y[i]), *map(float, x[i])) for i in range(n)]
+    rows.append(("tiny", 0, 0, 1.0, 0.0, 0.0, None))
+    rows.append(("tiny", 1, 1, 2.0, 0.0, 0.0, None))
+    return spark.createDataFrame(rows, "unit string, row_id long, fold int, y double, a double, b double, c double")
+
+
+def held(df):
+    return {(r["unit"], r["row_id"]): r["meta"] for r in df.collect()}
+
+
+@pytest.mark.parametrize("kind", ["rf", "gbt"])
+def test_trees_of_spread_units_equal_those_of_whole_ones(spark, monkeypatch, kind):
+    """The grouped aggregate per level grows the same trees as one task, and few scans do for all of them."""
+    df = tree_rows(spark)
+    whole = held(trees.held_out_predictions(df, ["unit"], ["a", "b", "c"], kind, seed=3, trees=4, depth=3))
+    assert len(whole) == df.count()
+    assert whole["tiny", 0] == pytest.approx(2.0) and whole["tiny", 1] == pytest.approx(1.0) or kind == "rf"
+    monkeypatch.setattr(trees, "SLICE_ROWS", 200)
+    scans = spark.sparkContext.accumulator(0)
+    level = trees._level
+    monkeypatch.setattr(trees, "_level", lambda *args: (scans.add(1), level(*args))[1])
+    spread = held(trees.held_out_predictions(df, ["unit"], ["a", "b", "c"], kind, seed=3, trees=4, depth=3))
+    assert scans.value == (3 if kind == "rf" else 12)
+    assert spread.keys() == whole.keys() and all(spread[k] == pytest.approx(whole[k], abs=1e-9) for k in whole)
+
+
+@pytest.mark.parametrize("kind", ["rf", "gbt"])
+def test_trees_score_like_those_of_spark(spark, kind):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    df = tree_rows(spark, units=1).filter("unit = 'u0'").cache()
+    got = held(trees.held_out_predictions(df, ["unit"], ["a", "b", "c"], kind))
+    rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    maker = RandomForestRegressor if kind == "rf" else GBTRegressor
+    theirs = {}
+    for fold in range(3):
+        model = maker(featuresCol="features", labelCol="y", predictionCol="meta", seed=1).fit(rows.filter(F.col("fold") != fold))
+        theirs |= held(model.transform(rows.filter(F.col("fold") == fold)))
+    truth = {(r["unit"], r["row_id"]): r["y"] for r in df.collect()}
+    y = np.array([truth[k] for k in sorted(truth)])
+    ours, spark_ml = (r2(y, np.array([p[k] for k in sorted(truth)])) for p in (got, theirs))
+    assert ours > 0.75 and ours == pytest.approx(spark_ml, abs=0.05)
+
+
+def test_a_tree_finds_the_best_split():
+    rng = np.random.default_rng(12)
+    bins, y = rng.integers(0, 8, (300, 2)).astype(np.int32), rng.normal(size=300)
+    y[bins[:, 1] > 4] += 3
+    hist = trees.histogram(bins, y[None], np.ones((1, 300)), np.zeros((1, 300), np.int32), 0)
+    best = trees.best_splits(hist, np.ones((1, 1, 2), bool))
+    errors = {(f, c): sum(((y[s] - y[s].mean()) ** 2).sum() for s in (bins[:, f] <= c, bins[:, f] > c)) for f in range(2) for c in range(7)}
+    assert (best["feature"][0, 0], best["cut"][0, 0]) == min(errors, key=errors.get) == (1, 4)
+    assert best["gain"][0, 0] == pytest.approx(((y - y.mean()) ** 2).sum() - min(errors.values()))
+
+
 def test_labelled_predictions(pred):
     labelled = pred.filter("endpoint = 'e'").select(
         F.concat(F.lit("lr_reduced__"), "flavor", F.lit("__s"), F.col("seed").cast("string")).alias("label"),
