@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,29 @@ def from_block(block: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(block.ravel(), pa.float64(), from_pandas=True))
 
 
+@dataclass(frozen=True)
+class Shaped:
+    """A matrix column seen through a function of its blocks: (rows, read) in, (rows, width) out.
+
+    Reductions apply the function where they read, so that rows go through Python once and not once
+    for every step.
+    """
+
+    df: DataFrame
+    read: int
+    width: int
+    fn: Callable[[np.ndarray], np.ndarray]
+    features: str = "features"
+
+
+def scan(rows: DataFrame | Shaped, width: int, features: str = "features") -> tuple[DataFrame, Callable[[pa.Array], np.ndarray]]:
+    """The column to read, and what makes its Arrow batches blocks of ``width`` columns."""
+    if isinstance(rows, Shaped):
+        read, fn = rows.read, rows.fn
+        return rows.df.select(rows.features), lambda column: fn(to_block(column, read))
+    return rows.select(features), lambda column: to_block(column, width)
+
+
 def map_blocks(
     df: DataFrame,
     fn: Callable[[np.ndarray], np.ndarray],

@@ -8,7 +8,7 @@ count per (column, digit), whatever the number of rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import cells
 from ..functions.cells import as_cell, is_finite
 from ..session import local_table, stage
-from .blocks import from_block, map_blocks, to_block
+from .blocks import Shaped, from_block, scan, to_block
 
 
 def to_matrix(df: DataFrame, columns: Sequence[str | Column], *keep: str) -> DataFrame:
@@ -86,25 +86,26 @@ class _Tally:
 _TALLY = "rows long, col_id int, n long, mean double, m2 double, low double, high double"
 
 
-def column_tallies(df: DataFrame, features: str = "features", width: int | None = None) -> DataFrame:
+def column_tallies(df: DataFrame | Shaped, features: str = "features", width: int | None = None) -> DataFrame:
     """Rows, finite cells, mean, squared deviations and limits per column: one record a column.
 
     Tasks reduce their rows in numpy blocks, so a record per (task, column) is shuffled and a
     matrix row is never taken apart into cells.
     """
     width = (matrix_width(df, features) or 0) if width is None else width
+    rows, block = scan(df, width, features)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                own = _Tally.of(to_block(batch.column(0), width))
+                own = _Tally.of(block(batch.column(0)))
                 total = own if total is None else total.add(own)
         if total is not None:
             columns = [np.full(width, total.rows), np.arange(width, dtype=np.int32), total.n, total.mean, total.m2, total.low, total.high]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rows", "col_id", "n", "mean", "m2", "low", "high"])
 
-    parts = df.select(features).mapInArrow(reduce, _TALLY)
+    parts = rows.mapInArrow(reduce, _TALLY)
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
 
     def add(a: Column, p: Column) -> Column:
@@ -128,14 +129,14 @@ def profile_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def block_profile(df: DataFrame) -> dict[str, np.ndarray]:
+def block_profile(df: DataFrame | Shaped, width: int | None = None) -> dict[str, np.ndarray]:
     """The column profile as arrays; a column without a finite cell has infinite limits."""
-    t = column_tallies(df).orderBy("col_id").toArrow()
+    t = column_tallies(df, width=width).orderBy("col_id").toArrow()
     rows, n = t["rows"].to_numpy(), t["n"].to_numpy()
     return {"low": t["low"].to_numpy(), "high": t["high"].to_numpy(), "mean": t["mean"].to_numpy(), "invalid": rows - n, "n_rows": rows}
 
 
-def block_moments(df: DataFrame, width: int, floor: bool = True) -> tuple[int, np.ndarray, np.ndarray]:
+def block_moments(df: DataFrame | Shaped, width: int, floor: bool = True) -> tuple[int, np.ndarray, np.ndarray]:
     """Rows, mean and sample std of each column; with ``floor`` a std of zero counts as one."""
     t = column_tallies(df, width=width).orderBy("col_id").toArrow()
     if not len(t):
@@ -191,41 +192,49 @@ def _value(key: np.ndarray) -> np.ndarray:
     return np.where(key & _SIGN, key ^ _SIGN, ~key).view(np.float64)
 
 
-def _digits(low: np.ndarray, shift: np.ndarray, bins: int, width: int):
-    """Cells per column, bracket and part of the bracket: what one narrowing pass sends.
+def _signed(keys: np.ndarray) -> np.ndarray:
+    """Unsigned keys as signed numbers in the same order, which SQL can compare."""
+    return (keys ^ _SIGN).view(np.int64)
+
+
+def _digits(low: np.ndarray, shift: np.ndarray, bins: int, block: Callable[[pa.Array], np.ndarray]):
+    """Cells per column, bracket and part of the bracket, and their limits: what one narrowing pass sends.
 
     Bracket k of column j holds the keys from ``low[j, k]`` on, in parts of 2 to the ``shift[j, k]`` keys.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((*low.shape, bins), dtype=np.int64)
+        first, last = np.full(total.shape, ~np.uint64(0)), np.zeros(total.shape, dtype=np.uint64)
         for batch in batches:
-            x = to_block(batch.column(0), width)
+            x = block(batch.column(0))
             keys, good = _ordered(x), np.isfinite(x)
-            for j in range(width):
+            for j in range(low.shape[0]):
                 own = keys[good[:, j], j]
                 for k in range(low.shape[1]):
                     if k and low[j, k] == low[j, k - 1] and shift[j, k] == shift[j, k - 1]:
                         continue                                  # the same bracket as the one before
                     inside = own[own >= low[j, k]]
                     part = (inside - low[j, k]) >> shift[j, k]
-                    total[j, k] += np.bincount(part[part < bins].astype(np.int64), minlength=bins)
-        j, k, d = np.nonzero(total)
+                    inside, part = inside[part < bins], part[part < bins].astype(np.int64)
+                    total[j, k] += np.bincount(part, minlength=bins)
+                    np.minimum.at(first[j, k], part, inside)
+                    np.maximum.at(last[j, k], part, inside)
+        at = np.nonzero(total)
+        j, k, d = (i.astype(np.int32) for i in at)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(j.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(d.astype(np.int32)), pa.array(total[j, k, d])],
-            names=["j", "k", "d", "n"],
-        )
+            [pa.array(c) for c in (j, k, d, total[at], _signed(first[at]), _signed(last[at]))], names=["j", "k", "d", "n", "first", "last"])
 
     return count
 
 
-def _inside(low: np.ndarray, high: np.ndarray, width: int):
+def _inside(low: np.ndarray, high: np.ndarray, block: Callable[[pa.Array], np.ndarray]):
     """The cells of each bracket, once brackets are small."""
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = to_block(batch.column(0), width)
+            x = block(batch.column(0))
             keys, good = _ordered(x), np.isfinite(x)
             sent: list[tuple[int, int, list[float]]] = []
-            for j in range(width):
+            for j in range(low.shape[0]):
                 own = keys[good[:, j], j]
                 for k in range(low.shape[1]):
                     if k and low[j, k] == low[j, k - 1] and high[j, k] == high[j, k - 1]:
@@ -242,19 +251,20 @@ def _inside(low: np.ndarray, high: np.ndarray, width: int):
 
 
 def block_quantiles(
-    df: DataFrame, width: int, probs: Sequence[float], features: str = "features", limits: tuple[np.ndarray, np.ndarray] | None = None
+    df: DataFrame | Shaped, width: int, probs: Sequence[float], features: str = "features", limits: tuple[np.ndarray, np.ndarray] | None = None
 ) -> np.ndarray:
     """Exact interpolated quantiles of each column's finite cells over all rows: (probs, width).
 
     Cells are never shuffled. Between a column's limits, doubles are numbered in their order; each
     pass counts the cells in equal parts of the bracket around every wanted rank and narrows it to
-    one part, and when brackets hold few cells, those are fetched. As a pass shortens a bracket by the
-    number of parts, there are six at most with 4096 parts, and hardly more than one on most data.
+    the limits of the cells in one part; brackets that hold few cells are fetched, those of one number
+    need no more. As a pass shortens a bracket by the number of parts, there are six at most with 4096
+    parts, and hardly more than one on most data.
     ``limits`` are bounds of the columns' cells, where they are known without a pass.
     """
-    rows = df.select(features)
     if not width:
         return np.full((len(probs), 0), np.nan)
+    rows, block = scan(df, width, features)
     if limits is None:
         t = column_tallies(df, features, width).orderBy("col_id").toArrow()
         if not len(t):
@@ -269,13 +279,15 @@ def block_quantiles(
     while n is None or ((size > FETCHED) & (high > low)).any():
         spans = (high - low).astype(object)
         shift = np.array([[max(0, int(w).bit_length() - bins.bit_length() + 1) for w in row] for row in spans], dtype=np.uint64)
-        sent = rows.mapInArrow(_digits(low, shift, bins, width), "j int, k int, d int, n long")
-        got = sent.groupBy("j", "k", "d").agg(F.sum("n").alias("n")).toArrow()
-        counts = np.zeros((*shape, bins), dtype=np.int64)
-        counts[got["j"].to_numpy(), got["k"].to_numpy(), got["d"].to_numpy()] = got["n"].to_numpy()
+        sent = rows.mapInArrow(_digits(low, shift, bins, block), "j int, k int, d int, n long, first long, last long")
+        got = sent.groupBy("j", "k", "d").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")).toArrow()
+        counts, first, last = (np.zeros((*shape, bins), dtype=np.int64) for _ in range(3))
+        for held, name in ((counts, "n"), (first, "first"), (last, "last")):
+            held[got["j"].to_numpy(), got["k"].to_numpy(), got["d"].to_numpy()] = got[name].to_numpy()
         for k in range(1, shape[1]):
             same = (low[:, k] == low[:, k - 1]) & (shift[:, k] == shift[:, k - 1])
-            counts[same, k] = counts[same, k - 1]
+            for held in (counts, first, last):
+                held[same, k] = held[same, k - 1]
         if n is None:
             n = counts[:, 0].sum(axis=1)
             target = np.array([[p * (m - 1) for p in probs] for m in np.maximum(n, 1)])          # (width, probs)
@@ -287,8 +299,7 @@ def block_quantiles(
         narrowed = (n > 0)[:, None] & (high > low)
         rank = np.where(narrowed, rank - (upto[at] - counts[at]), rank)
         size = np.where(narrowed, counts[at], size)
-        low = np.where(narrowed, low + (part.astype(np.uint64) << shift), low)
-        high = np.where(narrowed, np.minimum(high, low + ((np.uint64(1) << shift) - np.uint64(1))), high)
+        low, high = (np.where(narrowed, held[at].view(np.uint64) ^ _SIGN, x) for held, x in ((first, low), (last, high)))
     known = np.repeat((n > 0)[:, None], shape[1], axis=1)
     found = np.full(shape, np.nan)
     alike = known & (high == low)                      # nothing but copies of one number
@@ -297,7 +308,7 @@ def block_quantiles(
     if wanted.any():
         # a bracket of one number, or of none, asks for nothing
         asked = np.where(wanted, low, np.uint64(1)), np.where(wanted, high, np.uint64(0))
-        fetched = rows.mapInArrow(_inside(*asked, width), "j int, k int, held array<double>")
+        fetched = rows.mapInArrow(_inside(*asked, block), "j int, k int, held array<double>")
         told = fetched.groupBy("j", "k").agg(F.sort_array(F.flatten(F.collect_list("held"))).alias("held")).toArrow()
         cells = {(j, k): held for j, k, held in zip(told["j"].to_pylist(), told["k"].to_pylist(), told["held"].to_pylist())}
         for j, k in np.argwhere(wanted).tolist():
@@ -377,7 +388,7 @@ def rescatter_missing(raw: Column, scaled: Column) -> Column:
 # ---------------------------------------------------------------- Gram matrices and correlation
 
 def gram_tiles(
-    df: DataFrame, width: int, shift: np.ndarray, scale: np.ndarray, rows: int | None = None, features: str = "features", ones: bool = False
+    df: DataFrame | Shaped, width: int, shift: np.ndarray, scale: np.ndarray, rows: int | None = None, features: str = "features", ones: bool = False
 ) -> DataFrame:
     """Square tiles of Z'Z for Z = (X - shift) / scale, missing cells as zero: (a, b, tile), a <= b.
 
@@ -388,7 +399,8 @@ def gram_tiles(
     per column each (``rows`` says how many there are). So what is shuffled does not depend
     on the number of splits. Partial sums are added along a tree, a few tiles at a time.
     """
-    parts = df.sparkSession.sparkContext.defaultParallelism
+    source, block = scan(df, width, features)
+    parts = source.sparkSession.sparkContext.defaultParallelism
     if rows is not None:
         parts = max(1, min(parts, -(-rows // (GRAM_ROWS * max(width, 1)))))
     cuts = [slice(k, min(k + TILE, width + ones)) for k in range(0, width + ones, TILE)]
@@ -399,7 +411,7 @@ def gram_tiles(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            z = (np.nan_to_num(to_block(batch.column(0), width), nan=0.0, posinf=0.0, neginf=0.0) - shift) / scale
+            z = (np.nan_to_num(block(batch.column(0)), nan=0.0, posinf=0.0, neginf=0.0) - shift) / scale
             if ones:
                 z = np.concatenate((z, np.ones((len(z), 1))), axis=1)
             own = (z[:, cuts[a]].T @ z[:, cuts[b]] for a, b in wanted)
@@ -414,7 +426,7 @@ def gram_tiles(
         return pa.Table.from_batches([_tile(held["a"][0].as_py(), held["b"][0].as_py(), total)])
 
     schema = "a int, b int, tile array<double>"
-    tiles = df.select(features).coalesce(parts).mapInArrow(partial, schema).withColumn("part", F.spark_partition_id())
+    tiles = source.coalesce(parts).mapInArrow(partial, schema).withColumn("part", F.spark_partition_id())
     while True:
         part = F.floor(F.col("part") / GRAM_FAN).cast("int")
         tiles = tiles.select("a", "b", "tile", part.alias("g")).groupBy("a", "b", "g").applyInArrow(
@@ -445,7 +457,7 @@ def gram_matrix(tiles: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def correlation_pairs(df: DataFrame, width: int, above: float | None = None, near: np.ndarray | None = None) -> DataFrame:
+def correlation_pairs(df: DataFrame | Shaped, width: int, above: float | None = None, near: np.ndarray | None = None) -> DataFrame:
     """Pearson correlation of column pairs i < j over all rows: (i, j, r); a cell that is not finite counts as zero.
 
     With ``above`` only pairs whose correlation is beyond it leave their tile; matrices of some thousand
@@ -453,8 +465,8 @@ def correlation_pairs(df: DataFrame, width: int, above: float | None = None, nea
     mean; with it the rows are read once, as one pass gives products and sums. Without it a pass finds the means.
     """
     if near is None:
-        near = block_moments(map_blocks(df, lambda x: np.where(np.isfinite(x), x, 0.0), width), width)[1]
-    tiles = stage(gram_tiles(map_blocks(df, lambda x: np.where(np.isfinite(x), x, 0.0), width), width, near, np.ones(width), ones=True), "gram")
+        near = block_moments(df, width)[1]
+    tiles = stage(gram_tiles(df, width, near, np.ones(width), ones=True), "gram")
     last = width // TILE                                  # where the column of ones is
     sums, squares = np.zeros(width + 1), np.zeros(width + 1)
     for batch in tiles.filter((F.col("a") == F.col("b")) | (F.col("b") == last)).toArrow().to_batches():

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import to_block
+from .blocks import Shaped, scan
 from .matrix import block_profile, matrix_width
 
 _TINY = 2.220446049250313e-16
@@ -87,12 +87,12 @@ def derivatives(x: np.ndarray, u: np.ndarray, lam: np.ndarray) -> tuple[np.ndarr
     return np.where(up, g0, -g0), g1, np.where(up, g2, -g2)
 
 
-def _moments_at(grid: np.ndarray, width: int):
+def _moments_at(grid: np.ndarray, block: Callable[[pa.Array], np.ndarray]):
     """Per column and lambda: cells, means and products of the transform and its derivatives, and the log sum."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(_STATISTICS), *grid.shape))
         for batch in batches:
-            x = to_block(batch.column(0), width)
+            x = block(batch.column(0))
             good = ~np.isnan(x)
             n = good.sum(axis=0).astype(np.float64)
             x = np.where(good, x, 0.0)
@@ -124,10 +124,10 @@ def _combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _likelihoods(rows: DataFrame, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _likelihoods(rows: DataFrame, block: Callable[[pa.Array], np.ndarray], grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log-likelihood and its first two derivatives, for each column at each of its lambdas: one pass."""
     schema = "j int, k int, " + ", ".join(f"{s} double" for s in _STATISTICS)
-    sent = rows.mapInArrow(_moments_at(grid, len(grid)), schema).filter("n > 0")
+    sent = rows.mapInArrow(_moments_at(grid, block), schema).filter("n > 0")
     struct = F.struct(*[F.lit(0.0).alias(s) for s in _STATISTICS[:-1]])
 
     def add(a: Column, p: Column) -> Column:
@@ -154,7 +154,7 @@ def _likelihoods(rows: DataFrame, grid: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1], out[2]
 
 
-def fit_blocks(df: DataFrame, width: int, features: str = "features", limits: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+def fit_blocks(df: DataFrame | Shaped, width: int, features: str = "features", limits: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Most likely lambda of each column over all rows, NaN for a column without spread.
 
     The first pass looks at a few lambdas per column, every later one at a single lambda: a Newton
@@ -162,9 +162,9 @@ def fit_blocks(df: DataFrame, width: int, features: str = "features", limits: tu
     bracket, and a step that leaves it halves the bracket instead. ``limits`` are the columns' smallest and
     largest cells, where they are known.
     """
-    rows = df.select(features)
+    rows, block = scan(df, width, features)
     if limits is None:
-        profile = block_profile(rows)
+        profile = block_profile(df, width)
         limits = profile["low"], profile["high"]
     low, high = limits
     spread = np.isfinite(low) & (high > low)
@@ -176,7 +176,7 @@ def fit_blocks(df: DataFrame, width: int, features: str = "features", limits: tu
     at, best, lam = np.arange(width), np.full(width, -np.inf), np.ones(width)
     open_ = spread.copy()
     for _ in range(PASSES):
-        value, slope, curve = _likelihoods(rows, grid)
+        value, slope, curve = _likelihoods(rows, block, grid)
         rising = np.where(slope > 0, grid, -np.inf).max(axis=1)
         falling = np.where(slope <= 0, grid, np.inf).min(axis=1)
         bottom, top = np.maximum(bottom, rising), np.minimum(top, falling)

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import matrix, power
-from .blocks import map_blocks
+from .blocks import Shaped
 
 
 @dataclass
@@ -62,9 +62,9 @@ class Columns:
         known = np.isfinite(block[:, self.keep])
         return np.where(known, (self.bent(block) - self.centre) / self.spread, np.nan)
 
-    def rows(self, df: DataFrame) -> DataFrame:
-        """A matrix as the steps so far leave it."""
-        return map_blocks(df, self.bent, self.width)
+    def rows(self, df: DataFrame, raw: bool = False) -> Shaped:
+        """A matrix as the steps so far leave it, or only filled; nothing is computed before it is read."""
+        return Shaped(df, self.width, len(self.keep), self.filled if raw else self.bent)
 
 
 @dataclass
@@ -96,8 +96,7 @@ class Fit:
             at = np.searchsorted(keep, c.keep)
             if raw or all(np.array_equal(x[at], y, equal_nan=True) for x, y in zip(before, cells)):
                 return n, mean[at], std[at]
-        shape = c.filled if raw else c.bent
-        n, mean, std = matrix.block_moments(map_blocks(self.train, shape, c.width), len(c.keep), floor=False)
+        n, mean, std = matrix.block_moments(c.rows(self.train, raw), len(c.keep), floor=False)
         self.known = raw, c.keep, cells, n, mean, std
         return n, mean, std
 
