@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import PCA_THRESHOLDS
 from . import matrix
-from .blocks import map_blocks
+from .blocks import Shaped, map_blocks
 from .splits import ChunkSplit
 
 
@@ -90,7 +90,7 @@ def fit_pca_targets(
     """
     width = matrix.matrix_width(df)
     train = split.train(df.select("row_id", "features"))
-    filled = map_blocks(train, lambda x: np.where(np.isfinite(x), x, 0.0), width)
+    filled = Shaped(train, width, width, lambda x: np.where(np.isfinite(x), x, 0.0))
     n, mean, _ = matrix.block_moments(filled, width)
     covariance = matrix.gram_matrix(matrix.gram_tiles(filled, width, mean, np.ones(width), n), width) / max(n - 1, 1)
     variance, vectors = np.linalg.eigh(covariance)
@@ -105,7 +105,7 @@ def fit_pca_targets(
     peak = np.abs(components).argmax(axis=1)
     components = components * np.sign(components[np.arange(len(components)), peak])[:, None]
     model = PcaModel(base, mean, components, explained, sizes, keep_failed_missing=keep_failed_missing)
-    projected = map_blocks(train, model.project, width)
+    projected = Shaped(train, width, len(components), model.project)
     _, model.score_mean, model.score_std = matrix.block_moments(projected, len(components))
     return model
 
