@@ -2,15 +2,16 @@
 
 DataFrame functions throughout. Patterns find e-mail addresses, IP addresses, card and phone
 numbers. Each distinct value is a protected entity. Corpus statistics then say how strongly a term
-in the same text as an entity reveals it: the pointwise mutual information of term and entity, over
-documents, as a share of the entity's own information content. A term that is never seen without
-the entity gives it away in full (share 1) and is as good as the entity itself. Terms beyond one
-threshold are generalised to their class, beyond a higher one removed, wherever in the text they
-stand.
+in the same text as an entity reveals it: the information about the entity that the term gives is
+log(p / p0), with p the share of the term's documents that hold the entity, and p0 the entity's share of all
+documents. A term is generalised to its class beyond one threshold of p, removed beyond a higher
+one, wherever in the text it stands; both need at least log(``LIFT``) nats as well, so that an entity that stands
+nearly everywhere makes no term telling.
 
-How often a term comes with the entity is only known from the texts at hand, so a lower confidence
-bound stands in for it: few different texts prove little, and copies prove no more than one text.
-No entity or term is too rare to be scored.
+How often a term comes with the entity is only known from the texts at hand, so p is a lower
+confidence bound: few different texts prove little, and copies prove no more than one text. Every
+rare word of a text meets every entity of it, so the first text that shows a pair proves nothing; only
+further ones count. Unrelated documents change p0 alone: no verdict turns on how many there are.
 
 Spans and terms of the texts that hold an entity leave the first pass, and only counts of terms the
 second. Entities that stand in the same texts have the same counts with every term, so they are one
@@ -43,8 +44,10 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Stands for a character of a base span. A term is a whole run that touches none.
 FILL = "\uffff"
 TERM = rf"(?<![\p{{L}}\p{{N}}{FILL}])[\p{{L}}\p{{N}}]{{3,}}+(?!{FILL})"
-#: Shares of disclosure, and the normal quantile of the one-sided bound (95 %) on what the texts prove.
-GENERALISE, REMOVE, SURE = 0.6, 0.8, 1.645
+#: Shares of a term's documents with the entity, and the normal quantile of the one-sided bound (95 %) on what the texts prove.
+GENERALISE, REMOVE, SURE = 0.25, 0.5, 1.645
+#: How many times likelier the term must make the entity.
+LIFT = 2.0
 
 
 def _spans(matches: Column, gaps: Column) -> Column:
@@ -150,9 +153,13 @@ def find_base(docs: DataFrame) -> DataFrame:
 
 
 def least_share(seen: Column, texts: Column) -> Column:
-    """The Wilson lower bound of a share that was ``seen`` in as many cases as hold ``texts`` different texts."""
-    m, z = texts / seen, F.lit(SURE)
-    return (seen + z * z / (2 * m) - z * F.sqrt(seen * (1 - seen) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+    """The Wilson lower bound of a share that was ``seen`` where ``texts`` different texts show the pair.
+
+    The first of them is how the pair was met, so one less is what they prove; one text proves nothing.
+    """
+    m, z = (texts - 1) / seen, F.lit(SURE)
+    bound = (seen + z * z / (2 * m) - z * F.sqrt(seen * (1 - seen) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+    return F.when(texts > 1, bound).otherwise(0.0)
 
 
 def _named_texts(texts: DataFrame, names: str) -> DataFrame:
@@ -165,10 +172,9 @@ def _named_texts(texts: DataFrame, names: str) -> DataFrame:
 def disclosing_terms(docs: DataFrame, base: DataFrame, share: float = GENERALISE) -> DataFrame | None:
     """(k1, k2, term, share) of terms that give an entity of the text away by ``share`` or more; None if none can.
 
-    share = log(N p / n(c)) / log(N / n(c)), all counts of documents: N of all, n(c) with the
-    entity. p is ``least_share`` of n(c,t) / n(t): n(t) with the term, n(c,t) with both. For a term
-    never seen without the entity that is 1 less what doubt there is. Of a text's entities the one
-    counts that the term gives away most.
+    share is ``least_share`` of n(c,t) / n(t), counts of documents: n(t) with the term, n(c,t) with
+    the entity too. It must also be ``LIFT`` times the entity's share of all documents. Of a text's
+    entities the one counts that the term gives away most.
     """
     held = base.filter(F.size("base") > 0).select(
         "k1", "k2", F.array_distinct(F.transform("base", entity)).alias("entities"), F.array_distinct(F.transform("terms", lambda t: t["term"])).alias("words")
@@ -186,13 +192,11 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, share: float = GENERALISE
     own = stage(own.join(n_term, "term"), "terms")
     kind = ["c1", "c2", "n_term"]
     # n(c,t) is n(c) at most: with more documents than this the term is below the share whatever the texts say
-    most = F.pow("n_entity", F.lit(share)) * n ** (1 - share) * 1.000001
-    met = entities.join(own.select("k1", "k2", *kind).distinct(), ["k1", "k2"]).filter(F.col("n_term") <= most)
+    met = entities.join(own.select("k1", "k2", *kind).distinct(), ["k1", "k2"]).filter(F.col("n_term") <= F.col("n_entity") / share * 1.000001)
     met = stage(met, "pairs")
     pairs = met.groupBy("e1", "e2", "n_entity", *kind).agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
-    sure = least_share(F.col("n_both") / F.col("n_term"), F.col("texts"))
-    told = F.log(F.lit(n) * sure / F.col("n_entity")) / F.log(F.lit(n) / F.col("n_entity"))
-    scored = pairs.select("e1", "e2", "n_entity", *kind, told.alias("share")).filter(F.col("share") >= share)
+    told = least_share(F.col("n_both") / F.col("n_term"), F.col("texts"))
+    scored = pairs.select("e1", "e2", "n_entity", *kind, told.alias("share")).filter((F.col("share") >= share) & (F.col("share") >= LIFT * F.col("n_entity") / n))
     telling = met.join(scored, ["e1", "e2", "n_entity", *kind]).groupBy("k1", "k2", *kind).agg(F.max("share").alias("share"))
     return own.join(telling, ["k1", "k2", *kind]).select("k1", "k2", "term", "share")
 
@@ -201,19 +205,19 @@ def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, remove:
     """(doc_id, k1, k2, base, added) for every row of ``docs``.
 
     ``base`` holds the base spans, by kind and start. ``added`` holds struct(kind, start, end) of
-    disclosing terms in the texts of the entities that they give away, by start: kind ``generalise`` or
-    ``remove``. Places are code points, the end exclusive. A missing or empty text has no spans.
+    disclosing terms in the texts of the entities that they give away, by kind and start: kind ``generalise``
+    or ``remove``. Places are code points, the end exclusive. A missing or empty text has no spans.
     Repeated rows are found alike, and count each. No rows: no rows.
     """
     base = stage(find_base(docs), "personal")
-    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     telling = disclosing_terms(docs, base, generalise)
     if telling is None:
         return base.select(F.col("doc").alias("doc_id"), "k1", "k2", "base", none.alias("added"))
     hits = base.select("doc", "k1", "k2", F.explode("terms").alias("x")).select("doc", "k1", "k2", "x.*").join(telling, ["k1", "k2", "term"])
     spans = hits.groupBy("doc", "k1", "k2", "start", "end").agg(F.max("share").alias("share"))
     kind = F.when(F.col("share") >= remove, "remove").otherwise("generalise")
-    added = spans.groupBy("doc", "k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "end", kind.alias("kind")))).alias("added"))
+    added = spans.groupBy("doc", "k1", "k2").agg(F.array_sort(F.collect_list(F.struct(kind.alias("kind"), "start", "end"))).alias("added"))
     added = added.select(F.col("doc").alias("d"), F.col("k1").alias("a1"), F.col("k2").alias("a2"), "added")
     met = base.join(added, F.col("doc").eqNullSafe(F.col("d")) & (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")), "left")
     return met.select(F.col("doc").alias("doc_id"), "k1", "k2", "base", F.coalesce("added", none).alias("added"))
@@ -227,6 +231,8 @@ def span_list(spans: Column) -> Column:
 def sanitise(docs: DataFrame, **settings) -> DataFrame:
     """(row, doc_id, text, spans): every document's text with its spans replaced.
 
+    A missing or empty text comes out empty; repeated rows come out alike; no rows: no rows.
+
     Base values become their kind in brackets, generalised terms their class ([NUMBER] if they hold
     a digit, else [NAME] with a capital, else [WORD]), removed ones nothing. ``row`` is the
     document's own row. Of overlapping spans of different kinds the one that starts first counts,

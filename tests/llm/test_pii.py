@@ -1,12 +1,15 @@
 """Spans against regular expressions in Python, and terms that give an entity away."""
 
+import math
 import random
 import re
 from collections import Counter
 
+import pytest
 from conftest_llm import MESSY, texts_of
 
 from assaybook.llm import pii
+from assaybook.llm.rows import text_key, whole_text
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
@@ -50,51 +53,119 @@ def test_messy_rows(messy):
     assert all(r["text"] == want.get(r["doc_id"], r["row"]["text"] or "") for r in clean) and len(clean) == len(MESSY)
 
 
+def added_of(rows, **settings):
+    """(doc_id) to what is added in its text, as {(text, kind)}."""
+    return lambda df: {r["doc_id"]: {(dict(rows)[r["doc_id"]][s["start"] : s["end"]], s["kind"]) for s in r["added"]} for r in pii.find_personal_data(df, **settings).collect()}
+
+
 def test_terms_that_give_an_entity_away(make):
     random.seed(3)
-    filler = "river stone paper light cloud".split()
+    filler = "river stone paper light cloud room opening at".split()
     rows = [(i, " ".join(random.choice(filler) + f" note{i}" for _ in range(20))) for i in range(60)]
-    # Grumbold stands beside one address only, and so does its number; "river" stands everywhere
+    # Grumbold stands beside one address only, and so does its number; other words stand everywhere, or once
     rows += [(100 + i, f"opening {i} " + "river " * 3 + f"Grumbold at kim@zed.org room 9021 {filler[i % 5]} closing{i}") for i in range(5)]
-    found = {r["doc_id"]: r for r in pii.find_personal_data(make(rows)).collect()}
-    for i in range(5):
-        text = rows[60 + i][1]
-        added = {(text[s["start"] : s["end"]], s["kind"]) for s in found[100 + i]["added"]}
-        assert {("Grumbold", "remove"), ("9021", "remove"), ("room", "remove")} <= added
-        assert not {w for w, _ in added} & {"river", "stone", "kim", "zed"}
-    assert all(not r["added"] for d, r in found.items() if d < 100)
+    rows += [(200 + i, f"river Otterby at max@def.org {'cloud' if i else 'paper'}") for i in range(2)]                # two texts
+    found = added_of(rows)(make(rows))
+    assert all(found[100 + i] == {("Grumbold", "remove"), ("9021", "remove")} for i in range(5))
+    assert found[200] == found[201] == {("Otterby", "generalise")} and not any(found[d] for d in range(60))
     shown = {r["doc_id"]: r["text"] for r in pii.sanitise(make(rows), remove=2.0).collect()}
-    assert "[NAME] [WORD]" not in shown[0] and "Grumbold" not in shown[101] and "[NAME] at [EMAIL] [WORD] [NUMBER]" in shown[101]
-    # two texts are too few to tell, however often each is repeated
-    few = [(i, f"Grumbold at kim@zed.org {'one' if i % 2 else 'two'}") for i in range(40)] + rows[:60]
-    assert all(not r["added"] for r in pii.find_personal_data(make(few)).collect())
-
-
-def test_rare_entities_are_scored(make):
-    random.seed(4)
-    rows = [(i, " ".join(random.choice("river stone paper light cloud".split()) for _ in range(9)) + f" note{i}") for i in range(400)]
-    rows += [(500, "river Quillfeather at zoe@abc.org stone")]                                               # one text
-    rows += [(600 + i, f"river Ottershaw at max@def.org {'cloud' if i else 'paper'}") for i in range(2)]     # two texts
-    rows += [(700 + i, "river Brackenbury at eve@ghi.org stone") for i in range(10)]                         # copies of one
-    found = {r["doc_id"]: r for r in pii.find_personal_data(make(rows)).collect()}
-    added = {d: {(dict(rows)[d][s["start"] : s["end"]], s["kind"]) for s in r["added"]} for d, r in found.items()}
-    assert added[500] == {("Quillfeather", "generalise")} and added[600] == added[601] == {("Ottershaw", "remove")}
-    assert all(added[700 + i] == {("Brackenbury", "generalise")} for i in range(10))
-    assert not any(added[d] for d in range(400))
+    assert "Grumbold" not in shown[101] and "[NAME] at [EMAIL] room [NUMBER]" in shown[101]
+
+
+@pytest.mark.parametrize("n", [20, 100, 1000])
+def test_one_text_proves_nothing_whatever_the_size_of_the_corpus(make, n):
+    rows = [(0, "write to zed@quill.example please"), *[(1 + i, "write to zed@quill.example please") for i in range(5)]]
+    rows += [(100 + i, f"something about {i} else") for i in range(n)]
+    assert not any(added_of(rows)(make(rows)).values())
+
+
+def planted(n, seed):
+    """Texts with addresses, each beside its owner's name in four of them, among rare bystanders; the names by document."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("bcdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(5))
+    common = [word() for _ in range(200)]
+    rows, names, others = [], {}, []
+    for e in range(20):
+        name = word()
+        for k in range(4):
+            once, shared = [word() for _ in range(5)], word()
+            others.append(shared)
+            rows.append((len(rows), " ".join([*rnd.choices(common, k=30), *once, shared, name, f"p{e}@mail{e}.org", *rnd.choices(common, k=20)])))
+            names[len(rows) - 1] = name
+    while len(rows) < n:
+        rows.append((len(rows), " ".join([*rnd.choices(common, k=40), *rnd.sample(others, 2), word()])))
+    return rows, names
+
+
+@pytest.mark.parametrize("n", [200, 2000])
+def test_planted_names_among_rare_bystanders(make, n):
+    """Precision and recall at two sizes of the corpus."""
+    rows, names = planted(n, seed=n)
+    found = added_of(rows)(make(rows))
+    hits = [(d, w) for d, own in found.items() for w, _ in own]
+    right = sum(names.get(d) == w for d, w in hits)
+    assert right / len(names) >= 0.95 and right / len(hits) >= 0.95
+
+
+def brute_terms(rows):
+    """The formula over sets of documents in plain Python: {(text, term): share}."""
+    texts = [t or "" for _, t in rows]
+    entities = {t: {("email", m.lower()) for m in re.findall(r"[a-z0-9]+@[a-z0-9]+\.[a-z]+", t)} for t in set(texts)}
+    terms = {t: {w.lower() for w in re.findall(r"[A-Za-z0-9]{3,}", re.sub(r"[a-z0-9]+@[a-z0-9]+\.[a-z]+", "\uffff", t))} for t in set(texts)}
+    every = {t: {w.lower() for w in re.findall(r"[A-Za-z0-9]{3,}", t)} for t in set(texts)}
+    n, out = len(texts), {}
+    for e in set().union(*entities.values()):
+        held = [t for t in texts if e in entities[t]]
+        for w in set().union(*[terms[t] for t in held]):
+            both = [t for t in held if w in terms[t]]
+            seen, m = len(both) / sum(w in every[t] for t in texts), len(set(both)) - 1
+            if not m or len(held) == n:
+                continue
+            m, z = m / seen, pii.SURE
+            p = (seen + z * z / (2 * m) - z * math.sqrt(seen * (1 - seen) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+            if p >= pii.GENERALISE and p >= pii.LIFT * len(held) / n:
+                for t in set(both):
+                    out[t, w] = max(out.get((t, w), 0), p)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_terms_equal_the_formula_over_sets_of_documents(make, seed):
+    rnd = random.Random(seed)
+    words = [f"word{i}" for i in range(25)]
+    rows = []
+    for i in range(120):
+        own = rnd.sample(words, rnd.randint(1, 8)) + rnd.sample([f"m{j}@a.org" for j in range(6)], rnd.choice([0, 0, 1, 2]))
+        rows.append((i, " ".join(own)))
+    rows += [(200 + i, rows[rnd.randrange(120)][1]) for i in range(40)] + [(300, None), (301, "")]
+    rows += [(400 + i, f"same everywhere hot@all.org {w}") for i, w in enumerate(words * 4)]          # an entity of a third of all documents
+    df = make(rows)
+    base = pii.find_base(df)
+    told = pii.disclosing_terms(df, base).join(df.select(*[c.alias(k) for c, k in zip(text_key(whole_text()), ("k1", "k2"))], "text").distinct(), ["k1", "k2"])
+    got = {(r["text"], r["term"]): r["share"] for r in told.collect()}
+    want = brute_terms(rows)
+    assert got.keys() == want.keys() and want and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
 
 
 def test_terms_far_from_the_entity(make):
     random.seed(5)
-    filler = lambda n: " ".join(random.choice("river stone paper light cloud".split()) for _ in range(n))
+    filler = lambda n: " ".join(random.choice("river stone paper light cloud and soon members".split()) for _ in range(n))
     rows = [(i, filler(40)) for i in range(200)]
-    # a heading, a footer a thousand characters on, and the name once more behind it; a list of many addresses
-    rows += [(300 + i, f"Ashgrove {filler(200)} tom@abc.org and so on {filler(60)} again ASHGROVE {filler(i)}") for i in range(4)]
-    rows += [(400, "Members " + " ".join(f"{filler(1)} m{j}@club.org" for j in range(300)) + " Thistledown")]
+    # a heading, a footer a thousand characters on, and the name once more behind it; lists of many addresses
+    rows += [(300 + i, f"Ashgrove {filler(200)} tom@abc.org and soon {filler(60)} ASHGROVE {filler(i)}") for i in range(5)]
+    rows += [(400 + k, "Members " + " ".join(f"{filler(1)} m{j}@club.org" for j in range(300)) + " Thistledown") for k in range(2)]
     found = {r["doc_id"]: r for r in pii.find_personal_data(make(rows + rows[200:201])).collect()}
     of = lambda d: [(dict(rows)[d][s["start"] : s["end"]], s["kind"]) for s in found[d]["added"]]
-    for i in range(4):
-        assert of(300 + i) == [("Ashgrove", "remove"), ("and", "remove"), ("again", "remove"), ("ASHGROVE", "remove")]
-    assert of(400) == [("Members", "generalise"), ("Thistledown", "generalise")] and not any(of(d) for d in range(200))
+    for i in range(5):
+        assert of(300 + i) == [("Ashgrove", "remove"), ("ASHGROVE", "remove")]
+    assert of(400) == of(401) == [("Thistledown", "generalise")] and not any(of(d) for d in range(200))
+
+
+def test_added_spans_come_by_kind_and_start(make):
+    rows = [(i, f"Quillby {i} Ottery kim@zed.org Marrow number{i}") for i in range(2)] + [(10 + i, f"Quillby {i}x kim@zed.org Marrow day{i}") for i in range(6)]
+    rows += [(100 + i, f"nothing here {i}") for i in range(100)]
+    (row,) = pii.find_personal_data(make(rows)).filter("doc_id = 0").collect()
+    assert [(s["kind"], rows[0][1][s["start"] : s["end"]]) for s in row["added"]] == [("generalise", "Ottery"), ("remove", "Quillby"), ("remove", "Marrow")]
 
 
 def test_no_rows(nothing):

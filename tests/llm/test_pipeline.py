@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -12,10 +13,19 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no sample tables here")
 
 
+def near_copies(spark, docs):
+    """Copies of a clean document with other line breaks: no line is the same, every word is."""
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, SF).filter("length(text) < 6000").orderBy(F.length("text").desc(), "doc_id").first()
+    words = kept["text"].split()
+    rows = [{**kept.asDict(), "doc_id": 10**6 + k, "text": "\n".join(" ".join(words[i : i + k]) for i in range(0, len(words), k))} for k in (7, 8, 9)]
+    return spark.createDataFrame([tuple(r[c] for c in docs.columns) for r in rows], docs.schema)
+
+
 def test_stages_keep_the_columns_and_take_effect(spark):
     from assaybook.session import stage
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = stage(docs.unionByName(near_copies(spark, docs)), "documents")
     rows = [docs.count()]
     for name, step in corpus_pipeline.STAGES[:-1]:
         out = stage(step(spark, docs, SF), "stage")
