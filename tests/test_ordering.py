@@ -60,3 +60,15 @@ def test_hot_group_is_spread(spark):
     df = spark.range(20000).select(F.lit("hot").alias("g"), F.rand(1).alias("v"), "id")
     slices = ordering._sorted_slices(df, ["g", "v", "id"]).groupBy("_slice").count().collect()
     assert len(slices) > 1 and max(r["count"] for r in slices) < 15000
+
+
+def test_input_row_ids_need_neither_a_shuffle_nor_a_copy(spark, tmp_path):
+    from assaybook.operators.ordering import input_row_ids
+
+    for k, n in enumerate((7, 0, 30, 1)):
+        spark.range(n).select((F.col("id") + 100 * k).alias("v")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/part={k}")
+    numbered = input_row_ids(spark, str(tmp_path))
+    got = [tuple(r) for r in numbered.orderBy("row_id").select("row_id", "v").collect()]
+    assert got == list(enumerate([*range(7), *range(200, 230), 300]))
+    text = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in text and "Exchange rangepartitioning" not in text and "Window" not in text

@@ -280,6 +280,49 @@ def test_yeo_johnson_fit_is_the_maximum(spark):
     assert abs(got[1] - 1) < 0.3
 
 
+@pytest.mark.parametrize("name, most", [("minimal", 2), ("order_fix", 4), ("plus_drop_corr", 5), ("plus_drop_low_var", 4), ("full", 14)])
+def test_scans_of_a_fit(spark, setup, name, most):
+    """Steps share what is known, so a fit reads the matrix few times."""
+    x, split, _, _ = setup
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = frame(spark, x)
+    fit(df.mapInArrow(counted, df.schema), split, RECIPES[name])
+    assert seen.value < (most + 1) * N                     # the width takes part of another scan
+
+
+def test_aligned_tables_join_without_an_exchange(spark, setup):
+    from assaybook.session import stage_aligned
+
+    _, _, df, _ = setup
+    keys = spark.range(N).select(F.col("id").alias("row_id"), F.concat(F.lit("k"), "id").alias("key"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        stored = [stage_aligned(side, "row_id", 3, "aligned") for side in (keys, df)]
+        joined = matrix.align(*stored)
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == N and joined.filter("key <> concat('k', row_id)").isEmpty()
+        assert "Exchange" in matrix.align(keys, df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_written_tables_align(spark, setup, tmp_path):
+    from assaybook.sources.writers import write_aligned
+
+    _, _, df, _ = setup
+    write_aligned(df, "aligned_matrix", 3, str(tmp_path / "m"))
+    assert spark.table("aligned_matrix").count() == N
+    with pytest.raises(Exception):
+        write_aligned(df, "aligned_matrix", 3, str(tmp_path / "m"))
+    spark.sql("DROP TABLE aligned_matrix")
+
+
 def test_align(spark, setup):
     _, _, df, _ = setup
     keys = spark.range(N).select(F.col("id").alias("row_id"), F.concat(F.lit("k"), "id").alias("key"))
