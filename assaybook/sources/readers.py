@@ -97,7 +97,7 @@ def read_result_tree(spark: SparkSession, root: str, labels: Sequence[str] | Non
     unit = _unit_of(root)
     files = spark.read.options(recursiveFileLookup=True, pathGlobFilter=file, lineSep="\n").text(root)
     records, open_ = csv_records(files, _plain_path(F.col("_metadata.file_path")))
-    records = stage(records.select("*", *unit(F.col("path"))), "tree")
+    records = records.select("*", *unit(F.col("path")))
     # names only: Spark already lists them to plan the read, and skips empty files in it
     listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(
         _plain_path(F.col("path")).alias("path")).distinct()

@@ -176,12 +176,12 @@ def _fields_of(records: pa.Array) -> pa.Array:
 def csv_records(lines: DataFrame, path: Column) -> tuple[DataFrame, DataFrame]:
     """Records (path, block, seq, cells) of text files, and (path) of files that end inside a quoted field.
 
-    ``lines`` comes straight from a text scan by line feeds; ``path`` names a line's file. ``seq``
+    Both are read from staged tables. ``lines`` comes straight from a text scan by line feeds; ``path`` names a line's file. ``seq``
     numbers the records that begin in a block from zero, blank lines aside, so that (block, seq) orders a file's records.
     """
     at = [path.alias("path"), F.col("_metadata.file_block_start").alias("block")]
     quoted = lines.select(*at, F.when(F.contains("value", F.lit(QUOTE)), F.col("value")).alias("value"))
-    ends = stage(quoted.mapInArrow(_block_ends, "path string, block long, outside boolean, inside boolean, closed boolean"), "blocks")
+    ends = quoted.mapInArrow(_block_ends, "path string, block long, outside boolean, inside boolean, closed boolean")
     # one record per block: how each starts follows from how those before it end
     ordered = ends.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("block", "outside", "inside", "closed"))).alias("blocks"))
     none = F.lit(None).cast("long")
