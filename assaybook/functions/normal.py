@@ -31,8 +31,8 @@ def normal_cdf(x: Column) -> Column:
 
 
 def nodes(x: np.ndarray, w: np.ndarray) -> Column:
-    """Quadrature nodes and weights as an array of (x, w)."""
-    return F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("w")) for a, b in zip(x, w)])
+    """Quadrature nodes and weights as an array of (x, w), one literal to Spark however many there are."""
+    return F.expr("array(" + ", ".join(f"named_struct('x', {float(a)!r}D, 'w', {float(b)!r}D)" for a, b in zip(x, w)) + ")")
 
 
 def legendre(n: int) -> Column:

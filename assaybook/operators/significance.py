@@ -92,26 +92,37 @@ def dunnett_tails(stats: DataFrame, family: Sequence[str], arm: str) -> DataFram
     family, keys = list(family), [*family, arm]
     tested = stats.filter(F.col("t").isNotNull())
     whole = Window.partitionBy(*family)              # one record per arm
-    sizes = F.collect_list("n").over(whole)
-    sized = tested.select(*keys, F.abs("t").alias("_t"), F.col("df").cast("double").alias("_df"), F.col("n0").cast("double").alias("_n0"), sizes.alias("_all"))
-    factors = sized.select("*", F.explode(F.array_distinct("_all")).alias("_n")).select(
-        *keys, "_t", "_df", F.sqrt(F.col("_n") / (F.col("_n") + F.col("_n0"))).alias("_lam"),
-        F.size(F.filter("_all", lambda n: n == F.col("_n"))).alias("_count"))
+    lam = lambda n: F.sqrt(n / (n + F.col("n0").cast("double")))
+    count = lambda n: F.size(F.filter("_all", lambda m: m == n))
+    sizes = F.transform(F.array_distinct("_all"), lambda n: F.struct(lam(n).alias("lam"), count(n).alias("count")))
+    sized = tested.withColumn("_all", F.collect_list("n").over(whole)).select(
+        *keys, F.abs("t").alias("_t"), F.col("df").cast("double").alias("_df"), sizes.alias("_sizes"))
     spread = 1 / F.sqrt(2 * F.col("_df"))
     few = F.col("_df") < 8
     low = F.when(few, 1e-9).otherwise(F.greatest(F.lit(1e-9), 1 - 9 * spread))
     high = F.when(few, F.greatest(F.lit(6.0), 1 + 10 * spread)).otherwise(1 + 10 * spread)
-    scaled = factors.select(*keys, "_t", "_df", "_lam", "_count", F.posexplode(legendre(SCALE_NODES)).alias("_i", "_s"), low.alias("_low"), high.alias("_high"))
+    scaled = sized.select("*", F.explode(legendre(SCALE_NODES)).alias("_s"), low.alias("_low"), high.alias("_high"))
     s = 0.5 * (F.col("_high") - F.col("_low")) * F.col("_s.x") + 0.5 * (F.col("_high") + F.col("_low"))
     # the density of the scale but for a constant, which cancels
-    scaled = scaled.withColumn("_at", s).withColumn(
-        "_ws", F.col("_s.w") * F.exp((F.col("_df") - 1) * F.log("_at") - F.col("_df") * (F.col("_at") * F.col("_at") - 1) / 2))
-    placed = scaled.select(*keys, "_t", "_lam", "_count", "_i", "_at", "_ws", F.posexplode(normal_grid(MEAN_NODES)).alias("_j", "_z"))
-    width, mean, reach = F.sqrt(1 - F.col("_lam") * F.col("_lam")), F.col("_lam") * F.col("_z.x"), F.col("_t") * F.col("_at")
-    inside = normal_cdf((reach + mean) / width) - normal_cdf((mean - reach) / width)
-    points = placed.groupBy(*keys, "_i", "_j").agg(
-        F.sum(F.col("_count") * F.log(F.greatest(inside, F.lit(1e-300)))).alias("_log"), F.first(F.col("_ws") * F.col("_z.w")).alias("_w"))
-    p = 1 - F.sum(F.col("_w") * F.exp("_log")) / F.sum("_w")
+    scaled = scaled.withColumn("_at", s).select(
+        *keys, "_sizes", (F.col("_t") * F.col("_at")).alias("_reach"),
+        (F.col("_s.w") * F.exp((F.col("_df") - 1) * F.log("_at") - F.col("_df") * (F.col("_at") * F.col("_at") - 1) / 2)).alias("_ws"))
+    placed = scaled.select(*keys, "_sizes", "_reach", "_ws", F.explode(normal_grid(MEAN_NODES)).alias("_z"))
+
+    def bounds(of: Column) -> list[Column]:
+        width, mean = F.sqrt(1 - of["lam"] * of["lam"]), of["lam"] * F.col("_z.x")
+        return [((mean + F.col("_reach")) / width).alias("hi"), ((mean - F.col("_reach")) / width).alias("lo")]
+
+    # bounds are columns of their own, so that the distribution function repeats names and no formulas; families of
+    # one size, as most are, need no walk over their sizes
+    others = F.transform(F.slice("_sizes", 2, F.size("_sizes")), lambda of: F.struct(*bounds(of), of["count"].alias("count")))
+    bounded = placed.select(
+        *keys, (F.col("_ws") * F.col("_z.w")).alias("_w"), *bounds(F.col("_sizes")[0]), F.col("_sizes")[0]["count"].alias("_count"),
+        F.when(F.size("_sizes") > 1, others).alias("_others"))
+    inside = lambda of: F.pow(normal_cdf(of["hi"]) - normal_cdf(of["lo"]), of["count"])
+    rest = F.when(F.col("_others").isNull(), 1.0).otherwise(F.aggregate("_others", F.lit(1.0), lambda product, of: product * inside(of)))
+    points = bounded.select(*keys, "_w", (normal_cdf(F.col("hi")) - normal_cdf(F.col("lo"))).alias("_in"), "_count", rest.alias("_rest"))
+    p = 1 - F.sum(F.col("_w") * F.pow("_in", "_count") * F.col("_rest")) / F.sum("_w")
     return points.groupBy(*keys).agg(F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0)).alias("p"))
 
 
