@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import logging
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -94,39 +95,69 @@ def read_result_tree(spark: SparkSession, root: str, labels: Sequence[str] | Non
     wider than its header becomes a (label, recipe, path, error) reject and does not stop the
     rest.
     """
+    tree = result_rows(spark, root, labels, file)
+    cells = tree.rows.select("label", "recipe", "row_id", "cells", F.posexplode("names").alias("_at", "column"))
+    out = cells.select("label", "recipe", "row_id", F.col("_at").alias("position"), "column",
+                       lenient_double(F.get("cells", "_at")).alias("value"))
+    return out, tree.rejects
+
+
+@dataclass(frozen=True)
+class ResultRows:
+    """Wide rows of a result tree, and what is known of its files without reading the rows again.
+
+    ``rows``: label, recipe, row_id, names, cells. ``files``, a record for each file with rows: label, recipe,
+    path, names, and in ``end`` the row_id after its last row. ``rejects``: label, recipe, path, error.
+    """
+
+    rows: DataFrame
+    files: DataFrame
+    rejects: DataFrame
+
+    def columns(self) -> DataFrame:
+        """The columns of each unit's files: (label, recipe, position, column, end)."""
+        return self.files.select("label", "recipe", "end", F.posexplode("names").alias("position", "column"))
+
+
+def result_rows(spark: SparkSession, root: str, labels: Sequence[str] | None = None, file: str = "y_test.csv") -> ResultRows:
+    """The files that ``read_result_tree`` makes cells of, as rows with their header beside them."""
     unit = _unit_of(root)
     files = spark.read.options(recursiveFileLookup=True, pathGlobFilter=file, lineSep="\n").text(root)
-    records, open_ = csv_records(files, _plain_path(F.col("_metadata.file_path")))
-    records = records.select("*", *unit(F.col("path")))
+    records, open_ = csv_records(files, F.col("_metadata.file_path"))
+    # every block numbers its records from zero, so a file's first record is the first one of a block
+    at = F.struct("block", "seq")
+    headers = records.filter("seq = 0").groupBy("path").agg(F.min(at).alias("_first"), F.min_by("cells", at).alias("names"))
+    # what follows from a path is worked out once for a file, not for its rows
+    plain = _plain_path(F.col("path"))
+    headers = headers.select("*", plain.alias("_plain"), *unit(plain))
+    open_ = open_.select(plain.alias("path"))
+    headers = stage(headers if labels is None else headers.filter(F.col("label").isin(*labels)), "headers")
     # names only: Spark already lists them to plan the read, and skips empty files in it
     listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(
         _plain_path(F.col("path")).alias("path")).distinct()
-    unread = listed.join(records.select("path").distinct(), "path", "left_anti")
+    unread = listed if labels is None else listed.select("path", *unit(F.col("path"))).filter(F.col("label").isin(*labels)).select("path")
+    unread = unread.join(headers.select(F.col("_plain").alias("path")), "path", "left_anti")
     reject = lambda df, error: df.select(*unit(F.col("path")), "path", F.lit(error).alias("error"))
     rejects = reject(open_, "a quote is left open").unionByName(reject(unread.join(open_, "path", "left_anti"), "empty file"))
     if labels is not None:
-        records, rejects = (d.filter(F.col("label").isin(*labels)) for d in (records, rejects))
-
-    at = F.struct("block", "seq")
-    headers = stage(
-        records.groupBy("path").agg(F.min(at).alias("_first"), F.min_by("cells", at).alias("_names")), "headers"
-    )
-    parsed = records.join(headers, "path").filter(at > F.col("_first"))
-    bad = stage(
-        parsed.filter(F.size("cells") > F.size("_names")).groupBy("label", "recipe", "path").agg(F.count("*").alias("_n"))
-        .select("label", "recipe", "path", F.concat("_n", F.lit(" rows are wider than the header")).alias("error")),
-        "rejects",
-    )
-    good = parsed.join(bad.select("path"), "path", "left_anti")
+        rejects = rejects.filter(F.col("label").isin(*labels))
+
+    parsed = records.join(headers.select("path", "_first", F.size("names").alias("_width")), "path").filter(at > F.col("_first"))
+    blocks = stage(parsed.groupBy("path", "block").agg(
+        F.count("*").alias("_n"), F.min("seq").alias("_least"), F.count_if(F.size("cells") > F.col("_width")).alias("_wide")), "blocks")
+    wide = blocks.groupBy("path").agg(F.sum("_wide").alias("_wide")).filter("_wide > 0")
+    bad = stage(headers.join(wide, "path").select(
+        "label", "recipe", "path", "_plain", F.concat("_wide", F.lit(" rows are wider than the header")).alias("error")), "rejects")
     # rows of a block are numbered as they are read, so its place among all blocks is all that is missing
-    blocks = good.groupBy("label", "recipe", "path", "block").agg(F.count("*").alias("_n"), F.min("seq").alias("_least"))
-    before = F.sum("_n").over(Window.partitionBy("label", "recipe").orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = stage(blocks.select("path", "block", (F.coalesce(before, F.lit(0)) - F.col("_least")).alias("_start")), "starts")
-    rows = good.join(starts, ["path", "block"]).withColumn("row_id", F.col("_start") + F.col("seq"))
-    cells = rows.select("label", "recipe", "row_id", "cells", F.posexplode("_names").alias("_at", "column"))
-    out = cells.select("label", "recipe", "row_id", F.col("_at").alias("position"), "column",
-                       lenient_double(F.get("cells", "_at")).alias("value"))
-    return out, bad.unionByName(rejects)
+    known = blocks.join(headers, "path").join(bad.select("path"), "path", "left_anti")
+    before = F.sum("_n").over(Window.partitionBy("label", "recipe").orderBy("_plain", "block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = stage(known.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_start", F.col("_before") - F.col("_least")), "starts")
+    rows = records.join(starts.select("path", "block", "label", "recipe", "_first", "names", "_start"), ["path", "block"]).filter(at > F.col("_first"))
+    last = starts.groupBy("label", "recipe", F.col("_plain").alias("path")).agg(
+        F.first("names").alias("names"), F.max(F.col("_before") + F.col("_n")).alias("end"))
+    return ResultRows(
+        rows.select("label", "recipe", (F.col("_start") + F.col("seq")).alias("row_id"), "names", "cells"),
+        stage(last, "files"), bad.select("label", "recipe", F.col("_plain").alias("path"), "error").unionByName(rejects))
 
 
 def read_npy_tree(spark: SparkSession, root: str, labels: Sequence[str] | None = None,

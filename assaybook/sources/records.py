@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,15 +74,16 @@ def fields(record: str) -> list[str]:
         at = end + 1
 
 
-def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int, list[str | None], pa.RecordBatch, int]]:
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.Array, pa.RecordBatch, int]]:
     """Lines of a batch that belong to one block, which come one after another: path, block, values, batch, row."""
     for batch in batches:
-        paths, blocks = batch.column("path").to_pylist(), batch.column("block").to_pylist()
-        values, start = batch.column("value").to_pylist(), 0
-        for k in range(1, len(paths) + 1):
-            if k == len(paths) or paths[k] != paths[start] or blocks[k] != blocks[start]:
-                yield paths[start], blocks[start], values[start:k], batch, start
-                start = k
+        n, paths, blocks = batch.num_rows, batch.column("path"), batch.column("block")
+        if not n:
+            continue
+        other = pc.or_(pc.not_equal(paths.slice(1), paths.slice(0, n - 1)), pc.not_equal(blocks.slice(1), blocks.slice(0, n - 1)))
+        edges = [0, *(np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1).tolist(), n]
+        for start, end in zip(edges, edges[1:]):
+            yield paths[start].as_py(), blocks[start].as_py(), batch.column("value").slice(start, end - start), batch, start
 
 
 def _block_ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,11 +102,10 @@ def _block_ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if now is not None:
                 yield record()
             now, ends, closed = (path, block), (False, True), False
-        for line in values:
-            if line is not None:
-                first = ends_inside(line, ends[0])
-                ends = first, first if ends[0] == ends[1] else ends_inside(line, ends[1])
-                closed = closed or not ends[1]
+        for line in values.drop_null().to_pylist():
+            first = ends_inside(line, ends[0])
+            ends = first, first if ends[0] == ends[1] else ends_inside(line, ends[1])
+            closed = closed or not ends[1]
     if now is not None:
         yield record()
 
@@ -112,6 +114,7 @@ class _Rows:
     """Records and pieces of records on their way out."""
 
     SCHEMA = "path string, block long, seq long, cells array<string>, since long, piece string"
+    NAMES = ["path", "block", "seq", "cells", "since", "piece"]
 
     def __init__(self) -> None:
         self.rows: list[tuple] = []
@@ -119,11 +122,18 @@ class _Rows:
     def add(self, *row: object) -> None:
         self.rows.append(row)
 
+    @staticmethod
+    def whole(path: str, block: int, seq: int, cells: list[list[str]]) -> pa.RecordBatch:
+        """Records that stand one after another in a block, the first of them the block's ``seq``-th."""
+        n = len(cells)
+        columns = [pa.repeat(path, n), pa.repeat(pa.scalar(block, pa.int64()), n), pa.array(np.arange(seq, seq + n)),
+                   pa.array(cells, pa.list_(pa.string())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=_Rows.NAMES)
+
     def flush(self) -> pa.RecordBatch:
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.string())
         columns = zip(*self.rows)
-        names = ["path", "block", "seq", "cells", "since", "piece"]
-        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=self.NAMES)
         self.rows = []
         return out
 
@@ -143,7 +153,13 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             close_block()
             now, held, seq = (path, block), [], 0
             since = batch.column("since")[row].as_py()
-        for line in values:
+        if since is None and not pc.any(pc.match_substring(values, QUOTE)).as_py():
+            cells = [fields(line) for line in values.to_pylist() if line.strip()]
+            if cells:
+                yield _Rows.whole(path, block, seq, cells)
+                seq += len(cells)
+            continue
+        for line in values.to_pylist():
             if since is None:
                 if not line.strip():
                     continue
@@ -180,8 +196,17 @@ def csv_records(lines: DataFrame, path: Column) -> tuple[DataFrame, DataFrame]:
     numbers the records that begin in a block from zero, blank lines aside, so that (block, seq) orders a file's records.
     """
     at = [path.alias("path"), F.col("_metadata.file_block_start").alias("block")]
-    quoted = lines.select(*at, F.when(F.contains("value", F.lit(QUOTE)), F.col("value")).alias("value"))
-    ends = quoted.mapInArrow(_block_ends, "path string, block long, outside boolean, inside boolean, closed boolean")
+    # lines without a quote leave the state as it is, so only those with one go through Python
+    blocks = stage(lines.select(*at, F.contains("value", F.lit(QUOTE)).alias("q")).groupBy("path", "block").agg(F.max("q").alias("q")), "blocks")
+    if blocks.filter("q").isEmpty():
+        told = lines.select(*at, "value", F.lit(None).cast("long").alias("since"))
+        whole = stage(told.mapInArrow(_cut, _Rows.SCHEMA).select("path", "block", "seq", "cells"), "records")
+        return whole, blocks.select("path").filter(F.lit(False))
+    quoted = lines.select(*at, "value").filter(F.contains("value", F.lit(QUOTE)))
+    found = quoted.mapInArrow(_block_ends, "path string, block long, outside boolean, inside boolean, closed boolean")
+    ends = blocks.select("path", "block").join(found, ["path", "block"], "left").select(
+        "path", "block", F.coalesce("outside", F.lit(False)).alias("outside"), F.coalesce("inside", F.lit(True)).alias("inside"),
+        F.coalesce("closed", F.lit(False)).alias("closed"))
     # one record per block: how each starts follows from how those before it end
     ordered = ends.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("block", "outside", "inside", "closed"))).alias("blocks"))
     none = F.lit(None).cast("long")
