@@ -21,11 +21,11 @@ _SLICE, _POS = "_slice", "_pos"
 _IN_PARTITION = (1 << 33) - 1          # low bits of monotonically_increasing_id
 
 
-def _sorted_slices(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def _sorted_slices(df: DataFrame, order: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
     ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
     return stage(
         ranged.select(
-            "*",
+            *(keep or df.columns),
             F.spark_partition_id().alias(_SLICE),
             F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION)).alias(_POS),
         ),
@@ -33,12 +33,13 @@ def _sorted_slices(df: DataFrame, order: Sequence[str]) -> DataFrame:
     )
 
 
-def with_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
+def with_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id", keep: Sequence[str] | None = None) -> DataFrame:
     """Add a dense 0-based index in ``order``; one range shuffle, no single-task window.
 
-    ``order`` must break ties between rows that differ, or their indexes may swap.
+    ``order`` must break ties between rows that differ, or their indexes may swap. Of columns that
+    serve the order only, none is stored if ``keep`` names the others.
     """
-    rows = _sorted_slices(df, order)
+    rows = _sorted_slices(df, order, keep)
     # one record per shuffle partition, so this list stays small whatever the data size
     sizes = rows.groupBy(_SLICE).agg(F.count("*").alias("n")).orderBy(_SLICE).collect()
     ends = np.cumsum([r["n"] for r in sizes], dtype=np.int64)
@@ -80,29 +81,29 @@ def running_total(
     weight: str | None = None,
     before: str = "before",
     total: str = "total",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add the sum of ``weight`` over earlier rows of the group, and over the whole group.
 
-    Without ``weight`` rows count one each, so ``before`` is the 0-based position.
+    Without ``weight`` rows count one each, so ``before`` is the 0-based position, which follows
+    from the row's place in its slice: rows are not shuffled again.
     Rows are range-partitioned by group and order: the in-slice window sees at most one
     partition, the cross-slice window one record per (group, slice). So a group of any size takes
-    the same path.
+    the same path. ``keep`` names the columns to store, if not all.
     """
     group = list(group)
     w = F.col(weight) if weight else F.lit(1).cast("long")
-    rows = _sorted_slices(df, [*group, *order])
-    cell = Window.partitionBy(_SLICE, *group)
-    inside = rows.withColumn(
-        "_inside",
-        F.coalesce(
-            F.sum(w).over(cell.orderBy(_POS).rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ),
-    )
+    rows = _sorted_slices(df, [*group, *order], keep)
+    if weight:
+        cell = Window.partitionBy(_SLICE, *group)
+        ahead = F.sum(w).over(cell.orderBy(_POS).rowsBetween(Window.unboundedPreceding, -1))
+        inside = rows.withColumn("_inside", F.coalesce(ahead, F.lit(0)))
+    else:
+        inside = rows.withColumn("_inside", F.col(_POS))         # a group's rows stand together in a slice
     across = Window.partitionBy(*group)
     parts = (
         rows.groupBy(_SLICE, *group)
-        .agg(F.sum(w).alias("_part"))
+        .agg(F.sum(w).alias("_part"), F.min(_POS).alias("_least"))
         .withColumn(
             "_offset",
             F.coalesce(
@@ -115,6 +116,11 @@ def running_total(
         .withColumn(total, F.sum("_part").over(across))
         .drop("_part")
     )
+    if weight:
+        parts = parts.drop("_least")
+    else:
+        # staged, so that its size is known: a record per slice and group, mostly few enough to send to the rows
+        parts = stage(parts.withColumn("_offset", F.col("_offset") - F.col("_least")).drop("_least"), "parts")
     return (
         inside.join(parts, [_SLICE, *group])
         .withColumn(before, F.col("_inside") + F.col("_offset"))

@@ -153,7 +153,8 @@ def assign_folds(
     left out.
     """
     placed = running_total(
-        df.withColumn("_h", hash_order(seed, *group, key)), group, ["_h", key], None, "_at", "_n"
+        # as bytes the hash orders like its digits and is half as long; it serves the order only
+        df.withColumn("_h", F.unhex(hash_order(seed, *group, key))), group, ["_h", key], None, "_at", "_n", df.columns
     )
     folds = F.least(F.lit(k), F.floor(F.col("_n") / 2))
     size, extra = F.floor(F.col("_n") / folds), F.col("_n") % folds
@@ -161,9 +162,7 @@ def assign_folds(
     fold = F.when(F.col("_at") < head, F.floor(F.col("_at") / (size + 1))).otherwise(
         extra + F.floor((F.col("_at") - head) / size)
     )
-    return placed.filter(F.col("_n") >= 4).withColumn("fold", fold.cast("int")).drop(
-        "_h", "_at", "_n"
-    )
+    return placed.filter(F.col("_n") >= 4).withColumn("fold", fold.cast("int")).drop("_at", "_n")
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

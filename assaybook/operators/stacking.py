@@ -54,6 +54,8 @@ def stack_features(pred: DataFrame, flavors: Sequence[str], unit: Sequence[str]
     )
     present = own.groupBy(*unit).agg(*[F.coalesce(F.max(is_(f)), F.lit(False)).alias(f"h_{f}") for f in flavors])
     present = present.withColumn("n_flavors", sum((has(f).cast("int") for f in flavors), F.lit(0))).filter("n_flavors >= 2")
+    # staged, so that its size is known: few units would otherwise be joined in as few tasks
+    present = stage(present, "present")
     complete = F.lit(True)
     for f in flavors:
         complete = complete & (~has(f) | F.col(f"f_{f}").isNotNull())
@@ -158,7 +160,7 @@ def stack_oof(features: DataFrame, flavors: Sequence[str], unit: Sequence[str] =
     best_single_r2, delta_r2.
     """
     unit = list(unit)
-    folded = stage(assign_folds(features, unit, "row_id", k, seed), "folds")
+    folded = assign_folds(features, unit, "row_id", k, seed)          # on staged rows
     winners = stage(best_single(folded, flavors, unit), "winners")
     scored = folded.join(winners, [*unit, "fold"]).withColumn(
         "single", F.coalesce(*[F.when(F.col("winner") == f, F.col(f"f_{f}")) for f in flavors])

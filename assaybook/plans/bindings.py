@@ -157,7 +157,7 @@ frozen AS (SELECT * FROM frame WHERE NOT starts_with(flavor, 'lr_'))"""
 def stack_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long predictions of all four arms for every item, so that they can be stacked."""
     items = with_row_id(
-        table(spark, sf_dir, "lineitem").drop("l_returnflag", "l_linestatus"), TALL_ORDER
+        table(spark, sf_dir, "lineitem").select(*TALL_ORDER), TALL_ORDER, keep=("l_partkey", "l_linenumber", *TALL_COLUMNS)
     ).join(
         table(spark, sf_dir, "part").select("p_partkey", "p_size"),
         F.col("l_partkey") == F.col("p_partkey"),
@@ -198,7 +198,7 @@ TALL_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *TALL_COLU
 
 def tall_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four numeric columns of every line item, some cells missing or infinite."""
-    rows = with_row_id(table(spark, sf_dir, "lineitem").select(*TALL_ORDER), TALL_ORDER)
+    rows = with_row_id(table(spark, sf_dir, "lineitem").select(*TALL_ORDER), TALL_ORDER, keep=TALL_COLUMNS)
     qty = F.when(F.col("l_quantity") == 50, float("inf")).when(
         F.col("l_quantity") == 49, float("-inf")).otherwise(F.col("l_quantity"))
     disc = F.when(F.col("l_discount") > 0, F.col("l_discount"))

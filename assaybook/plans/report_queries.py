@@ -352,7 +352,7 @@ _PICK = "CASE winner " + " ".join(f"WHEN '{f}' THEN f_{f}" for f in _FLAVORS) +
 
 
 def _features(spark, sf):
-    return stage(stacking.stack_features(b.stack_predictions(spark, sf), _FLAVORS, _UNIT), "features")
+    return stacking.stack_features(b.stack_predictions(spark, sf), _FLAVORS, _UNIT)
 
 
 @query("stack_features", f"""
@@ -376,7 +376,7 @@ def best_single(spark, sf):
 WITH {b.STACK}, {_FOLDS}, {_SINGLE}
 SELECT endpoint, seed, row_id, {r(_PICK, 4)} AS single FROM folds JOIN winners USING (endpoint, seed, fold)""")
 def best_single_oof(spark, sf):
-    folded = stage(assign_folds(_features(spark, sf), ["endpoint", "seed"], "row_id"), "folds")
+    folded = assign_folds(_features(spark, sf), ["endpoint", "seed"], "row_id")
     return rounded(stacking.best_single_oof(folded, _FLAVORS, _UNIT).select("endpoint", "seed", "row_id", "single"), 4)
 
 
@@ -460,5 +460,5 @@ def stack_ragged_flavors(spark, sf):
 @query("stack_trees")
 def stack_trees(spark, sf):
     """Forests in place of ridge regression."""
-    features = stage(stacking.stack_features(b.stack_predictions(spark, sf), _FLAVORS, ("endpoint",)), "features")
+    features = stacking.stack_features(b.stack_predictions(spark, sf), _FLAVORS, ("endpoint",))
     return rounded(stacking.stack_oof(features, _FLAVORS, ("endpoint",), k=2, estimator="rf"), 4)

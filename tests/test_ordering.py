@@ -72,3 +72,19 @@ def test_input_row_ids_need_neither_a_shuffle_nor_a_copy(spark, tmp_path):
     assert got == list(enumerate([*range(7), *range(200, 230), 300]))
     text = numbered._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in text and "Exchange rangepartitioning" not in text and "Window" not in text
+
+
+def test_positions_need_no_second_shuffle(spark):
+    """Unweighted totals shuffle the rows once, by range, and store only the columns asked for."""
+    from pyspark.sql import functions as F
+
+    from assaybook.operators.ordering import running_total
+
+    df = spark.range(200).select((F.col("id") % 3).alias("g"), (-F.col("id")).alias("o"), F.col("id").alias("v"))
+    out = running_total(df, ["g"], ["o"], None, "at", "n", keep=["g", "v"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan and set(out.columns) == {"g", "v", "at", "n"}
+    rows = out.collect()
+    for g in range(3):
+        own = sorted((r for r in rows if r["g"] == g), key=lambda r: -r["v"])
+        assert [r["at"] for r in own] == list(range(len(own))) and {r["n"] for r in own} == {len(own)}

@@ -195,3 +195,13 @@ def test_best_single_with_a_large_mean(spark):
     pred = spark.createDataFrame(rows, "endpoint string, seed long, row_id long, flavor string, y_true double, y_pred double")
     scored = stacking.stack_oof(stacking.stack_features(pred, ["y", "x"], UNIT), ["y", "x"], UNIT).first()
     assert scored["best_single_flavor"] == "x" and 0.9 < scored["best_single_r2"] <= 1
+
+
+def test_few_units_are_not_joined_by_key(spark):
+    """Which flavors a unit has goes to the rows; the rows do not go to one task a unit."""
+    rows = [("d", "r", "e", s, i, fl, float(i), float(i) + k) for s in (1, 2) for i in range(6) for k, fl in enumerate(("f0", "f1"))]
+    pred = spark.createDataFrame(rows, "dataset string, recipe string, endpoint string, seed long, row_id long, flavor string, y_true double, y_pred double")
+    out = stacking.stack_features(pred, ["f0", "f1"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert out.count() == 12 and {r["n_flavors"] for r in out.collect()} == {2}
