@@ -9,7 +9,7 @@ from ..functions.cells import long_cells, yeo_johnson
 from ..operators import featurize, matrix, pca, power, prescale, splits
 from ..operators.ordering import input_row_ids, with_row_id
 from ..operators.steps import ORDER_FIX, RECIPES, ClipSpread, DropInvalid, Scale
-from ..session import stage, stage_aligned
+from ..session import aligned_buckets, stage, stage_aligned
 from . import bindings as b
 from .catalog import query, r, rounded
 
@@ -100,9 +100,11 @@ WITH {b.TALL}, keyed AS (
          l_orderkey || ':' || l_linenumber AS key FROM lineitem)
 SELECT row_id, key, c1 AS price FROM keyed JOIN tall USING (row_id)""")
 def align_keys(spark, sf):
-    rows = with_row_id(b.table(spark, sf, "lineitem").select(*b.TALL_ORDER), b.TALL_ORDER)
+    items = b.table(spark, sf, "lineitem").select(*b.TALL_ORDER)
+    buckets = aligned_buckets(items.count())
+    rows = with_row_id(items, b.TALL_ORDER, keep=("l_orderkey", "l_linenumber"))
     keys = rows.select("row_id", F.concat_ws(":", "l_orderkey", "l_linenumber").alias("key"))
-    stored = [stage_aligned(df, "row_id", 8, "aligned") for df in (keys, b.tall_matrix(spark, sf))]
+    stored = [stage_aligned(df, "row_id", buckets, "aligned") for df in (keys, b.tall_matrix(spark, sf))]
     return matrix.align(*stored).select("row_id", "key", F.col("features")[1].alias("price"))
 
 

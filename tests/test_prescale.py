@@ -334,3 +334,10 @@ def test_align(spark, setup):
     twice = spark.createDataFrame([(i, [0.0]) for i in (0, 0, 3, 3)], "row_id long, features array<double>")
     with pytest.raises(ValueError):                        # as many rows, the same last id and the same sum
         matrix.align(keys.filter("row_id < 4"), twice)
+
+
+def test_aligned_buckets_follow_the_rows():
+    from assaybook.session import BUCKET_ROWS, aligned_buckets
+
+    assert aligned_buckets(0) == aligned_buckets(8 * BUCKET_ROWS) == 8
+    assert aligned_buckets(400 * BUCKET_ROWS + 1) == 401
