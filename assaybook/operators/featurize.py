@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,9 @@ from pyspark.sql import types as T
 from ..config import FEATURE_BLOCK_ROWS
 from .blocks import from_block
 
+#: Bytes of the texts whose runs of characters are worked on at once.
+SLICE_BYTES = 1 << 20
+
 BlockFunction = Callable[[list[str]], np.ndarray]
 
 
@@ -118,15 +123,41 @@ def hashed_bits(text: Column, n_bits: int = 2048, gram: int = 3) -> Column:
     Bit h is set if any run of ``gram`` characters hashes to h; of a shorter text the characters
     count. The hash is the first 32 bits of the md5, which other engines have as well.
     """
-    chars = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?s)."), F.lit(0))
-    # the characters beside each other, once per place in a run; a lambda over them would split the text anew per run
-    beside = F.arrays_zip(*[F.slice(chars, F.lit(k + 1), F.greatest(F.size(chars) - gram + 1, F.lit(0))).alias(f"c{k}") for k in range(gram)])
-    runs = F.transform(beside, lambda z: F.concat(*[z[f"c{k}"] for k in range(gram)]))
-    grams = F.when(F.size(chars) < gram, chars).otherwise(runs)
-    number = lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long")
-    return F.array_sort(F.array_distinct(F.transform(F.array_distinct(grams), lambda g: (number(g) % n_bits).cast("int"))))
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def positions(texts: pa.Array) -> pa.Array:
+        part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)] if len(texts) else []
+        made = [_set_bits([t or "" for t in texts.slice(a, b - a).to_pylist()], n_bits, gram) for a, b in zip(edges, edges[1:])]
+        return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int32()))
+
+    return positions(text.cast("string"))
+
+
+def _set_bits(texts: list[str], n_bits: int, gram: int) -> pa.Array:
+    """The sorted positions of each text's set bits; a run is hashed once, however often it comes."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    chars, owner, end = "".join(texts), np.repeat(np.arange(len(texts)), lengths), np.cumsum(lengths)
+    codes = np.frombuffer(chars.encode("utf-32-le"), np.uint32).astype(np.int64)
+    widths, found = np.where(lengths < gram, 1, gram), [np.zeros(0, np.int64)]
+    for width in np.unique(widths).tolist():
+        at = np.flatnonzero((widths[owner] == width) & (np.arange(len(codes)) + width <= end[owner]))
+        run = codes[at]
+        for k in range(1, width):
+            if k > 2:                          # three characters of 21 bits fit in a key
+                run = np.unique(run, return_inverse=True)[1]
+            run = (run << 21) | codes[at + k]
+        _, first, which = np.unique(run, return_index=True, return_inverse=True)
+        runs = [chars[i : i + width].encode() for i in at[first].tolist()]
+        bit = np.array([int.from_bytes(hashlib.md5(r, usedforsecurity=False).digest()[:4], "big") % n_bits for r in runs], np.int64)
+        found.append(owner[at] * n_bits + bit[which])
+    bits = np.unique(np.concatenate(found))
+    offsets = np.searchsorted(bits, np.arange(len(texts) + 1) * n_bits)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(bits % n_bits, pa.int32()))
 
 
 def dense_bits(positions: Column, n_bits: int = 2048) -> Column:
     """A fingerprint's positions as a row of zeros and ones, for a fit that wants a matrix."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n_bits - 1)), lambda i: F.array_contains(positions, i).cast("double"))
+    every = F.sequence(F.lit(0), F.lit(n_bits - 1))
+    # the positions may come from a Python function, which no lambda may hold: they are its argument
+    return F.transform(F.array(positions), lambda p: F.transform(every, lambda i: F.array_contains(p, i).cast("double")))[0]

@@ -73,3 +73,21 @@ def test_builtin_featurizers(spark):
     d = {r["id"]: r["d"] for r in df.select("id", featurize.text_descriptors(F.col("t")).alias("d")).collect()}
     assert d[1] == [8.0, 3.0, 2.0, 1.0, 1 / 8, 1 / 8, 2.0]
     assert d[2][0] == 0 and d[2][2] is None
+
+
+def test_hashed_bits_match_runs_one_by_one(spark, monkeypatch):
+    """In slices of a few bytes, for several run lengths; no run is hashed once per place."""
+    import hashlib
+
+    texts = [None, "", "a", "ab", "abc", "abcabcabc", "añ😀b\nñ😀b", "x" * 50, "the quick brown fox"]
+    monkeypatch.setattr(featurize, "SLICE_BYTES", 8)
+    assert "ArrowEvalPython" in spark.createDataFrame([("a",)], "t string").select(
+        featurize.hashed_bits(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for gram, n_bits in ((1, 16), (3, 2048), (5, 64)):
+        got = {r["id"]: r["p"] for r in df.select("id", featurize.hashed_bits(F.col("t"), n_bits, gram).alias("p")).collect()}
+        for i, text in enumerate(texts):
+            t = text or ""
+            runs = {t[k : k + gram] for k in range(len(t) - gram + 1)} if len(t) >= gram else set(t)
+            want = {int(hashlib.md5(r.encode()).hexdigest()[:8], 16) % n_bits for r in runs}
+            assert got[i] == sorted(want)
