@@ -67,5 +67,10 @@ def log_scale(df: DataFrame, cols: Sequence[str], prefix: str = "LOG_") -> DataF
 
 
 def long_cells(df: DataFrame, key: str = "row_id", features: str = "features") -> DataFrame:
-    """One row per cell: (key, col_id, value)."""
-    return df.select(key, F.posexplode(features).alias("col_id", "value"))
+    """One row per cell: (key, col_id, value).
+
+    Of a bare column Spark would filter out missing and empty rows first, and compute the column once
+    more for that; the generator drops them anyway.
+    """
+    rows = F.col(features)
+    return df.select(key, F.posexplode(F.when(rows.isNotNull(), rows)).alias("col_id", "value"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -338,8 +339,25 @@ def low_variance_columns(df: DataFrame, min_variance: float = 1e-8) -> DataFrame
 
 # ---------------------------------------------------------------- cell transforms in SQL
 
+#: Columns up to which a transform names each cell, which Spark compiles; a lambda is interpreted cell by cell.
+NAMED_CELLS = 64
+
+
 def _per_column(values: Sequence[float | None]) -> Column:
-    return F.array(*[F.lit(v).cast("double") for v in values])
+    return F.array(*[_lit(v) for v in values])
+
+
+def _lit(value: float | None) -> Column:
+    return F.lit(value).cast("double")
+
+
+def _named(rows: Sequence[Column], width: int, cell: Callable[..., Column]) -> Column:
+    """``cell(i, *cells)`` of every column i < ``width``; a longer row's other cells come out missing, a shorter row stays short."""
+    out = F.array(*[cell(i, *[F.get(r, F.lit(i)) for r in rows]) for i in range(width)])
+    known = reduce(Column.__and__, [r.isNotNull() for r in rows])
+    size = F.size(rows[0]) if len(rows) == 1 else F.greatest(*[F.size(r) for r in rows])
+    other = F.slice(F.concat(out, F.array_repeat(_lit(None), size - width)), F.lit(1), size)
+    return F.when(known & (size == width), out).when(known, other)
 
 
 def select_columns(df: DataFrame, index: Sequence[int]) -> DataFrame:
@@ -373,15 +391,18 @@ def clip_columns(df: DataFrame, lower: Sequence[float], upper: Sequence[float])
 def zscore_columns(
     df: DataFrame, mean: Sequence[float], std: Sequence[float], floor_std: bool = True
 ) -> DataFrame:
-    m, s = _per_column(mean), _per_column(std)
-    return df.withColumn(
-        "features",
-        F.transform("features", lambda x, i: cells.zscore(x, F.get(m, i), F.get(s, i), floor_std)),
-    )
-
-
-def rescatter_missing(raw: Column, scaled: Column) -> Column:
-    """Blank every scaled cell whose raw cell was not finite."""
+    if 0 < len(mean) <= NAMED_CELLS:
+        scaled = _named([F.col("features")], len(mean), lambda i, x: cells.zscore(x, _lit(mean[i]), _lit(std[i]), floor_std))
+    else:
+        m, s = _per_column(mean), _per_column(std)
+        scaled = F.transform("features", lambda x, i: cells.zscore(x, F.get(m, i), F.get(s, i), floor_std))
+    return df.withColumn("features", scaled)
+
+
+def rescatter_missing(raw: Column, scaled: Column, width: int | None = None) -> Column:
+    """Blank every scaled cell whose raw cell was not finite. ``width``, where the caller knows it, only makes it faster."""
+    if width and width <= NAMED_CELLS:
+        return _named([raw, scaled], width, lambda i, r, s: F.when(is_finite(r), s))
     return F.zip_with(raw, scaled, lambda r, s: F.when(is_finite(r), s))
 
 

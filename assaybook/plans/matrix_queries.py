@@ -248,7 +248,8 @@ def zscore(spark, sf):
     stats = matrix.masked_moments(b.split_of(spark, m, 128).train(m)).orderBy("col_id").collect()
     scaled = matrix.zscore_columns(m.withColumn("raw", F.col("features")),
                                    [x["mean"] for x in stats], [x["std"] for x in stats])
-    return _long(scaled.select("row_id", matrix.rescatter_missing(F.col("raw"), F.col("features")).alias("features")))
+    back = matrix.rescatter_missing(F.col("raw"), F.col("features"), len(stats))
+    return _long(scaled.select("row_id", back.alias("features")))
 
 
 @query("select_columns", f"""
